@@ -1,9 +1,10 @@
 """Ordered work inside a key, safe when one key holds a large part of the table.
 
-A plain window sends a whole key to one task. Here keys over `hot_rows` rows
-are found with a partial count first; ordinary keys take the plain window, hot
-keys are cut into lanes (a monotone chunk of the order column), worked lane by
-lane, and stitched from one small row per lane.
+A plain window sends a whole key to one task. Unless the input is small, keys
+over `hot_rows` rows are looked for first with a partial count over the key
+columns alone. Without such keys the plain window runs. Otherwise ordinary keys
+take the plain window and hot keys are cut into lanes (a monotone chunk of the
+order column), worked lane by lane, and stitched from one small row per lane.
 """
 
 from __future__ import annotations
@@ -12,7 +13,12 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.session import checkpointed
+
+
+
 HOT_ROWS = 1_000_000
+ROW_BYTES = 64
 LANE_IDS = 1_000_000
 
 
@@ -41,9 +47,26 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
             .select(*[F.col(k).alias("_h_" + k) for k in keys]))
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(ordinary rows, rows of hot keys)."""
-    heavy = F.broadcast(hot_keys(df, keys, hot_rows))
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of the files and local rows a frame is read from; None when unknown."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(leaves.apply(i).stats().sizeInBytes().toString())
+                   for i in range(leaves.size()))
+    except AttributeError:
+        return None
+
+
+def split_hot(df: DataFrame, keys: Sequence[str],
+              hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """(ordinary rows, rows of hot keys or None)."""
+    size = input_bytes(df)
+    if size is not None and size <= hot_rows * ROW_BYTES:
+        return df, None
+    heavy = hot_keys(df, keys, hot_rows)
+    if heavy.isEmpty():
+        return df, None
+    heavy = F.broadcast(checkpointed(heavy))
     cold = df.join(heavy, _match(keys), "left_anti")
     hot = df.join(heavy, _match(keys), "left_semi")
     return cold, hot
@@ -60,7 +83,7 @@ class KeyedSequence:
                  lane: Column, hot_rows: int = HOT_ROWS):
         self.keys, self.order = list(keys), list(order)
         self._cold, hot = split_hot(df, self.keys, hot_rows)
-        self._hot = hot.withColumn("_lane", lane)
+        self._hot = None if hot is None else hot.withColumn("_lane", lane)
 
     @property
     def _by_key(self):
@@ -71,6 +94,8 @@ class KeyedSequence:
         return Window.partitionBy(*self.keys, "_lane").orderBy(*self.order)
 
     def frame(self) -> DataFrame:
+        if self._hot is None:
+            return self._cold
         return self._cold.unionByName(self._hot.drop("_lane"))
 
     def shift(self, columns: Mapping[str, tuple]) -> "KeyedSequence":
@@ -82,6 +107,8 @@ class KeyedSequence:
                     for new, (source, offset) in columns.items()}
 
         self._cold = self._cold.withColumns(shifted(self._by_key))
+        if self._hot is None:
+            return self
         one = F.lit(1)
         edge = (F.lead(one, reach).over(self._by_lane).isNull()
                 | F.lag(one, reach).over(self._by_lane).isNull())
@@ -107,6 +134,8 @@ class KeyedSequence:
             return {n: F.sum(e).over(window.rowsBetween(*upto)) for n, e in columns.items()}
 
         self._cold = self._cold.withColumns(totals(self._by_key))
+        if self._hot is None:
+            return self
         sizes = self._hot.groupBy(*self.keys, "_lane").agg(
             *[F.sum(e).alias("_s_" + n) for n, e in columns.items()])
         before = Window.partitionBy(*self.keys).orderBy("_lane").rowsBetween(
@@ -127,12 +156,15 @@ class KeyedSequence:
         self.running({n: F.when(p, 1).otherwise(0).cast("long") for n, p in columns.items()})
         for n, p in columns.items():
             self._cold = self._cold.withColumn(n, F.when(p, F.col(n)))
-            self._hot = self._hot.withColumn(n, F.when(p, F.col(n)))
+            if self._hot is not None:
+                self._hot = self._hot.withColumn(n, F.when(p, F.col(n)))
         return self
 
     def rank(self, new: str = "rank") -> "KeyedSequence":
         """Rank with gaps; rows equal in all order columns must share a lane."""
         self._cold = self._cold.withColumn(new, F.rank().over(self._by_key).cast("long"))
+        if self._hot is None:
+            return self
         sizes = self._hot.groupBy(*self.keys, "_lane").agg(F.count(F.lit(1)).alias("_s"))
         before = Window.partitionBy(*self.keys).orderBy("_lane").rowsBetween(
             Window.unboundedPreceding, -1)
@@ -150,6 +182,8 @@ class KeyedSequence:
                     for n, e in columns.items()}
 
         self._cold = self._cold.withColumns(latest(self._by_key))
+        if self._hot is None:
+            return self
         self._hot = self._hot.withColumns(latest(self._by_lane))
         ends = self._hot.withColumn(
             "_end", F.lead(F.lit(1)).over(self._by_lane).isNull()).filter("_end")
@@ -191,12 +225,14 @@ def first_by(df: DataFrame, keys, columns, order, latest: bool = False) -> DataF
 
 def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str,
          columns: Sequence[str], side: str = "before", strict: bool = True,
-         tie: str | None = None, lane=hour_lane, hot_rows: int = HOT_ROWS) -> DataFrame:
+         tie: str | None = None, count: str | None = None, lane=hour_lane,
+         hot_rows: int = HOT_ROWS) -> DataFrame:
     """For each left row the nearest right row before (or after) it; unmatched rows keep nulls.
 
     Left and right rows are laid into one sequence per key and the right row is
     carried along it, so no pairs are formed. `tie` orders right rows of equal
-    time: the greatest wins.
+    time: the greatest wins. `count` names a column with the number of right rows
+    on that side.
     """
     ahead = side == "after"
     payload = F.struct(*columns)
@@ -221,8 +257,12 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, r
     else:
         order = [F.col("_at").asc_nulls_first(), F.col("_side"), F.col("_tie")]
     seq = KeyedSequence(both, keys, order, mark, hot_rows).fill({"_near": F.col("_right")})
+    extra = []
+    if count:
+        seq.running({"_count": F.when(F.col("_right").isNotNull(), 1).otherwise(0).cast("long")})
+        extra = [F.col("_count").alias(count)]
     return (seq.frame().filter(F.col("_left").isNotNull())
-            .select("_left.*", *[F.col("_near." + c).alias(c) for c in columns]))
+            .select("_left.*", *[F.col("_near." + c).alias(c) for c in columns], *extra))
 
 
 def exact_percentiles(df: DataFrame, dims: Sequence[str], value: str,
@@ -277,8 +317,12 @@ def covering(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point
              .filter(F.col("_p") * F.col("_i") > pair_limit)
              .select(*[F.col(k).alias("_h_" + k) for k in keys]))
 
-    plain = (pts.join(heavy, _match(keys), "left_anti")
-             .join(ivs, list(keys)).filter(F.col("_t").between(F.col("_a"), F.col("_b"))))
+    crowded = not heavy.isEmpty()
+    few = pts.join(heavy, _match(keys), "left_anti") if crowded else pts
+    plain = few.join(ivs, list(keys)).filter(F.col("_t").between(F.col("_a"), F.col("_b")))
+    plain_agg = plain.groupBy(*point_id).agg(*[ops[op](c).alias(n) for n, (op, c) in aggs.items()])
+    if not crowded:
+        return plain_agg
 
     blocks = F.expr(
         f"filter(flatten(transform(sequence(0, {levels - 1}), j -> array("
@@ -296,7 +340,6 @@ def covering(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point
                .withColumn("_k", F.expr("_t >> _l")))
     looked = hot_pts.join(hot_ivs, [*keys, "_l", "_k"])
 
-    plain_agg = plain.groupBy(*point_id).agg(*[ops[op](c).alias(n) for n, (op, c) in aggs.items()])
     hot_agg = looked.groupBy(*point_id).agg(
         *[ops[op]("_v_" + n).alias(n) for n, (op, c) in aggs.items()])
     return plain_agg.unionByName(hot_agg)

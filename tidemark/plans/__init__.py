@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SETS = ["cohorts", "stages"]
+SETS = ["cohorts", "stages", "timelines"]
 
 
 def load():

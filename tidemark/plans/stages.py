@@ -158,9 +158,9 @@ def _(t):
     return _final(t)
 
 
-@query("a47_probe_filter", "SELECT * FROM stage_item WHERE entity_id = 8")
+@query("a47_probe_filter", "SELECT * FROM stage_item WHERE deleted")
 def _(t):
-    return filtered(t.stage_item, F.col("entity_id") == 8)
+    return filtered(t.stage_item, F.col("deleted"))
 
 
 @query("a48_cancelled_from_stage",
