@@ -89,6 +89,28 @@ VIEWS = {
                max(CASE WHEN code = 3 THEN 1 ELSE 0 END) AS inactive,
                min(made_at) AS opened_at, max(made_at) AS closed_at
         FROM task_log GROUP BY 1, 2""",
+    "fact": """
+        SELECT *, CASE action WHEN 'Done' THEN 180 WHEN 'Hold' THEN 60 WHEN 'Reassigned' THEN 80 END::BIGINT
+                  AS expected_seconds,
+               lag(task_id) OVER (PARTITION BY case_id ORDER BY assigned_at) AS previous_task_id,
+               lead(task_id) OVER (PARTITION BY case_id ORDER BY assigned_at) AS next_task_id
+        FROM (
+            SELECT task_id, case_id, CASE WHEN case_id % 3 = 0 THEN 'Hold' ELSE 'New' END AS task_type,
+                   max(owner) AS owner, min(made_at) AS assigned_at,
+                   min(made_at) FILTER (code = 2) AS first_call_at, max(made_at) FILTER (code = 2) AS last_call_at,
+                   min(made_at) FILTER (code = 5) AS first_hangup_at, max(made_at) FILTER (code = 5) AS last_hangup_at,
+                   max(made_at) FILTER (code IN (1, 3, 4)) AS actioned_at,
+                   max(made_at) FILTER (code IN (1, 3, 4, 5)) AS detached_at,
+                   max(CASE code WHEN 4 THEN 'Done' WHEN 3 THEN 'Hold' WHEN 1 THEN 'Reassigned' END) AS action,
+                   count(DISTINCT made_at) FILTER (code = 2) AS attempts,
+                   count(DISTINCT made_at) FILTER (code = 5) AS hangups,
+                   count(DISTINCT made_at) FILTER (code = 1) AS notified,
+                   max(CASE WHEN code = 1 THEN 1 ELSE 0 END) AS inactive_flag,
+                   max(CASE WHEN first_done <= made_at THEN 1 ELSE 0 END) AS issue_flag
+            FROM task_log LEFT JOIN (SELECT case_id AS done_case, min(made_at) AS first_done
+                                     FROM task_log WHERE code = 4 GROUP BY 1) ON case_id = done_case
+            GROUP BY 1, 2, 3)
+        WHERE assigned_at::DATE BETWEEN DATE '2024-01-01' AND DATE '2024-01-29'""",
     "stage_log": """
         SELECT *, json_extract_string(props, '$.k')::INT AS k,
                strftime(made_at, '%m-%d %H:%M') || ' - ' ||
@@ -241,6 +263,14 @@ class Bound(Tables):
             F.max(F.when(c == 3, 1).otherwise(0)).alias("inactive"),
             F.min("made_at").alias("opened_at"), F.max("made_at").alias("closed_at"))
 
+    @property
+    def fact(self) -> DataFrame:
+        from tidemark.operators.facts import task_fact
+        log = self.task_log.withColumn(
+            "task_type", F.when(F.col("case_id") % 3 == 0, "Hold").otherwise("New"))
+        return task_fact(log, {4: "Done", 3: "Hold", 1: "Reassigned"}, call=2, hangup=5,
+                         inactive=1, done=4, start="2024-01-01", as_of=EVENTS_AS_OF)
+
     @property
     def stage_log(self) -> DataFrame:
         mark = F.when(F.col("id") % 3 == 0, "Sent out").when(
