@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SETS = ["cohorts", "stages", "timelines", "facts"]
+SETS = ["orders"]
 
 
 def load():

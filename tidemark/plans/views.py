@@ -111,6 +111,29 @@ VIEWS = {
                                      FROM task_log WHERE code = 4 GROUP BY 1) ON case_id = done_case
             GROUP BY 1, 2, 3)
         WHERE assigned_at::DATE BETWEEN DATE '2024-01-01' AND DATE '2024-01-29'""",
+    "line": """
+        SELECT i.*, p_type = 'PROMO' AS chronic, p_size > 25 AS needs_rx, p_type AS form
+        FROM item i JOIN part ON item_id = p_partkey""",
+    "mark": """
+        SELECT order_id, unnest([CASE WHEN qty >= 30 THEN 22 END, CASE WHEN qty <= 5 THEN 23 END,
+               CASE WHEN form = 'SMALL' THEN 14 END, CASE WHEN returned = 1 THEN 17 END,
+               CASE WHEN disc = 0 THEN 1 END, CASE WHEN chronic THEN 12 END,
+               CASE WHEN form = 'ECONOMY' THEN 43 END, CASE WHEN form = 'LARGE' THEN 11 END]) AS flag_id
+        FROM line""",
+    "sub_order": """
+        SELECT order_id, customer_id AS subscription_id,
+               CASE WHEN status = 8 THEN order_id ELSE -1 END AS template_order_id,
+               channel = '3-MEDIUM' AS clone
+        FROM ord WHERE channel IN ('3-MEDIUM', '4-NOT SPECIFIED')""",
+    "sub_log": """
+        SELECT order_id, item_id AS original, next_item AS substitute, item_id % 20 AS agent,
+               first_ship AS created_at, log_type, returned AS substitute_kind
+        FROM (SELECT *, lead(item_id) OVER (PARTITION BY order_id ORDER BY item_id) AS next_item FROM item),
+             (VALUES (1), (2), (3)) k(log_type)
+        WHERE next_item IS NOT NULL AND (log_type = 1 OR (log_type = 2 AND qty >= 10) OR (log_type = 3 AND qty >= 25))""",
+    "cart_item": """
+        SELECT order_id, item_id, qty < 10 AS deleted, gross > 2000000 AS invoiced, returned,
+               item_id % 8 + 1 AS return_reason FROM item""",
     "stage_log": """
         SELECT *, json_extract_string(props, '$.k')::INT AS k,
                strftime(made_at, '%m-%d %H:%M') || ' - ' ||
@@ -271,6 +294,49 @@ class Bound(Tables):
         return task_fact(log, {4: "Done", 3: "Hold", 1: "Reassigned"}, call=2, hangup=5,
                          inactive=1, done=4, start="2024-01-01", as_of=EVENTS_AS_OF)
 
+    @property
+    def line(self) -> DataFrame:
+        parts = self.part.select(F.col("p_partkey").alias("item_id"),
+                                 (F.col("p_type") == "PROMO").alias("chronic"),
+                                 (F.col("p_size") > 25).alias("needs_rx"),
+                                 F.col("p_type").alias("form"))
+        return self.item.join(parts, "item_id")
+
+    @property
+    def mark(self) -> DataFrame:
+        c = F.col
+        tests = {22: c("qty") >= 30, 23: c("qty") <= 5, 14: c("form") == "SMALL",
+                 17: c("returned") == 1, 1: c("disc") == 0, 12: c("chronic"),
+                 43: c("form") == "ECONOMY", 11: c("form") == "LARGE"}
+        codes = F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()])
+        return self.line.select("order_id", F.explode(F.array_compact(codes)).alias("flag_id"))
+
+    @property
+    def sub_order(self) -> DataFrame:
+        return self.ord.filter(F.col("channel").isin("3-MEDIUM", "4-NOT SPECIFIED")).select(
+            "order_id", F.col("customer_id").alias("subscription_id"),
+            F.when(F.col("status") == 8, F.col("order_id")).otherwise(-1).alias("template_order_id"),
+            (F.col("channel") == "3-MEDIUM").alias("clone"))
+
+    @property
+    def sub_log(self) -> DataFrame:
+        from tidemark.operators.ordered import KeyedSequence, id_lane
+        seq = KeyedSequence(self.item, ["order_id"], [F.col("item_id")], id_lane("item_id"))
+        pairs = seq.shift({"substitute": ("item_id", 1)}).frame().filter("substitute is not null")
+        kinds = F.array_compact(F.array(F.lit(1), F.when(F.col("qty") >= 10, 2),
+                                        F.when(F.col("qty") >= 25, 3)))
+        return pairs.select(
+            "order_id", F.col("item_id").alias("original"), "substitute",
+            (F.col("item_id") % 20).alias("agent"), F.col("first_ship").alias("created_at"),
+            F.explode(kinds).alias("log_type"), F.col("returned").alias("substitute_kind"))
+
+    @property
+    def cart_item(self) -> DataFrame:
+        return self.item.select(
+            "order_id", "item_id", (F.col("qty") < 10).alias("deleted"),
+            (F.col("gross") > 2000000).alias("invoiced"), "returned",
+            (F.col("item_id") % 8 + 1).alias("return_reason"))
+
     @property
     def stage_log(self) -> DataFrame:
         mark = F.when(F.col("id") % 3 == 0, "Sent out").when(
