@@ -126,25 +126,29 @@ class KeyedSequence:
         self._hot = (joined.withColumns({n: merge(F.col(n), F.col("_c_" + n)) for n in new})
                      .drop(*[c for c in named.columns]))
 
-    def running(self, columns: Mapping[str, Column]) -> "KeyedSequence":
-        """Running totals up to and including the row."""
+    def running(self, columns: Mapping[str, Column], op: str = "sum") -> "KeyedSequence":
+        """Running sum (or max) up to and including the row."""
         upto = (Window.unboundedPreceding, 0)
+        agg = {"sum": F.sum, "max": F.max}[op]
 
         def totals(window):
-            return {n: F.sum(e).over(window.rowsBetween(*upto)) for n, e in columns.items()}
+            return {n: agg(e).over(window.rowsBetween(*upto)) for n, e in columns.items()}
 
         self._cold = self._cold.withColumns(totals(self._by_key))
         if self._hot is None:
             return self
         sizes = self._hot.groupBy(*self.keys, "_lane").agg(
-            *[F.sum(e).alias("_s_" + n) for n, e in columns.items()])
+            *[agg(e).alias("_s_" + n) for n, e in columns.items()])
         before = Window.partitionBy(*self.keys).orderBy("_lane").rowsBetween(
             Window.unboundedPreceding, -1)
-        lanes = sizes.withColumns({"_c_" + n: F.sum("_s_" + n).over(before) for n in columns})
+        lanes = sizes.withColumns({"_c_" + n: agg("_s_" + n).over(before) for n in columns})
         self._hot = self._hot.withColumns(totals(self._by_lane))
-        self._carry(lanes, columns, lambda own, past: F.when(
-            own.isNotNull() | past.isNotNull(),
-            F.coalesce(own, F.lit(0)) + F.coalesce(past, F.lit(0))))
+        zero = F.lit(0)
+        merge = {"max": lambda own, past: F.greatest(own, past),
+                 "sum": lambda own, past: F.when(
+                     own.isNotNull() | past.isNotNull(),
+                     F.coalesce(own, zero) + F.coalesce(past, zero))}[op]
+        self._carry(lanes, columns, merge)
         return self
 
     def number(self, new: str = "row_num") -> "KeyedSequence":
@@ -237,6 +241,10 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, r
     ahead = side == "after"
     payload = F.struct(*columns)
     names = left.columns
+    keyless = F.lit(False)
+    for k in keys:
+        keyless = keyless | F.col(k).isNull()
+    loose, left = left.filter(keyless), left.filter(~keyless)
     lrow = left.select(*keys, F.col(left_at).alias("_at"), F.lit(0 if strict else 1).alias("_side"),
                        F.lit(None).cast("long").alias("_tie"),
                        F.struct(*[F.col(c) for c in names]).alias("_left"),
@@ -261,8 +269,24 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, r
     if count:
         seq.running({"_count": F.when(F.col("_right").isNotNull(), 1).otherwise(0).cast("long")})
         extra = [F.col("_count").alias(count)]
-    return (seq.frame().filter(F.col("_left").isNotNull())
-            .select("_left.*", *[F.col("_near." + c).alias(c) for c in columns], *extra))
+    met = (seq.frame().filter(F.col("_left").isNotNull())
+           .select("_left.*", *[F.col("_near." + c).alias(c) for c in columns], *extra))
+    return met.unionByName(loose, allowMissingColumns=True)
+
+
+def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: Column,
+              right_at: Column, below: int, above: int) -> DataFrame:
+    """Inner join on keys where right_at lies in [left_at - below, left_at + above] (integers).
+
+    Both sides carry a bucket of the band's width as a further equality key, so
+    a large key is spread over time and only neighbouring buckets meet.
+    """
+    width = F.lit(below + above + 1)
+    lo, hi = F.floor((F.col("_l") - below) / width), F.floor((F.col("_l") + above) / width)
+    lhs = left.withColumn("_l", left_at).withColumn("_bucket", F.explode(F.sequence(lo, hi)))
+    rhs = right.withColumn("_r", right_at).withColumn("_bucket", F.floor(F.col("_r") / width))
+    met = lhs.join(rhs, [*keys, "_bucket"])
+    return met.filter((F.col("_r") - F.col("_l")).between(-below, above)).drop("_bucket", "_l", "_r")
 
 
 def exact_percentiles(df: DataFrame, dims: Sequence[str], value: str,
