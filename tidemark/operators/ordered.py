@@ -51,7 +51,7 @@ def input_bytes(df: DataFrame) -> int | None:
     """Bytes of the files and local rows a frame is read from; None when unknown."""
     try:
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(leaves.apply(i).stats().sizeInBytes().toString())
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes()))
                    for i in range(leaves.size()))
     except AttributeError:
         return None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SETS = ["queues"]
+SETS = ["people"]
 
 
 def load():

@@ -14,11 +14,14 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._read: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(os.path.join(self.folder, f"{name}.parquet"))
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(os.path.join(self.folder, f"{name}.parquet"))
+        return self._read[name]
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str,
