@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SETS = ["fraud"]
+SETS = ["dashboards"]
 
 
 def load():
