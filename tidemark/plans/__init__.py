@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SETS = ["dashboards"]
+SETS = ["scoring", "forecast"]
 
 
 def load():

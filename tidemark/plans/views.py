@@ -166,7 +166,9 @@ VIEWS = {
                CASE WHEN s.code = 4 THEN 1 ELSE 0 END AS success,
                hour(s.made_at) AS hr, g.segment, g.city, g.hub,
                (s.entity_id % 2)::VARCHAR AS parity,
-               (json_extract_string(s.props, '$.k')::INT // 25)::VARCHAR AS kband
+               (json_extract_string(s.props, '$.k')::INT // 25)::VARCHAR AS kband,
+               s.owner::VARCHAR AS owner, (s.entity_id % 3)::VARCHAR AS third,
+               dayofweek(s.made_at)::VARCHAR AS weekday, (hour(s.made_at) // 6)::VARCHAR AS daypart
         FROM status_log s JOIN geo g ON s.entity_id = g.customer_id""",
 }
 
@@ -384,4 +386,8 @@ class Bound(Tables):
             "attempt_number", F.when(F.col("code") == 4, 1).otherwise(0).alias("success"),
             F.hour("made_at").alias("hr"), "segment", "city", "hub",
             (F.col("entity_id") % 2).cast("string").alias("parity"),
-            F.expr("cast(get_json_object(props, '$.k') as int) div 25").cast("string").alias("kband"))
+            F.expr("cast(get_json_object(props, '$.k') as int) div 25").cast("string").alias("kband"),
+            F.col("owner").cast("string").alias("owner"),
+            (F.col("entity_id") % 3).cast("string").alias("third"),
+            (F.dayofweek("made_at") - 1).cast("string").alias("weekday"),
+            F.floor(F.hour("made_at") / 6).cast("string").alias("daypart"))
