@@ -150,7 +150,7 @@ def forest(target: str, features: Sequence[str], trees: int | None = None, seed:
         VectorAssembler(inputCols=list(features), outputCol="features"),
         RandomForestRegressor(labelCol=target, predictionCol=target + "_predicted",
                               numTrees=trees or count, minInstancesPerNode=max(2, split // 2),
-                              featureSubsetStrategy="sqrt", maxDepth=10, seed=seed)])
+                              featureSubsetStrategy="sqrt", maxDepth=8, seed=seed)])
 
 
 def fit_retention_model(df: DataFrame, target: str, features: Sequence[str],
@@ -184,7 +184,8 @@ def fit_all(df: DataFrame, features: Sequence[str], folder: str, targets: Sequen
     """
     paths, gates = {}, []
     for target in targets:
-        clean = min_cohort(drop_outliers(df, target), least=1)
+        # read by every pass of the fit, the evaluation and the refit; as long as the list of cohorts
+        clean = drop_outliers(df, target).cache()
         model, predicted = fit_retention_model(clean, target, features, trees)
         gate = quality_gate(predicted, target, len(features))
         if gate["accepted"]:
@@ -192,6 +193,7 @@ def fit_all(df: DataFrame, features: Sequence[str], folder: str, targets: Sequen
         paths[target] = f"{folder}/{target}"
         model.write().overwrite().save(paths[target])
         gates.append(gate)
+        clean.unpersist()
     return paths, gates
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SETS = ["scoring", "forecast"]
+SETS = ["primitives"]
 
 
 def load():

@@ -151,7 +151,7 @@ _FEATURES = fc.feature_columns(HUBS)
 
 @query("m07_fit_retention_model")
 def _(t):
-    clean = fc.drop_outliers(_hot(t), "retention")
+    clean = fc.drop_outliers(_hot(t), "retention").cache()
     _, predicted = fc.fit_retention_model(clean, "retention", _FEATURES, TREES)
     return predicted.select("month", *fc.DIMS, "customers", "retention", "retention_predicted")
 
@@ -164,7 +164,7 @@ def _gate_rows(t, gates):
 
 @query("m08_quality_gate")
 def _(t):
-    clean = fc.drop_outliers(_hot(t), "retention")
+    clean = fc.drop_outliers(_hot(t), "retention").cache()
     _, predicted = fc.fit_retention_model(clean, "retention", _FEATURES, TREES)
     return _gate_rows(t, [fc.quality_gate(predicted, "retention", len(_FEATURES))])
 
