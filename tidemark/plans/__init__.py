@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-SETS = ["primitives"]
+SETS = ["primitives", "scalars", "cohorts", "stages", "timelines", "facts", "orders", "calls",
+        "queues", "people", "dashboards", "fraud", "scoring", "forecast"]
 
 
 def load():

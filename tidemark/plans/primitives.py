@@ -482,13 +482,13 @@ add("p81_frame_unbounded_preceding", """
 
 # order, limits and sets
 
-add("p82_order_by", "SELECT order_id, channel, value FROM ord ORDER BY channel, value DESC, order_id LIMIT 50",
-    lambda t: t.ord.select("order_id", "channel", "value").orderBy("channel", c("value").desc(), "order_id").limit(50))
+add("p82_order_by", "SELECT order_id, channel, value FROM ord ORDER BY channel, value DESC, order_id",
+    lambda t: t.ord.select("order_id", "channel", "value").orderBy("channel", c("value").desc(), "order_id"))
 add("p83_nulls_last", """
     SELECT o.order_id, i.returned_at FROM ord o LEFT JOIN (SELECT order_id, max(returned_at) AS returned_at FROM item GROUP BY 1) i USING (order_id)
-    ORDER BY i.returned_at DESC NULLS LAST, o.order_id LIMIT 40""",
+    ORDER BY i.returned_at DESC NULLS LAST, o.order_id""",
     lambda t: t.ord.select("order_id").join(t.item.groupBy("order_id").agg(F.max("returned_at").alias("returned_at")), "order_id", "left")
-    .orderBy(c("returned_at").desc_nulls_last(), "order_id").limit(40))
+    .orderBy(c("returned_at").desc_nulls_last(), "order_id"))
 add("p84_limit", "SELECT event_id, ts FROM events ORDER BY event_id LIMIT 100",
     lambda t: t.events.select("event_id", "ts").orderBy("event_id").limit(100))
 add("p85_union_distinct", "SELECT customer_id FROM ord WHERE status = 8 UNION SELECT entity_id FROM status_log WHERE code = 3",
