@@ -112,10 +112,16 @@ class KeyedSequence:
         one = F.lit(1)
         edge = (F.lead(one, reach).over(self._by_lane).isNull()
                 | F.lag(one, reach).over(self._by_lane).isNull())
-        inner = self._hot.withColumns({**shifted(self._by_lane), "_edge": edge})
+        # a neighbour inside the lane stands; only one beyond its end is looked up along the edges
+        inside = {"_in_" + new: (F.lead if offset > 0 else F.lag)(one, abs(offset))
+                  .over(self._by_lane).isNotNull() for new, (_, offset) in columns.items()}
+        inner = self._hot.withColumns({**shifted(self._by_lane), **inside, "_edge": edge})
         settled = inner.filter(~F.col("_edge"))
-        seam = inner.filter("_edge").withColumns(shifted(self._by_key))
-        self._hot = settled.unionByName(seam).drop("_edge")
+        beyond = {"_far_" + new: e for new, e in shifted(self._by_key).items()}
+        seam = inner.filter("_edge").withColumns(beyond).withColumns(
+            {new: F.when(F.col("_in_" + new), F.col(new)).otherwise(F.col("_far_" + new))
+             for new in columns}).drop(*beyond)
+        self._hot = settled.unionByName(seam).drop("_edge", *inside)
         return self
 
     def _carry(self, lanes: DataFrame, new: Mapping[str, Column], merge) -> None:
@@ -348,20 +354,20 @@ def covering(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point
     if not crowded:
         return plain_agg
 
+    # at each size the blocks left over at the two ends of an interval: odd ones have no larger parent inside it
+    low, high = "shiftright(_a + shiftleft(1L, j) - 1, j)", "shiftright(_b + 1, j)"
     blocks = F.expr(
         f"filter(flatten(transform(sequence(0, {levels - 1}), j -> array("
-        "if(((_a + shiftleft(1L, j) - 1) >> j) < ((_b + 1) >> j)"
-        "   and ((_a + shiftleft(1L, j) - 1) >> j) % 2 = 1,"
-        "   named_struct('l', j, 'b', (_a + shiftleft(1L, j) - 1) >> j), null),"
-        "if(((_a + shiftleft(1L, j) - 1) >> j) < ((_b + 1) >> j) and ((_b + 1) >> j) % 2 = 1,"
-        "   named_struct('l', j, 'b', ((_b + 1) >> j) - 1), null)))), x -> x is not null)")
+        f"if({low} < {high} and {low} % 2 = 1, named_struct('l', j, 'b', {low}), null),"
+        f"if({low} < {high} and {high} % 2 = 1, named_struct('l', j, 'b', {high} - 1), null)))),"
+        " x -> x is not null)")
     hot_ivs = (ivs.join(heavy, _match(keys), "left_semi")
                .withColumn("_blk", F.explode(blocks))
                .groupBy(*keys, F.col("_blk.l").alias("_l"), F.col("_blk.b").alias("_k"))
                .agg(*[ops[op](c).alias("_v_" + n) for n, (op, c) in aggs.items()]))
     hot_pts = (pts.join(heavy, _match(keys), "left_semi")
                .withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
-               .withColumn("_k", F.expr("_t >> _l")))
+               .withColumn("_k", F.expr("shiftright(_t, _l)")))
     looked = hot_pts.join(hot_ivs, [*keys, "_l", "_k"])
 
     hot_agg = looked.groupBy(*point_id).agg(

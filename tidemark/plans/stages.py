@@ -187,29 +187,36 @@ def _(t):
                                lc.stage_dwell(t.status_log, STAGE))
 
 
-_QUANTILES = ",\n".join(f"quantile_cont(in_stage_seconds, {p}) / 3600 AS {n}"
+# interpolated hours are given to six places
+_QUANTILES = ",\n".join(f"round(quantile_cont(in_stage_seconds, {p}) / 3600, 6) AS {n}"
                         for n, p in PROBS.items())
+
+
+def _hours(df):
+    return df.withColumns({n: F.round(n, 6) for n in [*PROBS, "avg_hours"]})
+
+
 _DIMS = ["order_status", "reason", "flow", "in_stage_action"]
 
 
 @query("a50_dwell_percentiles", f"""
     WITH {_FINAL}
-    SELECT {", ".join(_DIMS)}, count(flow) AS orders, avg(in_stage_seconds) / 3600 AS avg_hours,
+    SELECT {", ".join(_DIMS)}, count(flow) AS orders, round(avg(in_stage_seconds) / 3600, 6) AS avg_hours,
            {_QUANTILES} FROM summary GROUP BY 1, 2, 3, 4""")
 def _(t):
-    return lc.dwell_percentiles(checkpointed(_final(t)), _DIMS, PROBS)
+    return _hours(lc.dwell_percentiles(checkpointed(_final(t)), _DIMS, PROBS))
 
 
 @query("a51_dwell_percentiles_other_items", f"""
     WITH {_FINAL}
-    SELECT {", ".join(_DIMS)}, count(flow) AS orders, avg(in_stage_seconds) / 3600 AS avg_hours,
+    SELECT {", ".join(_DIMS)}, count(flow) AS orders, round(avg(in_stage_seconds) / 3600, 6) AS avg_hours,
            {_QUANTILES} FROM summary
     WHERE entity_id IN (SELECT entity_id FROM custom_item WHERE item_code IS NULL)
     GROUP BY 1, 2, 3, 4""")
 def _(t):
     other = t.custom_item.filter("item_code is null").select("entity_id").distinct()
     rows = _final(t).join(other, "entity_id", "left_semi")
-    return lc.dwell_percentiles(checkpointed(rows), _DIMS, PROBS)
+    return _hours(lc.dwell_percentiles(checkpointed(rows), _DIMS, PROBS))
 
 
 def _audit_sql(match, minimal):
