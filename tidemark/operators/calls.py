@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.timefn import boundary_diff, moment
-from tidemark.operators.ordered import KeyedSequence, asof, covering, hour_lane
+from tidemark.operators.ordered import KeyedSequence, asof, covering, crowded_keys, hour_lane
 from tidemark.operators.orders import flag, lookup
 
 FAR = "2100-01-01 00:00:00"
@@ -47,10 +47,12 @@ def call_context(calls: DataFrame, paths: Sequence[DataFrame], combine: str = "u
     pts = calls.select("call_id", F.col("caller").alias("phone"), "made_at")
     ever = spans.groupBy("phone").agg(F.max("order_id").alias("any_order_id"),
                                       F.max("program_id").alias("any_program_id"))
+    crowded = crowded_keys(pts, spans, ["phone"])
     live = covering(pts, spans, ["phone"], ["call_id"], "made_at", "placed_at", "closed_at",
-                    {"live_order_id": ("max", "order_id"), "program_order_id": ("max", "program_id")})
+                    {"live_order_id": ("max", "order_id"), "program_order_id": ("max", "program_id")},
+                    crowded=crowded)
     staged = covering(pts, spans.filter("in_program"), ["phone"], ["call_id"], "made_at", "in_at",
-                      "out_at", {"live_program_order_id": ("max", "order_id")})
+                      "out_at", {"live_program_order_id": ("max", "order_id")}, crowded=crowded)
     rows = (pts.join(ever, "phone", "left").join(live, "call_id", "left")
             .join(staged, "call_id", "left"))
     has = lambda c: flag(F.col(c).isNotNull())

@@ -48,11 +48,18 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int | None:
-    """Bytes of the files and local rows a frame is read from; None when unknown."""
+    """Bytes of the files and local rows a frame is read from, each counted once; None when unknown."""
     try:
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes()))
-                   for i in range(leaves.size()))
+        sizes = {}
+        for i in range(leaves.size()):
+            leaf = leaves.apply(i)
+            try:
+                name = leaf.relation().location().rootPaths().mkString(",")
+            except Exception:  # not a file scan
+                name = str(i)
+            sizes[name] = int(str(leaf.stats().sizeInBytes()))
+        return sum(sizes.values())
     except AttributeError:
         return None
 
@@ -157,6 +164,18 @@ class KeyedSequence:
         self._carry(lanes, columns, merge)
         return self
 
+    def total(self, columns: Mapping[str, Column]) -> "KeyedSequence":
+        """Sums over the whole key, next to every row."""
+        whole = Window.partitionBy(*self.keys)
+        self._cold = self._cold.withColumns({n: F.sum(e).over(whole) for n, e in columns.items()})
+        if self._hot is None:
+            return self
+        sums = self._hot.groupBy(*self.keys).agg(*[F.sum(e).alias(n) for n, e in columns.items()])
+        named = sums.select(*[F.col(k).alias("_h_" + k) for k in self.keys], *columns)
+        self._hot = self._hot.join(named, _match(self.keys), "left").drop(
+            *["_h_" + k for k in self.keys])
+        return self
+
     def number(self, new: str = "row_num") -> "KeyedSequence":
         """Row number from 1."""
         return self.running({new: F.lit(1).cast("long")})
@@ -215,12 +234,9 @@ def ranks(df, keys, order, lane, new="rank", hot_rows=HOT_ROWS) -> DataFrame:
 
 def percent_ranks(df, keys, order, lane, new="percent_rank", hot_rows=HOT_ROWS) -> DataFrame:
     """(rank - 1) / (rows - 1), zero for a single row."""
-    ranked = ranks(df, keys, order, lane, "_rank", hot_rows)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).select(
-        *[F.col(k).alias("_h_" + k) for k in keys], "_rows")
-    joined = ranked.join(sizes, _match(list(keys)), "left")
+    seq = KeyedSequence(df, keys, order, lane, hot_rows).rank("_rank").total({"_rows": F.lit(1)})
     value = F.when(F.col("_rows") > 1, (F.col("_rank") - 1) / (F.col("_rows") - 1)).otherwise(0.0)
-    return joined.withColumn(new, value).drop("_rank", "_rows", *["_h_" + k for k in keys])
+    return seq.frame().withColumn(new, value).drop("_rank", "_rows")
 
 
 def first_by(df: DataFrame, keys, columns, order, latest: bool = False) -> DataFrame:
@@ -250,8 +266,9 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, r
     keyless = F.lit(False)
     for k in keys:
         keyless = keyless | F.col(k).isNull()
-    loose, left = left.filter(keyless), left.filter(~keyless)
-    lrow = left.select(*keys, F.col(left_at).alias("_at"), F.lit(0 if strict else 1).alias("_side"),
+    # left rows without a key match nothing: they are spread instead of meeting in one task
+    spread = F.when(keyless, F.pmod(F.xxhash64(*names), F.lit(4096)) + 1).otherwise(F.lit(0))
+    lrow = left.select(*keys, spread.cast("long").alias("_salt"), F.col(left_at).alias("_at"), F.lit(0 if strict else 1).alias("_side"),
                        F.lit(None).cast("long").alias("_tie"),
                        F.struct(*[F.col(c) for c in names]).alias("_left"),
                        F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType)
@@ -260,7 +277,7 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, r
     for k in keys:
         known = known & F.col(k).isNotNull()
     rrow = right.filter(known).select(
-        *keys, F.col(right_at).alias("_at"), F.lit(1 if strict else 0).alias("_side"),
+        *keys, F.lit(0).cast("long").alias("_salt"), F.col(right_at).alias("_at"), F.lit(1 if strict else 0).alias("_side"),
         (F.col(tie) if tie else F.lit(None)).cast("long").alias("_tie"),
         F.lit(None).cast(lrow.schema["_left"].dataType).alias("_left"), payload.alias("_right"))
     both = lrow.unionByName(rrow)
@@ -270,14 +287,13 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, r
         mark = -mark
     else:
         order = [F.col("_at").asc_nulls_first(), F.col("_side"), F.col("_tie")]
-    seq = KeyedSequence(both, keys, order, mark, hot_rows).fill({"_near": F.col("_right")})
+    seq = KeyedSequence(both, [*keys, "_salt"], order, mark, hot_rows).fill({"_near": F.col("_right")})
     extra = []
     if count:
         seq.running({"_count": F.when(F.col("_right").isNotNull(), 1).otherwise(0).cast("long")})
         extra = [F.col("_count").alias(count)]
-    met = (seq.frame().filter(F.col("_left").isNotNull())
-           .select("_left.*", *[F.col("_near." + c).alias(c) for c in columns], *extra))
-    return met.unionByName(loose, allowMissingColumns=True)
+    return (seq.frame().filter(F.col("_left").isNotNull())
+            .select("_left.*", *[F.col("_near." + c).alias(c) for c in columns], *extra))
 
 
 def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: Column,
@@ -301,13 +317,10 @@ def exact_percentiles(df: DataFrame, dims: Sequence[str], value: str,
     """Exact percentiles per group from counted values, without gathering a group in one task."""
     counted = (df.filter(F.col(value).isNotNull())
                .groupBy(*dims, value).agg(F.count(F.lit(1)).alias("_c")))
-    totals = counted.groupBy(*dims).agg(F.sum("_c").alias("_n")).select(
-        *[F.col(d).alias("_h_" + d) for d in dims], "_n")
-    stepped = KeyedSequence(counted, dims, [F.col(value)],
-                            F.floor(F.col(value) / F.lit(width)), hot_rows).running(
-        {"_hi": F.col("_c")}).frame()
-    placed = stepped.join(totals, _match(list(dims)), "inner").withColumn(
-        "_lo", F.col("_hi") - F.col("_c"))
+    placed = (KeyedSequence(counted, dims, [F.col(value)],
+                            F.floor(F.col(value) / F.lit(width)), hot_rows)
+              .running({"_hi": F.col("_c")}).total({"_n": F.col("_c")}).frame()
+              .withColumn("_lo", F.col("_hi") - F.col("_c")))
 
     def at(index: Column) -> Column:
         return F.max(F.when((F.col("_lo") <= index) & (index < F.col("_hi")), F.col(value)))
@@ -324,16 +337,27 @@ def exact_percentiles(df: DataFrame, dims: Sequence[str], value: str,
     return placed.groupBy(*dims).agg(*aggs)
 
 
+def crowded_keys(points: DataFrame, intervals: DataFrame, keys: Sequence[str],
+                 pair_limit: int = 1_000_000) -> DataFrame | bool:
+    """Keys whose points times intervals exceed the limit, or False when there are none."""
+    heavy = (points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_p"))
+             .join(intervals.groupBy(*keys).agg(F.count(F.lit(1)).alias("_i")), list(keys))
+             .filter(F.col("_p") * F.col("_i") > pair_limit)
+             .select(*[F.col(k).alias("_h_" + k) for k in keys]))
+    return False if heavy.isEmpty() else checkpointed(heavy)
+
+
 def covering(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point_id: Sequence[str],
              at: str, start: str, end: str, aggs: Mapping[str, tuple], levels: int = 32,
-             pair_limit: int = 1_000_000) -> DataFrame:
+             pair_limit: int = 1_000_000, crowded: DataFrame | bool | None = None) -> DataFrame:
     """Per point, aggregates over the intervals of its key that contain it (ends included).
 
     `aggs` is {new: (op, column)} with op max, min or sum. Keys whose points
     times intervals stay under `pair_limit` take a plain range join. The others
     never form pairs: each interval is cut into aligned power-of-two blocks of
     seconds, blocks are aggregated per key, and each point looks up the one
-    block of each size it lies in. Times count in whole seconds.
+    block of each size it lies in. Times count in whole seconds. `crowded` gives
+    the keys over the limit when the caller has looked already (see `crowded_keys`).
     """
     ops = {"max": F.max, "min": F.min, "sum": F.sum}
     pts = points.select(*keys, *[c for c in point_id if c not in keys],
@@ -342,16 +366,11 @@ def covering(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point
                             F.unix_seconds(F.col(end).cast("timestamp")).alias("_b"),
                             *{c for _, c in aggs.values()})
            .filter(F.col("_a") <= F.col("_b")))
-    heavy = (pts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_p"))
-             .join(ivs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_i")), list(keys))
-             .filter(F.col("_p") * F.col("_i") > pair_limit)
-             .select(*[F.col(k).alias("_h_" + k) for k in keys]))
-
-    crowded = not heavy.isEmpty()
-    few = pts.join(heavy, _match(keys), "left_anti") if crowded else pts
+    heavy = crowded_keys(pts, ivs, keys, pair_limit) if crowded is None else crowded
+    few = pts if heavy is False else pts.join(heavy, _match(keys), "left_anti")
     plain = few.join(ivs, list(keys)).filter(F.col("_t").between(F.col("_a"), F.col("_b")))
     plain_agg = plain.groupBy(*point_id).agg(*[ops[op](c).alias(n) for n, (op, c) in aggs.items()])
-    if not crowded:
+    if heavy is False:
         return plain_agg
 
     # at each size the blocks left over at the two ends of an interval: odd ones have no larger parent inside it

@@ -47,8 +47,7 @@ def response_timeline(case_log: DataFrame, history: DataFrame, stage: int, done:
         prior = F.col("_before.hold_number")
         extra = ["hold_number", F.when(prior == 1, 1).alias("response_after_hold"),
                  F.when(prior.isNotNull(), F.col("response_number")).alias("responses_after_hold")]
-    total = log.filter("keep").groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
-    rows = seq.frame().filter("keep").join(total, "entity_id")
+    rows = seq.total({"n": F.when(F.col("keep"), 1).otherwise(0)}).frame().filter("keep")
     first, last = F.col("response_number") == 1, F.col("response_number") == F.col("n")
     kind = (F.when(first & last, "FirstLast_response").when(first, "First_response")
             .when(last, "Last_response").otherwise("Intermediate_response"))
@@ -148,9 +147,8 @@ def attempt_training_set(tasks: DataFrame, orders: DataFrame, flags: DataFrame,
     seq = KeyedSequence(t, ["case_id"], [F.col("assigned_at"), F.col("task_id")],
                         hour_lane("assigned_at"))
     seq.shift({"next_assigned_at": ("assigned_at", 1)}).number_where(
-        {"attempt_number": F.col("keep")})
-    total = t.filter("keep").groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
-    return seq.frame().filter("keep").join(total, "case_id").select(
+        {"attempt_number": F.col("keep")}).total({"n": F.when(F.col("keep"), 1).otherwise(0)})
+    return seq.frame().filter("keep").select(
         "case_id", "task_id", "assigned_at", "action", success[F.col("action")].alias("success"),
         "next_assigned_at", "attempt_number",
         (F.col("n") - F.col("attempt_number") + 1).alias("attempt_number_last"),

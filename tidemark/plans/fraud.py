@@ -8,6 +8,7 @@ from tidemark.functions.textfn import pad_code
 from tidemark.operators import fraud as fr
 from tidemark.plans.registry import query
 from tidemark.plans.views import PHONE
+from tidemark.session import checkpointed
 
 SINCE = "1997-01-01 00:00:00"
 HUBS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
@@ -58,6 +59,7 @@ def _(t):
 
 
 def _abuse(t, items, **options):
+    items = checkpointed(items)  # read for the limits and again for the flags
     code = F.col("p_partkey").cast("string").alias("code")
     hub = F.element_at(F.array(*[F.lit(h) for h in HUBS]), (F.col("p_partkey") % 5 + 1).cast("int"))
     margins = t.part.select(code, hub.alias("hub"), (F.col("p_size") % 10 / 100).alias("margin"))
