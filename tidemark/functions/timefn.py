@@ -11,9 +11,17 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def clock_seconds(c) -> Column:
+    """Whole seconds since midnight."""
+    c = _col(c)
+    return F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+
+
 def epoch(c) -> Column:
-    """Whole seconds since 1970, fractions dropped."""
-    return F.unix_seconds(_col(c).cast("timestamp"))
+    """Whole seconds since 1970 on the column's own clock, whatever the session's time zone."""
+    c = _col(c)
+    days = F.datediff(c, F.lit("1970-01-01").cast("date")).cast("long")
+    return days * 86400 + clock_seconds(c)
 
 
 def moment(value: str | datetime) -> Column:
@@ -71,7 +79,7 @@ def office_seconds(start, end, opens: str = "08:30:00", closes: str = "23:00:00"
     """
     start, end = _col(start), _col(end)
     o, c = seconds_of_day(opens), seconds_of_day(closes)
-    s, e = F.pmod(epoch(start), F.lit(86400)), F.pmod(epoch(end), F.lit(86400))
+    s, e = clock_seconds(start), clock_seconds(end)
     if clamp:
         e = F.greatest(F.lit(o), F.least(F.lit(c), e))
     days = F.datediff(end, start)

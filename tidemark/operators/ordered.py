@@ -13,10 +13,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.functions.timefn import epoch
 from tidemark.session import checkpointed
 
-
-
 HOT_ROWS = 1_000_000
 ROW_BYTES = 64
 LANE_IDS = 1_000_000
@@ -29,8 +28,7 @@ def id_lane(c, width: int = LANE_IDS) -> Column:
 
 def hour_lane(c) -> Column:
     """Lane of a timestamp: one per hour."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.floor(F.unix_seconds(c.cast("timestamp")) / F.lit(3600))
+    return F.floor(epoch(c) / F.lit(3600))
 
 
 def _match(keys: Sequence[str], left: str = "", right: str = "_h_") -> Column:
@@ -361,9 +359,9 @@ def covering(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point
     """
     ops = {"max": F.max, "min": F.min, "sum": F.sum}
     pts = points.select(*keys, *[c for c in point_id if c not in keys],
-                        F.unix_seconds(F.col(at).cast("timestamp")).alias("_t"))
-    ivs = (intervals.select(*keys, F.unix_seconds(F.col(start).cast("timestamp")).alias("_a"),
-                            F.unix_seconds(F.col(end).cast("timestamp")).alias("_b"),
+                        epoch(at).alias("_t"))
+    ivs = (intervals.select(*keys, epoch(start).alias("_a"),
+                            epoch(end).alias("_b"),
                             *{c for _, c in aggs.values()})
            .filter(F.col("_a") <= F.col("_b")))
     heavy = crowded_keys(pts, ivs, keys, pair_limit) if crowded is None else crowded

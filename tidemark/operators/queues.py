@@ -197,6 +197,7 @@ def loyalty_customers(pairs: DataFrame) -> DataFrame:
     # a refill appears once per paired order, as does its flag in the sum
     return pairs.groupBy("customer_id").agg(
         F.sum(flag(F.col("fulfilled"))).alias("fulfilled_refills"), F.max("match").alias("match"),
+        F.count_distinct("refill_id").alias("refills"),
         F.max(F.col("order_id").isNotNull()).alias("has_order"),
         F.max_by(F.col("order_id").isNotNull(), F.struct(
             F.coalesce("match", F.lit(-1.0)), F.coalesce("order_id", F.lit(-1)))).alias("best_has_order"))
@@ -215,11 +216,9 @@ def loyalty_match(pairs: DataFrame, summary: bool = False) -> DataFrame:
         n(none & (m > 0)).alias("with_match"), n(none & (m > .75)).alias("match_76_100"),
         n(none & (m > .5) & (m <= .75)).alias("match_51_75"),
         n(none & (m > .25) & (m <= .5)).alias("match_26_50"),
-        n(none & (m > 0) & (m <= .25)).alias("match_0_25"), n(none & (m == 1)).alias("match_exact"))
-    if summary:
-        total = pairs.agg(F.count_distinct("refill_id").alias("distinct_refills"))
-        out = out.crossJoin(F.broadcast(total))  # one row each
-    return out
+        n(none & (m > 0) & (m <= .25)).alias("match_0_25"), n(none & (m == 1)).alias("match_exact"),
+        F.sum("refills").alias("distinct_refills"))  # a refill has one customer
+    return out if summary else out.drop("distinct_refills")
 
 
 # fixed values: rows of the long report, in order

@@ -59,12 +59,13 @@ def _(t):
 
 @query("p06_temp_table", """
     WITH big AS (SELECT * FROM ord WHERE value > 30000000)
-    SELECT b.customer_id, count(*) AS n, max(m.top) AS top FROM big b, (SELECT max(value) AS top FROM big) m GROUP BY 1""")
+    SELECT customer_id, n, channel, top FROM (SELECT customer_id, count(*) AS n FROM big GROUP BY 1)
+    JOIN (SELECT customer_id, channel, max(value) AS top FROM big GROUP BY 1, 2) USING (customer_id)""")
 def _(t):
     t.ord.filter("value > 30000000").cache().createOrReplaceTempView("big_order")
     big = t.spark.table("big_order")
-    return big.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n")).crossJoin(
-        F.broadcast(big.agg(F.max("value").alias("top"))))  # one row
+    return big.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n")).join(
+        big.groupBy("customer_id", "channel").agg(F.max("value").alias("top")), "customer_id")
 
 
 @query("p07_drop_temp_table", "SELECT status, count(*) AS n FROM ord GROUP BY 1")
