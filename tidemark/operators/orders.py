@@ -63,7 +63,8 @@ def order_wide(orders: DataFrame, flags: DataFrame, items: DataFrame, customer_f
         flag(cart & F.col("_free")).alias("cart_without_rx_flag"),
         flag(F.col("_queued") & ~cart & ~refilled & F.col("channel").isin(*web)).alias("upload_flag"),
         flag(refilled).alias("refill_flag"),
-        flag(F.col("_refill").isNotNull()).alias("subscription_flag")).dropDuplicates()
+        flag(F.col("_refill").isNotNull()).alias("subscription_flag"))
+    # every joined side has one row per key, so an order still has one row
     order = [F.col("placed_time"), F.col("order_id")]
     lane = hour_lane("placed_time")
     return row_numbers(row_numbers(cols, ["customer_id"], order, lane, "customer_order_number"),
@@ -258,7 +259,7 @@ def overdue_orders(orders: DataFrame, last_change: DataFrame, subs: DataFrame, d
         lookup(owners, F.col("status")).alias("responsible"),
         F.when(F.col("again"), "refill").alias("order_type"),
         boundary_diff("minute", "changed_at", now).alias("minutes_since_change"),
-        boundary_diff("hour", "changed_at", now).alias("hours_since_change")).dropDuplicates()
+        boundary_diff("hour", "changed_at", now).alias("hours_since_change"))
 
 
 def subscription_matrix(orders: DataFrame, subs: DataFrame, dims: Sequence[str],
