@@ -71,9 +71,11 @@ def order_wide(orders: DataFrame, flags: DataFrame, items: DataFrame, customer_f
                        ["phone"], order, lane, "phone_order_number")
 
 
-def any_flags(log: DataFrame, keys: Sequence[str]) -> DataFrame:
+def any_flags(log: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
+    """How far each key got in the log, with further aggregates of the same pass."""
     kind = F.col("log_type")
     return log.groupBy(*keys).agg(
+        *more,
         F.min("created_at").alias("first_logged_at"), F.max(flag(kind == 1)).alias("offered"),
         F.max(flag(kind == 2)).alias("viewed"), F.max(flag(kind == 3)).alias("selected"))
 
@@ -87,10 +89,9 @@ def substitution_funnel(log: DataFrame, items: DataFrame, orders: DataFrame, rea
     """
     kept = log.filter(between_days("created_at", start, end))
     keys = ["order_id", "original", "agent"]
-    seen = any_flags(kept, keys)
+    seen = any_flags(kept, keys, F.max("substitute").alias("offered_item"))
     chosen = first_by(log.filter("log_type = 3"), ["order_id"], ["original", "substitute", "agent"],
                       ["created_at", "original"], latest=True)
-    offers = kept.groupBy(*keys).agg(F.max("substitute").alias("offered_item"))
     o = orders.select("order_id", "customer_id", "status", "placed_at")
     in_cart = items.select("order_id", F.col("item_id").alias("offered_item"),
                            flag(~F.col("deleted")).alias("retained"), F.lit(1).alias("in_cart"))
@@ -100,7 +101,7 @@ def substitution_funnel(log: DataFrame, items: DataFrame, orders: DataFrame, rea
     bought = (items.filter("invoiced").join(o, "order_id")
               .groupBy("customer_id", "item_id").agg(F.max("placed_at").alias("last_bought")))
     last = o.groupBy("customer_id").agg(F.max("placed_at").alias("last_order"))
-    rows = (seen.join(offers, keys).join(chosen, keys, "left")
+    rows = (seen.join(chosen, keys, "left")
             .join(in_cart, ["order_id", "offered_item"], "left")
             .join(sold, ["order_id", "substitute"], "left").join(o, "order_id", "left")
             .join(bought.withColumnRenamed("item_id", "substitute")
@@ -131,10 +132,9 @@ def substitution_daily(log: DataFrame, items: DataFrame, as_of: str, kind: int)
     keys = ["order_id", "original", "agent"]
     in_cart = items.select("order_id", F.col("item_id").alias("substitute"),
                            flag(~F.col("deleted")).alias("_kept"), F.lit(1).alias("_in"))
-    cart = (kept.join(in_cart, ["order_id", "substitute"], "left").groupBy(*keys)
-            .agg(F.max(F.coalesce("_in", F.lit(0))).alias("in_cart"),
-                 F.max(F.coalesce("_kept", F.lit(0))).alias("retained")))
-    return any_flags(kept, keys).join(cart, keys)
+    rows = kept.join(in_cart, ["order_id", "substitute"], "left")
+    return any_flags(rows, keys, F.max(F.coalesce("_in", F.lit(0))).alias("in_cart"),
+                     F.max(F.coalesce("_kept", F.lit(0))).alias("retained"))
 
 
 def channel_basket(orders: DataFrame, lines: DataFrame, start: str, end: str) -> DataFrame:
