@@ -3,7 +3,6 @@
 from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from tidemark.operators import calls, cohorts, forecast, lifecycle, people, queues, scoring
 from tidemark.session import shared_dir

@@ -6,14 +6,14 @@ intervals per phone and looked up by time (see `ordered.covering`).
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.timefn import boundary_diff, moment
 from tidemark.operators.ordered import KeyedSequence, asof, covering, crowded_keys, hour_lane
-from tidemark.operators.orders import flag, lookup
+from tidemark.operators.orders import flag
 
 FAR = "2100-01-01 00:00:00"
 

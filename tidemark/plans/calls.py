@@ -209,8 +209,7 @@ _RETURNS = """
                p.p_name AS item_name, CASE r.source % 3 WHEN 0 THEN 'raised' WHEN 1 THEN 'picked_up' ELSE 'reconciled' END AS return_status
         FROM ret r JOIN ord o USING (order_id) LEFT JOIN geo g ON g.customer_id = o.customer_id
         LEFT JOIN part p ON p.p_partkey = r.item_id),
-    named AS (SELECT d.*, q.p_name AS desired_name FROM detail d LEFT JOIN part q ON q.p_partkey = d.desired_item),
-    base_cols AS (SELECT * FROM named)"""
+    named AS (SELECT d.*, q.p_name AS desired_name FROM detail d LEFT JOIN part q ON q.p_partkey = d.desired_item)"""
 _LATE = "(image_at > placed_at AND entered_at >= answered_at)"
 
 
