@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import frames, words as W
@@ -30,8 +31,8 @@ from tidemark.llm import frames, words as W
 ORDERED = 1 << 18  # most frequent n-grams whose exact counts order the prefixes; 4 MB to each task
 PARTS = 64  # hash ranges of the suffix filter
 _STATS = "doc_id long, n long, class long, key long, shared long"
-_ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("a", pa.binary()), ("b", pa.binary()),
-                   ("c", pa.binary()), ("d", pa.binary())])
+_ROWS = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("kind", pa.int8()), ("a", pa.binary()),
+                   ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
 
 
 def gram_sets(column, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,12 +72,14 @@ def _need(percent: int, size):
 
 
 def _emit(n: int, buckets: int, text: str, doc_id: str):
+    """Rows of kind 1: a batch's documents; of kind 0: its n-grams of one bucket with their only owners."""
     def run(batches: Iterator[pa.RecordBatch]):
+        part, number = TaskContext.get().partitionId(), 0
         for batch in W.text_batches(batches, text, 8 << 20):
+            name, number = (part << 32) + number, number + 1
             g, sizes = gram_sets(batch.column(text), n)
             classes = class_of(g, sizes)
             ids = batch.column(doc_id)
-            id_values = ids.fill_null(0).to_numpy().astype(np.int64)
             valid = ids.is_valid().to_numpy(zero_copy_only=False)
             # one text of each class in the batch speaks for it; texts without an id never link
             row = np.flatnonzero(valid & (sizes > 0))
@@ -89,74 +92,84 @@ def _emit(n: int, buckets: int, text: str, doc_id: str):
             order = np.argsort(gs)
             gs, owner = gs[order], owner[order]
             begin = W.run_starts(gs)
-            often = np.diff(np.append(begin, len(gs))) > 1
-            shared = np.bincount(owner[np.repeat(often, np.diff(np.append(begin, len(gs))))],
-                                 minlength=len(sizes)) if len(gs) else np.zeros(len(sizes), np.int64)
-            key = W.mix(id_values.view(W.U) + W.U(1)).view(np.int64)
+            times = np.diff(np.append(begin, len(gs)))
+            shared = np.bincount(owner[np.repeat(times > 1, times)], minlength=len(sizes))
             yield frames.record(_ROWS, [
-                [int(key[0]) % buckets], [1], [id_values.tobytes()], [valid.tobytes()],
-                [sizes.astype("<i8").tobytes() + shared.astype("<i8").tobytes()], [classes.tobytes()]])
-            once, who = gs[begin], np.where(often, W.U(0), classes[owner[begin]]) if len(gs) else classes[:0]
-            names, local = np.unique(who, return_inverse=True)
-            local = local.astype("<u2" if len(names) <= 1 << 16 else "<u4")
+                [name % buckets], [name], [1], [ids.fill_null(0).to_numpy().astype("<i8").tobytes()],
+                [valid.tobytes()], [sizes.astype("<i8").tobytes() + shared.astype("<i8").tobytes()],
+                [classes.tobytes()]])
+            once, who = gs[begin], np.where(times > 1, 0, owner[begin] + 1)  # 0: the batch holds it more than once
             cuts = W.bucket_cuts(once, buckets)
             full = np.flatnonzero(np.diff(cuts))
-            a, b, c = [], [], []
+            a, b, c, d = [], [], [], []
             for k in full:
-                part = slice(cuts[k], cuts[k + 1])
-                a.append(W.pack_sorted(once[part]))
-                here, at = np.unique(local[part], return_inverse=True)
-                b.append(at.astype("<u2" if len(here) <= 1 << 16 else "<u4").tobytes())
-                c.append(names[here].tobytes())
-            yield frames.record(_ROWS, [full, np.zeros(len(full)), a, b, c, [b""] * len(full)])
+                part_of = slice(cuts[k], cuts[k + 1])
+                here, at = np.unique(who[part_of], return_inverse=True)
+                a.append(W.pack_sorted(once[part_of]))
+                b.append(W.pack_small(at))
+                c.append(np.where(here > 0, classes[here - 1], W.U(0)).tobytes())
+                d.append(here.astype("<i8").tobytes())
+            yield frames.record(_ROWS, [full, [name] * len(full), [0] * len(full), a, b, c, d])
     return run
 
 
 def _share(table: pa.Table) -> pa.Table:
-    """One bucket: how many of a class's n-grams occur in another class, per class and batch; passes ids through."""
+    """One bucket: for each batch, how many n-grams of each of its classes occur in another class."""
+    kinds, names = table.column("kind").to_numpy(), table.column("batch")
+    documents = table.filter(pa.array(kinds == 1)).drop_columns(["bucket"])
+    rows = table.filter(pa.array(kinds == 0))
+    if not rows.num_rows:
+        return documents
+    grams = [W.unpack_sorted(x.as_py()) for x in rows.column("a")]
+    places = [W.unpack_small(x.as_py()) for x in rows.column("b")]
+    classes = [np.frombuffer(x.as_py(), W.U) for x in rows.column("c")]
+    local = [np.frombuffer(x.as_py(), "<i8") for x in rows.column("d")]
+    ends = np.cumsum([len(g) for g in grams])
+    who = np.concatenate([c[p] for c, p in zip(classes, places)])
+    g = np.concatenate(grams)
+    order = np.argsort(g)
+    begin = W.run_starts(g[order])
+    low = np.minimum.reduceat(who[order], begin)
+    mixed = (low != np.maximum.reduceat(who[order], begin)) | (low == 0)
+    shared = np.empty(len(g), bool)
+    shared[order] = np.repeat(mixed, np.diff(np.append(begin, len(g))))
+    counts = [np.bincount(p[s], minlength=len(m)) for p, s, m in zip(places, np.split(shared, ends[:-1]), local)]
+    return pa.concat_tables([documents, pa.table([
+        rows.column("batch"), pa.array(np.zeros(len(grams), np.int8)),
+        pa.array([m[c > 0].tobytes() for m, c in zip(local, counts)], pa.binary()),
+        pa.array([c[c > 0].astype("<i8").tobytes() for c in counts], pa.binary()),
+        pa.nulls(len(grams), pa.binary()), pa.nulls(len(grams), pa.binary())], schema=documents.schema)])
+
+
+def _total(table: pa.Table) -> pa.Table:
+    """One batch: its documents, each class's shared n-grams beside the row that speaks for it."""
+    out = {x: [] for x in ("doc_id", "n", "class", "key", "shared")}
     kinds = table.column("kind").to_numpy()
     a, b, c, d = (table.column(x) for x in "abcd")
-    out = {x: [] for x in ("doc_id", "n", "class", "key", "shared")}
-    grams, owners = [], []
-    for k in range(len(kinds)):
-        if kinds[k] == 1:
-            ids = np.frombuffer(a[k].as_py(), np.int64)
-            valid = np.frombuffer(b[k].as_py(), bool)
-            sizes, shared = np.frombuffer(c[k].as_py(), "<i8").reshape(2, -1)
-            out["doc_id"].append(pa.array(ids, mask=~valid))
-            out["n"].append(pa.array(sizes))
-            out["class"].append(pa.array(np.frombuffer(d[k].as_py(), np.int64)))
-            out["key"].append(pa.array(W.mix(ids.view(W.U) + W.U(1)).view(np.int64), mask=~valid))
-            out["shared"].append(pa.array(shared))
-        else:
-            grams.append(W.unpack_sorted(a[k].as_py()))
-            names = np.frombuffer(c[k].as_py(), W.U)
-            blob = b[k].as_py()
-            wide = len(blob) // len(grams[-1])
-            owners.append(names[np.frombuffer(blob, f"<u{wide}")])
-    if grams:
-        g, who = np.concatenate(grams), np.concatenate(owners)
-        order = np.argsort(g)
-        g, who = g[order], who[order]
-        begin = W.run_starts(g)
-        mixed = np.minimum.reduceat(who, begin) != np.maximum.reduceat(who, begin)
-        mixed |= np.minimum.reduceat(who, begin) == 0
-        who = np.sort(who[np.repeat(mixed, np.diff(np.append(begin, len(g))))])
-        who = who[who != 0]
-        at = W.run_starts(who)
-        m = len(at)
-        nothing = pa.nulls(m, pa.int64())
-        out["doc_id"].append(nothing), out["n"].append(nothing), out["key"].append(nothing)
-        out["class"].append(pa.array(who[at].view(np.int64)))
-        out["shared"].append(pa.array(np.diff(np.append(at, len(who)))))
+    at = [k for k in range(len(kinds)) if kinds[k] == 1]
+    for k in at:
+        ids, valid = np.frombuffer(a[k].as_py(), "<i8"), np.frombuffer(b[k].as_py(), bool)
+        sizes, shared = np.frombuffer(c[k].as_py(), "<i8").reshape(2, -1)
+        shared = shared.copy()
+        for j in np.flatnonzero(kinds == 0):
+            rows, count = np.frombuffer(a[int(j)].as_py(), "<i8"), np.frombuffer(b[int(j)].as_py(), "<i8")
+            some = rows > 0
+            shared[rows[some] - 1] += count[some]
+        for name, column in zip(out, (pa.array(ids, mask=~valid), pa.array(sizes), pa.array(
+                np.frombuffer(d[k].as_py(), np.int64)), pa.array(id_key(ids), mask=~valid), pa.array(shared))):
+            out[name].append(column)
     return pa.table({x: pa.chunked_array(v, pa.int64()) for x, v in out.items()})
 
 
+def id_key(ids: np.ndarray) -> np.ndarray:
+    return W.mix(ids.astype(np.int64).view(W.U) + W.U(1)).view(np.int64)
+
+
 def _sets(n: int, text: str, doc_id: str, wanted):
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in W.text_batches(batches, text, 8 << 20):
             ids = batch.column(doc_id)
-            key = W.mix(ids.fill_null(0).to_numpy().astype(np.int64).view(W.U) + W.U(1))
+            key = id_key(ids.fill_null(0).to_numpy()).view(W.U)
             take = ids.is_valid().to_numpy(zero_copy_only=False) & wanted.value.has(key)
             batch = batch.filter(pa.array(take))
             if not batch.num_rows:
@@ -184,7 +197,7 @@ def _postings(percent: int, often):
     def run(batches: Iterator[pa.RecordBatch]):
         known, count = often.value
         for batch in batches:
-            out = [[], [], [], []]
+            out = [[], [], [], [], []]
             for c, blob in zip(batch.column("class").to_numpy(), batch.column("grams").to_pylist()):
                 g = W.unpack_sorted(blob)
                 at = np.searchsorted(known, g)
@@ -193,9 +206,11 @@ def _postings(percent: int, often):
                 g = g[np.lexsort((g, df))][:len(g) - _need(percent, len(g)) + 1]
                 out[0].append(g.view(np.int64)), out[1].append(np.full(len(g), c))
                 out[2].append(np.full(len(g), len(at))), out[3].append(np.arange(len(g)))
+                # how much of the set others hold too: an original before its altered copies
+                out[4].append(np.full(len(g), int(1000 * np.log2(1 + df).mean())))
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out],
-                                                 names=["gram", "class", "n", "place"])
+                                                 names=["gram", "class", "n", "place", "weight"])
     return run
 
 
@@ -249,18 +264,17 @@ def link_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     buckets = frames.buckets_for(spark)
-    sent = docs.mapInArrow(_emit(words_each, buckets, "text", "doc_id"),
-                           "bucket int, kind tinyint, a binary, b binary, c binary, d binary")
-    stats = frames.written(sent.groupBy("bucket").applyInArrow(_share, _STATS), "shingle-stats")
-    members = stats.where("n is not null").select("doc_id", "n", "class", "key")
-    shared = stats.groupBy("class").agg(F.sum("shared").alias("shared"), F.max("n").alias("n"),
-                                        F.min(F.when(F.col("n").isNotNull(), F.struct("doc_id", "key"))).alias("r"))
+    blobs = "kind tinyint, a binary, b binary, c binary, d binary"
+    sent = docs.mapInArrow(_emit(words_each, buckets, "text", "doc_id"), f"bucket int, batch long, {blobs}")
+    stats = sent.groupBy("bucket").applyInArrow(_share, f"batch long, {blobs}").groupBy("batch").applyInArrow(
+        _total, _STATS)
+    stats = frames.written(stats, "shingle-stats")
+    members = stats.select("doc_id", "n", "class", "key")
     # an over-count at worst (a class sent by several batches), so no class that links is lost
-    known = stats.where("doc_id is not null").groupBy("class").agg(F.min(F.struct("doc_id", "key")).alias("r"))
-    alive = frames.written(
-        shared.drop("r").where((F.col("n") > 0) & (100 * F.col("shared") >= percent * F.col("n")))
-        .join(known, "class").select("class", "n", F.col("r.doc_id").alias("doc_id"), F.col("r.key").alias("key")),
-        "alive")
+    shared = stats.where("doc_id is not null and n > 0").groupBy("class").agg(
+        F.sum("shared").alias("shared"), F.max("n").alias("n"), F.min(F.struct("doc_id", "key")).alias("r"))
+    alive = frames.written(shared.where(100 * F.col("shared") >= percent * F.col("n")).select(
+        "class", "n", F.col("r.doc_id").alias("doc_id"), F.col("r.key").alias("key")), "alive")
     wanted = spark.sparkContext.broadcast(frames.Bitmap.of(alive, "key"))
     sets = docs.mapInArrow(_sets(words_each, "text", "doc_id", wanted),
                            "doc_id long, class long, n long, grams binary")
@@ -271,15 +285,17 @@ def link_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     gram, df = counted.column("gram").to_numpy().view(W.U), counted.column("df").to_numpy()
     order = np.argsort(gram)
     often = spark.sparkContext.broadcast((gram[order], df[order]))
-    posts = sets.mapInArrow(_postings(percent, often), "gram long, class long, n long, place long")
-    lists = posts.groupBy("gram").agg(F.min(F.struct("class", "n", "place")).alias("r"), F.count("*").alias("c"))
+    posts = sets.mapInArrow(_postings(percent, often), "gram long, class long, n long, place long, weight long")
+    lists = posts.groupBy("gram").agg(F.max(F.struct("weight", "class", "n", "place")).alias("r"),
+                                      F.count("*").alias("c"))
     posts = frames.written(
-        posts.join(lists.where("c > 1").drop("c"), "gram")
-        .select("gram", "class", "n", "place", F.col("r.class").alias("r"), F.col("r.n").alias("rn"),
-                F.col("r.place").alias("rp")), "postings")
-    star = (posts.where((F.col("class") != F.col("r")) & _passes(percent, "n", "place", "rn", "rp"))
-            .select(F.col("r").alias("a"), F.col("class").alias("b")).distinct())
-    star = frames.written(star, "pairs")
+        posts.join(lists.where("c > 1").drop("c"), "gram").select("gram", "class", "n", "place", "weight", "r"),
+        "postings")
+    lead = posts.where((F.col("class") != F.col("r.class")) & _passes(percent, "n", "place", "r.n", "r.place"))
+    # of the leaders of its lists a class first meets the weightiest alone
+    star = lead.groupBy("class").agg(F.max(F.struct("r.weight", "r.class")).alias("r"))
+    star = frames.written(star.select(F.least("class", "r.class").alias("a"),
+                                      F.greatest("class", "r.class").alias("b")).distinct(), "pairs")
     links = frames.written(_verified(star, sets, percent), "links")
     root = frames.components(links)
     placed = (posts.select("gram", "class", "n", "place").join(

@@ -222,3 +222,27 @@ def bucket_cuts(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
     edges = np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=U)
     inner = np.searchsorted(sorted_hashes, edges)
     return np.concatenate([[0], inner, [len(sorted_hashes)]])
+
+
+def pack_small(a: np.ndarray) -> bytes:
+    """Values under 2^32 as byte planes, planes of zeros left out."""
+    planes = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+    return bytes([planes]) + a.astype("<u4").view(np.uint8).reshape(-1, 4).T[:planes].tobytes()
+
+
+def unpack_small(blob: bytes) -> np.ndarray:
+    planes = blob[0]
+    body = np.frombuffer(blob, np.uint8, offset=1).reshape(planes, -1)
+    out = np.zeros((body.shape[1], 4), np.uint8)
+    out[:, :planes] = body.T
+    return out.view("<u4").ravel()
+
+
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ascending distinct values, which of them each value is, how often each occurs)."""
+    order = np.argsort(h)
+    begin = run_starts(h[order])
+    times = np.diff(np.append(begin, len(h)))
+    which = np.empty(len(h), np.int64)
+    which[order] = np.repeat(np.arange(len(begin)), times)
+    return h[order[begin]], which, times
