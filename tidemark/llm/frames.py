@@ -68,9 +68,12 @@ class Bitmap:
 
     def has(self, h: np.ndarray) -> np.ndarray:
         bits = int(len(self.words)).bit_length() + 5
-        out = np.ones(len(h), bool)
-        for b in self._bits(h, bits):
-            out &= (self.words[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) == 1
+        found = np.arange(len(h))
+        for b in self._bits(h, bits):  # the second bit is looked at only where the first is set
+            b = b[found]
+            found = found[(self.words[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) == 1]
+        out = np.zeros(len(h), bool)
+        out[found] = True
         return out
 
 

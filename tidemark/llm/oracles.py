@@ -24,3 +24,86 @@ least AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.root AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least r ON r.node = d.doc_id
 """
+
+
+BACKOFF = f"""
+WITH w AS (SELECT doc_id, {WORDS.format(LOWER.format('text'))} AS ws FROM documents),
+p AS MATERIALIZED (
+    SELECT doc_id, i, ws[i] AS g1, CASE WHEN i > 1 THEN ws[i - 1] || ' ' || ws[i] END AS g2,
+           CASE WHEN i > 2 THEN ws[i - 2] || ' ' || ws[i - 1] || ' ' || ws[i] END AS g3,
+           CASE WHEN i > 1 THEN ws[i - 1] END AS h1,
+           CASE WHEN i > 2 THEN ws[i - 2] || ' ' || ws[i - 1] END AS h2
+    FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+t1 AS MATERIALIZED (SELECT g1 AS g, count(*) AS c FROM p GROUP BY 1),
+t2 AS MATERIALIZED (SELECT g2 AS g, count(*) AS c FROM p WHERE g2 IS NOT NULL GROUP BY 1),
+t3 AS MATERIALIZED (SELECT g3 AS g, count(*) AS c FROM p WHERE g3 IS NOT NULL GROUP BY 1),
+n AS (SELECT count(*) AS n FROM p),
+s AS (
+    SELECT p.doc_id, least(p.i, 3) AS reach,
+           CASE WHEN c.c >= 2 THEN 3 WHEN b.c >= 2 THEN 2 ELSE 1 END AS used,
+           CASE WHEN c.c >= 2 THEN c.c / hb.c WHEN b.c >= 2 THEN b.c / ha.c ELSE a.c / n.n END AS ratio
+    FROM p CROSS JOIN n JOIN t1 a ON a.g = p.g1 LEFT JOIN t2 b ON b.g = p.g2 LEFT JOIN t3 c ON c.g = p.g3
+    LEFT JOIN t1 ha ON ha.g = p.h1 LEFT JOIN t2 hb ON hb.g = p.h2),
+d AS (
+    SELECT doc_id, count(*)::BIGINT AS n_words, sum((reach > used)::INT)::BIGINT AS n_backed_off,
+           sum(round_even((ln(ratio) + ln(0.4::DOUBLE) * (reach - used)) * 1000000, 0)::BIGINT)::BIGINT AS micro
+    FROM s GROUP BY doc_id)
+SELECT x.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_backed_off, 0) AS n_backed_off,
+       coalesce(micro, 0) / 1000000.0::DOUBLE AS score,
+       CASE WHEN n_words > 0 THEN micro / 1000000.0::DOUBLE / n_words ELSE 0.0::DOUBLE END AS mean_score
+FROM documents x LEFT JOIN d ON d.doc_id = x.doc_id
+"""
+
+TOP_K = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+    WHERE embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c AS (
+    SELECT vec_id, unnest(range(1, len(w) + 1)) AS dim, unnest(w) AS x FROM v),
+s AS (
+    SELECT q.vec_id AS query_id, r.vec_id, sum(q.x * r.x)::BIGINT AS score
+    FROM c q JOIN c r ON q.dim = r.dim AND q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1, 2)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 5
+"""
+
+MIXING = f"""
+WITH d AS (
+    SELECT doc_id, source, len({WORDS.format('text')})::BIGINT AS size, md5(doc_id::VARCHAR) AS at FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS number FROM s),
+w AS (SELECT *, ([5, 2, 1])[(number - 1) % 3 + 1]::BIGINT AS weight, 2 * source_size AS most FROM n),
+l AS (
+    SELECT *, 150 * sum(source_size) OVER () - 100 * coalesce(sum(most) OVER before, 0) AS rest,
+           sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS open_weight
+    FROM w WINDOW before AS (ORDER BY most / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+lev AS (
+    SELECT rest, open_weight FROM l WHERE rest * weight <= 100 * open_weight * most
+    ORDER BY most / weight, number LIMIT 1),
+t AS (
+    SELECT l.source, source_size, number, coalesce(least((lev.rest * weight)::BIGINT / (100 * lev.open_weight)::BIGINT,
+           most::DOUBLE), most::DOUBLE) AS target
+    FROM l LEFT JOIN lev ON true),
+p AS (
+    SELECT *, sum(target) OVER (ORDER BY number) AS high, sum(target) OVER () AS whole, count(*) OVER () AS sources
+    FROM t),
+b AS (SELECT max(greatest(1, floor(whole / greatest(65536, 256 * sources))::BIGINT)) AS block, max(whole) AS whole FROM p),
+g AS (
+    SELECT p.number, count(*) * max(b.block) AS given
+    FROM b, LATERAL (SELECT unnest(range(floor(b.whole / b.block)::BIGINT)) AS i) x
+    JOIN p ON (i + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE - floor((i + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE)
+              >= (p.high - p.target) / p.whole
+          AND ((i + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE - floor((i + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE)
+              < p.high / p.whole OR p.high / p.whole >= 1 - 1e-12::DOUBLE)
+    WHERE target > 0 GROUP BY p.number),
+r AS (
+    SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(g.given, 0) AS given,
+           sum(d.size) OVER (PARTITION BY t.number ORDER BY d.at, d.doc_id) - d.size AS start
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN g ON g.number = t.number)
+SELECT doc_id, size, source_size, target,
+       (greatest(0, least(start + size, given) - start)
+        + greatest(0, least(source_size + start + size, given) - source_size - start))::BIGINT AS taken
+FROM r
+"""
