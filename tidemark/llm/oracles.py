@@ -107,3 +107,5 @@ SELECT doc_id, size, source_size, target,
         + greatest(0, least(source_size + start + size, given) - source_size - start))::BIGINT AS taken
 FROM r
 """
+
+REPEATS = None

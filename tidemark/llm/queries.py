@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import (backoff, decontam, frames, jaccard_join, language, mixing, oracles, quality, token_files,
+from tidemark.llm import (backoff, decontam, frames, jaccard_join, language, mixing, oracles, quality, repeats, token_files,
                           topk, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,8 @@ def languages(table) -> DataFrame:
 @query("op10_top_k", oracles.TOP_K)
 def top_k(table) -> DataFrame:
     return topk.nearest(table("embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op2_suffix_dedup", oracles.REPEATS)
+def suffix_dedup(table) -> DataFrame:
+    return repeats.without_repeats(table("documents"), keep_text=False)
