@@ -1,11 +1,11 @@
 """Stupid-backoff scores of documents under the n-gram counts of the whole corpus.
 
-Documents are read once into batches of about `BATCH` bytes: the batch's distinct word hashes and, for each word,
-which of them it is; batches are written to the shared folder. Each batch sends every distinct n-gram of 1 to
-`order` words once, with its count, to the n-gram's hash bucket: the count tables, partitioned by hash. A bucket
-adds the counts and answers each batch with the corpus count of each n-gram it sent. The batch, met by its answers,
-lays the counts along its words and sums each document's scores. A frequent n-gram is one entry per batch, however
-often it stands there, so no key gathers more than the number of batches.
+Documents are dealt to batches by a hash. Each batch sends every distinct n-gram once, with its count, to the
+n-gram's hash bucket: the count tables, partitioned by hash. A bucket adds the counts and answers each batch with the
+corpus count of each n-gram it sent. Words and pairs go first; an n-gram of more words is sent only if the shorter
+n-grams it begins and ends with have been found `LEAST` times, for otherwise it can't be. Met by its answers, a
+batch lays the counts along its words and sums each document's scores. A frequent n-gram is one entry per batch,
+however often it stands there, so no key gathers more than the number of batches.
 
 Score of a word: count(n-gram) / count(its context) of the longest n-gram ending there, at most `order` words and
 within the document, that the corpus holds at least `LEAST` times, times `ALPHA` for each word the n-gram is
@@ -22,7 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import frames, words as W
@@ -30,50 +29,59 @@ from tidemark.llm import frames, words as W
 ORDER = 3
 LEAST = 2
 ALPHA = 0.4
-BATCH = 8 << 20
 MICRO = 1_000_000
 
 
-def _read(doc_id: str, text: str):
-    def run(batches: Iterator[pa.RecordBatch]):
-        part, k = TaskContext.get().partitionId(), 0
-        for batch in W.text_batches(batches, text, BATCH):
-            h, counts = W.words(batch.column(text), W.blank_words())
-            names, which, _ = W.distinct(h)
-            ids = batch.column(doc_id)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([(part << 32) + k]), pa.array([ids.fill_null(0).to_numpy().tobytes()], pa.binary()),
-                pa.array([ids.is_valid().to_numpy(zero_copy_only=False).tobytes()], pa.binary()),
-                pa.array([counts.astype("<u4").tobytes()], pa.binary()),
-                pa.array([W.pack_sorted(names)], pa.binary()), pa.array([W.pack_small(which)], pa.binary())],
-                names=["batch", "ids", "known", "counts", "names", "which"])
-            k += 1
-    return run
-
-
-def _text_of(names: bytes, which: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    h = W.unpack_sorted(names)
-    n = np.frombuffer(counts, "<u4").astype(np.int64)
-    return (h[W.unpack_small(which)] if len(h) else h), n
-
-
-def _send(order: int, buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            for row in batch.to_pylist():
-                h, counts = _text_of(row["names"], row["which"], row["counts"])
-                for n in range(1, order + 1):
-                    places, _ = W.gram_places(counts, n)
-                    grams, _, times = W.distinct(W.grams(h, n)[places])
-                    cuts = W.bucket_cuts(grams, buckets)
-                    full = np.flatnonzero(np.diff(cuts))
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(full, pa.int32()), pa.array([n] * len(full), pa.int32()),
-                        pa.array([row["batch"]] * len(full), pa.int64()),
-                        pa.array([W.pack_sorted(grams[cuts[b]:cuts[b + 1]]) for b in full], pa.binary()),
-                        pa.array([W.pack_small(times[cuts[b]:cuts[b + 1]]) for b in full], pa.binary())],
-                        names=["bucket", "n", "batch", "grams", "times"])
-    return run
+class Batch:
+    """The words of a group's documents in one order, and the corpus counts of their n-grams as answered so far."""
+
+    def __init__(self, table: pa.Table, answers: pa.Table | None, least: int):
+        table = table.sort_by([("doc_id", "ascending"), ("uid", "ascending")])
+        self.ids = table.column("doc_id")
+        self.h, self.counts = W.words(table.column("text"), W.blank_words())
+        self.least, self.along = least, {}
+        if answers is not None:
+            rows = answers.sort_by([("n", "ascending"), ("bucket", "ascending")])
+            ns, totals = rows.column("n").to_numpy(), rows.column("total")
+            for n in sorted(set(ns.tolist())):
+                got = [W.unpack_small(totals[int(k)].as_py()) for k in np.flatnonzero(ns == n)]
+                last, _, which, _ = self.grams(n)
+                self.along[n] = np.zeros(len(self.h), np.int64)  # by the n-gram's last word
+                self.along[n][last] = np.concatenate(got)[which]
+
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(last words, distinct n-grams ascending, which of them each is, how often each is here)."""
+        places, _ = W.gram_places(self.counts, n)
+        if n > 2:  # both n-grams of one word less are known
+            shorter = self.along.get(n - 1, np.zeros(len(self.h), np.int64))
+            places = places[(shorter[places + n - 1] >= self.least) & (shorter[places + n - 2] >= self.least)]
+        return (places + n - 1, *W.distinct(W.grams(self.h, n)[places]))
+
+
+def _send(orders: tuple[int, ...], buckets: int, least: int):
+    def sent(table: pa.Table, answers: pa.Table | None) -> pa.Table:
+        batch = Batch(table, answers, least)
+        name = table.column("batch")[0].as_py() if table.num_rows else 0
+        out = {x: [] for x in ("bucket", "n", "batch", "grams", "times")}
+        for n in orders:
+            _, grams, _, times = batch.grams(n)
+            cuts = W.bucket_cuts(grams, buckets)
+            full = np.flatnonzero(np.diff(cuts))
+            out["bucket"].extend(full.tolist()), out["n"].extend([n] * len(full))
+            out["batch"].extend([name] * len(full))
+            out["grams"].extend(W.pack_sorted(grams[cuts[b]:cuts[b + 1]]) for b in full)
+            out["times"].extend(W.pack_small(times[cuts[b]:cuts[b + 1]]) for b in full)
+        return pa.table([pa.array(out["bucket"], pa.int32()), pa.array(out["n"], pa.int32()), pa.array(
+            out["batch"], pa.int64()), pa.array(out["grams"], pa.binary()), pa.array(out["times"], pa.binary())],
+            names=list(out))
+
+    def first(table: pa.Table) -> pa.Table:
+        return sent(table, None)
+
+    def later(table: pa.Table, answers: pa.Table) -> pa.Table:
+        return sent(table, answers)
+
+    return first if orders[0] == 1 else later
 
 
 def _count(table: pa.Table) -> pa.Table:
@@ -89,66 +97,58 @@ def _count(table: pa.Table) -> pa.Table:
 
 
 def _score(order: int, least: int, alpha: float, words: int):
-    def run(batch: pa.Table, answers: pa.Table) -> pa.Table:
-        out = {x: [] for x in ("doc_id", "n_words", "micro", "backed_off")}
-        rows = answers.sort_by([("n", "ascending"), ("bucket", "ascending")])
-        ns, totals = rows.column("n").to_numpy(), rows.column("total")
-        for row in batch.to_pylist():  # one, unless ids of batches were repeated
-            h, counts = _text_of(row["names"], row["which"], row["counts"])
-            inner = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
-            score, open_words = np.zeros(len(h)), np.ones(len(h), bool)
-            reach = np.minimum(inner + 1, order)  # the longest n-gram that may end here
-            along = {}
-            for n in range(1, order + 1):
-                places, _ = W.gram_places(counts, n)
-                _, which, _ = W.distinct(W.grams(h, n)[places])
-                mine = [W.unpack_small(totals[int(k)].as_py()) for k in np.flatnonzero(ns == n)]
-                along[n] = np.zeros(len(h), np.int64)  # by the n-gram's last word
-                if mine:
-                    along[n][places + n - 1] = np.concatenate(mine)[which]
-            off = np.zeros(len(h), bool)
-            for n in range(order, 0, -1):
-                ok = open_words & (reach >= n)
-                if n > 1:
-                    ok &= along[n] >= least
-                at = np.flatnonzero(ok)
-                context = along[n - 1][at - 1] if n > 1 else np.full(len(at), words)
-                score[at] = np.rint((np.log(along[n][at] / context) + np.log(alpha) * (reach[at] - n)) * MICRO)
-                off[at] = reach[at] > n
-                open_words[at] = False
-            edge = np.concatenate([[0], np.cumsum(counts)])
-            valid = np.frombuffer(row["known"], bool)
-            out["doc_id"].append(pa.array(np.frombuffer(row["ids"], np.int64), mask=~valid))
-            out["n_words"].append(pa.array(counts))
-            out["micro"].append(pa.array(np.diff(np.concatenate([[0], np.cumsum(score.astype(np.int64))])[edge])))
-            out["backed_off"].append(pa.array(np.diff(np.concatenate([[0], np.cumsum(off)])[edge])))
-        return pa.table({k: pa.chunked_array(v, pa.int64()) for k, v in out.items()})
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        batch = Batch(table, answers, least)
+        h, counts, along = batch.h, batch.counts, batch.along
+        inner = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
+        reach = np.minimum(inner + 1, order)  # the longest n-gram that may end at a word
+        score, used, left = np.zeros(len(h)), np.zeros(len(h), np.int64), np.ones(len(h), bool)
+        for n in range(order, 0, -1):
+            if n not in along:
+                continue
+            at = np.flatnonzero(left & (reach >= n) & ((along[n] >= least) if n > 1 else True))
+            context = along[n - 1][at - 1] if n > 1 else np.full(len(at), words)
+            score[at] = np.rint((np.log(along[n][at] / context) + np.log(alpha) * (reach[at] - n)) * MICRO)
+            used[at] = n
+            left[at] = False
+        edge = np.concatenate([[0], np.cumsum(counts)])
+
+        def sums(values):
+            return pa.array(np.diff(np.concatenate([[0], np.cumsum(values.astype(np.int64))])[edge]))
+
+        return pa.table([batch.ids, pa.array(counts.astype(np.int64)), sums(score), sums(reach > used)],
+                        names=["doc_id", "n_words", "micro", "backed_off"])
     return run
 
 
 def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, least: int = LEAST,
            alpha: float = ALPHA) -> DataFrame:
     """doc_id, n_words, n_backed_off (words scored by a shorter n-gram than they might), score and mean_score."""
-    spark = docs.sparkSession
+    buckets = frames.buckets_for(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    batches = frames.written(rows.mapInArrow(
-        _read("doc_id", "text"),
-        "batch long, ids binary, known binary, counts binary, names binary, which binary"), "word-batches")
-    words = rows_of_words(batches)
-    sent = batches.select("batch", "counts", "names", "which").mapInArrow(
-        _send(order, frames.buckets_for(spark)), "bucket int, n int, batch long, grams binary, times binary")
-    answers = sent.groupBy("bucket", "n").applyInArrow(_count, "batch long, n int, bucket int, total binary")
-    out = batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(
+    words = total_words(rows)
+    rows = rows.withColumn("uid", F.xxhash64("doc_id", "text"))
+    grouped = rows.withColumn("batch", F.pmod("uid", F.lit(buckets)).cast("long")).groupBy("batch")
+    schema = "bucket int, n int, batch long, grams binary, times binary"
+
+    def answered(sent: DataFrame) -> DataFrame:
+        return sent.groupBy("bucket", "n").applyInArrow(_count, "batch long, n int, bucket int, total binary")
+
+    known = answered(grouped.applyInArrow(_send((1, 2)[:order], buckets, least), schema))
+    for n in range(3, order + 1):
+        known = known.unionByName(answered(
+            grouped.cogroup(known.groupBy("batch")).applyInArrow(_send((n,), buckets, least), schema)))
+    out = grouped.cogroup(known.groupBy("batch")).applyInArrow(
         _score(order, least, alpha, words), "doc_id long, n_words long, micro long, backed_off long")
     score = F.col("micro") / F.lit(float(MICRO))
     return out.select("doc_id", "n_words", F.col("backed_off").alias("n_backed_off"), score.alias("score"),
                       F.when(F.col("n_words") > 0, score / F.col("n_words")).otherwise(0.0).alias("mean_score"))
 
 
-def rows_of_words(batches: DataFrame) -> int:
-    """All words of the batches."""
-    def run(it: Iterator[pa.RecordBatch]):
-        for batch in it:
-            yield pa.RecordBatch.from_arrays([pa.array(
-                [int(np.frombuffer(x, "<u4").sum(dtype=np.int64)) for x in batch.column(0).to_pylist()])], names=["n"])
-    return batches.select("counts").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+def total_words(rows: DataFrame) -> int:
+    """All words of the corpus."""
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in W.text_batches(batches, "text", 8 << 20):
+            _, _, counts = W.word_spans(*W.utf8(batch.column("text")), W.blank_words())
+            yield pa.RecordBatch.from_arrays([pa.array([int(counts.sum())])], names=["n"])
+    return rows.select("text").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
