@@ -59,7 +59,7 @@ def _item_rows(batches: Iterator[pa.RecordBatch]):
             pa.ListArray.from_arrays(offsets, pa.array(at[order]))], names=["item_id", "words", "n", "seeds", "at"])
 
 
-def _hit_rows(bitmap, reach: int, kind: pa.DataType):
+def _hit_rows(bitmap, reach: int):
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in W.text_batches(batches, "text", 4 << 20):
             h, counts = W.words(batch.column("text"), W.letter_words())
@@ -134,7 +134,7 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
         F.col("s.seeds").alias("seed"), F.col("s.at").alias("item_at"), "item_id", F.xxhash64("words").alias("item"))
     bitmap = spark.sparkContext.broadcast(frames.Bitmap.of(known, "seed", BITS))
     longest = items.agg(F.max("n")).first()[0] or 0
-    found = docs.mapInArrow(_hit_rows(bitmap, longest + max(map(len, MASKS)), None),
+    found = docs.mapInArrow(_hit_rows(bitmap, longest + max(map(len, MASKS))),
                             f"doc_id {id_type}, start long, words binary, seeds array<long>, at array<long>")
     found = frames.written(found.withColumn("region", F.xxhash64("doc_id", "start", "words")), "regions")
     hits = found.select("region", F.explode(F.arrays_zip("seeds", "at")).alias("s")).select(
@@ -154,6 +154,7 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
 
 
 def without_overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs`, with its columns, whose id is in no overlap; rows without an id are kept if clean."""
-    gone = overlaps(docs, items, doc_id, text).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti").select(*docs.columns)
+    """The rows of `docs`, with its columns, whose id is in no overlap; rows without an id are kept."""
+    name = frames.free("_gone", docs)
+    gone = overlaps(docs, items, doc_id, text).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(doc_id) == F.col(name), "left_anti").select(*docs.columns)

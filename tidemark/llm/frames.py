@@ -22,6 +22,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(name: str, df: DataFrame) -> str:
+    """A column name that `df` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors, once for each Spark application, as --py-files would."""
     context = spark.sparkContext
@@ -33,9 +41,9 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def buckets_for(spark: SparkSession) -> int:
-    """Buckets of a hash-partitioned table: a few for each shuffle partition."""
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def buckets_for(spark: SparkSession, each: int = 2) -> int:
+    """Buckets of a hash-partitioned table: `each` for a shuffle partition."""
+    return each * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def held_out(doc_id: str, divisor: int, remainder: int):

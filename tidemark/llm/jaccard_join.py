@@ -108,7 +108,7 @@ def _emit(n: int, buckets: int, text: str, doc_id: str):
                 a.append(W.pack_sorted(once[part_of]))
                 b.append(W.pack_small(at))
                 c.append(np.where(here > 0, classes[here - 1], W.U(0)).tobytes())
-                d.append(here.astype("<i8").tobytes())
+                d.append(W.pack_sorted(here.astype(W.U)))
             yield frames.record(_ROWS, [full, [name] * len(full), [0] * len(full), a, b, c, d])
     return run
 
@@ -123,7 +123,7 @@ def _share(table: pa.Table) -> pa.Table:
     grams = [W.unpack_sorted(x.as_py()) for x in rows.column("a")]
     places = [W.unpack_small(x.as_py()) for x in rows.column("b")]
     classes = [np.frombuffer(x.as_py(), W.U) for x in rows.column("c")]
-    local = [np.frombuffer(x.as_py(), "<i8") for x in rows.column("d")]
+    local = [W.unpack_sorted(x.as_py()).astype(np.int64) for x in rows.column("d")]
     ends = np.cumsum([len(g) for g in grams])
     who = np.concatenate([c[p] for c, p in zip(classes, places)])
     g = np.concatenate(grams)
@@ -263,7 +263,7 @@ def link_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    buckets = frames.buckets_for(spark)
+    buckets = frames.buckets_for(spark, 1)  # a bucket names each class it has n-grams of
     blobs = "kind tinyint, a binary, b binary, c binary, d binary"
     sent = docs.mapInArrow(_emit(words_each, buckets, "text", "doc_id"), f"bucket int, batch long, {blobs}")
     stats = sent.groupBy("bucket").applyInArrow(_share, f"batch long, {blobs}").groupBy("batch").applyInArrow(

@@ -148,15 +148,15 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """`docs` as the mix takes them, with its columns: a row for each time a document is taken; a document that
     the mix takes in part holds those of its words, with single blanks."""
     placed, parts = mix(docs, doc_id, text, source)
+    row, begin, length, cut = (frames.free(x, docs) for x in ("_row", "_from", "_length", "_cut"))
     pieces = parts.groupBy("number", "start", "turn", "row").agg(
-        F.min("offset").alias("_from"), F.sum("length").alias("_length"))
-    whole = docs.withColumn("_row", F.xxhash64(*[F.col(c) for c in docs.columns])).dropDuplicates(["_row"])
-    met = whole.join(pieces.select(F.col("row").alias("_row"), "_from", "_length"), "_row")
+        F.min("offset").alias(begin), F.sum("length").alias(length)).withColumnRenamed("row", row)
+    whole = docs.withColumn(row, F.xxhash64(*[F.col(c) for c in docs.columns])).dropDuplicates([row])
+    met = whole.join(pieces.select(row, begin, length), row)
     words = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    cut = F.when(F.col("_length") == word_count(F.col(text)), F.col(text)).otherwise(
-        F.array_join(F.slice(words, (F.col("_from") + 1).cast("int"), F.col("_length").cast("int")), " "))
-    out = met.withColumn("_cut", cut)
-    columns = {c: F.col(c) for c in docs.columns} | {text: F.col("_cut")}
+    some = F.array_join(F.slice(words, (F.col(begin) + 1).cast("int"), F.col(length).cast("int")), " ")
+    out = met.withColumn(cut, F.when(F.col(length) == word_count(F.col(text)), F.col(text)).otherwise(some))
+    columns = {c: F.col(c) for c in docs.columns} | {text: F.col(cut)}
     if "n_chars" in columns:
-        columns["n_chars"] = F.length("_cut").cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.length(cut).cast(docs.schema["n_chars"].dataType)
     return out.select(*[v.alias(c) for c, v in columns.items()])

@@ -108,4 +108,24 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
-REPEATS = None
+REPEATS = """
+WITH d AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS MATERIALIZED (
+    SELECT doc_id, p, substr(x, 2 * p + 1, 100) AS s
+    FROM (SELECT doc_id, x, unnest(range(0, greatest(n - 49, 0))) AS p FROM d)),
+f AS (SELECT s, min(doc_id) AS first_doc FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT w.doc_id, w.p FROM w JOIN f ON f.s = w.s WHERE w.doc_id > f.first_doc),
+t AS (
+    SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS opens FROM r),
+g AS (SELECT doc_id, p, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM t),
+spans AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS b FROM g GROUP BY doc_id, run),
+cut AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans, max(b) AS last_b FROM spans GROUP BY doc_id),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS prev FROM spans),
+kept AS (
+    SELECT g.doc_id, string_agg(substr(d.x, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) AS k
+    FROM gaps g JOIN d ON d.doc_id = g.doc_id GROUP BY g.doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN cut.doc_id IS NULL THEN d.x ELSE k || substr(d.x, (2 * last_b + 1)::BIGINT) END)) AS kept_sha256
+FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
