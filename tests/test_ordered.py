@@ -1,4 +1,4 @@
-"""The lane path for hot keys must give what a plain window gives."""
+"""Lanes must give what a plain window gives."""
 
 import random
 
@@ -7,9 +7,6 @@ from pyspark.sql import Window, functions as F
 
 from tidemark.operators import ordered as od
 
-HOT = 20
-
-
 @pytest.fixture(scope="module")
 def log(spark):
     rng = random.Random(7)
@@ -25,26 +22,14 @@ def lane():
     return od.id_lane("id", 37)
 
 
-def seq(log, **kw):
-    return od.KeyedSequence(log, ["k"], [F.col("id")], lane(), hot_rows=HOT, **kw)
+def seq(log):
+    return od.KeyedSequence(log, ["k"], [F.col("id")], lane())
 
 
 def rows(df, *cols):
     return sorted((tuple(r) for r in df.select(*cols).collect()), key=str)
 
 
-def test_hot_keys_are_found(log):
-    cold, hot = od.split_hot(log, ["k"], HOT)
-    assert hot is not None
-    assert cold.count() + hot.count() == log.count()
-    assert 1 in {r.k for r in hot.select("k").distinct().collect()}
-
-
-def test_small_input_takes_plain_windows(log):
-    _, hot = od.split_hot(log, ["k"], od.HOT_ROWS)
-    assert hot is None
-
-
 def test_shift(log):
     w = Window.partitionBy("k").orderBy("id")
     want = log.withColumns({"a": F.lead("v", 1).over(w), "b": F.lead("code", 2).over(w),
@@ -77,16 +62,16 @@ def test_fill_then_shift(log):
 def test_descending_order(log):
     w = Window.partitionBy("k").orderBy(F.col("id").desc())
     want = log.withColumn("n", F.row_number().over(w).cast("long"))
-    got = od.KeyedSequence(log, ["k"], [F.col("id").desc()], -lane(), HOT).number("n").frame()
+    got = od.KeyedSequence(log, ["k"], [F.col("id").desc()], -lane()).number("n").frame()
     assert rows(got, "id", "n") == rows(want, "id", "n")
 
 
 def test_rank_and_percent_rank_with_ties(log):
     w = Window.partitionBy("k").orderBy("code", "v")
     want = log.withColumns({"r": F.rank().over(w).cast("long"), "p": F.percent_rank().over(w)})
-    got = od.ranks(log, ["k"], [F.col("code"), F.col("v")], F.col("code"), "r", HOT)
+    got = od.ranks(log, ["k"], [F.col("code"), F.col("v")], F.col("code"), "r")
     assert rows(got, "id", "r") == rows(want, "id", "r")
-    got = od.percent_ranks(log, ["k"], [F.col("code"), F.col("v")], F.col("code"), "p", HOT)
+    got = od.percent_ranks(log, ["k"], [F.col("code"), F.col("v")], F.col("code"), "p")
     assert rows(got, "id", "p") == rows(want, "id", "p")
 
 
@@ -101,7 +86,7 @@ def test_asof_against_brute_force(spark, side, strict):
     ldf = stamp(spark.createDataFrame(left, "lid long, k long, lt int"), "lt")
     rdf = stamp(spark.createDataFrame(right, "rid long, k long, rt int"), "rt")
     got = od.asof(ldf, rdf, ["k"], "lt", "rt", ["rid"], side=side, strict=strict, tie="rid",
-                  count="n", hot_rows=HOT)
+                  count="n")
     assert got.count() == 200
     for row in got.collect():
         at = next(x[2] for x in left if x[0] == row.lid)
@@ -116,24 +101,96 @@ def test_asof_against_brute_force(spark, side, strict):
             assert row.n == len(ok)
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
-def test_covering_against_brute_force(spark, limit):
+def _covered(spark, points, spans):
+    base = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    at = lambda c: F.timestamp_add("MICROSECOND", F.col(c), base)
+    p = spark.createDataFrame(points, "pid long, k long, t long").withColumn("t", at("t"))
+    s = spark.createDataFrame(spans, "sid long, k long, a long, b long").withColumns({"a": at("a"), "b": at("b")})
+    return {r.pid: (r.top, r.low, r.total) for r in od.covering(
+        p, s, ["k"], ["pid"], "t", "a", "b",
+        {"top": ("max", "sid"), "low": ("min", "sid"), "total": ("sum", "sid")}).collect()}
+
+
+def _hits(points, spans):
+    out = {}
+    for pid, k, t in points:
+        hit = [x[0] for x in spans if k is not None and x[1] == k and None not in (t, x[2], x[3])
+               and x[2] <= t <= x[3]]
+        if hit:
+            out[pid] = (max(hit), min(hit), sum(hit))
+    return out
+
+
+def test_covering_against_brute_force(spark):
     rng = random.Random(11)
-    points = [(i, rng.choice([1, 1, 2]), 1_700_000_000 + rng.randrange(5000)) for i in range(120)]
+    second, year = 10**6, 366 * 86400 * 10**6
+    points = [(i, rng.choice([1, 1, 2, None]), 1_700_000_000 * second + rng.randrange(5000 * second))
+              for i in range(120)]
     spans = []
     for i in range(90):
-        a = 1_700_000_000 + rng.randrange(5000)
-        spans.append((i, rng.choice([1, 1, 2]), a, a + rng.choice([0, 1, 7, 300, 2000])))
-    p = spark.createDataFrame(points, "pid long, k long, t long").withColumn("t", F.timestamp_seconds("t"))
-    s = spark.createDataFrame(spans, "sid long, k long, a long, b long").withColumns(
-        {"a": F.timestamp_seconds("a"), "b": F.timestamp_seconds("b")})
-    got = {r.pid: (r.top, r.low, r.total) for r in od.covering(
-        p, s, ["k"], ["pid"], "t", "a", "b",
-        {"top": ("max", "sid"), "low": ("min", "sid"), "total": ("sum", "sid")},
-        pair_limit=limit).collect()}
-    for pid, k, t in points:
-        hit = [x[0] for x in spans if x[1] == k and x[2] <= t <= x[3]]
-        assert got.get(pid) == ((max(hit), min(hit), sum(hit)) if hit else None)
+        a = 1_700_000_000 * second + rng.randrange(5000 * second)
+        spans.append((i, rng.choice([1, 1, 2, None]), a, a + rng.choice([0, 1, 2, 3, 7, 300 * second, 2000 * second])))
+    # dates from 1900 to 9999, open and reversed ends, ends to the microsecond
+    early, late = -70 * year, 8000 * year
+    points += [(200 + i, 1, t) for i, t in enumerate(
+        [early, -13 * year, -12 * year - 1, -1, 0, 1, late, spans[0][2], spans[0][3], spans[1][2] - 1, spans[1][3] + 1])]
+    spans += [(300, 1, early, late), (301, 1, -20 * year, -10 * year), (302, 1, 0, late), (303, 1, None, late),
+              (304, 1, early, None), (305, 1, 5, 4), (306, 2, early, late), (307, 1, -3, 3)]
+    spans += [(400 + i, 1, t, t) for i, t in enumerate([-1, 0, 1])]
+    assert _covered(spark, points, spans) == _hits(points, spans)
+
+
+def test_covering_of_random_powers(spark):
+    rng = random.Random(2)
+    points = [(i, 1, rng.randrange(-300, 300)) for i in range(150)]
+    spans = []
+    for i in range(150):
+        a = rng.randrange(-300, 300)
+        spans.append((i, 1, a, a + rng.choice([0, 1, 2, 3, 4, 7, 8, 15, 16, 31, 63, 64, 127, 255])))
+    assert _covered(spark, points, spans) == _hits(points, spans)
+
+
+def test_steps_that_read_each_other(spark, log):
+    """Five steps on three levels: the source is scanned once, and nothing runs before the result is asked for."""
+    w = Window.partitionBy("k").orderBy("id")
+    up = w.rowsBetween(Window.unboundedPreceding, 0)
+    want = log.withColumn("s", F.lag("v", 2).over(w)).withColumn("n", F.when(F.col("code") > 2, F.sum(
+        F.when(F.col("code") > 2, 1).otherwise(0)).over(up))).withColumn(
+        "f", F.last(F.when(F.col("code") > 3, F.col("n")), ignorenulls=True).over(up)).withColumn(
+        "g", F.lead("f", 2).over(w)).withColumn("t", F.sum("v").over(Window.partitionBy("k")))
+    chain = (seq(log).shift({"s": ("v", -2)}).number_where({"n": F.col("code") > 2})
+             .fill({"f": F.when(F.col("code") > 3, F.col("n"))}).shift({"g": ("f", 2)}).total({"t": F.col("v")}))
+    assert len(chain._levels) == 3
+    cols = ["id", "s", "n", "f", "g", "t"]
+    assert rows(chain.frame(), *cols) == rows(want, *cols)
+
+
+def test_a_chain_reads_its_source_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    spark.range(5000).selectExpr("id", "id % 3 as k", "id % 7 as code").write.parquet(path)
+    chain = od.KeyedSequence(spark.read.parquet(path), ["k"], [F.col("id")], od.id_lane("id", 100))
+    chain.shift({"a": ("code", 1)}).number("n").fill({"f": F.when(F.col("n") > 2, F.col("a"))})
+    chain.shift({"g": ("f", -1)}).total({"t": F.col("g")})
+    df = chain.frame()
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("Initial Plan")[0]
+    assert 1 <= final.count("FileScan") <= 3
+
+
+def test_no_task_gets_a_whole_hot_key(spark):
+    hot = spark.range(200_000).selectExpr("id", "1 as k")
+    seen = od.KeyedSequence(hot, ["k"], [F.col("id")], od.id_lane("id", 1000)).number("n").frame()
+    assert seen.agg(F.max("n")).first()[0] == 200_000
+    lanes = hot.withColumn("lane", od.id_lane("id", 1000)).groupBy("lane").count()
+    assert lanes.agg(F.max("count")).first()[0] == 1000
+
+
+def test_null_order_values_come_first(spark):
+    df = spark.createDataFrame([(1, 5, 1), (1, None, 2), (1, 900, 3), (None, 3, 4)], "k int, t int, id int")
+    got = od.KeyedSequence(df, ["k"], [F.col("t")], F.floor(F.col("t") / 10)).number("n").shift(
+        {"p": ("id", -1)}).frame()
+    assert rows(got, "id", "n", "p") == [(1, 2, 2), (2, 1, None), (3, 3, 1), (4, 1, None)]
 
 
 def test_band_join_against_brute_force(spark):
@@ -150,7 +207,7 @@ def test_band_join_against_brute_force(spark):
 def test_exact_percentiles(spark, log):
     import numpy as np
     got = {r.k: r for r in od.exact_percentiles(
-        log, ["k"], "v", {"p25": .25, "med": .5, "p90": .9}, width=50.0, hot_rows=HOT).collect()}
+        log, ["k"], "v", {"p25": .25, "med": .5, "p90": .9}, width=50.0).collect()}
     values = {}
     for r in log.collect():
         values.setdefault(r.k, []).append(r.v)

@@ -24,6 +24,13 @@ def epoch(c) -> Column:
     return days * 86400 + clock_seconds(c)
 
 
+def micros(c) -> Column:
+    """Microseconds since 1970 on the column's own clock."""
+    c = _col(c)
+    part = (F.date_part(F.lit("SECONDS"), c) * 1_000_000).cast("long")
+    return (epoch(c) - F.second(c)) * 1_000_000 + part
+
+
 def moment(value: str | datetime) -> Column:
     """A zone-free timestamp literal."""
     return F.to_timestamp_ntz(F.lit(str(value)))

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.timefn import boundary_diff, moment
-from tidemark.operators.ordered import KeyedSequence, asof, covering, crowded_keys, hour_lane
+from tidemark.operators.ordered import KeyedSequence, asof, covering, hour_lane
 from tidemark.operators.orders import flag
 
 FAR = "2100-01-01 00:00:00"
@@ -27,7 +27,7 @@ def hold_intervals(history: DataFrame, held: int) -> DataFrame:
     """Spans in which the latest action of an order is a hold, from just after it to the next one."""
     seq = KeyedSequence(history, ["order_id"], [F.col("made_at"), F.col("id")], hour_lane("made_at"))
     rows = seq.shift({"next_at": ("made_at", 1)}).frame().filter(F.col("action") == held)
-    return rows.select("order_id", F.timestamp_add("SECOND", F.lit(1), "made_at").alias("hold_from"),
+    return rows.select("order_id", F.timestamp_add("MICROSECOND", F.lit(1), "made_at").alias("hold_from"),
                        F.coalesce("next_at", moment(FAR)).alias("hold_to"))
 
 
@@ -47,14 +47,25 @@ def call_context(calls: DataFrame, paths: Sequence[DataFrame], combine: str = "u
     pts = calls.select("call_id", F.col("caller").alias("phone"), "made_at")
     ever = spans.groupBy("phone").agg(F.max("order_id").alias("any_order_id"),
                                       F.max("program_id").alias("any_program_id"))
-    crowded = crowded_keys(pts, spans, ["phone"])
-    live = covering(pts, spans, ["phone"], ["call_id"], "made_at", "placed_at", "closed_at",
-                    {"live_order_id": ("max", "order_id"), "program_order_id": ("max", "program_id")},
-                    crowded=crowded)
-    staged = covering(pts, spans.filter("in_program"), ["phone"], ["call_id"], "made_at", "in_at",
-                      "out_at", {"live_program_order_id": ("max", "order_id")}, crowded=crowded)
-    rows = (pts.join(ever, "phone", "left").join(live, "call_id", "left")
-            .join(staged, "call_id", "left"))
+    # one frame of intervals of all kinds, one lookup
+    kinds = [spans.select("phone", F.col("placed_at").alias("from_at"), F.col("closed_at").alias("to_at"),
+                          F.col("order_id").alias("_live"), F.col("program_id").alias("_program")),
+             spans.filter("in_program").select("phone", F.col("in_at").alias("from_at"),
+                                               F.col("out_at").alias("to_at"), F.col("order_id").alias("_staged"))]
+    found = {"live_order_id": ("max", "_live"), "program_order_id": ("max", "_program"),
+             "live_program_order_id": ("max", "_staged")}
+    first = None
+    if history is not None:
+        links = spans.filter("in_program").select("phone", "order_id").distinct()
+        began = history.groupBy("order_id").agg(F.min("made_at").alias("began_at"))
+        first = links.join(began, "order_id").groupBy("phone").agg(F.min("began_at").alias("began_at"))
+        kinds.append(links.join(hold_intervals(history, held), "order_id").select(
+            "phone", F.col("hold_from").alias("from_at"), F.col("hold_to").alias("to_at"),
+            F.col("order_id").alias("_hold")))
+        found["hold_order_id"] = ("max", "_hold")
+    intervals = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), kinds)
+    met = covering(pts, intervals, ["phone"], ["call_id"], "made_at", "from_at", "to_at", found)
+    rows = pts.join(ever, "phone", "left").join(met, "call_id", "left")
     has = lambda c: flag(F.col(c).isNotNull())
     out = [F.col("call_id"), F.col("phone").alias("caller"), F.col("made_at"),
            has("any_order_id").alias("ordered_flag"), has("live_order_id").alias("live_order_flag"),
@@ -63,13 +74,7 @@ def call_context(calls: DataFrame, paths: Sequence[DataFrame], combine: str = "u
     if with_ids:
         out += [F.col(c) for c in ("live_order_id", "program_order_id", "live_program_order_id")]
     if history is not None:
-        links = spans.filter("in_program").select("phone", "order_id").distinct()
-        began = history.groupBy("order_id").agg(F.min("made_at").alias("began_at"))
-        first = links.join(began, "order_id").groupBy("phone").agg(F.min("began_at").alias("began_at"))
-        holds = links.join(hold_intervals(history, held), "order_id")
-        on_hold = covering(pts, holds, ["phone"], ["call_id"], "made_at", "hold_from", "hold_to",
-                           {"hold_order_id": ("max", "order_id")})
-        rows = rows.join(first, "phone", "left").join(on_hold, "call_id", "left")
+        rows = rows.join(first, "phone", "left")
         out += [flag(F.col("began_at") < F.col("made_at")).alias("acted_flag"),
                 has("hold_order_id").alias("on_hold_flag")]
     return rows.select(*out)

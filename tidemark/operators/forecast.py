@@ -14,13 +14,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.functions.timefn import month_index
 from tidemark.operators.ordered import exact_percentiles
 from tidemark.operators.orders import done
+from tidemark.session import checkpointed
 
 DIMS = ["acquired", "latest", "chronic", "discounted", "hub", "courier", "source"]
 MILESTONES = (7, 14, 21, 28)
 TARGETS = ["retention_7", "retention_14", "retention_21", "retention_28", "retention"]
-# fixed values: trees and least rows to split, per target
-FOREST = {"retention_7": (150, 6), "retention_14": (150, 4), "retention_21": (100, 2),
-          "retention_28": (150, 4), "retention": (150, 4)}
+# fixed values: trees per target, least customers of a cohort that is fitted or scored
+FOREST = {"retention_7": 150, "retention_14": 150, "retention_21": 100, "retention_28": 150, "retention": 150}
+LEAST = 75
 SOURCES = ["Affiliates", "Facebook", "Google", "Organic", "Others"]
 AGES = ["M1", "M2", "M3", "M4", "M5", "M6", "M6+"]
 
@@ -131,7 +132,7 @@ def feature_columns(hubs: Sequence[str], sources: Sequence[str] = SOURCES) -> li
             *[feature_name(p, v) for p, values in groups for v in values], "customers"]
 
 
-def min_cohort(df: DataFrame, least: int = 75) -> DataFrame:
+def min_cohort(df: DataFrame, least: int = LEAST) -> DataFrame:
     return df.filter(F.col("customers") >= least)
 
 
@@ -144,26 +145,27 @@ def unhot(df: DataFrame, hubs: Sequence[str], sources: Sequence[str] = SOURCES)
     return df.withColumns(labels)
 
 
-def forest(target: str, features: Sequence[str], trees: int | None = None, seed: int = 42) -> Pipeline:
-    count, split = FOREST[target]
+def forest(target: str, features: Sequence[str], seed: int = 42) -> Pipeline:
+    """A forest with the target's number of trees, leaves of two cohorts at least, as deep as MLlib grows trees."""
     return Pipeline(stages=[
         VectorAssembler(inputCols=list(features), outputCol="features"),
-        RandomForestRegressor(labelCol=target, predictionCol=target + "_predicted",
-                              numTrees=trees or count, minInstancesPerNode=max(2, split // 2),
-                              featureSubsetStrategy="sqrt", maxDepth=8, seed=seed)])
+        RandomForestRegressor(labelCol=target, predictionCol=target + "_predicted", numTrees=FOREST[target],
+                              minInstancesPerNode=2, featureSubsetStrategy="sqrt", maxDepth=30, seed=seed)])
 
 
-def fit_retention_model(df: DataFrame, target: str, features: Sequence[str],
-                        trees: int | None = None) -> tuple[PipelineModel, DataFrame]:
-    """A forest fitted on 70 percent of the cohorts, and its predictions on the rest.
+def split_rule() -> Column:
+    """True for the about 70 % of cohorts to fit on: by the first digits of the MD5 of the cohort's key as text,
+    so a rerun on other executors, or another engine, splits the same way."""
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in ("month", *DIMS)])
+    return F.conv(F.substring(F.md5(key), 1, 4), 16, 10).cast("int") % 100 < 70
 
-    A hash of the cohort key makes the split, so a rerun on other executors
-    splits the same way.
-    """
-    bucket = F.pmod(F.xxhash64("month", *DIMS), F.lit(100))
-    train, test = df.filter(bucket < 70), df.filter(bucket >= 70)
-    model = forest(target, features, trees).fit(train)
-    return model, model.transform(test)
+
+def fit_retention_model(df: DataFrame, target: str, features: Sequence[str],
+                        least: int = LEAST) -> tuple[PipelineModel, DataFrame]:
+    """A forest fitted on about 70 percent of the cohorts of `least` customers, and its predictions on the rest."""
+    rows = min_cohort(df, least)
+    model = forest(target, features).fit(rows.filter(split_rule()))
+    return model, model.transform(rows.filter(~split_rule()))
 
 
 def quality_gate(predicted: DataFrame, target: str, k: int, least: float = 0.85) -> dict:
@@ -172,34 +174,33 @@ def quality_gate(predicted: DataFrame, target: str, k: int, least: float = 0.85)
     r2 = RegressionEvaluator(labelCol=target, predictionCol=target + "_predicted",
                              metricName="r2").evaluate(predicted)
     adjusted = 1 - (1 - r2) * (n - 1) / (n - k - 1) if n > k + 1 else float("nan")
-    return {"target": target, "n": n, "r2": r2, "adjusted_r2": adjusted, "accepted": adjusted >= least}
+    return {"target": target, "n": n, "k": k, "r2": r2, "adjusted_r2": adjusted, "accepted": adjusted >= least}
 
 
 def fit_all(df: DataFrame, features: Sequence[str], folder: str, targets: Sequence[str] = TARGETS,
-            trees: int | None = None) -> tuple[dict[str, str], list[dict]]:
-    """Fits each target, refits accepted ones on all cohorts and saves every model.
+            least: int = LEAST) -> tuple[dict[str, str], list[dict]]:
+    """Fits each target, refits accepted ones on all cohorts of `least` customers and saves every model.
 
     Returns the saved paths and the gate of each target; targets under the
     threshold are the gates with accepted false.
     """
     paths, gates = {}, []
     for target in targets:
-        # read by every pass of the fit, the evaluation and the refit; as long as the list of cohorts
-        clean = drop_outliers(df, target).cache()
-        model, predicted = fit_retention_model(clean, target, features, trees)
+        # read by every pass of the fit, the evaluation and the refit
+        clean = checkpointed(drop_outliers(df, target))
+        model, predicted = fit_retention_model(clean, target, features, least)
         gate = quality_gate(predicted, target, len(features))
         if gate["accepted"]:
-            model = forest(target, features, trees).fit(clean)
+            model = forest(target, features).fit(min_cohort(clean, least))
         paths[target] = f"{folder}/{target}"
         model.write().overwrite().save(paths[target])
         gates.append(gate)
-        clean.unpersist()
     return paths, gates
 
 
-def predict_next_month(df: DataFrame, paths: Mapping[str, str]) -> DataFrame:
-    """One prediction column per target; the cohort labels ride along."""
-    out = df
+def predict_next_month(df: DataFrame, paths: Mapping[str, str], month: str, least: int = LEAST) -> DataFrame:
+    """One prediction column per target for cohorts of `least` customers, and the month they are made for."""
+    out = min_cohort(df, least)
     for path in paths.values():
         out = PipelineModel.load(path).transform(out).drop("features")
-    return out
+    return out.withColumn("prediction_month", F.lit(month))

@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.textfn import note_time
 from tidemark.functions.timefn import boundary_diff, moment
-from tidemark.operators.ordered import HOT_ROWS, KeyedSequence, asof, exact_percentiles, id_lane
+from tidemark.operators.ordered import KeyedSequence, asof, exact_percentiles, id_lane
 
 
-def steps(history: DataFrame, hot_rows: int = HOT_ROWS) -> KeyedSequence:
+def steps(history: DataFrame) -> KeyedSequence:
     """The history of each entity in id order."""
-    return KeyedSequence(history, ["entity_id"], [F.col("id")], id_lane("id"), hot_rows)
+    return KeyedSequence(history, ["entity_id"], [F.col("id")], id_lane("id"))
 
 
 def with_next(history: DataFrame) -> DataFrame:

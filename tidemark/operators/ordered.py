@@ -1,23 +1,20 @@
 """Ordered work inside a key, safe when one key holds a large part of the table.
 
-A plain window sends a whole key to one task. Unless the input is small, keys
-over `hot_rows` rows are looked for first with a partial count over the key
-columns alone. Without such keys the plain window runs. Otherwise ordinary keys
-take the plain window and hot keys are cut into lanes (a monotone chunk of the
-order column), worked lane by lane, and stitched from one small row per lane.
+A plain window sends a whole key to one task. Here every key is cut into lanes
+(monotone chunks of the order column), worked lane by lane, and stitched from
+one small row per lane. Nothing runs while a plan is built, and no key takes
+another way than the others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.functions.timefn import epoch
-from tidemark.session import checkpointed
+from tidemark.functions.timefn import epoch, micros
 
-HOT_ROWS = 1_000_000
-ROW_BYTES = 64
 LANE_IDS = 1_000_000
 
 
@@ -31,147 +28,102 @@ def hour_lane(c) -> Column:
     return F.floor(epoch(c) / F.lit(3600))
 
 
-def _match(keys: Sequence[str], left: str = "", right: str = "_h_") -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(left + k).eqNullSafe(F.col(right + k))
-    return cond
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
-    """Keys with more than `hot_rows` rows; at most rows/hot_rows of them, so fit to broadcast."""
-    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-            .filter(F.col("_n") > hot_rows)
-            .select(*[F.col(k).alias("_h_" + k) for k in keys]))
-
-
-def input_bytes(df: DataFrame) -> int | None:
-    """Bytes of the files and local rows a frame is read from, each counted once; None when unknown."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        sizes = {}
-        for i in range(leaves.size()):
-            leaf = leaves.apply(i)
-            try:
-                name = leaf.relation().location().rootPaths().mkString(",")
-            except Exception:  # not a file scan
-                name = str(i)
-            sizes[name] = int(str(leaf.stats().sizeInBytes()))
-        return sum(sizes.values())
-    except AttributeError:
-        return None
-
-
-def split_hot(df: DataFrame, keys: Sequence[str],
-              hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
-    """(ordinary rows, rows of hot keys or None)."""
-    size = input_bytes(df)
-    if size is not None and size <= hot_rows * ROW_BYTES:
-        return df, None
-    heavy = hot_keys(df, keys, hot_rows)
-    if heavy.isEmpty():
-        return df, None
-    heavy = F.broadcast(checkpointed(heavy))
-    cold = df.join(heavy, _match(keys), "left_anti")
-    hot = df.join(heavy, _match(keys), "left_semi")
-    return cold, hot
+#: stands for the lane of a null order value, which comes first
+_FIRST_LANE = -(1 << 62)
+
+
+class _Level:
+    """Steps that need nothing from each other: their columns come from one pass over the lanes."""
+
+    def __init__(self, known: DataFrame):
+        self.known = known  # for analysis alone: the columns the steps may use
+        self.made: dict = {}  # types of the columns the steps make
+        self.local, self.whole, self.ends, self.carried, self.merged = {}, {}, {}, {}, {}
+        self.reach = 0
+        self.shifted: dict[str, tuple] = {}
+
+    def can_use(self, exprs) -> bool:
+        try:
+            return self.known.select(*exprs).schema is not None
+        except AnalysisException:
+            return False
 
 
 class KeyedSequence:
     """The rows of each key in order. Each method adds columns; `frame()` gives the result.
 
     `order` must be total within a key. `lane` must never decrease along
-    `order`; for a descending order pass the negated lane.
+    `order`; for a descending order pass the negated lane. Rows equal in all
+    order columns share a lane.
+
+    Rows are dealt by (key, lane) and worked lane by lane; a summary with one
+    row per lane gives each lane what comes from the lanes before and after it.
+    So a key of any size is spread, and there is one path for all keys. Steps
+    are collected and grouped into levels: a step joins the first level that
+    knows the columns it reads. A level is one exchange, which its lane pass and
+    its summary both read; the source is read once, whatever the chain.
     """
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-                 lane: Column, hot_rows: int = HOT_ROWS):
-        self.keys, self.order = list(keys), list(order)
-        self._cold, hot = split_hot(df, self.keys, hot_rows)
-        self._hot = None if hot is None else hot.withColumn("_lane", lane)
-
-    @property
-    def _by_key(self):
-        return Window.partitionBy(*self.keys).orderBy(*self.order)
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[Column], lane: Column):
+        self._df, self.keys, self.order, self._lane = df, list(keys), list(order), lane
+        self._levels = [_Level(df)]
 
     @property
     def _by_lane(self):
-        return Window.partitionBy(*self.keys, "_lane").orderBy(*self.order)
-
-    def frame(self) -> DataFrame:
-        if self._hot is None:
-            return self._cold
-        return self._cold.unionByName(self._hot.drop("_lane"))
+        return Window.partitionBy("_key", "_lane").orderBy(*self.order)
+
+    def _level(self, exprs: Sequence[Column]) -> _Level:
+        for level in self._levels:
+            if level.can_use(exprs):
+                return level
+        last = self._levels[-1]
+        level = _Level(last.known.withColumns({n: F.lit(None).cast(t) for n, t in last.made.items()}))
+        if not last.made or not level.can_use(exprs):
+            raise ValueError("a step reads a column that no step before it makes")
+        self._levels.append(level)
+        return level
+
+    @staticmethod
+    def _made(level: _Level, columns: Mapping[str, Column]) -> None:
+        """Remember the types of a step's columns for the levels after it."""
+        fields = level.known.select(*[e.alias(n) for n, e in columns.items()]).schema
+        level.made.update({f.name: f.dataType for f in fields})
 
     def shift(self, columns: Mapping[str, tuple]) -> "KeyedSequence":
         """{new: (source, offset)}: positive offsets look ahead, negative ones back."""
-        reach = max(abs(offset) for _, offset in columns.values())
-
-        def shifted(window):
-            return {new: (F.lead if offset > 0 else F.lag)(source, abs(offset)).over(window)
-                    for new, (source, offset) in columns.items()}
-
-        self._cold = self._cold.withColumns(shifted(self._by_key))
-        if self._hot is None:
-            return self
-        one = F.lit(1)
-        edge = (F.lead(one, reach).over(self._by_lane).isNull()
-                | F.lag(one, reach).over(self._by_lane).isNull())
-        # a neighbour inside the lane stands; only one beyond its end is looked up along the edges
-        inside = {"_in_" + new: (F.lead if offset > 0 else F.lag)(one, abs(offset))
-                  .over(self._by_lane).isNotNull() for new, (_, offset) in columns.items()}
-        inner = self._hot.withColumns({**shifted(self._by_lane), **inside, "_edge": edge})
-        settled = inner.filter(~F.col("_edge"))
-        beyond = {"_far_" + new: e for new, e in shifted(self._by_key).items()}
-        seam = inner.filter("_edge").withColumns(beyond).withColumns(
-            {new: F.when(F.col("_in_" + new), F.col(new)).otherwise(F.col("_far_" + new))
-             for new in columns}).drop(*beyond)
-        self._hot = settled.unionByName(seam).drop("_edge", *inside)
+        sources = {n: F.col(s) if isinstance(s, str) else s for n, (s, _) in columns.items()}
+        level = self._level(list(sources.values()))
+        self._made(level, sources)
+        for new, (_, offset) in columns.items():
+            level.shifted[new] = (sources[new], offset)
+            level.reach = max(level.reach, abs(offset))
         return self
 
-    def _carry(self, lanes: DataFrame, new: Mapping[str, Column], merge) -> None:
-        """Join per-lane carry values to the hot rows and merge them in."""
-        named = lanes.select(*[F.col(k).alias("_h_" + k) for k in self.keys],
-                             F.col("_lane").alias("_h__lane"), *[F.col("_c_" + n) for n in new])
-        joined = self._hot.join(named, _match([*self.keys, "_lane"]), "left")
-        self._hot = (joined.withColumns({n: merge(F.col(n), F.col("_c_" + n)) for n in new})
-                     .drop(*[c for c in named.columns]))
-
     def running(self, columns: Mapping[str, Column], op: str = "sum") -> "KeyedSequence":
-        """Running sum (or max) up to and including the row."""
-        upto = (Window.unboundedPreceding, 0)
-        agg = {"sum": F.sum, "max": F.max}[op]
-
-        def totals(window):
-            return {n: agg(e).over(window.rowsBetween(*upto)) for n, e in columns.items()}
-
-        self._cold = self._cold.withColumns(totals(self._by_key))
-        if self._hot is None:
-            return self
-        sizes = self._hot.groupBy(*self.keys, "_lane").agg(
-            *[agg(e).alias("_s_" + n) for n, e in columns.items()])
-        before = Window.partitionBy(*self.keys).orderBy("_lane").rowsBetween(
-            Window.unboundedPreceding, -1)
-        lanes = sizes.withColumns({"_c_" + n: agg("_s_" + n).over(before) for n in columns})
-        self._hot = self._hot.withColumns(totals(self._by_lane))
+        """Running sum, max or min up to and including the row."""
+        level = self._level(list(columns.values()))
+        agg = {"sum": F.sum, "max": F.max, "min": F.min}[op]
+        self._made(level, {n: agg(e).over(Window.partitionBy(F.lit(0))) for n, e in columns.items()})
         zero = F.lit(0)
-        merge = {"max": lambda own, past: F.greatest(own, past),
-                 "sum": lambda own, past: F.when(
-                     own.isNotNull() | past.isNotNull(),
-                     F.coalesce(own, zero) + F.coalesce(past, zero))}[op]
-        self._carry(lanes, columns, merge)
+        for n, e in columns.items():
+            level.local[n] = lambda by, e=e: agg(e).over(by.rowsBetween(Window.unboundedPreceding, 0))
+            level.whole["_s_" + n] = agg(e)
+            level.carried["_c_" + n] = lambda before, _, n=n: agg("_s_" + n).over(before)
+            own, past = F.col(n), F.col("_c_" + n)
+            level.merged[n] = {
+                "max": F.greatest(own, past), "min": F.least(own, past),
+                "sum": F.when(own.isNotNull() | past.isNotNull(), F.coalesce(own, zero) + F.coalesce(past, zero)),
+            }[op]
         return self
 
     def total(self, columns: Mapping[str, Column]) -> "KeyedSequence":
         """Sums over the whole key, next to every row."""
-        whole = Window.partitionBy(*self.keys)
-        self._cold = self._cold.withColumns({n: F.sum(e).over(whole) for n, e in columns.items()})
-        if self._hot is None:
-            return self
-        sums = self._hot.groupBy(*self.keys).agg(*[F.sum(e).alias(n) for n, e in columns.items()])
-        named = sums.select(*[F.col(k).alias("_h_" + k) for k in self.keys], *columns)
-        self._hot = self._hot.join(named, _match(self.keys), "left").drop(
-            *["_h_" + k for k in self.keys])
+        level = self._level(list(columns.values()))
+        self._made(level, {n: F.sum(e).over(Window.partitionBy(F.lit(0))) for n, e in columns.items()})
+        for n, e in columns.items():
+            level.whole["_s_" + n] = F.sum(e)
+            level.carried["_c_" + n] = lambda _, whole, n=n: F.sum("_s_" + n).over(whole)
+            level.merged[n] = F.col("_c_" + n)
         return self
 
     def number(self, new: str = "row_num") -> "KeyedSequence":
@@ -181,58 +133,96 @@ class KeyedSequence:
     def number_where(self, columns: Mapping[str, Column]) -> "KeyedSequence":
         """Row number among the rows where a predicate holds; null elsewhere."""
         self.running({n: F.when(p, 1).otherwise(0).cast("long") for n, p in columns.items()})
-        for n, p in columns.items():
-            self._cold = self._cold.withColumn(n, F.when(p, F.col(n)))
-            if self._hot is not None:
-                self._hot = self._hot.withColumn(n, F.when(p, F.col(n)))
+        for level in self._levels:
+            for n, p in columns.items():
+                if n in level.merged:
+                    level.merged[n] = F.when(p, level.merged[n])
         return self
 
     def rank(self, new: str = "rank") -> "KeyedSequence":
-        """Rank with gaps; rows equal in all order columns must share a lane."""
-        self._cold = self._cold.withColumn(new, F.rank().over(self._by_key).cast("long"))
-        if self._hot is None:
-            return self
-        sizes = self._hot.groupBy(*self.keys, "_lane").agg(F.count(F.lit(1)).alias("_s"))
-        before = Window.partitionBy(*self.keys).orderBy("_lane").rowsBetween(
-            Window.unboundedPreceding, -1)
-        lanes = sizes.withColumn("_c_" + new, F.sum("_s").over(before))
-        self._hot = self._hot.withColumn(new, F.rank().over(self._by_lane).cast("long"))
-        self._carry(lanes, {new: None}, lambda own, past: own + F.coalesce(past, F.lit(0)))
+        """Rank with gaps."""
+        level = self._level([F.lit(1)])
+        self._made(level, {new: F.lit(1).cast("long")})
+        level.local[new] = lambda by: F.rank().over(by).cast("long")
+        level.whole["_s_" + new] = F.count(F.lit(1))
+        level.carried["_c_" + new] = lambda before, _: F.sum("_s_" + new).over(before)
+        level.merged[new] = F.col(new) + F.coalesce("_c_" + new, F.lit(0))
         return self
 
     def fill(self, columns: Mapping[str, Column]) -> "KeyedSequence":
         """The latest non-null value up to and including the row."""
-        upto = (Window.unboundedPreceding, 0)
-
-        def latest(window):
-            return {n: F.last(e, ignorenulls=True).over(window.rowsBetween(*upto))
-                    for n, e in columns.items()}
-
-        self._cold = self._cold.withColumns(latest(self._by_key))
-        if self._hot is None:
-            return self
-        self._hot = self._hot.withColumns(latest(self._by_lane))
-        ends = self._hot.withColumn(
-            "_end", F.lead(F.lit(1)).over(self._by_lane).isNull()).filter("_end")
-        before = Window.partitionBy(*self.keys).orderBy("_lane").rowsBetween(
-            Window.unboundedPreceding, -1)
-        lanes = ends.withColumns(
-            {"_c_" + n: F.last(n, ignorenulls=True).over(before) for n in columns})
-        self._carry(lanes, columns, lambda own, past: F.coalesce(own, past))
+        level = self._level(list(columns.values()))
+        self._made(level, columns)
+        for n, e in columns.items():
+            level.local[n] = lambda by, e=e: F.last(e, ignorenulls=True).over(
+                by.rowsBetween(Window.unboundedPreceding, 0))
+            level.ends["_s_" + n] = F.max_by(F.struct(F.col(n).alias("v")), "_lane_pos")
+            level.carried["_c_" + n] = lambda before, _, n=n: F.last(
+                F.col("_s_" + n)["v"], ignorenulls=True).over(before)
+            level.merged[n] = F.coalesce(F.col(n), F.col("_c_" + n))
         return self
 
+    def _worked(self, df: DataFrame, level: _Level) -> DataFrame:
+        base = df.repartition("_key", "_lane")
+        by = self._by_lane
+        local = {n: make(by) for n, make in level.local.items()}
+        whole, carried, merged = dict(level.whole), dict(level.carried), dict(level.merged)
+        reach = level.reach
+        if level.ends or reach:
+            local["_lane_pos"] = F.row_number().over(by)
+        if reach:
+            local["_lane_rest"] = sum((F.when(F.lead(F.lit(1), q).over(by).isNotNull(), 1).otherwise(0)
+                                  for q in range(1, reach + 1)), F.lit(0))
+            for n, (source, offset) in level.shifted.items():
+                local[n] = (F.lead if offset > 0 else F.lag)(source, abs(offset)).over(by)
+            values = [source.alias(f"v{k}") for k, (source, _) in enumerate(level.shifted.values())]
+            ends = {  # the first and the last rows of a lane, nearest to its edge first
+                "_lane_head": F.when(F.col("_lane_pos") <= reach, F.struct(F.col("_lane_pos").alias("k"), *values)),
+                "_lane_tail": F.when(F.col("_lane_rest") < reach, F.struct(F.col("_lane_rest").alias("k"), *values))}
+            for name, row in ends.items():
+                whole[name] = F.sort_array(F.collect_list(row))
+            near = lambda name, step, window: F.slice(F.flatten(F.array(*[
+                F.coalesce(step(name, q).over(window), F.slice(F.col(name), 1, 0))
+                for q in range(1, reach + 1)])), 1, reach)
+            lanes = Window.partitionBy("_key").orderBy("_lane")
+            carried["_lane_after"] = lambda *_: near("_lane_head", F.lead, lanes)
+            carried["_lane_before"] = lambda *_: near("_lane_tail", F.lag, lanes)
+            for k, (n, (_, offset)) in enumerate(level.shifted.items()):
+                inside = F.col("_lane_rest") if offset > 0 else F.least(F.col("_lane_pos") - 1, F.lit(reach))
+                beyond = F.get(F.col("_lane_after" if offset > 0 else "_lane_before"), F.lit(abs(offset) - 1) - inside)
+                merged[n] = F.when(inside >= abs(offset), F.col(n)).otherwise(beyond[f"v{k}"])
+        lane_pass = base.withColumns(local) if local else base
+        # what a lane is in sum; from the lane pass only where its windows are needed
+        summary = (lane_pass if level.ends or reach else base).groupBy("_key", "_lane").agg(
+            *[e.alias(n) for n, e in {**whole, **level.ends}.items()])
+        along = Window.partitionBy("_key").orderBy("_lane")
+        before = along.rowsBetween(Window.unboundedPreceding, -1)
+        lanes = summary.select("_key", "_lane", *[
+            make(before, Window.partitionBy("_key")).alias(n) for n, make in carried.items()])
+        out = lane_pass.join(lanes, ["_key", "_lane"]).withColumns(merged)
+        return out.drop("_lane_pos", "_lane_rest", *carried)
+
+    def frame(self) -> DataFrame:
+        lane = F.coalesce(self._lane.cast("long"), F.lit(_FIRST_LANE))
+        # a struct of the keys is equal to itself also where they are null
+        out = self._df.withColumns({"_lane": lane, "_key": F.struct(*self.keys)})
+        for level in self._levels:
+            if level.merged or level.shifted:
+                out = self._worked(out, level)
+        return out.drop("_lane", "_key")
+
 
-def row_numbers(df, keys, order, lane, new="row_num", hot_rows=HOT_ROWS) -> DataFrame:
-    return KeyedSequence(df, keys, order, lane, hot_rows).number(new).frame()
+def row_numbers(df, keys, order, lane, new="row_num") -> DataFrame:
+    return KeyedSequence(df, keys, order, lane).number(new).frame()
 
 
-def ranks(df, keys, order, lane, new="rank", hot_rows=HOT_ROWS) -> DataFrame:
-    return KeyedSequence(df, keys, order, lane, hot_rows).rank(new).frame()
+def ranks(df, keys, order, lane, new="rank") -> DataFrame:
+    return KeyedSequence(df, keys, order, lane).rank(new).frame()
 
 
-def percent_ranks(df, keys, order, lane, new="percent_rank", hot_rows=HOT_ROWS) -> DataFrame:
+def percent_ranks(df, keys, order, lane, new="percent_rank") -> DataFrame:
     """(rank - 1) / (rows - 1), zero for a single row."""
-    seq = KeyedSequence(df, keys, order, lane, hot_rows).rank("_rank").total({"_rows": F.lit(1)})
+    seq = KeyedSequence(df, keys, order, lane).rank("_rank").total({"_rows": F.lit(1)})
     value = F.when(F.col("_rows") > 1, (F.col("_rank") - 1) / (F.col("_rows") - 1)).otherwise(0.0)
     return seq.frame().withColumn(new, value).drop("_rank", "_rows")
 
@@ -249,8 +239,7 @@ def first_by(df: DataFrame, keys, columns, order, latest: bool = False) -> DataF
 
 def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str,
          columns: Sequence[str], side: str = "before", strict: bool = True,
-         tie: str | None = None, count: str | None = None, lane=hour_lane,
-         hot_rows: int = HOT_ROWS) -> DataFrame:
+         tie: str | None = None, count: str | None = None, lane=hour_lane) -> DataFrame:
     """For each left row the nearest right row before (or after) it; unmatched rows keep nulls.
 
     Left and right rows are laid into one sequence per key and the right row is
@@ -285,7 +274,7 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, r
         mark = -mark
     else:
         order = [F.col("_at").asc_nulls_first(), F.col("_side"), F.col("_tie")]
-    seq = KeyedSequence(both, [*keys, "_salt"], order, mark, hot_rows).fill({"_near": F.col("_right")})
+    seq = KeyedSequence(both, [*keys, "_salt"], order, mark).fill({"_near": F.col("_right")})
     extra = []
     if count:
         seq.running({"_count": F.when(F.col("_right").isNotNull(), 1).otherwise(0).cast("long")})
@@ -310,13 +299,12 @@ def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: C
 
 
 def exact_percentiles(df: DataFrame, dims: Sequence[str], value: str,
-                      probs: Mapping[str, float], kind: str = "cont", width: float = 1.0,
-                      hot_rows: int = HOT_ROWS) -> DataFrame:
+                      probs: Mapping[str, float], kind: str = "cont", width: float = 1.0) -> DataFrame:
     """Exact percentiles per group from counted values, without gathering a group in one task."""
     counted = (df.filter(F.col(value).isNotNull())
                .groupBy(*dims, value).agg(F.count(F.lit(1)).alias("_c")))
     placed = (KeyedSequence(counted, dims, [F.col(value)],
-                            F.floor(F.col(value) / F.lit(width)), hot_rows)
+                            F.floor(F.col(value) / F.lit(width)))
               .running({"_hi": F.col("_c")}).total({"_n": F.col("_c")}).frame()
               .withColumn("_lo", F.col("_hi") - F.col("_c")))
 
@@ -335,58 +323,44 @@ def exact_percentiles(df: DataFrame, dims: Sequence[str], value: str,
     return placed.groupBy(*dims).agg(*aggs)
 
 
-def crowded_keys(points: DataFrame, intervals: DataFrame, keys: Sequence[str],
-                 pair_limit: int = 1_000_000) -> DataFrame | bool:
-    """Keys whose points times intervals exceed the limit, or False when there are none."""
-    heavy = (points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_p"))
-             .join(intervals.groupBy(*keys).agg(F.count(F.lit(1)).alias("_i")), list(keys))
-             .filter(F.col("_p") * F.col("_i") > pair_limit)
-             .select(*[F.col(k).alias("_h_" + k) for k in keys]))
-    return False if heavy.isEmpty() else checkpointed(heavy)
-
-
 def covering(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point_id: Sequence[str],
-             at: str, start: str, end: str, aggs: Mapping[str, tuple], levels: int = 32,
-             pair_limit: int = 1_000_000, crowded: DataFrame | bool | None = None) -> DataFrame:
+             at: str, start: str, end: str, aggs: Mapping[str, tuple]) -> DataFrame:
     """Per point, aggregates over the intervals of its key that contain it (ends included).
 
-    `aggs` is {new: (op, column)} with op max, min or sum. Keys whose points
-    times intervals stay under `pair_limit` take a plain range join. The others
-    never form pairs: each interval is cut into aligned power-of-two blocks of
-    seconds, blocks are aggregated per key, and each point looks up the one
-    block of each size it lies in. Times count in whole seconds. `crowded` gives
-    the keys over the limit when the caller has looked already (see `crowded_keys`).
+    `aggs` is {new: (op, column)} with op max, min or sum. Times count in
+    microseconds. No point meets an interval: with W = 2^j the power of two
+    below its length, an interval reaches into three aligned cells of W at most,
+    and fills each of them but for one end. In a cell, parts that run on to its
+    end hold the points from their start on, parts that begin with it the points
+    up to their end: a running aggregate along time in either direction. A point
+    is laid into the cell it lies in for each length class its key has.
     """
     ops = {"max": F.max, "min": F.min, "sum": F.sum}
-    pts = points.select(*keys, *[c for c in point_id if c not in keys],
-                        epoch(at).alias("_t"))
-    ivs = (intervals.select(*keys, epoch(start).alias("_a"),
-                            epoch(end).alias("_b"),
-                            *{c for _, c in aggs.values()})
-           .filter(F.col("_a") <= F.col("_b")))
-    heavy = crowded_keys(pts, ivs, keys, pair_limit) if crowded is None else crowded
-    few = pts if heavy is False else pts.join(heavy, _match(keys), "left_anti")
-    plain = few.join(ivs, list(keys)).filter(F.col("_t").between(F.col("_a"), F.col("_b")))
-    plain_agg = plain.groupBy(*point_id).agg(*[ops[op](c).alias(n) for n, (op, c) in aggs.items()])
-    if heavy is False:
-        return plain_agg
-
-    # at each size the blocks left over at the two ends of an interval: odd ones have no larger parent inside it
-    low, high = "shiftright(_a + shiftleft(1L, j) - 1, j)", "shiftright(_b + 1, j)"
-    blocks = F.expr(
-        f"filter(flatten(transform(sequence(0, {levels - 1}), j -> array("
-        f"if({low} < {high} and {low} % 2 = 1, named_struct('l', j, 'b', {low}), null),"
-        f"if({low} < {high} and {high} % 2 = 1, named_struct('l', j, 'b', {high} - 1), null)))),"
-        " x -> x is not null)")
-    hot_ivs = (ivs.join(heavy, _match(keys), "left_semi")
-               .withColumn("_blk", F.explode(blocks))
-               .groupBy(*keys, F.col("_blk.l").alias("_l"), F.col("_blk.b").alias("_k"))
-               .agg(*[ops[op](c).alias("_v_" + n) for n, (op, c) in aggs.items()]))
-    hot_pts = (pts.join(heavy, _match(keys), "left_semi")
-               .withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
-               .withColumn("_k", F.expr("shiftright(_t, _l)")))
-    looked = hot_pts.join(hot_ivs, [*keys, "_l", "_k"])
-
-    hot_agg = looked.groupBy(*point_id).agg(
-        *[ops[op]("_v_" + n).alias(n) for n, (op, c) in aggs.items()])
-    return plain_agg.unionByName(hot_agg)
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    values = list(dict.fromkeys(c for _, c in aggs.values()))
+    ivs = (intervals.filter(known).select(*keys, micros(start).alias("_a"), micros(end).alias("_b"), *values)
+           .filter(F.col("_a") <= F.col("_b")).withColumn("_j", F.length(F.bin(F.col("_b") - F.col("_a") + 1)) - 1)
+           .withColumn("_cell", F.expr("explode(sequence(shiftright(_a, _j), shiftright(_b, _j)))"))
+           .withColumn("_up", F.expr("_b >= shiftleft(_cell, _j) + shiftleft(1L, _j) - 1")))
+    parts = ivs.select(
+        *keys, "_j", "_cell", F.when(F.col("_up"), 0).otherwise(1).alias("_way"),
+        F.when(F.col("_up"), F.greatest(F.col("_a"), F.expr("shiftleft(_cell, _j)"))).otherwise(-F.col("_b"))
+        .alias("_at"), F.lit(0).alias("_side"), F.lit(1).cast("long").alias("_n"), *values)
+    ids = [c for c in point_id if c not in keys]
+    pts = points.filter(known).select(*keys, *ids, micros(at).alias("_t")).filter("_t is not null")
+    classes = ivs.select(*keys, "_j").distinct()
+    laid = (pts.join(classes, list(keys)).withColumn("_cell", F.expr("shiftright(_t, _j)"))
+            .withColumn("_way", F.explode(F.array(F.lit(0), F.lit(1))))
+            .withColumn("_at", F.when(F.col("_way") == 0, F.col("_t")).otherwise(-F.col("_t"))))
+    both = parts.unionByName(laid.drop("_t").withColumns({"_side": F.lit(1), "_n": F.lit(0).cast("long")}),
+                             allowMissingColumns=True)
+    seq = KeyedSequence(both, [*keys, "_j", "_cell", "_way"], [F.col("_at"), F.col("_side")],
+                        F.expr("shiftright(_at, greatest(_j - 6, 0))"))
+    seq.running({"_n_": F.col("_n")})
+    for name, (op, column) in aggs.items():
+        seq.running({"_v_" + name: F.col(column)}, op)
+    return (seq.frame().filter("_side = 1").groupBy(*point_id)
+            .agg(F.sum("_n_").alias("_n_"), *[ops[op]("_v_" + n).alias(n) for n, (op, _) in aggs.items()])
+            .filter("_n_ > 0").drop("_n_"))

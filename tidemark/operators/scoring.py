@@ -8,11 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators.ordered import exact_percentiles
-from tidemark.session import checkpointed
 
 FLOOR, SURE = 0.2, 0.5
 TOPS = {60: .4, 50: .5, 40: .6, 30: .7, 20: .8, 10: .9}
-BROADCAST_ROWS = 100_000
 
 
 def prep_attempts(attempts: DataFrame, least: int = 2) -> DataFrame:
@@ -46,17 +44,20 @@ def prob_table(df: DataFrame, feature: str) -> DataFrame:
 
 
 def prob_values(df: DataFrame, tables: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Looks up each feature's probability at the row's hour; unseen pairs get the floor."""
-    known = checkpointed(tables)
-    small = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    out = df
-    for f in features:
-        one = known.filter(F.col("feature") == f).select(
-            F.col("value").alias("_v"), F.col("hr").alias("_h"), F.col("p").alias("prob_" + f))
-        hit = (F.col(f).cast("string") == F.col("_v")) & (F.col("hr") == F.col("_h"))
-        out = out.join(F.broadcast(one) if small else one, hit, "left").drop("_v", "_h").withColumn(
-            "prob_" + f, F.coalesce("prob_" + f, F.lit(FLOOR)))
-    return out
+    """Looks up each feature's probability at the row's hour; unseen pairs get the floor.
+
+    The tables are laid into one row per hour, a map from value to probability
+    for each feature, so the rows are joined once. A row per hour is as long as
+    there are distinct values, and the engine broadcasts it where it is small.
+    """
+    pair = F.struct("value", "p")
+    hours = tables.filter(F.col("value").isNotNull()).groupBy(F.col("hr").alias("_h")).agg(*[
+        F.map_from_entries(F.collect_list(F.when(F.col("feature") == f, pair))).alias("_m_" + f)
+        for f in features])
+    out = df.join(hours, F.col("hr") == F.col("_h"), "left")
+    return out.withColumns({
+        "prob_" + f: F.coalesce(F.try_element_at("_m_" + f, F.col(f).cast("string")), F.lit(FLOOR))
+        for f in features}).drop("_h", *["_m_" + f for f in features])
 
 
 def total_score(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -112,4 +113,4 @@ def score_snapshot(snapshot: DataFrame, tables: DataFrame, features: Sequence[st
                             & (F.col("issue_flag") == 0))
             .withColumns({"hr": F.lit(hour), "attempt_number": F.col("total_attempts") + 1}))
     scored = total_score(prob_values(cap_attempts(rows), tables, features), features)
-    return topk_flags(checkpointed(scored), ["hr"], tops)
+    return topk_flags(scored, ["hr"], tops)

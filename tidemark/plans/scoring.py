@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 from tidemark.operators import scoring as sc
 from tidemark.operators.timeline import snapshot_attempts
 from tidemark.plans.registry import query
-from tidemark.session import checkpointed
 
 FEATURES = ["segment", "city", "hub", "parity", "kband", "owner", "third", "weekday", "daypart",
             "attempt_number"]
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
-_PREP = "prep AS (SELECT * FROM attempt WHERE attempt_number >= 2)"
+_PREP = "prep AS MATERIALIZED (SELECT * FROM attempt WHERE attempt_number >= 2)"
 _CLAMP = "CASE WHEN r = 0 THEN 0.2::DOUBLE WHEN r = 1 THEN 0.5::DOUBLE ELSE r END"
 
 
@@ -25,7 +24,7 @@ def _table(f):
 _TABLES = f"""
     {_PREP},
     rates AS ({" UNION ALL ".join(_table(f) for f in FEATURES)}),
-    tables AS (SELECT feature, value, hr, {_CLAMP} AS p FROM rates)"""
+    tables AS MATERIALIZED (SELECT feature, value, hr, {_CLAMP} AS p FROM rates)"""
 
 
 def _prep(t):
@@ -47,7 +46,7 @@ def _(t):
     return sc.prob_tables(_prep(t), FEATURES)
 
 
-_CAPPED = """capped AS (SELECT * REPLACE (CASE WHEN attempt_number >= 7 THEN 6 ELSE attempt_number END AS attempt_number),
+_CAPPED = """capped AS MATERIALIZED (SELECT * REPLACE (CASE WHEN attempt_number >= 7 THEN 6 ELSE attempt_number END AS attempt_number),
                         attempt_number AS attempt_original, assigned_at::DATE AS assigned_on FROM prep)"""
 
 
@@ -60,12 +59,13 @@ def _(t):
     return _capped(t)
 
 
-_JOINS = " ".join(f"LEFT JOIN tables t_{f} ON t_{f}.feature = '{f}' AND t_{f}.value = c.{f}::VARCHAR AND t_{f}.hr = c.hr"
-                  for f in FEATURES)
-_PROBS = ", ".join(f"coalesce(t_{f}.p, 0.2::DOUBLE) AS prob_{f}" for f in FEATURES)
+_JOINS = "LEFT JOIN maps ON maps.hr = c.hr"
+_MAPS = ", ".join(f"map_from_entries(list({{'k': value, 'v': p}}) FILTER (feature = '{f}')) AS m_{f}" for f in FEATURES)
+_PROBS = ", ".join(f"coalesce(maps.m_{f}[c.{f}::VARCHAR], 0.2::DOUBLE) AS prob_{f}" for f in FEATURES)
 _PRODUCT = " * ".join(f"prob_{f}" for f in FEATURES)
 _SCORED = f"""{_TABLES}, {_CAPPED},
-    looked AS (SELECT c.*, {_PROBS} FROM capped c {_JOINS}),
+    maps AS MATERIALIZED (SELECT hr, {_MAPS} FROM tables WHERE value IS NOT NULL GROUP BY hr),
+    looked AS MATERIALIZED (SELECT c.*, {_PROBS} FROM capped c {_JOINS}),
     scored AS (SELECT *, {_PRODUCT} AS score FROM looked)"""
 
 
@@ -104,7 +104,7 @@ def _rounded(df):
 
 
 def _slim(t):
-    return checkpointed(_scored(t).select("id", "assigned_on", "hr", "success", "score"))
+    return _scored(t).select("id", "assigned_on", "hr", "success", "score")
 
 
 @query("m19_group_quantiles", f"WITH {_MARKED} SELECT * REPLACE ({_ROUNDED}) FROM cuts")
