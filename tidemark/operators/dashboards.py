@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.timefn import boundary_diff, epoch, moment, office_seconds
-from tidemark.operators.lifecycle import steps
+from tidemark.operators.facts import cancelled_first, staff_category
+from tidemark.operators.lifecycle import first_visit, steps
 from tidemark.operators.orders import done, flag, lookup
 from tidemark.operators.ordered import first_by
 
@@ -94,18 +95,41 @@ def recent_actions(history: DataFrame, as_of: str, names: Mapping[int, str],
                        ).drop("_gap")
 
 
-def live_tracker(program: DataFrame, history: DataFrame, stage: int, as_of: str,
-                 names: Mapping[int, str], sla_min: tuple[int, int] = (60, 120)) -> DataFrame:
-    """Turnaround, age so far and breach flags per case, with its recent actions."""
+def live_tracker(program: DataFrame, history: DataFrame, order_history: DataFrame, staff: DataFrame, stage: int,
+                 cancelled: int, as_of: str, names: Mapping[int, str], states: Mapping[int, str],
+                 sources: Mapping[int, str], partners: Sequence[int], done_code: int = 4, issue_type: int = 2,
+                 sla_min: tuple[int, int] = (60, 120), grace: int = 40) -> DataFrame:
+    """Who and what, turnaround, age so far and breach flags per case, with its recent actions.
+
+    A case cancelled in its first stay before anyone answered, or within
+    `grace` seconds of the answer, has no first response; its breach flags run
+    to now. `program` has the customer, platform, place, order flags, staff id,
+    source and type of the case.
+    """
     now = moment(as_of)
-    rows = program.join(action_times(history), "entity_id")
+    first = first_visit(order_history, stage).select("entity_id", "next_code", "out_at")
+    won = program.filter(F.col("last_code") == done_code).groupBy("customer_id").agg(F.min("entity_id").alias("_won"))
+    rows = (program.join(action_times(history), "entity_id").join(first, "entity_id", "left")
+            .join(won, "customer_id", "left").join(staff, "staff", "left")
+            .withColumn("_canned", cancelled_first("first_response_at", "next_code", "out_at", cancelled, grace)))
+    rows = rows.withColumn("first_response_at", F.when(~F.col("_canned"), F.col("first_response_at")))
     overall = lambda e: (epoch(e) - epoch("moved_at")) / 60
     office = lambda e: office_seconds("moved_at", e) / 60
     frt = F.coalesce(office("first_response_at"), office(now))
     late = lambda e, m: F.when(e > m, 1).otherwise(0)
+    number = (F.when(F.col("entity_id") == F.col("_won"), "First Successful Consultation")
+              .when(F.col("entity_id") > F.col("_won"), "Repeat").otherwise("Zero Successful Consultations"))
     wide = rows.select(
-        "entity_id", "placed_at", flag(F.col("last_code") == stage).alias("in_stage"), "moved_at",
+        "entity_id", "customer_id", number.alias("consultation_number"), "placed_at",
+        F.col("platform").alias("order_platform"), "place",
+        F.coalesce(lookup(states, F.col("last_code")), F.lit("Under_Process")).alias("order_status"),
+        *[flag(F.col(c)).alias(c) for c in ("new_customer", "cart", "chronic", "courier")], "staff_name",
+        staff_category(F.col("staff"), partners).alias("staff_category"),
+        lookup(names, F.col("last_code")).alias("final_action"),
+        F.when(F.col("_canned"), 1).alias("cancelled_before_response"),
+        flag(F.col("last_code") == stage).alias("in_stage"), "moved_at",
         "assigned_at", "first_response_at", "first_done_at", "last_done_at", "rejected_at", "holds",
+        flag(F.col("kind") == issue_type).alias("issue_flag"), lookup(sources, F.col("source")).alias("case_source"),
         overall("last_done_at").alias("last_done_minutes"),
         office("last_done_at").alias("last_done_office_minutes"),
         overall("first_done_at").alias("first_done_minutes"),
@@ -122,12 +146,18 @@ def live_tracker(program: DataFrame, history: DataFrame, stage: int, as_of: str,
 
 
 def program_funnel(fact: DataFrame, orders: DataFrame, answers: DataFrame, dims: Sequence[str],
-                   bounds: Sequence[int] = (30, 60, 90, 120)) -> DataFrame:
-    """Totals per date, drop-off stage, response bucket and dims."""
-    won = F.col("last_code") == 4
+                   own_reasons: Sequence[str], bounds: Sequence[int] = (30, 60, 90, 120)) -> DataFrame:
+    """Totals per date, drop-off stage, response bucket, cancellation, rejection and the order's dims.
+
+    `orders` has status, value, customer and the time and reason of a
+    cancellation or rejection. A rejection for one of `own_reasons` counts as
+    the office's or the customer's. A case without a status has no drop-off stage.
+    """
+    status, won = F.col("status"), F.col("latest_status") == 4
     drop = (F.when(won & done(), "1_Done Fulfilled").when(won, "2_Done")
             .when(F.col("first_response_at").isNotNull(), "3_Reached Out")
-            .when(F.col("first_assigned_at").isNotNull(), "4_Assigned").otherwise("5_Moved"))
+            .when(F.col("first_assigned_at").isNotNull(), "4_Assigned")
+            .when(F.col("latest_status").isNotNull(), "5_Moved"))
     bucket, low = None, 0
     frt = F.col("response_office_minutes")
     for i, b in enumerate(bounds, 1):
@@ -135,23 +165,32 @@ def program_funnel(fact: DataFrame, orders: DataFrame, answers: DataFrame, dims:
         bucket = F.when(frt <= b, text) if bucket is None else bucket.when(frt <= b, text)
         low = b
     bucket = bucket.otherwise(f"{len(bounds) + 1}) > {low} mins")
+    closed = F.when(status == 8, "Cancellation").when(status == 2, "Rejection")
+    refused = F.when(F.col("rejection_reason").isin(*own_reasons), "Admin/User").when(
+        F.col("rejection_reason").isNotNull(), "Staff")
     rows = fact.join(orders, "entity_id").join(answers, "entity_id", "left")
     n = lambda c: F.count(F.when(c, 1))
-    status = F.col("status")
-    return rows.groupBy(F.to_date("placed_at").alias("placed_on"), "consultation_type",
-                        drop.alias("funnel_drop"), bucket.alias("response_bucket"), *dims).agg(
-        F.count(F.lit(1)).alias("orders"), n(done()).alias("fulfilled"), n(status == 2).alias("rejected"),
-        n(status == 8).alias("cancelled"), n(~status.isin(2, 8, 9, 10)).alias("open"),
+    seconds = lambda c: F.sum(F.round(F.col(c) * 60).cast("long"))
+    return rows.groupBy(
+        F.to_date("placed_at").alias("placed_on"), "consultation_type", drop.alias("funnel_drop"),
+        bucket.alias("response_bucket"), closed.alias("closed_bucket"), "closed_reason", "staff_category",
+        F.col("order_source").alias("case_source"), "rejection_reason", refused.alias("rejection_bucket"),
+        *dims).agg(
+        F.count(F.lit(1)).alias("orders"), F.count("customer_id").alias("customers"), n(done()).alias("fulfilled"),
+        n(status == 2).alias("rejected"), n(status == 8).alias("cancelled"),
+        n(~status.isin(2, 8, 9, 10)).alias("open"), n(F.col("issue_flag") == 1).alias("issue_orders"),
         n(F.col("first_response_at").isNotNull()).alias("responded"),
         F.sum(F.when(F.col("first_response_at").isNotNull(), F.col("attempts"))).alias("attempts"),
         n(F.col("holds") > 0).alias("held_orders"), F.sum("holds").alias("holds"),
         F.sum("value").alias("value"), F.sum("answers").alias("answers"),
+        F.sum(boundary_diff("minute", "first_moved_at", "closed_at")).alias("minutes_to_close"),
         n(F.col("first_done_at").isNotNull()).alias("done_orders"),
         F.sum("internal_breach").alias("internal_breaches"),
         F.sum("committed_breach").alias("committed_breaches"),
         F.sum("overall_breach").alias("overall_breaches"),
-        F.sum(F.round(F.col("response_office_minutes") * 60).cast("long")).alias("response_office_seconds"),
-        F.sum(F.round(F.col("first_done_office_minutes") * 60).cast("long")).alias("done_office_seconds"))
+        seconds("response_office_minutes").alias("response_office_seconds"),
+        seconds("first_done_office_minutes").alias("done_office_seconds"),
+        seconds("last_done_office_minutes").alias("last_done_office_seconds"))
 
 
 def phone_order_detail(orders: DataFrame, history: DataFrame, items: DataFrame, upload: int,

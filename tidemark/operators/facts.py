@@ -19,22 +19,26 @@ def _label(mapping: Mapping, column: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])[column]
 
 
-def task_fact(case_log: DataFrame, actions: Mapping[int, str], call: int, hangup: int,
-              inactive: int, done: int, start: str, as_of: str,
+def task_fact(case_log: DataFrame, profiles: DataFrame, actions: Mapping[int, str], call: int, answered: int,
+              hangup: int, inactive: int, done: int, start: str, as_of: str,
               benchmarks: Mapping[str, int] = BENCHMARKS) -> DataFrame:
-    """One row per task of a case log: call times, outcome, counts, neighbours within the case."""
+    """One row per task of a case log: call times, outcome, reason, counts, neighbours within the case.
+
+    The log has the order of the case and the reason of a rejection; `profiles`
+    gives the profile of an owner.
+    """
     c, at = F.col("code"), F.col("made_at")
     on = lambda *codes: F.when(c.isin(*codes), at)
     ended = [*actions, hangup]
     first_done = case_log.filter(c == done).groupBy("case_id").agg(F.min(at).alias("first_done_at"))
     log = case_log.join(first_done, "case_id", "left")
-    tasks = log.groupBy("task_id", "case_id", "task_type").agg(
+    tasks = log.groupBy("task_id", "order_id", "case_id", "task_type").agg(
         F.max("owner").alias("owner"), F.min(at).alias("assigned_at"),
         F.min(on(call)).alias("first_call_at"), F.max(on(call)).alias("last_call_at"),
         F.min(on(hangup)).alias("first_hangup_at"), F.max(on(hangup)).alias("last_hangup_at"),
         F.max(on(*actions)).alias("actioned_at"), F.max(on(*ended)).alias("detached_at"),
-        F.max(_label(actions, c)).alias("action"),
-        F.count_distinct(on(call)).alias("attempts"),
+        F.max(_label(actions, c)).alias("action"), F.max("reason").alias("reject_reason"),
+        F.count_distinct(on(call)).alias("attempts"), F.count_distinct(on(answered)).alias("connected"),
         F.count_distinct(on(hangup)).alias("hangups"),
         F.count_distinct(on(inactive)).alias("notified"),
         F.max(F.when(c == inactive, 1).otherwise(0)).alias("inactive_flag"),
@@ -44,7 +48,8 @@ def task_fact(case_log: DataFrame, actions: Mapping[int, str], call: int, hangup
     seq = KeyedSequence(kept, ["case_id"], [F.col("assigned_at"), F.col("task_id")],
                         hour_lane("assigned_at"))
     linked = seq.shift({"previous_task_id": ("task_id", -1), "next_task_id": ("task_id", 1)}).frame()
-    return linked.withColumn("expected_seconds", _label(benchmarks, F.col("action")).cast("long"))
+    return linked.join(profiles, "owner", "left").withColumn(
+        "expected_seconds", _label(benchmarks, F.col("action")).cast("long"))
 
 
 def changed_tasks(case_log: DataFrame, since: str) -> DataFrame:
@@ -62,11 +67,33 @@ def changed_orders(program: DataFrame, fact: DataFrame, as_of: str, days: int =
             .select("entity_id").distinct())
 
 
+def latest_reason(log: DataFrame, name: str) -> DataFrame:
+    """The reason given last for each entity; of equal times the greater reason."""
+    return log.groupBy("entity_id").agg(F.max_by("reason", F.struct("made_at", "reason")).alias(name))
+
+
+def staff_category(staff: Column, partners: Sequence[int]) -> Column:
+    return F.when(staff.isin(*partners), "Third_Party").when(staff.isNull(), "Not Applicable").otherwise("House")
+
+
+def cancelled_first(first_response: str, next_code: str, out_at: str, cancelled: int, grace: int) -> Column:
+    """The first stay ended in a cancellation before anyone answered, or within `grace` seconds of the answer."""
+    quick = boundary_diff("second", first_response, out_at) < grace
+    return F.coalesce((F.col(next_code) == cancelled) & (quick | F.col(first_response).isNull()), F.lit(False))
+
+
 def consultation_fact(changed: DataFrame, program: DataFrame, history: DataFrame,
-                      order_history: DataFrame, stage: int, cancelled: int, moved: Sequence[int],
+                      order_history: DataFrame, staff: DataFrame, rejections: DataFrame,
+                      refusals: DataFrame, stage: int, cancelled: int, moved: Sequence[int],
                       assigned: int, responses: Sequence[int], done: int, rejected: int, held: int,
-                      sla: tuple[int, int] = (90, 120), grace: int = 40) -> DataFrame:
-    """One row per changed order: responses, turnaround over the clock and office hours, SLA flags."""
+                      sources: Mapping[int, str], partners: Sequence[int], customer_reasons: Sequence[str],
+                      issue_type: int = 2, sla: tuple[int, int] = (90, 120), grace: int = 40) -> DataFrame:
+    """One row per changed order: who and why, responses, turnaround over the clock and office hours, SLA flags.
+
+    `program` has the case's staff id, source, type, requested time and last
+    code; `rejections` and `refusals` are logs of (entity_id, made_at, reason),
+    of which the latest counts.
+    """
     c, at = F.col("code"), F.col("made_at")
     on = lambda *codes: F.when(c.isin(*codes), at)
     ids = changed.select("entity_id")
@@ -88,20 +115,26 @@ def consultation_fact(changed: DataFrame, program: DataFrame, history: DataFrame
         F.min("entity_id").alias("_won"))
     wide = (program.join(ids, "entity_id", "left_semi").join(act, "entity_id")
             .join(visits, "entity_id").join(first, "entity_id", "left")
-            .join(won, "customer_id", "left"))
-    quick = boundary_diff("second", "_first_resp", "out_at") < grace
-    canned = F.coalesce((F.col("next_code") == cancelled)
-                        & (quick | F.col("_first_resp").isNull()), F.lit(False))
-    wide = wide.withColumn("_canned", canned)
+            .join(won, "customer_id", "left").join(staff, "staff", "left")
+            .join(latest_reason(rejections, "rejection_reason"), "entity_id", "left")
+            .join(latest_reason(refusals, "refuse_reason"), "entity_id", "left"))
+    wide = wide.withColumn("_canned", cancelled_first("_first_resp", "next_code", "out_at", cancelled, grace))
+    by = F.when(F.col("rejection_reason").isin(*customer_reasons), "customer/other").when(
+        F.col("rejection_reason").isNotNull(), "staff")
     over = lambda end: (epoch(end) - epoch("first_moved_at")) / 60
     office = lambda end: office_seconds("first_moved_at", end) / 60
     live = lambda e: F.when(~F.col("_canned"), e)
     late = lambda e, m: F.when(e > m, 1).otherwise(0)
     frt = office("_first_resp")
     return wide.select(
-        "entity_id", "customer_id", "placed_at",
+        "entity_id", "customer_id", "placed_at", "staff_name",
+        staff_category(F.col("staff"), partners).alias("staff_category"),
+        _label(sources, F.col("source")).alias("order_source"), "requested_at",
+        F.col("last_code").alias("latest_status"),
         F.when(F.col("entity_id") > F.col("_won"), "Repeat").otherwise("First Time")
         .alias("consultation_type"),
+        F.when(F.col("kind") == issue_type, 1).otherwise(0).alias("issue_flag"), "refuse_reason",
+        "rejection_reason", by.alias("rejected_by"),
         F.when(F.col("_canned"), 1).alias("cancelled_before_response"), "instances", "attempts",
         "holds", "first_moved_at", "first_assigned_at", "first_response",
         live(F.col("_first_resp")).alias("first_response_at"), "last_response", "last_response_at",

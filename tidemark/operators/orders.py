@@ -57,7 +57,8 @@ def order_wide(orders: DataFrame, flags: DataFrame, items: DataFrame, customer_f
     refilled = F.coalesce(F.col("_refill"), F.lit(False))
     cols = wide.select(
         "order_id", "customer_id", "phone", F.col("placed_at").alias("placed_time"), "value", "city",
-        "hub", lookup(channels, F.col("channel")).alias("source"),
+        "hub", flag(F.col("carrier")).alias("courier_flag"), F.col("channel").alias("platform"),
+        lookup(channels, F.col("channel")).alias("source"),
         *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names],
         flag(F.col("_chronic")).alias("customer_chronic_flag"),
         flag(cart & F.col("_free")).alias("cart_without_rx_flag"),
@@ -232,7 +233,7 @@ def rx_validation(orders: DataFrame, lines: DataFrame, notes: DataFrame, fields:
     open_ended = F.when(F.col("chronic"), 3 * 365).otherwise(6 * 30)
     days = F.coalesce(F.col("duration") * lookup(unit_days, F.col("unit")),
                       F.when(F.col("unit").isin("lifetime", "not-mentioned"), open_ended))
-    return rows.groupBy("order_id", "placed_at", "city", "hub").agg(
+    return rows.groupBy("order_id", "placed_at", "city", "hub", flag(F.col("in_program")).alias("program_flag")).agg(
         F.max(flag(F.col("unit").isNull())).alias("some_item_without_rx"),
         F.min("prescribed_at").alias("prescribed_at"),
         *[F.max(flag(F.col(f).isNotNull())).alias(f"{f}_flag") for f in fields],
@@ -242,24 +243,34 @@ def rx_validation(orders: DataFrame, lines: DataFrame, notes: DataFrame, fields:
 
 
 def overdue_orders(orders: DataFrame, last_change: DataFrame, subs: DataFrame, direct: DataFrame,
-                   geo: DataFrame, stages: Mapping[int, str], owners: Mapping[int, str],
-                   as_of: str) -> DataFrame:
-    """Open orders placed noon to noon up to the as-of day, with stage, owner and idle time."""
+                   geo: DataFrame, corporate: DataFrame, courier: DataFrame, stages: Mapping[int, str],
+                   owners: Mapping[int, str], as_of: str, lag_minutes: int = 10) -> DataFrame:
+    """Open orders placed noon to noon up to the as-of day, with promise, type, stage, owner and idle time.
+
+    `corporate` and `courier` list order ids of those types; idle time runs to
+    `lag_minutes` before the as-of time, the delay of the source's loading.
+    """
     now = moment(as_of)
+    loaded = F.timestamp_add("MINUTE", F.lit(-lag_minutes), now)
     noon = F.timestamp_add("HOUR", F.lit(12), F.to_date(now).cast("timestamp_ntz"))
     window = F.col("placed_at").between(F.timestamp_add("DAY", F.lit(-1), noon), noon)
     firsts = subs.groupBy("subscription_id").agg(F.min("order_id").alias("first_order"))
     refill = subs.join(firsts, "subscription_id").groupBy("order_id").agg(
         F.max(F.col("order_id") > F.col("first_order")).alias("again"))
+    mark = lambda df, name: df.select("order_id").distinct().withColumn(name, F.lit(True))
     rows = (orders.filter(window & F.col("status").isin(*stages))
             .join(direct, "order_id", "left_anti").join(refill, "order_id", "left")
+            .join(mark(corporate, "_corporate"), "order_id", "left")
+            .join(mark(courier, "_courier"), "order_id", "left")
             .join(last_change, "order_id", "left").join(geo, "customer_id", "left"))
     return rows.select(
-        "order_id", "placed_at", "hub", lookup(stages, F.col("status")).alias("current_status"),
+        "order_id", "placed_at", F.to_date("promised_at").alias("promised_on"), "hub",
+        lookup(stages, F.col("status")).alias("current_status"),
         lookup(owners, F.col("status")).alias("responsible"),
-        F.when(F.col("again"), "refill").alias("order_type"),
-        boundary_diff("minute", "changed_at", now).alias("minutes_since_change"),
-        boundary_diff("hour", "changed_at", now).alias("hours_since_change"))
+        F.when(F.col("_corporate"), "corporate").when(F.col("again"), "refill").when(F.col("_courier"), "courier")
+        .alias("order_type"),
+        boundary_diff("minute", "changed_at", loaded).alias("minutes_since_change"),
+        boundary_diff("hour", "changed_at", loaded).alias("hours_since_change"))
 
 
 def subscription_matrix(orders: DataFrame, subs: DataFrame, dims: Sequence[str],
@@ -280,11 +291,16 @@ def subscription_matrix(orders: DataFrame, subs: DataFrame, dims: Sequence[str],
     sums = {
         "total_orders": F.count(F.lit(1)), "delivered_orders": n(ok), "refill_orders": n(refill),
         "refill_delivered_orders": n(refill & ok),
+        "refill_rejected_orders": n(refill & (F.col("status") == 2)),
         "refill_cancelled_orders": n(refill & (F.col("status") == 8)),
         **{f"refill_{t}_orders": n(refill & ok & (F.col("_time") == t))
            for t in ("on_time", "before_time", "after_time")},
+        "refill_feedback": F.sum(F.when(refill & ok, F.col("feedback"))),
+        "refill_feedbacks": F.count(F.when(refill & ok, F.col("feedback"))),
         "refill_value": F.sum(F.when(refill & ok, F.col("value"))),
-        "delivered_value": F.sum(F.when(ok, F.col("value")))}
+        "refill_discounted_value": F.sum(F.when(refill & ok, F.col("discounted_value"))),
+        "delivered_value": F.sum(F.when(ok, F.col("value"))),
+        "delivered_discounted_value": F.sum(F.when(ok, F.col("discounted_value")))}
     per = rows.groupBy(*dims, "customer_id").agg(*[e.alias(k) for k, e in sums.items()])
     return per.groupBy(*dims).agg(
         *[F.sum(k).alias(k) for k in sums],

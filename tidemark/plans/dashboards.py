@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import dashboards as db
-from tidemark.plans.facts import office_sql
+from tidemark.plans.facts import CASES_SQL, PARTNERS, SOURCES, office_sql, staff
 from tidemark.plans.registry import QUERIES, SQL, query
 from tidemark.plans.views import EVENTS_AS_OF, ORDERS_AS_OF, PARTNER, PHONE
 
@@ -72,13 +72,44 @@ def _(t):
 _NOW = "TIMESTAMP '2024-01-30 12:00:00'"
 
 
+STATES = {4: "Fulfilled", 3: "In_Stage", 5: "Cancelled", 2: "Rejected"}
+_CASE = lambda column, names: f"CASE {column} {' '.join(f'WHEN {k} THEN {v!r}' for k, v in names.items())}"
+
+
+def _tracked(t):
+    return _entities(t).withColumns({
+        "customer_id": F.col("entity_id") % 50, "platform": F.col("segment"), "place": F.col("hub"),
+        "new_customer": F.col("entity_id") % 2 == 0, "cart": F.col("entity_id") % 3 == 0,
+        "chronic": F.col("entity_id") % 5 == 0, "courier": F.col("entity_id") % 4 == 1,
+        "staff": F.col("owner"), "source": F.col("entity_id") % 12, "kind": F.col("entity_id") % 3})
+
+
 @query("a54_live_tracker", f"""
     WITH {_ENTITY}, {_TIMES},
+    coarse AS (
+        SELECT entity_id, code, lead(code) OVER (PARTITION BY entity_id ORDER BY id) AS next_code,
+               lead(made_at) OVER (PARTITION BY entity_id ORDER BY id) AS next_at,
+               row_number() OVER (PARTITION BY entity_id, code = 3 ORDER BY id) AS n FROM status_log WHERE code IN (1, 3, 5)),
+    won AS (SELECT entity_id % 50 AS customer_id, min(entity_id) AS won FROM entity WHERE last_code = 4 GROUP BY 1),
+    answered AS (
+        SELECT t.* REPLACE (CASE WHEN k.next_code IS DISTINCT FROM 5 OR date_diff('second', t.first_response_at, k.next_at) >= 40
+                            THEN t.first_response_at END AS first_response_at),
+               coalesce(k.next_code = 5 AND (date_diff('second', t.first_response_at, k.next_at) < 40 OR t.first_response_at IS NULL), false) AS canned
+        FROM times t LEFT JOIN coarse k ON k.entity_id = t.entity_id AND k.code = 3 AND k.n = 1),
     mins AS (
-        SELECT e.entity_id, e.placed_at, CASE WHEN e.last_code = 3 THEN 1 ELSE 0 END AS in_stage, t.* EXCLUDE (entity_id, last_response_at, attempts),
+        SELECT e.entity_id, e.entity_id % 50 AS customer_id,
+               CASE WHEN e.entity_id = w.won THEN 'First Successful Consultation' WHEN e.entity_id > w.won THEN 'Repeat'
+                    ELSE 'Zero Successful Consultations' END AS consultation_number, e.placed_at, e.segment AS order_platform, e.hub AS place,
+               {_CASE('e.last_code', STATES)} ELSE 'Under_Process' END AS order_status,
+               CASE WHEN e.entity_id % 2 = 0 THEN 1 ELSE 0 END AS new_customer, CASE WHEN e.entity_id % 3 = 0 THEN 1 ELSE 0 END AS cart,
+               CASE WHEN e.entity_id % 5 = 0 THEN 1 ELSE 0 END AS chronic, CASE WHEN e.entity_id % 4 = 1 THEN 1 ELSE 0 END AS courier,
+               'Dr ' || e.owner AS staff_name, CASE WHEN e.owner IN (1, 2) THEN 'Third_Party' WHEN e.owner IS NULL THEN 'Not Applicable' ELSE 'House' END AS staff_category,
+               {_CASE('e.last_code', NAMES)} END AS final_action, CASE WHEN t.canned THEN 1 END AS cancelled_before_response,
+               CASE WHEN e.entity_id % 3 = 2 THEN 1 ELSE 0 END AS issue_flag, {_CASE('e.entity_id % 12', SOURCES)} END AS case_source,
+               CASE WHEN e.last_code = 3 THEN 1 ELSE 0 END AS in_stage, t.* EXCLUDE (entity_id, last_response_at, attempts, canned),
                ({office_sql('moved_at', 'last_done_at')}) / 60 AS ldo, ({office_sql('moved_at', 'first_done_at')}) / 60 AS fdo,
-               ({office_sql('moved_at', 'first_response_at')}) / 60 AS fro, ({office_sql('moved_at', _NOW)}) / 60 AS age
-        FROM entity e JOIN times t USING (entity_id)),
+               ({office_sql('moved_at', 't.first_response_at')}) / 60 AS fro, ({office_sql('moved_at', _NOW)}) / 60 AS age
+        FROM entity e JOIN answered t USING (entity_id) LEFT JOIN won w ON w.customer_id = e.entity_id % 50),
     acts AS (
         SELECT entity_id, id AS action_id, CASE code {" ".join(f"WHEN {k} THEN '{v}'" for k, v in NAMES.items())} END AS action, made_at AS changed_at,
                CASE date_diff('day', made_at::DATE, DATE '2024-01-30') {" ".join(f"WHEN {k} THEN '{v}'" for k, v in db.DAY_LABELS.items())} END AS day_filter,
@@ -86,55 +117,77 @@ _NOW = "TIMESTAMP '2024-01-30 12:00:00'"
                r AS action_rank, date_diff('second', made_at, next_at) AS gap
         FROM (SELECT *, date_diff('minute', made_at, {_NOW}) AS m, rank() OVER (PARTITION BY entity_id ORDER BY id) AS r FROM step)),
     recent AS (SELECT * EXCLUDE (gap) FROM acts WHERE (gap > 2 OR gap IS NULL) AND (day_filter IS NOT NULL OR hour24_filter IS NOT NULL))
-    SELECT m.entity_id, placed_at, in_stage, moved_at, assigned_at, first_response_at, first_done_at, last_done_at, rejected_at, holds,
+    SELECT m.* EXCLUDE (ldo, fdo, fro, age),
            date_diff('second', moved_at, last_done_at) / 60 AS last_done_minutes, CASE WHEN last_done_at IS NOT NULL THEN ldo END AS last_done_office_minutes,
            date_diff('second', moved_at, first_done_at) / 60 AS first_done_minutes, CASE WHEN first_done_at IS NOT NULL THEN fdo END AS first_done_office_minutes,
            date_diff('second', moved_at, first_response_at) / 60 AS response_minutes,
            CASE WHEN first_response_at IS NOT NULL THEN fro END AS response_office_minutes, age AS age_office_minutes,
-           CASE WHEN coalesce(fro, age) > 60 THEN 1 ELSE 0 END AS internal_breach, CASE WHEN coalesce(fro, age) > 120 THEN 1 ELSE 0 END AS committed_breach,
+           CASE WHEN coalesce(CASE WHEN first_response_at IS NOT NULL THEN fro END, age) > 60 THEN 1 ELSE 0 END AS internal_breach,
+           CASE WHEN coalesce(CASE WHEN first_response_at IS NOT NULL THEN fro END, age) > 120 THEN 1 ELSE 0 END AS committed_breach,
            CASE WHEN first_done_at IS NOT NULL THEN CASE WHEN fdo > 120 THEN 1 ELSE 0 END END AS overall_breach,
            r.* EXCLUDE (entity_id)
     FROM mins m LEFT JOIN recent r USING (entity_id) WHERE in_stage = 1 OR r.action_id IS NOT NULL""")
 def _(t):
-    return db.live_tracker(_entities(t), t.status_log, 3, EVENTS_AS_OF, NAMES)
+    """The case history stands in for the order's; its code 5 for a cancellation."""
+    return db.live_tracker(_tracked(t), t.status_log, t.status_log.filter("code in (1, 3, 5)"), staff(t), 3, 5,
+                           EVENTS_AS_OF, NAMES, STATES, SOURCES, PARTNERS)
 
 
 _FACT = SQL["a79_consultation_fact"]
 
 
+_FUNNEL_DIMS = ["platform", "place", "corporate", "new_customer", "cart", "chronic", "courier"]
+_OWN = ["Order Cancelled by user", "Order Cancelled By Moderator"]
+
+
 @query("a62_program_funnel", f"""
     WITH consulted AS ({_FACT}), {_ENTITY},
     paid AS (SELECT user_id AS entity_id, sum(round(value * 100)::BIGINT)::BIGINT AS value,
                     count(*) FILTER (event_type = 'purchase') AS answers FROM events GROUP BY 1),
     base AS (
-        SELECT f.*, e.segment, e.last_code, CASE e.last_code WHEN 4 THEN CASE WHEN e.entity_id % 2 = 0 THEN 9 ELSE 1 END WHEN 5 THEN 8 WHEN 3 THEN 2 ELSE 1 END AS status,
-               p.value, p.answers
-        FROM consulted f JOIN entity e USING (entity_id) JOIN paid p USING (entity_id))
+        SELECT f.*, e.segment AS platform, e.hub AS place, f.entity_id % 6 = 1 AS corporate, f.entity_id % 2 = 0 AS new_customer,
+               f.entity_id % 3 = 0 AS cart, f.entity_id % 5 = 0 AS chronic, f.entity_id % 4 = 1 AS courier,
+               CASE latest_status WHEN 4 THEN CASE WHEN f.entity_id % 2 = 0 THEN 9 ELSE 1 END WHEN 5 THEN 8 WHEN 3 THEN 2 ELSE 1 END AS status,
+               CASE WHEN latest_status IN (3, 5) THEN 'closed for ' || (f.entity_id % 4) END AS closed_reason,
+               CASE WHEN latest_status IN (3, 5) THEN f.placed_at + INTERVAL 2 DAY END AS closed_at, p.value, p.answers
+        FROM consulted f JOIN entity e ON e.entity_id = f.entity_id JOIN paid p ON p.entity_id = f.entity_id)
     SELECT placed_at::DATE AS placed_on, consultation_type,
-           CASE WHEN last_code = 4 AND status IN (9, 10) THEN '1_Done Fulfilled' WHEN last_code = 4 THEN '2_Done'
-                WHEN first_response_at IS NOT NULL THEN '3_Reached Out' WHEN first_assigned_at IS NOT NULL THEN '4_Assigned' ELSE '5_Moved' END AS funnel_drop,
+           CASE WHEN latest_status = 4 AND status IN (9, 10) THEN '1_Done Fulfilled' WHEN latest_status = 4 THEN '2_Done'
+                WHEN first_response_at IS NOT NULL THEN '3_Reached Out' WHEN first_assigned_at IS NOT NULL THEN '4_Assigned'
+                WHEN latest_status IS NOT NULL THEN '5_Moved' END AS funnel_drop,
            CASE WHEN response_office_minutes <= 30 THEN '1) 0 to 30 mins' WHEN response_office_minutes <= 60 THEN '2) 30 to 60 mins'
                 WHEN response_office_minutes <= 90 THEN '3) 60 to 90 mins' WHEN response_office_minutes <= 120 THEN '4) 90 to 120 mins' ELSE '5) > 120 mins' END AS response_bucket,
-           segment, count(*) AS orders, count(*) FILTER (status IN (9, 10)) AS fulfilled, count(*) FILTER (status = 2) AS rejected,
-           count(*) FILTER (status = 8) AS cancelled, count(*) FILTER (status NOT IN (2, 8, 9, 10)) AS open,
+           CASE status WHEN 8 THEN 'Cancellation' WHEN 2 THEN 'Rejection' END AS closed_bucket, closed_reason, staff_category,
+           order_source AS case_source, rejection_reason,
+           CASE WHEN rejection_reason IN ({", ".join(f"'{r}'" for r in _OWN)}) THEN 'Admin/User' WHEN rejection_reason IS NOT NULL THEN 'Staff' END AS rejection_bucket,
+           {", ".join(_FUNNEL_DIMS)}, count(*) AS orders, count(customer_id) AS customers, count(*) FILTER (status IN (9, 10)) AS fulfilled,
+           count(*) FILTER (status = 2) AS rejected, count(*) FILTER (status = 8) AS cancelled,
+           count(*) FILTER (status NOT IN (2, 8, 9, 10)) AS open, count(*) FILTER (issue_flag = 1) AS issue_orders,
            count(*) FILTER (first_response_at IS NOT NULL) AS responded, sum(attempts) FILTER (first_response_at IS NOT NULL)::BIGINT AS attempts,
            count(*) FILTER (holds > 0) AS held_orders, sum(holds)::BIGINT AS holds, sum(value)::BIGINT AS value, sum(answers)::BIGINT AS answers,
+           sum(date_diff('minute', first_moved_at, closed_at))::BIGINT AS minutes_to_close,
            count(*) FILTER (first_done_at IS NOT NULL) AS done_orders, sum(internal_breach)::BIGINT AS internal_breaches,
            sum(committed_breach)::BIGINT AS committed_breaches, sum(overall_breach)::BIGINT AS overall_breaches,
            sum(round(response_office_minutes * 60)::BIGINT)::BIGINT AS response_office_seconds,
-           sum(round(first_done_office_minutes * 60)::BIGINT)::BIGINT AS done_office_seconds
-    FROM base GROUP BY 1, 2, 3, 4, 5""")
+           sum(round(first_done_office_minutes * 60)::BIGINT)::BIGINT AS done_office_seconds,
+           sum(round(last_done_office_minutes * 60)::BIGINT)::BIGINT AS last_done_office_seconds
+    FROM base GROUP BY ALL""")
 def _(t):
     fact = QUERIES["a79_consultation_fact"](t.spark, t.folder)
-    done = F.when(F.col("entity_id") % 2 == 0, 9).otherwise(1)
+    code, i = F.col("last_code"), F.col("entity_id")
+    closed = code.isin(3, 5)
     orders = _entities(t).select(
-        "entity_id", "segment", "last_code",
-        F.when(F.col("last_code") == 4, done).when(F.col("last_code") == 5, 8)
-        .when(F.col("last_code") == 3, 2).otherwise(1).alias("status"))
+        "entity_id", F.col("segment").alias("platform"), F.col("hub").alias("place"),
+        (i % 6 == 1).alias("corporate"), (i % 2 == 0).alias("new_customer"), (i % 3 == 0).alias("cart"),
+        (i % 5 == 0).alias("chronic"), (i % 4 == 1).alias("courier"),
+        F.when(code == 4, F.when(i % 2 == 0, 9).otherwise(1)).when(code == 5, 8)
+        .when(code == 3, 2).otherwise(1).alias("status"),
+        F.when(closed, F.concat(F.lit("closed for "), (i % 4).cast("string"))).alias("closed_reason"),
+        F.when(closed, F.timestamp_add("DAY", F.lit(2), "placed_at")).alias("closed_at"))
     paid = t.events.groupBy(F.col("user_id").alias("entity_id")).agg(
         F.sum(F.round(F.col("value") * 100).cast("long")).alias("value"),
         F.count(F.when(F.col("event_type") == "purchase", 1)).alias("answers"))
-    return db.program_funnel(fact, orders, paid, ["segment"])
+    return db.program_funnel(fact, orders, paid, _FUNNEL_DIMS, _OWN)
 
 
 OUTCOMES = {2: "uploaded", 4: "moved to program", 5: "cancelled", 3: "rejected"}

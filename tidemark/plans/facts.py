@@ -28,11 +28,26 @@ def _(t):
     return check_unique(t.fact, "task_id")
 
 
-_CASES = """
+# fixed values: sources of a case, and the reasons that are the customer's
+SOURCES = {1: "Offline Panel", 2: "Order Without Prescription", 3: "Help Me", 4: "Centralize Calling",
+           5: "Consumer App Doctor Push", 6: "Order Without Prescription (Consumer App)", 7: "Tech Bot",
+           8: "Subscription", 9: "Order On Call", 10: "Order Rejected"}
+CUSTOMER_REASONS = ["Order Cancelled by user", "Order Cancelled By Moderator", "Customer not receiving call"]
+PARTNERS = [1, 2]
+_REASONS = ["Order Cancelled by user", "Unclear image", "Order Cancelled By Moderator", "Dose not given"]
+
+CASES_SQL = _CASES = """
     cases AS (
         SELECT entity_id, entity_id % 50 AS customer_id, min(made_at) AS placed_at,
-               max(made_at) AS updated_at, arg_max(code, id) AS last_code
+               max(made_at) AS updated_at, arg_max(code, id) AS last_code,
+               CASE WHEN entity_id % 7 <> 6 THEN entity_id % 7 END AS staff, entity_id % 12 AS source,
+               entity_id % 3 AS kind, min(made_at) + INTERVAL 10 MINUTE AS requested_at
         FROM status_log GROUP BY 1)"""
+_STAFF = f"""
+    rejections AS (SELECT entity_id, max_by(reason, (made_at, reason)) AS rejection_reason FROM (
+        SELECT entity_id, made_at, ({_REASONS!r})[(id % 4 + 1)::INT] AS reason FROM status_log WHERE code = 3) GROUP BY 1),
+    refusals AS (SELECT entity_id, max_by(reason, (made_at, reason)) AS refuse_reason FROM (
+        SELECT entity_id, made_at, 'refused ' || (id % 5) AS reason FROM status_log WHERE code = 1 AND id % 4 = 0) GROUP BY 1)"""
 _CHANGED = """
     changed AS (
         SELECT DISTINCT c.entity_id FROM cases c
@@ -44,7 +59,25 @@ _CHANGED = """
 def _cases(t):
     return t.status_log.groupBy("entity_id").agg(
         F.min("made_at").alias("placed_at"), F.max("made_at").alias("updated_at"),
-        F.max_by("code", "id").alias("last_code")).withColumn("customer_id", F.col("entity_id") % 50)
+        F.max_by("code", "id").alias("last_code")).withColumns({
+            "customer_id": F.col("entity_id") % 50, "kind": F.col("entity_id") % 3,
+            "staff": F.when(F.col("entity_id") % 7 != 6, F.col("entity_id") % 7),
+            "source": F.col("entity_id") % 12, "requested_at": F.timestamp_add("MINUTE", F.lit(10), "placed_at")})
+
+
+def staff(t):
+    return t.spark.range(6).select(F.col("id").alias("staff"), F.concat(F.lit("Dr "), "id").alias("staff_name"))
+
+
+def _rejections(t):
+    names = F.array(*map(F.lit, _REASONS))
+    return t.status_log.filter("code = 3").select(
+        "entity_id", "made_at", F.element_at(names, (F.col("id") % 4 + 1).cast("int")).alias("reason"))
+
+
+def _refusals(t):
+    return t.status_log.filter("code = 1 and id % 4 = 0").select(
+        "entity_id", "made_at", F.concat(F.lit("refused "), (F.col("id") % 5).cast("string")).alias("reason"))
 
 
 def _changed(t):
@@ -84,7 +117,7 @@ def _(t):
 
 
 @query("a79_consultation_fact", f"""
-    WITH {_CASES}, {_CHANGED},
+    WITH {_CASES}, {_CHANGED}, {_STAFF},
     acts AS (
         SELECT entity_id, min(made_at) FILTER (code IN (1, 2)) AS first_moved_at,
                min(made_at) FILTER (code = 2) AS first_assigned_at, max(made_at) FILTER (code = 2) AS last_assigned_at,
@@ -111,17 +144,24 @@ def _(t):
                FROM coarse WHERE code = 1 GROUP BY 1),
     won AS (SELECT customer_id, min(entity_id) AS won FROM cases WHERE last_code = 4 GROUP BY 1),
     wide AS (
-        SELECT c.entity_id, c.customer_id, c.placed_at, a.* EXCLUDE (entity_id), e.* EXCLUDE (entity_id),
+        SELECT c.entity_id, c.customer_id, c.placed_at, c.staff, c.source, c.kind, c.requested_at, c.last_code,
+               r.rejection_reason, f.refuse_reason, a.* EXCLUDE (entity_id), e.* EXCLUDE (entity_id),
                v.instances, v.last_moved_at, w.won,
                coalesce(k.next_code = 3 AND (date_diff('second', a.resp, k.next_at) < 40 OR a.resp IS NULL), false) AS canned
         FROM changed JOIN cases c USING (entity_id) JOIN acts a USING (entity_id) LEFT JOIN ends e USING (entity_id)
         JOIN visits v USING (entity_id) LEFT JOIN coarse k ON k.entity_id = c.entity_id AND k.code = 1 AND k.n = 1
-        LEFT JOIN won w ON w.customer_id = c.customer_id),
+        LEFT JOIN won w ON w.customer_id = c.customer_id LEFT JOIN rejections r ON r.entity_id = c.entity_id
+        LEFT JOIN refusals f ON f.entity_id = c.entity_id),
     timed AS (
         SELECT *, ({office_sql('first_moved_at', 'resp')}) / 60 AS frt,
                ({office_sql('first_moved_at', 'first_done_at')}) / 60 AS fdo,
                ({office_sql('first_moved_at', 'last_done_at')}) / 60 AS ldo FROM wide)
-    SELECT entity_id, customer_id, placed_at,
+    SELECT entity_id, customer_id, placed_at, 'Dr ' || staff AS staff_name,
+           CASE WHEN staff IN (1, 2) THEN 'Third_Party' WHEN staff IS NULL THEN 'Not Applicable' ELSE 'House' END AS staff_category,
+           CASE source {" ".join(f"WHEN {k} THEN '{v}'" for k, v in SOURCES.items())} END AS order_source, requested_at,
+           last_code AS latest_status, CASE WHEN kind = 2 THEN 1 ELSE 0 END AS issue_flag, refuse_reason, rejection_reason,
+           CASE WHEN rejection_reason IN ({", ".join(f"'{r}'" for r in CUSTOMER_REASONS)}) THEN 'customer/other'
+                WHEN rejection_reason IS NOT NULL THEN 'staff' END AS rejected_by,
            CASE WHEN entity_id > won THEN 'Repeat' ELSE 'First Time' END AS consultation_type,
            CASE WHEN canned THEN 1 END AS cancelled_before_response, instances, attempts, holds,
            first_moved_at, first_assigned_at, first_response,
@@ -139,8 +179,9 @@ def _(t):
     FROM timed""")
 def _(t):
     return facts.consultation_fact(
-        _changed(t), _cases(t), t.status_log, t.status_log.filter("code in (1, 3, 4)"), stage=1,
-        cancelled=3, moved=[1, 2], assigned=2, responses=[3, 4, 5], done=4, rejected=3, held=5)
+        _changed(t), _cases(t), t.status_log, t.status_log.filter("code in (1, 3, 4)"), staff(t),
+        _rejections(t), _refusals(t), stage=1, cancelled=3, moved=[1, 2], assigned=2, responses=[3, 4, 5],
+        done=4, rejected=3, held=5, sources=SOURCES, partners=PARTNERS, customer_reasons=CUSTOMER_REASONS)
 
 
 @query("a80_upsert", """

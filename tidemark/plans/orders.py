@@ -34,7 +34,8 @@ _FLAGS = ",\n".join(
 @query("a01_order_wide", f"""
     WITH flagged AS (
         SELECT o.order_id, o.customer_id, o.customer_id // 2 AS phone, o.placed_at AS placed_time, o.value,
-               g.city, g.hub, CASE o.channel {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CHANNELS.items())} END AS source,
+               g.city, g.hub, CASE WHEN g.city_id % 2 = 1 THEN 1 ELSE 0 END AS courier_flag, o.channel AS platform,
+               CASE o.channel {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CHANNELS.items())} END AS source,
                {_FLAGS.replace("order_id IN", "o.order_id IN")},
                CASE WHEN o.customer_id IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) THEN 1 ELSE 0 END AS customer_chronic_flag,
                o.order_id IN (SELECT order_id FROM line GROUP BY 1 HAVING sum(needs_rx::INT) = 0) AS free,
@@ -53,7 +54,8 @@ _FLAGS = ",\n".join(
     FROM flagged""")
 def _(t):
     owners = t.customer.filter("c_acctbal < 0").select(F.col("c_custkey").alias("customer_id"))
-    return od.order_wide(_phones(t), t.mark, t.line, owners, t.geo.select("customer_id", "city", "hub"),
+    return od.order_wide(_phones(t), t.mark, t.line, owners, t.geo.select(
+        "customer_id", "city", "hub", (F.col("city_id") % 2 == 1).alias("carrier")),
                          t.sub_order, _queue(t), GROUPS, CHANNELS, WEB, START, END)
 
 
@@ -198,7 +200,8 @@ _UNIT = ["day", "week", "month", "year", "lifetime", "not-mentioned"]
                CASE WHEN qty % 2 = 0 THEN 'H' END AS hospital, CASE WHEN qty % 3 = 0 THEN 'D' END AS staff,
                item_id % 6 AS frequency, qty % 2 AS morning, qty % 3 AS noon, qty % 4 AS evening
         FROM item WHERE returned = 0)
-    SELECT o.order_id, o.placed_at, g.city, g.hub, max(CASE WHEN n.unit IS NULL THEN 1 ELSE 0 END) AS some_item_without_rx,
+    SELECT o.order_id, o.placed_at, g.city, g.hub, CASE WHEN o.order_id % 2 = 0 THEN 1 ELSE 0 END AS program_flag,
+           max(CASE WHEN n.unit IS NULL THEN 1 ELSE 0 END) AS some_item_without_rx,
            min(n.prescribed_at) AS prescribed_at, max(CASE WHEN n.hospital IS NOT NULL THEN 1 ELSE 0 END) AS hospital_flag,
            max(CASE WHEN n.staff IS NOT NULL THEN 1 ELSE 0 END) AS staff_flag,
            min(CASE n.unit WHEN 'day' THEN duration WHEN 'week' THEN duration * 7 WHEN 'month' THEN duration * 30
@@ -208,7 +211,7 @@ _UNIT = ["day", "week", "month", "year", "lifetime", "not-mentioned"]
            min(CASE frequency {" ".join(f"WHEN {k} THEN {v}::DOUBLE" for k, v in WEIGHTS.items())} END) AS frequency_weight
     FROM ord o JOIN line l ON o.order_id = l.order_id AND l.needs_rx JOIN geo g ON o.customer_id = g.customer_id
     LEFT JOIN note n ON l.order_id = n.order_id AND l.item_id = n.item_id
-    WHERE o.placed_at::DATE BETWEEN DATE '{START}' AND DATE '{END}' GROUP BY 1, 2, 3, 4""")
+    WHERE o.placed_at::DATE BETWEEN DATE '{START}' AND DATE '{END}' GROUP BY 1, 2, 3, 4, 5""")
 def _(t):
     units = F.array(*[F.lit(u) for u in _UNIT])
     q, i = F.col("qty"), F.col("item_id")
@@ -218,7 +221,8 @@ def _(t):
         F.when(q % 2 == 0, "H").alias("hospital"), F.when(q % 3 == 0, "D").alias("staff"),
         (i % 6).cast("int").alias("frequency"), (q % 2).alias("morning"), (q % 3).alias("noon"),
         (q % 4).alias("evening"))
-    placed = t.ord.join(t.geo.select("customer_id", "city", "hub"), "customer_id")
+    placed = t.ord.join(t.geo.select("customer_id", "city", "hub"), "customer_id").withColumn(
+        "in_program", F.col("order_id") % 2 == 0)
     return od.rx_validation(placed, t.line.select("order_id", "item_id", "needs_rx", "chronic"), notes,
                             ["hospital", "staff"], UNITS, WEIGHTS, START, END)
 
@@ -229,19 +233,21 @@ STAGES, OWNERS = {1: "ORDER PLACED", 8: "ON HOLD"}, {1: "intake", 8: "care"}
 @query("a17_overdue_orders", """
     WITH ranked AS (SELECT order_id, rank() OVER (PARTITION BY subscription_id ORDER BY order_id) AS r FROM sub_order),
     moved AS (SELECT order_id, max(first_ship) AS changed_at FROM item GROUP BY 1)
-    SELECT o.order_id, o.placed_at, g.hub, CASE o.status WHEN 1 THEN 'ORDER PLACED' WHEN 8 THEN 'ON HOLD' END AS current_status,
+    SELECT o.order_id, o.placed_at, o.placed_at::DATE + 3 AS promised_on, g.hub, CASE o.status WHEN 1 THEN 'ORDER PLACED' WHEN 8 THEN 'ON HOLD' END AS current_status,
            CASE o.status WHEN 1 THEN 'intake' WHEN 8 THEN 'care' END AS responsible,
-           CASE WHEN r.r > 1 THEN 'refill' END AS order_type,
-           date_diff('minute', m.changed_at, TIMESTAMP '2000-06-15 10:00:00') AS minutes_since_change,
-           date_diff('hour', m.changed_at, TIMESTAMP '2000-06-15 10:00:00') AS hours_since_change
+           CASE WHEN o.order_id % 4 = 1 THEN 'corporate' WHEN r.r > 1 THEN 'refill' WHEN g.city_id % 2 = 1 THEN 'courier' END AS order_type,
+           date_diff('minute', m.changed_at, TIMESTAMP '2000-06-15 09:50:00') AS minutes_since_change,
+           date_diff('hour', m.changed_at, TIMESTAMP '2000-06-15 09:50:00') AS hours_since_change
     FROM ord o LEFT JOIN geo g USING (customer_id) LEFT JOIN ranked r USING (order_id) LEFT JOIN moved m USING (order_id)
     WHERE o.placed_at BETWEEN TIMESTAMP '2000-06-14 12:00:00' AND TIMESTAMP '2000-06-15 12:00:00'
       AND o.status IN (1, 8) AND o.channel <> '5-LOW'""")
 def _(t):
     moved = t.item.groupBy("order_id").agg(F.max("first_ship").alias("changed_at"))
     direct = t.ord.filter("channel = '5-LOW'").select("order_id")
-    return od.overdue_orders(t.ord, moved, t.sub_order, direct, t.geo.select("customer_id", "hub"),
-                             STAGES, OWNERS, "2000-06-15 10:00:00")
+    orders = t.ord.withColumn("promised_at", F.timestamp_add("DAY", F.lit(3), "placed_at"))
+    courier = t.ord.join(t.geo.filter("city_id % 2 = 1").select("customer_id"), "customer_id")
+    return od.overdue_orders(orders, moved, t.sub_order, direct, t.geo.select("customer_id", "hub"),
+                             t.ord.filter("order_id % 4 = 1"), courier, STAGES, OWNERS, "2000-06-15 10:00:00")
 
 
 _SUB_DIMS = ["year", "month", "hub", "channel"]
@@ -259,11 +265,16 @@ _SUB_DIMS = ["year", "month", "hub", "channel"]
     SELECT year, month, hub, channel, count(DISTINCT order_id) AS total_orders,
            count(DISTINCT order_id) FILTER (ok) AS delivered_orders, count(DISTINCT order_id) FILTER (refill) AS refill_orders,
            count(DISTINCT order_id) FILTER (refill AND ok) AS refill_delivered_orders,
+           count(DISTINCT order_id) FILTER (refill AND status = 2) AS refill_rejected_orders,
            count(DISTINCT order_id) FILTER (refill AND status = 8) AS refill_cancelled_orders,
            count(DISTINCT order_id) FILTER (refill AND ok AND kept = 'on_time') AS refill_on_time_orders,
            count(DISTINCT order_id) FILTER (refill AND ok AND kept = 'before_time') AS refill_before_time_orders,
            count(DISTINCT order_id) FILTER (refill AND ok AND kept = 'after_time') AS refill_after_time_orders,
+           sum(CASE WHEN order_id % 3 > 0 THEN order_id % 5 + 1 END) FILTER (refill AND ok)::BIGINT AS refill_feedback,
+           count(CASE WHEN order_id % 3 > 0 THEN 1 END) FILTER (refill AND ok) AS refill_feedbacks,
            sum(value) FILTER (refill AND ok)::BIGINT AS refill_value, sum(value) FILTER (ok)::BIGINT AS delivered_value,
+           sum(value - value // 10) FILTER (refill AND ok)::BIGINT AS refill_discounted_value,
+           sum(value - value // 10) FILTER (ok)::BIGINT AS delivered_discounted_value,
            count(DISTINCT customer_id) AS customers, count(DISTINCT customer_id) FILTER (ok) AS customers_delivered_orders,
            count(DISTINCT customer_id) FILTER (refill) AS customers_refill_orders,
            count(DISTINCT customer_id) FILTER (refill AND ok) AS customers_refill_delivered_orders
@@ -272,7 +283,9 @@ def _(t):
     shipped = t.item.groupBy("order_id").agg(F.to_date(F.min("first_ship")).alias("done_on"))
     rows = (t.ord.join(t.geo.select("customer_id", "hub"), "customer_id").join(shipped, "order_id", "left")
             .withColumns({"year": F.year("placed_at"), "month": F.month("placed_at"),
-                          "due_on": F.date_add(F.to_date("placed_at"), 30)}))
+                          "due_on": F.date_add(F.to_date("placed_at"), 30),
+                          "feedback": F.when(F.col("order_id") % 3 > 0, F.col("order_id") % 5 + 1),
+                          "discounted_value": F.col("value") - F.floor(F.col("value") / 10)}))
     return od.subscription_matrix(rows, t.sub_order, _SUB_DIMS, "1996-01-01 00:00:00")
 
 

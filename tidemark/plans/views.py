@@ -90,12 +90,14 @@ VIEWS = {
                min(made_at) AS opened_at, max(made_at) AS closed_at
         FROM task_log GROUP BY 1, 2""",
     "fact": """
-        SELECT *, CASE action WHEN 'Done' THEN 180 WHEN 'Hold' THEN 60 WHEN 'Reassigned' THEN 80 END::BIGINT
+        SELECT *, owner + 900 AS profile_id, CASE action WHEN 'Done' THEN 180 WHEN 'Hold' THEN 60 WHEN 'Reassigned' THEN 80 END::BIGINT
                   AS expected_seconds,
                lag(task_id) OVER (PARTITION BY case_id ORDER BY assigned_at) AS previous_task_id,
                lead(task_id) OVER (PARTITION BY case_id ORDER BY assigned_at) AS next_task_id
         FROM (
-            SELECT task_id, case_id, CASE WHEN case_id % 3 = 0 THEN 'Hold' ELSE 'New' END AS task_type,
+            SELECT task_id, case_id * 10 AS order_id, case_id, CASE WHEN case_id % 3 = 0 THEN 'Hold' ELSE 'New' END AS task_type,
+                   max(CASE WHEN code = 3 THEN 'reason ' || (id % 4) END) AS reject_reason,
+                   count(DISTINCT made_at) FILTER (code = 4) AS connected,
                    max(owner) AS owner, min(made_at) AS assigned_at,
                    min(made_at) FILTER (code = 2) AS first_call_at, max(made_at) FILTER (code = 2) AS last_call_at,
                    min(made_at) FILTER (code = 5) AS first_hangup_at, max(made_at) FILTER (code = 5) AS last_hangup_at,
@@ -291,9 +293,12 @@ class Bound(Tables):
     @property
     def fact(self) -> DataFrame:
         from tidemark.operators.facts import task_fact
-        log = self.task_log.withColumn(
-            "task_type", F.when(F.col("case_id") % 3 == 0, "Hold").otherwise("New"))
-        return task_fact(log, {4: "Done", 3: "Hold", 1: "Reassigned"}, call=2, hangup=5,
+        log = self.task_log.withColumns({
+            "task_type": F.when(F.col("case_id") % 3 == 0, "Hold").otherwise("New"),
+            "order_id": F.col("case_id") * 10,
+            "reason": F.when(F.col("code") == 3, F.concat(F.lit("reason "), (F.col("id") % 4).cast("string")))})
+        profiles = self.spark.range(7).select(F.col("id").alias("owner"), (F.col("id") + 900).alias("profile_id"))
+        return task_fact(log, profiles, {4: "Done", 3: "Hold", 1: "Reassigned"}, call=2, answered=4, hangup=5,
                          inactive=1, done=4, start="2024-01-01", as_of=EVENTS_AS_OF)
 
     @property
