@@ -9,10 +9,11 @@ from tidemark.session import build  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build("local[4]", app="tests", **{
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
-        "spark.sql.codegen.wholeStage": "true"})
+        "spark.sql.codegen.wholeStage": "true",
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -92,8 +92,9 @@ def hold_call_impact(context: DataFrame, orders: DataFrame, program: DataFrame,
                      stage: int) -> DataFrame:
     """What became of the order a customer called about while it was in the program."""
     facts = orders.select(F.col("order_id").alias("live_program_order_id"), "status", "closed_stage",
-                          "cancelled_at").join(
-        program.select(F.col("order_id").alias("live_program_order_id"), "last_done_at"),
+                          "cancelled_at", "closed_reason").join(
+        program.select(F.col("order_id").alias("live_program_order_id"), "latest_status", "first_done_at",
+                       "last_done_at", "rejection_reason", "refuse_reason"),
         "live_program_order_id", "left")
     rows = context.join(facts, "live_program_order_id", "left")
     held = F.col("on_hold_flag") == 1
@@ -143,16 +144,33 @@ def program_made(with_source: bool) -> Column:
     return F.coalesce(F.col("in_program") & F.col("image").like("dp%") & late, F.lit(False))
 
 
+# fixed values: who raised a return, by code
+RAISED_BY = {1: "CMS", 2: "APP/Web-Customer"}
+
+
 def return_attribution(returns: DataFrame, items: DataFrame, orders: DataFrame, catalog: DataFrame,
-                       start: str, end: str, source4_rule: bool = False,
+                       people: DataFrame, start: str, end: str, source4_rule: bool = False,
                        slice: str | None = None) -> DataFrame:
-    """Wrong-item returns with the team that caused them, or one team's slice of them."""
+    """Wrong-item returns with the team that caused them, or one team's slice of them.
+
+    A return names the invoiced, the delivered and the desired item; `people`
+    gives the name and role of who raised it (where staff did) and who entered
+    the item. Orders have the place, delivery, retailer, staff of the program.
+    """
     day = F.to_date("raised_at")
+    named = lambda key, name, *more: catalog.select(
+        F.col("item_id").alias(key), F.col("name").alias(name), *more)
+    person = lambda key, prefix: people.select(
+        F.col("person").alias(key), F.col("name").alias(f"{prefix}_name"), F.col("role").alias(f"{prefix}_role"))
     rows = (returns.filter(day.between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
             .join(orders, "order_id", "left").join(items, ["order_id", "item_id"], "left")
-            .join(catalog.select("item_id", F.col("name").alias("item_name")), "item_id", "left")
-            .join(catalog.select(F.col("item_id").alias("desired_item"),
-                                 F.col("name").alias("desired_name")), "desired_item", "left"))
+            .join(named("item_id", "item_name"), "item_id", "left")
+            .join(named("delivered_item", "delivered_name", F.col("price").alias("delivered_price")),
+                  "delivered_item", "left")
+            .join(named("desired_item", "desired_name"), "desired_item", "left")
+            .withColumn("_raiser", F.when(F.col("raised_code") == 1, F.col("raiser")))
+            .join(person("_raiser", "raised_by"), "_raiser", "left")
+            .join(person("enterer", "entered_by"), "enterer", "left"))
     same = F.col("item_id") == F.col("desired_item")
     wrong = F.col("item_id") != F.col("desired_item")
     cause = F.when(F.col("desired_item").isNotNull(),
@@ -160,23 +178,29 @@ def return_attribution(returns: DataFrame, items: DataFrame, orders: DataFrame,
                    .when(F.col("source").isin(*CUSTOMER_SOURCES), "Entry-Customer")
                    .when(F.col("source") == WAREHOUSE_SOURCE, "Entry-Warehouse")
                    .when(program_made(source4_rule), "Entry-Program").otherwise("Entry-Care"))
-    rows = rows.withColumn("responsibility", cause)
-    base = ["order_id", "raised_at", "item_id", "desired_item", "item_name", "desired_name"]
+    rows = rows.withColumns({
+        "responsibility": cause,
+        "raised_source": F.create_map(*[F.lit(x) for pair in RAISED_BY.items() for x in pair])[F.col("raised_code")],
+        "entry_source": F.when(F.col("entered_by_name").isNull(), RAISED_BY[2]).otherwise(RAISED_BY[1])})
+    base = ["order_id", "raised_at", "item_id", "delivered_item", "desired_item", "item_name", "delivered_name",
+            "desired_name"]
     if slice is None:
-        return rows.select(*base, "placed_at", "hub", "source", "responsibility").dropDuplicates()
+        return rows.select(*base, "hub", "placed_at", "delivered_at", "raised_source", "raised_by_name",
+                           "raised_by_role", "entry_source", "entered_by_name", "entered_by_role",
+                           "source", "responsibility").dropDuplicates()
     if slice == "care":
         on_image = F.coalesce(F.col("image").like("dp%"), F.lit(False))
         early = (F.col("image_at") <= F.col("placed_at")) | (F.col("entered_at") < F.col("answered_at"))
         keep = wrong & F.col("source").isin(*CARE_SOURCES) & (
             ~F.coalesce(F.col("in_program"), F.lit(False)) | ~on_image | early)
-        return rows.filter(keep).select(*base, "source").dropDuplicates()
+        return rows.filter(keep).select(*base, "source", "entered_by_name", "entered_by_role").dropDuplicates()
     if slice == "program":
         keep = wrong & ~F.col("source").isin(1, 2, 3, 10) & program_made(True)
-        return rows.filter(keep).select(*base, "source").dropDuplicates()
+        return rows.filter(keep).select(*base, "source", "staff_category", "staff_name").dropDuplicates()
     if slice == "warehouse":
         keep = same | (wrong & (F.col("source") == WAREHOUSE_SOURCE))
         reason = F.when(same, "Picker").otherwise("Entry")
-        return rows.filter(keep).groupBy(*base, "hub", "return_status",
+        return rows.filter(keep).groupBy(*base, "hub", "place", "retailer", "return_status", "delivered_price",
                                          reason.alias("error_reason")).agg(F.sum("qty").alias("quantity"))
     raise ValueError(f"unknown slice {slice}")
 

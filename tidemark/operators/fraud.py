@@ -62,7 +62,12 @@ def fraud_features(orders: DataFrame, program: DataFrame, stage_times: DataFrame
                    refunds: DataFrame, issues: DataFrame, profile: DataFrame,
                    key: str = "customer_id", min_orders: int = 10, active_since: str | None = None,
                    phone: str = "phone") -> DataFrame:
-    """Cancellations by stage, refunds, channels and the latest orders per key."""
+    """Cancellations by stage, refunds, channels and the latest orders per key, with its profile.
+
+    `stage_times` has when an order was packed, billed, sent out and last tried
+    at the door; `program` the outcome and whether the customer chose it in the
+    app; `profile` a key's ban flag, addresses and patients.
+    """
     rows = (orders.join(program, "order_id", "left").join(stage_times, "order_id", "left")
             .join(refunds, "order_id", "left").join(issues, "order_id", "left"))
     status, cancelled = F.col("status"), F.col("status") == 8
@@ -73,6 +78,7 @@ def fraud_features(orders: DataFrame, program: DataFrame, stage_times: DataFrame
     after = lambda c: F.sum(flag(cancelled & (F.col("cancelled_at") > F.col(c))))
     n = lambda c: F.count(F.when(c, 1))
     ok = F.col("outcome") == 4
+    chosen = F.coalesce(F.col("chosen"), F.lit(False))
     at_door = F.coalesce(F.col("at_delivery"), F.lit(False))
     back = F.coalesce(F.col("returned_value") > 0, F.lit(False))
     out = o.groupBy(key).agg(
@@ -80,7 +86,7 @@ def fraud_features(orders: DataFrame, program: DataFrame, stage_times: DataFrame
         n(cancelled & (F.col("vertical") == "last mile")).alias("cancelled_at_last_mile"),
         after("packed_at").alias("cancelled_after_packed"),
         after("billed_at").alias("cancelled_after_billed"),
-        after("out_at").alias("cancelled_after_out"),
+        after("out_at").alias("cancelled_after_out"), after("last_try_at").alias("cancelled_after_last_try"),
         n(at_door).alias("cancelled_at_delivery"), F.count(F.lit(1)).alias("orders_placed"),
         n(~closed).alias("orders_open"), n(closed).alias("orders_closed"), n(won).alias("orders_done"),
         n(cancelled).alias("orders_cancelled"), n(status == 2).alias("orders_rejected"),
@@ -93,8 +99,9 @@ def fraud_features(orders: DataFrame, program: DataFrame, stage_times: DataFrame
         F.min("placed_at").alias("first_placed_at"), F.max("placed_at").alias("last_placed_at"),
         F.min(F.when(won, F.col("placed_at"))).alias("first_done_at"),
         F.max(F.when(won, F.col("placed_at"))).alias("last_done_at"),
-        F.count("outcome").alias("program_orders"), n(ok).alias("program_done"),
-        n(ok & cancelled).alias("program_done_cancelled"),
+        F.count("outcome").alias("program_orders"), n(chosen).alias("app_chosen"), n(ok).alias("program_done"),
+        n(chosen & ok).alias("app_chosen_done"), n(ok & cancelled).alias("program_done_cancelled"),
+        n(chosen & ok & cancelled).alias("app_chosen_done_cancelled"),
         n((F.col("end_no") <= 3) & at_door).alias("last3_cancelled_at_delivery"),
         n((F.col("end_no") <= 5) & cancelled).alias("last5_cancelled"),
         n((F.col("cancel_no") <= 5) & ok).alias("last5_program_cancelled"),

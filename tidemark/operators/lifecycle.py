@@ -70,20 +70,20 @@ def verification_items(history: DataFrame, custom_items: DataFrame, stage: int,
                     boundary_diff("second", "in_at", "out_at").alias("in_stage_seconds")))
 
 
-def stage_item_detail(history: DataFrame, custom_items: DataFrame, catalog: DataFrame,
-                      stage: int, year: int, markers: Mapping[str, str]) -> DataFrame:
-    """Items with the first stage visit after their creation and the times noted in it."""
+def stage_item_detail(history: DataFrame, custom_items: DataFrame, catalog: DataFrame, deletions: DataFrame,
+                      people: DataFrame, stage: int, year: int, markers: Mapping[str, str]) -> DataFrame:
+    """Items with the first stage visit after their creation, the times noted in it, and who deleted them why."""
     visits = with_next(history).filter(F.col("code") == stage).select(
         "entity_id", "id", F.col("made_at").alias("in_at"), F.col("next_at").alias("out_at"),
         "remark")
     met = asof(custom_items, visits, ["entity_id"], "created_at", "in_at",
                ["in_at", "out_at", "remark"], side="after").filter(F.col("in_at").isNotNull())
     known = catalog.select("item_code", F.col("created_at").alias("listed_at"))
-    listed = met.join(known, "item_code", "left")
+    listed = met.join(known, "item_code", "left").join(deletions, "item_row", "left").join(people, "person", "left")
     created, listed_on = F.to_date("created_at"), F.to_date("listed_at")
     return listed.select(
         "item_row", "entity_id", "item_code", "created_at", "updated_at", "in_at", "out_at",
-        "printed", "deleted",
+        "printed", "deleted", "delete_reason", "deleted_at", "deleted_by", "deleted_by_role",
         F.when(created <= listed_on, "aNewly Mapped").when(created > listed_on, "bAlready Mapped")
         .otherwise("cDeleted").alias("mapping"),
         flow_label("cTeamMapped", "aFieldMapped", "bDeleted").alias("flow"),
@@ -147,32 +147,42 @@ def stage_order_final(detail: DataFrame, history: DataFrame, dwell: DataFrame, s
             .drop("last_owner"))
 
 
-def repeat_new_items(detail: DataFrame, lines: DataFrame, dwell: DataFrame) -> DataFrame:
-    """Per entity, how often the items it introduced were ordered by other entities.
+def repeat_new_items(detail: DataFrame, lines: DataFrame, outcomes: DataFrame, dwell: DataFrame) -> DataFrame:
+    """Per entity, how often the items it introduced were ordered by other entities, and how those ended.
 
-    Entities that introduced the same items share one count of buyers, so an
-    item bought by many meets its buyers once per distinct item set and not
-    once per entity. An entity buys what it introduces, hence the minus one.
+    `outcomes` gives each entity's time of placing and its outcome: won, closed
+    or open. Items keep one row per buyer. What buyers of an item add up to is
+    counted per item and summed over an entity's items; distinct buyers need the
+    pairs of entity and buyer only where an entity introduced several items. An
+    entity buys what it introduces, which is taken off again.
     """
     fresh = (detail.filter("mapping = 'aNewly Mapped' and item_code is not null")
              .groupBy("entity_id", "item_code")
              .agg(F.max(F.when(F.col("deleted"), 0).otherwise(1)).alias("retained")))
-    bought = lines.filter("item_code is not null").groupBy("entity_id", "item_code").agg(
-        F.max(F.when(F.col("deleted"), 0).otherwise(1)).alias("kept"))
-    own = fresh.join(bought, ["entity_id", "item_code"]).groupBy("entity_id").agg(
-        F.sort_array(F.collect_set("item_code")).alias("items"),
-        F.max("retained").alias("retained"), F.max("kept").alias("own_kept"))
-    sets = own.select("items").distinct().withColumn("item_code", F.explode("items"))
-    buyers = sets.join(bought, "item_code").groupBy("items").agg(
-        F.count_distinct("entity_id").alias("n"),
-        F.count_distinct(F.when(F.col("kept") == 1, F.col("entity_id"))).alias("n_kept"),
-        F.count(F.lit(1)).alias("lines"))
-    new = F.size("items")
-    return own.join(buyers, "items").select(
-        "entity_id", new.cast("long").alias("new_items"), "retained",
-        (F.col("n") - 1).alias("times_ordered"),
-        (F.col("n_kept") - F.col("own_kept")).alias("times_ordered_and_retained"),
-        (F.col("lines") - new).alias("other_lines")).join(dwell, "entity_id", "left")
+    ends = outcomes.select("entity_id", "outcome")
+    bought = (lines.filter("item_code is not null").groupBy("entity_id", "item_code").agg(
+        F.max(F.when(F.col("deleted"), 0).otherwise(1)).alias("kept")).join(ends, "entity_id", "left"))
+    kinds = {"won_lines": "won", "closed_lines": "closed", "open_lines": "open"}
+    is_ = lambda kind: F.when(F.col("outcome") == kind, 1).otherwise(0)
+    per = bought.groupBy("item_code").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("kept").alias("_kept"),
+        *[F.sum(is_(kind)).alias("_" + name) for name, kind in kinds.items()])
+    own = fresh.join(bought, ["entity_id", "item_code"]).join(per, "item_code").groupBy("entity_id").agg(
+        F.count(F.lit(1)).alias("new_items"), F.max("retained").alias("retained"),
+        F.sum(F.col("_n") - 1).alias("_n"), F.sum(F.col("_kept") - F.col("kept")).alias("_kept"),
+        *[F.sum(F.col("_" + name) - is_(kind)).alias(name) for name, kind in kinds.items()])
+    several = own.filter("new_items > 1").select("entity_id")
+    met = (fresh.join(several, "entity_id", "left_semi").select(F.col("entity_id").alias("_entity"), "item_code")
+           .join(bought, "item_code").filter(F.col("entity_id") != F.col("_entity"))
+           .groupBy("_entity", "entity_id").agg(F.max("kept").alias("kept"))
+           .groupBy(F.col("_entity").alias("entity_id")).agg(
+               F.count(F.lit(1)).alias("_buyers"), F.sum("kept").alias("_keepers")))
+    one = F.col("new_items") == 1
+    count = lambda own, all_: F.when(one, F.col(own)).otherwise(F.coalesce(F.col(all_), F.lit(0)))
+    return (own.join(met, "entity_id", "left").join(outcomes.select("entity_id", "placed_at"), "entity_id", "left")
+            .select("entity_id", "placed_at", "new_items", "retained", count("_n", "_buyers").alias("times_ordered"),
+                    count("_kept", "_keepers").alias("times_ordered_and_retained"), *kinds)
+            .join(dwell, "entity_id", "left"))
 
 
 def dwell_percentiles(summary: DataFrame, dims: Sequence[str], probs: Mapping[str, float],
@@ -240,8 +250,11 @@ def stage_visit_audit(program: DataFrame, history: DataFrame, items: DataFrame,
             .alias("skipped_flag"),
             F.when(F.col("confirmed_at").isNotNull(), 1).otherwise(0).alias("confirmed_flag")]
     if not minimal:
+        # what else is known of the case: who saw it, and marks that arrive with the program rows
         cols += ["confirmed_at", F.when(F.coalesce(straight, F.lit(False)), 1).otherwise(0)
-                 .alias("straight_flag")]
+                 .alias("straight_flag"), "staff_name",
+                 *[F.when(F.coalesce(F.col(c), F.lit(False)), 1).otherwise(0).alias(f"{c}_flag")
+                   for c in ("prescribed", "custom", "comment", "call_request", "issue", "staff_comment", "infusion")]]
     return out.select(*cols, *zero)
 
 

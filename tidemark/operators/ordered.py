@@ -8,6 +8,7 @@ another way than the others.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -43,10 +44,14 @@ class _Level:
         self.shifted: dict[str, tuple] = {}
 
     def can_use(self, exprs) -> bool:
+        log = logging.getLogger("DataFrameQueryContextLogger")
+        before, log.disabled = log.disabled, True  # that a column is not there yet is no error here
         try:
             return self.known.select(*exprs).schema is not None
         except AnalysisException:
             return False
+        finally:
+            log.disabled = before
 
 
 class KeyedSequence:

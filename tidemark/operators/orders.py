@@ -139,14 +139,20 @@ def substitution_daily(log: DataFrame, items: DataFrame, as_of: str, kind: int)
 
 
 def channel_basket(orders: DataFrame, lines: DataFrame, start: str, end: str) -> DataFrame:
-    """Basket size, quantity, patients and age of the main patient, averaged per channel."""
+    """Basket size, quantity, patients and age of the main patient, averaged per channel.
+
+    Lines say whether they were deleted; orders whether they are chronic and
+    need a prescription. Patients are averaged over the latter alone.
+    """
     o = orders.filter(between_days("placed_at", start, end))
+    per_order = ["order_id", "channel", "value", "chronic", "needs_rx"]
     people = (o.join(lines, "order_id", "left")
-              .groupBy("order_id", "channel", "value", "patient_id", "age")
-              .agg(F.count("item_id").alias("meds"), F.sum("qty").alias("qty"),
+              .groupBy(*per_order, "patient_id", "age")
+              .agg(F.count(F.when(~F.col("deleted"), F.col("item_id"))).alias("meds"),
+                   F.count(F.when(F.col("deleted"), F.col("item_id"))).alias("deleted"), F.sum("qty").alias("qty"),
                    F.sum("gross").alias("gross"), F.sum("disc").alias("disc")))
-    per = people.groupBy("order_id", "channel", "value").agg(
-        F.sum("meds").alias("meds"), F.sum("qty").alias("qty"),
+    per = people.groupBy(*per_order).agg(
+        F.sum("meds").alias("meds"), F.sum("deleted").alias("deleted"), F.sum("qty").alias("qty"),
         F.count("patient_id").alias("patients"), F.sum("gross").alias("gross"),
         F.sum("disc").alias("disc"),
         F.max_by("age", F.when(F.col("age").isNotNull(), F.struct("meds", -F.col("patient_id"))))
@@ -154,10 +160,12 @@ def channel_basket(orders: DataFrame, lines: DataFrame, start: str, end: str) ->
     return per.groupBy("channel").agg(
         F.count(F.lit(1)).alias("total_orders"), F.avg("value").alias("avg_value"),
         F.try_divide(F.sum("disc"), F.sum("gross") * 100).alias("discount_share"),
-        F.avg("meds").alias("avg_line_items"),
+        F.count(F.when(F.col("chronic"), 1)).alias("chronic_orders"),
+        F.count(F.when(F.col("needs_rx"), 1)).alias("rx_orders"),
+        F.avg("meds").alias("avg_line_items"), F.avg("deleted").alias("avg_deleted_items"),
         (F.sum("qty") / F.count(F.lit(1))).alias("quantity_per_order"),
         F.try_divide(F.sum("gross"), F.sum("meds")).alias("avg_product_value"),
-        F.avg("patients").alias("avg_patients"), F.avg("main_age").alias("avg_patient_age"))
+        F.avg(F.when(F.col("needs_rx"), F.col("patients"))).alias("avg_patients"), F.avg("main_age").alias("avg_patient_age"))
 
 
 def paired_channels(orders: DataFrame, lines: DataFrame, side_a: Sequence[str],

@@ -46,7 +46,8 @@ def session_utilisation(sessions: DataFrame, blocks: DataFrame, approvals: DataF
     out = rows.groupBy("owner", "joined_on", F.when(old, "Old").otherwise("New").alias("owner_type"),
                        "online_start", "online_end").agg(
         F.count(F.lit(1)).alias("total_tasks"), n(is_("Done")).alias("done"),
-        n(is_("Hold")).alias("held"), n(is_("Reassigned")).alias("reassigned"),
+        n(is_("Hold")).alias("held"), n(is_("Rescheduled")).alias("rescheduled"),
+        n(is_("Reassigned")).alias("reassigned"), n(is_("Rejected")).alias("rejected"),
         n(is_("Hold") & (F.col("attempts") == 0)).alias("held_without_call"),
         n(F.col("task_type") == "New").alias("new_tasks"),
         n(F.col("task_type") == "Hold").alias("hold_tasks"),

@@ -49,6 +49,7 @@ def response_timeline(case_log: DataFrame, history: DataFrame, stage: int, done:
                  F.when(prior.isNotNull(), F.col("response_number")).alias("responses_after_hold")]
     rows = seq.total({"n": F.when(F.col("keep"), 1).otherwise(0)}).frame().filter("keep")
     first, last = F.col("response_number") == 1, F.col("response_number") == F.col("n")
+    # fixed values: names of a response by its place
     kind = (F.when(first & last, "FirstLast_response").when(first, "First_response")
             .when(last, "Last_response").otherwise("Intermediate_response"))
     return rows.select(

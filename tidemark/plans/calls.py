@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import calls as cl
+from tidemark.operators.facts import staff_category
 from tidemark.operators.queries import (filtered, probe_count_distinct, probe_distinct, probe_sample)
 from tidemark.plans.registry import query
 from tidemark.sources import sinks
@@ -85,12 +86,12 @@ def _(t):
     return cl.call_context(t.inbound, _paths(t, split=True), combine="union_all")
 
 
-_ACTED = """acted AS (SELECT order_id, order_id * 1000000 + item_id AS id, first_ship AS made_at,
+_ACTED = """acted AS (SELECT order_id, order_id * 1000000000 + item_id AS id, first_ship AS made_at,
                       item_id % 10 + 1 AS action FROM item)"""
 
 
 def _acted(t):
-    return t.item.select("order_id", (F.col("order_id") * 1000000 + F.col("item_id")).alias("id"),
+    return t.item.select("order_id", (F.col("order_id") * 1000000000 + F.col("item_id")).alias("id"),
                          F.col("first_ship").alias("made_at"),
                          (F.col("item_id") % 10 + 1).alias("action"))
 
@@ -131,6 +132,11 @@ def _(t):
     WITH {_HOLD}
     SELECT h.*, o.status, o.order_id % 3 AS closed_stage,
            CASE WHEN o.status = 8 THEN o.placed_at + INTERVAL 20 DAY END AS cancelled_at,
+           CASE WHEN o.status = 8 THEN 'reason ' || (o.order_id % 5) END AS closed_reason,
+           CASE WHEN o.channel < '3' THEN o.order_id % 6 END AS latest_status,
+           CASE WHEN o.channel < '3' THEN o.placed_at + INTERVAL 12 DAY END AS first_done_at,
+           CASE WHEN o.channel < '3' AND o.order_id % 4 = 0 THEN 'rejected ' || (o.order_id % 3) END AS rejection_reason,
+           CASE WHEN o.channel < '3' AND o.order_id % 4 = 1 THEN 'refused ' || (o.order_id % 3) END AS refuse_reason,
            CASE WHEN o.channel < '3' THEN o.placed_at + INTERVAL 25 DAY END AS last_done_at,
            CASE WHEN o.status = 8 AND o.order_id % 3 = 1 THEN 1 ELSE 0 END AS cancelled_in_stage,
            CASE WHEN on_hold_flag = 1 AND o.channel < '3' THEN date_diff('minute', made_at, o.placed_at + INTERVAL 25 DAY) END AS minutes_wasted,
@@ -138,9 +144,15 @@ def _(t):
     FROM held h LEFT JOIN ord o ON o.order_id = h.live_program_order_id""")
 def _(t):
     day = lambda n: F.timestamp_add("DAY", F.lit(n), "placed_at")
+    text = lambda word, n: F.concat(F.lit(word), (F.col("order_id") % n).cast("string"))
     orders = t.ord.select("order_id", "status", (F.col("order_id") % 3).alias("closed_stage"),
-                          F.when(F.col("status") == 8, day(20)).alias("cancelled_at"))
-    program = t.ord.filter("channel < '3'").select("order_id", day(25).alias("last_done_at"))
+                          F.when(F.col("status") == 8, day(20)).alias("cancelled_at"),
+                          F.when(F.col("status") == 8, text("reason ", 5)).alias("closed_reason"))
+    program = t.ord.filter("channel < '3'").select(
+        "order_id", day(25).alias("last_done_at"), day(12).alias("first_done_at"),
+        (F.col("order_id") % 6).alias("latest_status"),
+        F.when(F.col("order_id") % 4 == 0, text("rejected ", 3)).alias("rejection_reason"),
+        F.when(F.col("order_id") % 4 == 1, text("refused ", 3)).alias("refuse_reason"))
     return cl.hold_call_impact(_held(t), orders, program, 1)
 
 
@@ -206,10 +218,21 @@ _RETURNS = """
                o.placed_at, g.hub, o.channel < '3' AS in_program, o.placed_at + INTERVAL 25 DAY AS answered_at,
                CASE WHEN r.item_id % 2 = 0 THEN 'dp_' || r.item_id ELSE 'img_' || r.item_id END AS image,
                r.raised_at - INTERVAL 10 DAY AS image_at, r.raised_at - INTERVAL 5 DAY AS entered_at,
+               o.placed_at + INTERVAL 4 DAY AS delivered_at, CASE WHEN r.item_id % 3 = 0 THEN r.item_id % 17 + 1 ELSE r.item_id END AS delivered_item,
+               CASE r.item_id % 3 WHEN 1 THEN 'CMS' WHEN 2 THEN 'APP/Web-Customer' END AS raised_source,
+               CASE WHEN r.item_id % 3 = 1 AND r.order_id % 8 < 6 THEN 'agent ' || (r.order_id % 8) END AS raised_by_name,
+               CASE WHEN r.item_id % 3 = 1 AND r.order_id % 8 < 6 THEN CASE WHEN r.order_id % 2 = 0 THEN 'care' ELSE 'desk' END END AS raised_by_role,
+               CASE WHEN r.item_id % 9 < 6 THEN 'agent ' || (r.item_id % 9) END AS entered_by_name,
+               CASE WHEN r.item_id % 9 < 6 THEN CASE WHEN r.item_id % 9 % 2 = 0 THEN 'care' ELSE 'desk' END END AS entered_by_role,
+               CASE WHEN r.item_id % 9 < 6 THEN 'CMS' ELSE 'APP/Web-Customer' END AS entry_source,
+               g.city AS place, 'retailer ' || (o.order_id % 4) AS retailer,
+               CASE WHEN o.channel < '3' THEN CASE WHEN o.order_id % 7 IN (1, 2) THEN 'Third_Party' ELSE 'House' END ELSE 'Not Applicable' END AS staff_category,
+               CASE WHEN o.channel < '3' THEN 'Dr ' || (o.order_id % 7) END AS staff_name,
                p.p_name AS item_name, CASE r.source % 3 WHEN 0 THEN 'raised' WHEN 1 THEN 'picked_up' ELSE 'reconciled' END AS return_status
         FROM ret r JOIN ord o USING (order_id) LEFT JOIN geo g ON g.customer_id = o.customer_id
         LEFT JOIN part p ON p.p_partkey = r.item_id),
-    named AS (SELECT d.*, q.p_name AS desired_name FROM detail d LEFT JOIN part q ON q.p_partkey = d.desired_item)"""
+    named AS (SELECT d.*, q.p_name AS desired_name, v.p_name AS delivered_name, v.p_size AS delivered_price
+              FROM detail d LEFT JOIN part q ON q.p_partkey = d.desired_item LEFT JOIN part v ON v.p_partkey = d.delivered_item)"""
 _LATE = "(image_at > placed_at AND entered_at >= answered_at)"
 
 
@@ -220,12 +243,16 @@ def _cause(extra):
         WHEN in_program AND image LIKE 'dp%' AND {late} THEN 'Entry-Program' ELSE 'Entry-Care' END END"""
 
 
-_COLS = "order_id, raised_at, item_id, desired_item, item_name, desired_name"
-_OVERALL = f"{_RETURNS}, overall AS (SELECT {_COLS}, placed_at, hub, source, {_cause(True)} AS responsibility FROM named)"
+_COLS = "order_id, raised_at, item_id, delivered_item, desired_item, item_name, delivered_name, desired_name"
+_ALL = f"""{_COLS}, hub, placed_at, delivered_at, raised_source, raised_by_name, raised_by_role, entry_source,
+    entered_by_name, entered_by_role, source"""
+_OVERALL = f"{_RETURNS}, overall AS (SELECT {_ALL}, {_cause(True)} AS responsibility FROM named)"
 
 
 def _attribution(t, start="1995-01-01", end="2010-12-31", **options):
     ret = t.ret.withColumns({
+        "delivered_item": F.when(F.col("item_id") % 3 == 0, F.col("item_id") % 17 + 1).otherwise(F.col("item_id")),
+        "raised_code": F.col("item_id") % 3, "raiser": F.col("order_id") % 8,
         "desired_item": F.when(F.col("qty") > 25, F.col("item_id")).otherwise(F.col("desired_item")),
         "return_status": F.when(F.col("source") % 3 == 0, "raised")
         .when(F.col("source") % 3 == 1, "picked_up").otherwise("reconciled")})
@@ -234,16 +261,25 @@ def _attribution(t, start="1995-01-01", end="2010-12-31", **options):
         F.concat(F.when(F.col("item_id") % 2 == 0, "dp_").otherwise("img_"),
                  F.col("item_id").cast("string")).alias("image"),
         F.timestamp_add("DAY", F.lit(-10), "raised_at").alias("image_at"),
-        F.timestamp_add("DAY", F.lit(-5), "raised_at").alias("entered_at"))
-    orders = t.ord.join(t.geo.select("customer_id", "hub"), "customer_id").select(
-        "order_id", "placed_at", "hub", (F.col("channel") < "3").alias("in_program"),
+        F.timestamp_add("DAY", F.lit(-5), "raised_at").alias("entered_at"), (F.col("item_id") % 9).alias("enterer"))
+    i, seen = F.col("order_id"), F.col("channel") < "3"
+    orders = t.ord.join(t.geo.select("customer_id", "hub", "city"), "customer_id").select(
+        "order_id", "placed_at", "hub", F.col("city").alias("place"), seen.alias("in_program"),
+        F.concat(F.lit("retailer "), (i % 4).cast("string")).alias("retailer"),
+        staff_category(F.when(seen, i % 7), [1, 2]).alias("staff_category"),
+        F.when(seen, F.concat(F.lit("Dr "), (i % 7).cast("string"))).alias("staff_name"),
+        F.timestamp_add("DAY", F.lit(4), "placed_at").alias("delivered_at"),
         F.timestamp_add("DAY", F.lit(25), "placed_at").alias("answered_at"))
-    names = t.part.select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("name"))
-    return cl.return_attribution(ret, entered, orders, names, start, end, **options)
+    names = t.part.select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("name"),
+                          F.col("p_size").alias("price"))
+    people = t.spark.range(6).select(
+        F.col("id").alias("person"), F.concat(F.lit("agent "), F.col("id").cast("string")).alias("name"),
+        F.when(F.col("id") % 2 == 0, "care").otherwise("desk").alias("role"))
+    return cl.return_attribution(ret, entered, orders, names, people, start, end, **options)
 
 
 @query("a97_return_attribution", f"""
-    WITH {_RETURNS} SELECT {_COLS}, placed_at, hub, source, {_cause(False)} AS responsibility FROM named
+    WITH {_RETURNS} SELECT {_ALL}, {_cause(False)} AS responsibility FROM named
     WHERE raised_at::DATE BETWEEN DATE '2000-01-01' AND DATE '2000-12-31'""")
 def _(t):
     return _attribution(t, "2000-01-01", "2000-12-31")
@@ -255,7 +291,7 @@ def _(t):
 
 
 @query("a99_attribution_care", f"""
-    WITH {_RETURNS} SELECT {_COLS}, source FROM named
+    WITH {_RETURNS} SELECT {_COLS}, source, entered_by_name, entered_by_role FROM named
     WHERE item_id <> desired_item AND source IN (0, 5, 6, 7, 8, 10)
       AND (NOT in_program OR image NOT LIKE 'dp%' OR image_at <= placed_at OR entered_at < answered_at)""")
 def _(t):
@@ -263,7 +299,7 @@ def _(t):
 
 
 @query("a100_attribution_program", f"""
-    WITH {_RETURNS} SELECT {_COLS}, source FROM named
+    WITH {_RETURNS} SELECT {_COLS}, source, staff_category, staff_name FROM named
     WHERE item_id <> desired_item AND source NOT IN (1, 2, 3, 10) AND in_program AND image LIKE 'dp%'
       AND (source = 4 OR {_LATE})""")
 def _(t):
@@ -282,7 +318,7 @@ def _(t):
 
 
 @query("a103_attribution_warehouse", f"""
-    WITH {_RETURNS} SELECT {_COLS}, hub, return_status,
+    WITH {_RETURNS} SELECT {_COLS}, hub, place, retailer, return_status, delivered_price,
            CASE WHEN item_id = desired_item THEN 'Picker' ELSE 'Entry' END AS error_reason, sum(qty)::BIGINT AS quantity
     FROM named WHERE item_id = desired_item OR (item_id <> desired_item AND source = 11) GROUP BY ALL""")
 def _(t):

@@ -117,13 +117,17 @@ def _fraud(t, key):
             F.col("channel") == "3-MEDIUM", "last mile").otherwise("care"),
         "at_delivery": cancelled & (F.col("channel") == "4-NOT SPECIFIED")})
     program = t.ord.filter("channel < '3'").select(
-        "order_id", F.when(F.col("value") > 20000000, 4).otherwise(3).alias("outcome"))
+        "order_id", F.when(F.col("value") > 20000000, 4).otherwise(3).alias("outcome"),
+        (F.col("order_id") % 3 == 0).alias("chosen"))
     plus = lambda n: F.timestamp_add("DAY", F.lit(n), F.min("first_ship"))
     stages = t.item.groupBy("order_id").agg(plus(0).alias("packed_at"), plus(200).alias("billed_at"),
-                                            plus(400).alias("out_at"))
+                                            plus(400).alias("out_at"), plus(500).alias("last_try_at"))
     refunds = t.item.filter("returned = 1").groupBy("order_id").agg(F.sum("gross").alias("returned_value"))
     issues = t.item.filter("qty > 45").groupBy("order_id").agg(F.sum("disc").alias("issue_value"))
-    profile = _orders(t).groupBy(key).agg(F.count_distinct("channel").alias("address_count"))
+    profile = _orders(t).groupBy(key).agg(
+        F.max(F.when(F.col("order_id") % 50 == 7, 1).otherwise(0)).alias("banned_flag"),
+        F.count_distinct("channel").alias("address_count"),
+        F.count_distinct(F.col("order_id") % 3).alias("patient_count"))
     return fr.fraud_features(o, program, stages, refunds, issues, profile, key,
                              active_since="1999-01-01 00:00:00", phone=PHONE)
 
@@ -136,6 +140,7 @@ def _fraud_sql(key):
     facts AS (
         SELECT o.*, CASE WHEN channel < '3' THEN CASE WHEN value > 20000000 THEN 4 ELSE 3 END END AS outcome,
                i.packed_at, i.packed_at + INTERVAL 200 DAY AS billed_at, i.packed_at + INTERVAL 400 DAY AS out_at,
+               i.packed_at + INTERVAL 500 DAY AS last_try_at, channel < '3' AND order_id % 3 = 0 AS chosen,
                i.returned_value, i.issue_value, placed_at + INTERVAL 20 DAY AS cancelled_at,
                status = 8 AND channel = '4-NOT SPECIFIED' AS at_delivery, status IN (9, 10) AS won, status IN (2, 8, 9, 10) AS closed,
                coalesce(i.returned_value > 0, false) AS back
@@ -153,6 +158,9 @@ def _fraud_sql(key):
                count(*) FILTER (status = 8 AND cancelled_at > packed_at) AS cancelled_after_packed,
                count(*) FILTER (status = 8 AND cancelled_at > billed_at) AS cancelled_after_billed,
                count(*) FILTER (status = 8 AND cancelled_at > out_at) AS cancelled_after_out,
+               count(*) FILTER (status = 8 AND cancelled_at > last_try_at) AS cancelled_after_last_try,
+               count(*) FILTER (chosen) AS app_chosen, count(*) FILTER (chosen AND outcome = 4) AS app_chosen_done,
+               count(*) FILTER (chosen AND outcome = 4 AND status = 8) AS app_chosen_done_cancelled,
                count(*) FILTER (at_delivery) AS cancelled_at_delivery, count(*) AS orders_placed,
                count(*) FILTER (NOT closed) AS orders_open, count(*) FILTER (closed) AS orders_closed,
                count(*) FILTER (won) AS orders_done, count(*) FILTER (status = 8) AS orders_cancelled,
@@ -169,8 +177,10 @@ def _fraud_sql(key):
                count(*) FILTER (cancel_no <= 5 AND outcome = 4) AS last5_program_cancelled,
                count(*) FILTER (done_no <= 5 AND back) AS last5_returned
         FROM numbered GROUP BY 1 HAVING count(*) >= 10 AND max(placed_at) >= DATE '1999-01-01'),
-    fraud AS (SELECT b.*, a.address_count FROM behaviour b LEFT JOIN (
-                  SELECT {key}, count(DISTINCT channel) AS address_count FROM keyed GROUP BY 1) a USING ({key}))"""
+    fraud AS (SELECT b.*, a.banned_flag, a.address_count, a.patient_count FROM behaviour b LEFT JOIN (
+                  SELECT {key}, max(CASE WHEN order_id % 50 = 7 THEN 1 ELSE 0 END) AS banned_flag,
+                         count(DISTINCT channel) AS address_count, count(DISTINCT order_id % 3) AS patient_count
+                  FROM keyed GROUP BY 1) a USING ({key}))"""
 
 
 @query("a86_fraud_features_customer", f"WITH {_fraud_sql('customer_id')} SELECT * FROM fraud")

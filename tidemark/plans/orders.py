@@ -111,27 +111,31 @@ def _(t):
         SELECT o.order_id, o.channel, o.value, o.customer_id * 3 + i.item_id % 3 AS patient_id,
                CASE WHEN (o.customer_id * 3 + i.item_id % 3) % 7 <> 0
                     THEN 20 + (o.customer_id * 3 + i.item_id % 3) % 60 END AS age,
-               count(i.item_id) AS meds, sum(i.qty) AS qty, sum(i.gross) AS gross, sum(i.disc) AS disc
+               o.order_id % 3 = 0 AS chronic, o.order_id % 2 = 0 AS needs_rx, count(i.item_id) FILTER (i.qty >= 10) AS meds,
+               count(i.item_id) FILTER (i.qty < 10) AS deleted, sum(i.qty) AS qty, sum(i.gross) AS gross, sum(i.disc) AS disc
         FROM ord o LEFT JOIN item i USING (order_id)
-        WHERE o.placed_at::DATE BETWEEN DATE '{START}' AND DATE '{END}' GROUP BY 1, 2, 3, 4, 5),
+        WHERE o.placed_at::DATE BETWEEN DATE '{START}' AND DATE '{END}' GROUP BY 1, 2, 3, 4, 5, 6, 7),
     ranked AS (
         SELECT *, CASE WHEN age IS NOT NULL THEN row_number() OVER
                (PARTITION BY order_id, age IS NOT NULL ORDER BY meds DESC, patient_id) END AS k FROM people),
     per AS (
-        SELECT order_id, channel, value, sum(meds) AS meds, sum(qty) AS qty, count(patient_id) AS patients,
-               sum(gross) AS gross, sum(disc) AS disc, min(CASE WHEN k = 1 THEN age END) AS main_age
-        FROM ranked GROUP BY 1, 2, 3)
+        SELECT order_id, channel, value, chronic, needs_rx, sum(meds) AS meds, sum(deleted) AS deleted, sum(qty) AS qty,
+               count(patient_id) AS patients, sum(gross) AS gross, sum(disc) AS disc, min(CASE WHEN k = 1 THEN age END) AS main_age
+        FROM ranked GROUP BY 1, 2, 3, 4, 5)
     SELECT channel, count(*) AS total_orders, avg(value) AS avg_value,
-           sum(disc)::DOUBLE / (sum(gross) * 100)::DOUBLE AS discount_share, avg(meds) AS avg_line_items,
+           sum(disc)::DOUBLE / (sum(gross) * 100)::DOUBLE AS discount_share, count(*) FILTER (chronic) AS chronic_orders,
+           count(*) FILTER (needs_rx) AS rx_orders, avg(meds) AS avg_line_items, avg(deleted) AS avg_deleted_items,
            sum(qty)::DOUBLE / count(*) AS quantity_per_order, sum(gross)::DOUBLE / sum(meds)::DOUBLE AS avg_product_value,
-           avg(patients) AS avg_patients, avg(main_age) AS avg_patient_age
+           avg(patients) FILTER (needs_rx) AS avg_patients, avg(main_age) AS avg_patient_age
     FROM per GROUP BY 1""")
 def _(t):
     who = F.col("customer_id") * 3 + F.col("item_id") % 3
     lines = (t.item.join(t.ord.select("order_id", "customer_id"), "order_id")
-             .select("order_id", "item_id", "qty", "gross", "disc", who.alias("patient_id"),
+             .select("order_id", "item_id", "qty", "gross", "disc", (F.col("qty") < 10).alias("deleted"),
+                     who.alias("patient_id"),
                      F.when(who % 7 != 0, 20 + who % 60).alias("age")))
-    return od.channel_basket(t.ord, lines, START, END)
+    orders = t.ord.withColumns({"chronic": F.col("order_id") % 3 == 0, "needs_rx": F.col("order_id") % 2 == 0})
+    return od.channel_basket(orders, lines, START, END)
 
 
 @query("a08_paired_channels", """

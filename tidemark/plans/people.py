@@ -32,6 +32,7 @@ def _span(a, b, cond="true"):
         SELECT f.owner, j.joined_on, CASE WHEN date_diff('day', j.joined_on, f.assigned_at::DATE) >= 30 THEN 'Old' ELSE 'New' END AS owner_type,
                k.online_start, k.online_end, count(*) AS total_tasks, count(*) FILTER (action = 'Done') AS done,
                count(*) FILTER (action = 'Hold') AS held, count(*) FILTER (action = 'Reassigned') AS reassigned,
+               count(*) FILTER (action = 'Rescheduled') AS rescheduled, count(*) FILTER (action = 'Rejected') AS rejected,
                count(*) FILTER (action = 'Hold' AND attempts = 0) AS held_without_call,
                count(*) FILTER (task_type = 'New') AS new_tasks, count(*) FILTER (task_type = 'Hold') AS hold_tasks,
                min(assigned_at) AS first_assigned_at, max(detached_at) AS last_detached_at,

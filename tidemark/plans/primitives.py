@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,20 +64,22 @@ def _(t):
     SELECT customer_id, n, channel, top FROM (SELECT customer_id, count(*) AS n FROM big GROUP BY 1)
     JOIN (SELECT customer_id, channel, max(value) AS top FROM big GROUP BY 1, 2) USING (customer_id)""")
 def _(t):
-    t.ord.filter("value > 30000000").cache().createOrReplaceTempView("big_order")
-    big = t.spark.table("big_order")
+    name = f"big_order_{uuid.uuid4().hex}"
+    path = sinks.fresh_path(t.spark, "big_order")
+    t.ord.filter("value > 30000000").write.parquet(path)
+    t.spark.read.parquet(path).createOrReplaceTempView(name)
+    big = t.spark.table(name)
     return big.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n")).join(
         big.groupBy("customer_id", "channel").agg(F.max("value").alias("top")), "customer_id")
 
 
 @query("p07_drop_temp_table", "SELECT status, count(*) AS n FROM ord GROUP BY 1")
 def _(t):
-    base = t.ord.cache()
-    base.createOrReplaceTempView("order_copy")
+    name = f"order_copy_{uuid.uuid4().hex}"
+    t.ord.createOrReplaceTempView(name)
     path = sinks.fresh_path(t.spark, "dropped")
-    t.spark.table("order_copy").groupBy("status").agg(F.count(F.lit(1)).alias("n")).write.parquet(path)
-    t.spark.catalog.dropTempView("order_copy")
-    base.unpersist()
+    t.spark.table(name).groupBy("status").agg(F.count(F.lit(1)).alias("n")).write.parquet(path)
+    t.spark.catalog.dropTempView(name)
     return t.spark.read.parquet(path)
 
 
@@ -177,8 +181,8 @@ add("p22_null_keeping_exclusion", """
         F.max("returned").alias("returned"), F.max("returned_at").alias("returned_at")), "order_id", "left")
     .filter(~c("returned").isin(1) | c("returned").isNull()).select("order_id", "returned_at"))
 add("p23_between", "SELECT order_id, placed_at FROM ord WHERE placed_at::DATE BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'",
-    lambda t: t.ord.filter(c("placed_at").between(moment("1997-01-01 00:00:00"),
-                                                  moment("1997-12-31 23:59:59"))).select("order_id", "placed_at"))
+    lambda t: t.ord.filter((c("placed_at") >= moment("1997-01-01 00:00:00"))
+                           & (c("placed_at") < moment("1998-01-01 00:00:00"))).select("order_id", "placed_at"))
 add("p24_like", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'red%' AND p_name NOT LIKE 'red_b%'",
     lambda t: t.part.filter(c("p_name").like("red%") & ~c("p_name").like("red_b%")).select("p_partkey", "p_name"))
 add("p25_boolean_predicate", "SELECT item_id, deleted FROM cart_item WHERE invoiced IS TRUE AND NOT deleted",

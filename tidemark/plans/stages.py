@@ -12,6 +12,7 @@ from tidemark.operators.queries import count_between, filtered, rows_since
 from tidemark.plans.registry import query
 from tidemark.plans.views import EVENTS_AS_OF, Bound
 from tidemark.session import checkpointed
+from tidemark.sources import sinks
 
 STAGE, CONFIRMED, CANCELLED = 3, 4, 5
 FINAL = {4: "Fulfilled", 5: "Cancelled", 3: "Rejected"}
@@ -73,6 +74,10 @@ _DETAIL = f"""
              AND c.created_at < s.made_at) WHERE r = 1),
     detail AS (
         SELECT item_row, entity_id, item_code, created_at, updated_at, in_at, out_at, printed, deleted,
+               CASE WHEN deleted THEN CASE WHEN item_row % 4 = 0 THEN 'Custom Medicine Deleted' ELSE 'reason ' || (item_row % 4) END END AS delete_reason,
+               CASE WHEN deleted THEN created_at + INTERVAL 3 HOUR END AS deleted_at,
+               CASE WHEN deleted AND item_row % 5 < 4 THEN 'agent ' || (item_row % 5) END AS deleted_by,
+               CASE WHEN deleted AND item_row % 5 < 4 THEN CASE WHEN item_row % 5 % 2 = 0 THEN 'care' ELSE 'desk' END END AS deleted_by_role,
                CASE WHEN created_at::DATE <= listed_at::DATE THEN 'aNewly Mapped'
                     WHEN created_at::DATE > listed_at::DATE THEN 'bAlready Mapped'
                     ELSE 'cDeleted' END AS mapping,
@@ -82,7 +87,15 @@ _DETAIL = f"""
 
 
 def _detail(t: Bound):
-    return lc.stage_item_detail(t.stage_log, t.custom_item, t.code_catalog, STAGE, 2024, MARKS)
+    i = F.col("item_row")
+    gone = t.custom_item.filter("deleted").select(
+        "item_row", F.when(i % 4 == 0, "Custom Medicine Deleted").otherwise(
+            F.concat(F.lit("reason "), (i % 4).cast("string"))).alias("delete_reason"),
+        F.timestamp_add("HOUR", F.lit(3), "created_at").alias("deleted_at"), (i % 5).alias("person"))
+    people = t.spark.range(4).select(
+        F.col("id").alias("person"), F.concat(F.lit("agent "), F.col("id").cast("string")).alias("deleted_by"),
+        F.when(F.col("id") % 2 == 0, "care").otherwise("desk").alias("deleted_by_role"))
+    return lc.stage_item_detail(t.stage_log, t.custom_item, t.code_catalog, gone, people, STAGE, 2024, MARKS)
 
 
 @query("a43_stage_item_detail", f"WITH {_DETAIL} SELECT * FROM detail")
@@ -169,21 +182,29 @@ def _(t):
     return lc.cancelled_from_stage(t.status_log, STAGE, CANCELLED)
 
 
+_OUTCOME = {4: "won", 3: "closed", 5: "closed"}
+
+
 @query("a49_repeat_new_items", f"""
     WITH {_DETAIL}, {_DWELL},
     fresh AS (SELECT entity_id, item_code, max(CASE WHEN deleted THEN 0 ELSE 1 END) AS retained
               FROM detail WHERE mapping = 'aNewly Mapped' AND item_code IS NOT NULL GROUP BY 1, 2),
-    bought AS (SELECT entity_id AS other, item_code, max(CASE WHEN deleted THEN 0 ELSE 1 END) AS kept
-               FROM custom_item WHERE item_code IS NOT NULL GROUP BY 1, 2)
-    SELECT f.entity_id, count(DISTINCT f.item_code) AS new_items, max(retained) AS retained,
+    ends AS (SELECT entity_id, CASE last_code WHEN 4 THEN 'won' WHEN 3 THEN 'closed' WHEN 5 THEN 'closed' ELSE 'open' END AS outcome,
+                    placed_at FROM program),
+    bought AS (SELECT i.entity_id AS other, item_code, outcome, max(CASE WHEN deleted THEN 0 ELSE 1 END) AS kept
+               FROM custom_item i LEFT JOIN ends e ON e.entity_id = i.entity_id WHERE item_code IS NOT NULL GROUP BY 1, 2, 3)
+    SELECT f.entity_id, p.placed_at, count(DISTINCT f.item_code) AS new_items, max(retained) AS retained,
            count(DISTINCT other) AS times_ordered,
            count(DISTINCT CASE WHEN kept = 1 THEN other END) AS times_ordered_and_retained,
-           count(other) AS other_lines, w.in_stage_seconds, w.visits
+           count(CASE WHEN b.outcome = 'won' THEN 1 END) AS won_lines, count(CASE WHEN b.outcome = 'closed' THEN 1 END) AS closed_lines,
+           count(CASE WHEN b.outcome = 'open' THEN 1 END) AS open_lines, w.in_stage_seconds, w.visits
     FROM fresh f LEFT JOIN bought b ON f.item_code = b.item_code AND b.other <> f.entity_id
-    LEFT JOIN dwell w ON f.entity_id = w.entity_id
-    GROUP BY f.entity_id, w.in_stage_seconds, w.visits""")
+    LEFT JOIN dwell w ON f.entity_id = w.entity_id LEFT JOIN ends p ON p.entity_id = f.entity_id
+    GROUP BY f.entity_id, p.placed_at, w.in_stage_seconds, w.visits""")
 def _(t):
-    return lc.repeat_new_items(_detail(t).drop("in_stage_seconds"), t.custom_item,
+    code = F.create_map(*[F.lit(x) for pair in _OUTCOME.items() for x in pair])
+    outcomes = t.program.select("entity_id", "placed_at", F.coalesce(code[F.col("last_code")], F.lit("open")).alias("outcome"))
+    return lc.repeat_new_items(_detail(t).drop("in_stage_seconds"), t.custom_item, outcomes,
                                lc.stage_dwell(t.status_log, STAGE))
 
 
@@ -219,6 +240,10 @@ def _(t):
     return _hours(lc.dwell_percentiles(checkpointed(rows), _DIMS, PROBS))
 
 
+# marks of a case, each for every n-th
+CASE_MARKS = {"prescribed": 2, "custom": 3, "comment": 4, "call_request": 5, "issue": 6, "staff_comment": 7, "infusion": 9}
+
+
 def _audit_sql(match, minimal):
     if match == "prescribed":
         mid_name = "items_during"
@@ -233,7 +258,8 @@ def _audit_sql(match, minimal):
     before = ("((NOT i.deleted AND i.created_at < b.out_at) OR "
               "(i.deleted AND i.deleted_at > b.out_at))")
     mid = mid.replace("{before}", before)
-    extra = "" if minimal else """, b.confirmed_at,
+    marks = ", ".join(f"CASE WHEN b.entity_id % {n} = 0 THEN 1 ELSE 0 END AS {c}_flag" for c, n in CASE_MARKS.items())
+    extra = "" if minimal else f""", b.confirmed_at, CASE WHEN b.entity_id % 7 <> 6 THEN 'Dr ' || (b.entity_id % 7) END AS staff_name, {marks},
            CASE WHEN b.source = 6 OR (b.source = 7 AND (b.prev_code = 1 OR b.prev_code IS NULL))
                 THEN 1 ELSE 0 END AS straight_flag"""
     return f"""
@@ -259,7 +285,11 @@ def _audit_sql(match, minimal):
 def _audit(t, **options):
     answered = t.stage_log.filter("code = 2").select(
         "entity_id", F.col("k").alias("item_code"), F.col("made_at").alias("answered_at"))
-    return lc.stage_visit_audit(t.program, t.status_log, t.stage_item, answered, STAGE, CONFIRMED,
+    i = F.col("entity_id")
+    program = t.program.withColumns({
+        "staff_name": F.when(i % 7 != 6, F.concat(F.lit("Dr "), (i % 7).cast("string"))),
+        **{c: i % n == 0 for c, n in CASE_MARKS.items()}})
+    return lc.stage_visit_audit(program, t.status_log, t.stage_item, answered, STAGE, CONFIRMED,
                                 LATEST, **options)
 
 
@@ -275,9 +305,9 @@ def _(t):
 
 @query("a20_stage_visit_superset", _audit_sql("prescribed", True))
 def _(t):
-    rows = _audit(t, minimal=True).cache()
-    rows.createOrReplaceTempView("mismatch_superset")
-    return t.spark.table("mismatch_superset")
+    path = sinks.fresh_path(t.spark, "mismatch_superset")
+    _audit(t, minimal=True).write.parquet(path)
+    return t.spark.read.parquet(path)
 
 
 _AFFECTED = f"""

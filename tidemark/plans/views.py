@@ -54,7 +54,7 @@ VIEWS = {
         FROM customer JOIN nation ON c_nationkey = n_nationkey
         JOIN region ON n_regionkey = r_regionkey""",
     "inbound": """
-        SELECT i.order_id * 1000000 + i.item_id AS call_id, o.customer_id AS caller,
+        SELECT i.order_id * 1000000000 + i.item_id AS call_id, o.customer_id AS caller,
                i.returned_at AS made_at
         FROM item i JOIN ord o ON i.order_id = o.order_id WHERE i.returned = 1""",
     "live_order": """
@@ -240,7 +240,7 @@ class Bound(Tables):
     @property
     def inbound(self) -> DataFrame:
         return (self.item.filter("returned = 1").join(self.ord, "order_id")
-                .select((F.col("order_id") * 1000000 + F.col("item_id")).alias("call_id"),
+                .select((F.col("order_id") * 1000000000 + F.col("item_id")).alias("call_id"),
                         F.col("customer_id").alias("caller"), F.col("returned_at").alias("made_at")))
 
     @property

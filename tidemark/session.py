@@ -29,13 +29,14 @@ def build(master: str | None = None, app: str = "tidemark", **extra: str) -> Spa
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for written tables and checkpoints.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local session, which
-    has no such setting, gets a temporary folder.
+    A cluster names it in ``spark.checkpoint.dir``. Only a session of one
+    process, as in tests, may leave it unset and gets a temporary folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     folder = os.environ.get("TIDEMARK_LOCAL_DIR") or tempfile.mkdtemp(prefix="tidemark-")
     spark.conf.set("spark.checkpoint.dir", folder)

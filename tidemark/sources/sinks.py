@@ -48,6 +48,6 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("header", True).csv(path)
 
 
-def write_report(df: DataFrame, path: str) -> None:
-    """A small report as one CSV file."""
-    df.coalesce(1).write.mode("errorifexists").option("header", True).csv(path)
+def write_report(df: DataFrame, path: str, one_file: bool = False) -> None:
+    """A report as CSV; in one file where the caller knows its rows to be few."""
+    (df.coalesce(1) if one_file else df).write.mode("errorifexists").option("header", True).csv(path)
