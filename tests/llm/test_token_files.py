@@ -73,3 +73,22 @@ def test_encoder_starts_anew_when_full(monkeypatch):
         ids, counts = encoder.encode(pa.array(texts))
         want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
         assert ids.tolist() == [x for w in want for x in w] and counts.tolist() == [len(w) for w in want]
+
+
+def test_pieces_are_encoded_as_whole_texts_are():
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    encoder = token_files.Encoder(queries.tokenizer_path())
+    rng = random.Random(1)
+    parts = "ab É é × ÷ — , . ! ' s t < | > 1 ½ Ω ́ 日 　 _ - \x01 ð <|endoftext|>".split(" ") + [" ", "\n"]
+    texts = ["don't, stop's 'sure' a,'s ", "x—,y —, a×, ÷b. é,à;ñ É!", "abc<|endoftext|>def, <|startoftext|>.",
+             "日本,語。x ${}~_`^", "12.5% $3.00 a_b-c", ""]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(2000)]
+    for a in range(0, len(texts), 50):
+        ids, counts = encoder.encode(pa.array(texts[a:a + 50]))
+        want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts[a:a + 50]]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]

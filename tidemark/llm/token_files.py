@@ -5,9 +5,11 @@ partitions. Each task encodes its texts and cuts them, between documents, into s
 shard is one wavelet matrix, a binary field of one row of the written Parquet table, beside its partition and the
 tokens of the partition before it. A null or empty text has the end id alone.
 
-Encoding: white space never lies inside a token of the given tokenizer, so each distinct word of a batch is encoded
-once and its ids are put wherever the word stands. Words are told apart by 64-bit hashes with A-Z lower-cased (the
-tokenizer lower-cases too).
+Encoding: white space never lies inside a token of the given tokenizer, nor does a change between a letter or digit
+and other ASCII signs. So texts are cut there into pieces, each distinct piece is encoded once, and its ids are put
+wherever the piece stands. Signs that may join what follows (the apostrophe, those of special tokens) cut nothing,
+nor do other signs beyond ASCII. Pieces are told apart by 64-bit hashes with A-Z lower-cased (the tokenizer
+lower-cases too).
 """
 
 from __future__ import annotations
@@ -25,13 +27,36 @@ from tidemark.llm.wavelet import WaveletMatrix, build
 
 SHARD = 1 << 20
 END = 1
-KNOWN = 1 << 19  # words a worker remembers before it starts anew
+KNOWN = 1 << 21  # pieces a worker remembers before it starts anew: some 70 MB
 MARK = "\x01"  # a word of its own between words that are encoded in one call
 _SHARDS = "part int, k int, before long, n_tokens long, n_docs long, shard binary"
 
 
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[[*b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"]] = True
+_NO_LETTER = np.zeros(256, bool)  # second bytes of signs among the Latin letters that begin with 0xC3
+_NO_LETTER[[0x97, 0xB7]] = True
+
+
+def piece_starts(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where the words that begin at `starts` are cut into pieces: those places and the cuts within words."""
+    if len(raw) < 2:
+        return starts
+    sign, latin = _SIGN[raw], raw == 0xC3
+    ends_letter, begins_letter = _ALNUM[raw], _ALNUM[raw]
+    second = latin[:-1] & (raw[1:] >= 0x80) & ~_NO_LETTER[raw[1:]]
+    ends_letter[1:] |= second
+    begins_letter[:-1] |= second
+    head = np.zeros(len(raw), bool)
+    head[1:] = (sign[1:] & ends_letter[:-1]) | (sign[:-1] & begins_letter[1:])
+    head[starts] = True
+    return np.flatnonzero(head)
+
+
 class Encoder:
-    """The ids of words, remembered by word hash while the worker lives."""
+    """The ids of pieces, remembered by their hash while the worker lives."""
 
     _open: dict[str, Encoder] = {}
 
@@ -58,13 +83,14 @@ class Encoder:
         """Encode new words (hashes ascending) and keep their ids."""
         if len(self.hashes) + len(hashes) > max(KNOWN, 2 * len(hashes)):
             self.forget()
-        odd = [k for k, w in enumerate(words) if MARK.encode() in w]
-        plain = [w.decode("utf-8") for w in words]
+        mark = MARK.encode()
+        odd = [k for k, w in enumerate(words) if mark in w] if mark in b"".join(words) else []
+        plain = list(words)
         for k in odd:
-            plain[k] = ""
+            plain[k] = b""
         ids, cuts = [], []
-        texts = [f" {MARK} ".join(plain[a:a + 1024]) + f" {MARK}" for a in range(0, len(plain), 1024)]
-        for text in texts:
+        for a in range(0, len(plain), 1024):
+            text = (b" " + mark + b" ").join(plain[a:a + 1024]).decode() + f" {MARK}"
             got = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
             ends = np.flatnonzero(got == self.mark[0])
             cuts.append(np.diff(ends, prepend=-1) - 1)
@@ -89,7 +115,14 @@ class Encoder:
         """(ids of all texts, ids per text) without an end id."""
         raw, offsets = W.utf8(column)
         alphabet = W.blank_words()
-        starts, ends, per = W.word_spans(raw, offsets, alphabet)
+        first, last, _ = W.word_spans(raw, offsets, alphabet)
+        starts = piece_starts(raw, first)
+        # a piece ends where the next begins, or where its word ends
+        word = np.searchsorted(first, starts, side="right") - 1
+        ends = last[word] if len(starts) else last
+        inner = word[1:] == word[:-1]
+        ends[:-1][inner] = starts[1:][inner]
+        per = np.diff(np.searchsorted(starts, offsets))
         h = W.hash_spans(raw, starts, ends, alphabet)
         order = np.argsort(h)
         begin = W.run_starts(h[order])
