@@ -56,7 +56,7 @@ def second_latest(history: DataFrame, column: str, name: str) -> DataFrame:
 
 
 def open_cases(program: DataFrame, history: DataFrame, promises: DataFrame, stage: int,
-               groups: Mapping) -> DataFrame:
+               groups: Mapping, sources: Mapping[int, str]) -> DataFrame:
     """Cases now in a stage with their action times; the owner falls back to the one before."""
     owner = F.col("owner")
     prior = second_latest(history, "owner", "prior_owner")
@@ -67,7 +67,10 @@ def open_cases(program: DataFrame, history: DataFrame, promises: DataFrame, stag
     cat = F.when(owner.isNull(), category(F.col("prior_owner"), groups, "Not Applicable", "House")
                  ).otherwise(house)
     return rows.select("entity_id", "placed_at", F.col("promised_on").alias("original_promise"),
-                       cat.alias("owner_category"), "moved_at", "assigned_at", "first_response_at",
+                       flag(F.col("courier")).alias("courier_flag"), cat.alias("owner_category"), "requested_at",
+                       F.col("last_code").alias("latest_action"),
+                       flag(F.col("kind") == 2).alias("issue_flag"),
+                       lookup(sources, F.col("source")).alias("case_source"), "moved_at", "assigned_at", "first_response_at",
                        "last_response_at", "first_done_at", "last_done_at", "rejected_at", "holds",
                        "attempts")
 
@@ -193,9 +196,22 @@ def program_funnel(fact: DataFrame, orders: DataFrame, answers: DataFrame, dims:
         seconds("last_done_office_minutes").alias("last_done_office_seconds"))
 
 
-def phone_order_detail(orders: DataFrame, history: DataFrame, items: DataFrame, upload: int,
-                       outcomes: Mapping[int, str]) -> DataFrame:
-    """Phone orders with what followed the last upload stage, how late, and item counts."""
+# fixed values: why an order was placed by phone, what staff did with a cancelled one
+PLACEMENT = {1: "Normal Order", 2: "Replacement Order", 3: "Order Modification Requested", 4: "Health Savers",
+             5: "Retention - cancelled order", 6: "Retention - App drop offs", 7: "Quantity capping", 8: "Test Order"}
+CLOSING = {1: "Reassign", 2: "Reject", 3: "Move to DP"}
+
+
+def phone_order_detail(orders: DataFrame, history: DataFrame, items: DataFrame, links: DataFrame, program: DataFrame,
+                       closings: DataFrame, upload: int, outcomes: Mapping[int, str],
+                       after_upload: Sequence[int], closed_code: int) -> DataFrame:
+    """Phone orders: who placed and closed them, of what type, what followed the last upload stage, and item counts.
+
+    `links` has when upload links were sent, `program` the program cases with
+    their latest status, `closings` the log of staff's closing actions (entity,
+    id, made_at, action, reason), of which the first explains an order closed
+    right after its upload. The wait for an upload runs from the last link sent.
+    """
     seen = steps(history).shift({"next_code": ("code", 1), "next_at": ("made_at", 1),
                                  "next2_code": ("code", 2), "next2_at": ("made_at", 2)}).frame()
     cols = ["made_at", "next_code", "next_at", "next2_code", "next2_at"]
@@ -204,32 +220,51 @@ def phone_order_detail(orders: DataFrame, history: DataFrame, items: DataFrame,
         F.count(F.lit(1)).alias("items"), F.count(F.when(~F.col("deleted"), 1)).alias("items_delivered"),
         F.count(F.when(F.col("chronic"), 1)).alias("chronic_items"),
         F.count(F.when(~F.col("deleted") & F.col("chronic"), 1)).alias("chronic_delivered"))
+    sent = links.groupBy("entity_id").agg(F.max("sent_at").alias("link_sent_at"))
+    cases = program.groupBy("entity_id").agg(F.max("latest_status").alias("case_status"))
+    closed = closings.groupBy("entity_id").agg(
+        F.min_by(F.struct("action", "reason"), "id").alias("_first"),
+        F.max(F.col("action") == 3).alias("_to_program"))
+    rows = (orders.join(last.drop("made_at"), "entity_id", "left").join(counts, "entity_id", "left")
+            .join(sent, "entity_id", "left").join(cases, "entity_id", "left").join(closed, "entity_id", "left"))
     wait = (F.unix_micros(F.col("next_at").cast("timestamp"))
-            - F.unix_micros(F.col("made_at").cast("timestamp"))) / 1_000_000
-    uploaded = lookup(outcomes, F.col("next_code"))
-    is_up = F.col("next_code") == min(outcomes)
+            - F.unix_micros(F.col("link_sent_at").cast("timestamp"))) / 1_000_000
+    linked, is_up = F.col("link_sent_at").isNotNull(), F.col("next_code") == min(outcomes)
     bins = (F.when(wait <= 900, "Within 15 mins").when(wait <= 3600, "15mins-1hour")
             .when(wait <= 7200, "1hour-2hours").when(wait <= 10800, "2hours-3hours")
-            .otherwise(">3hours"))
+            .when(wait > 10800, ">3hours"))
     status = (F.when(done(), "Fulfilled").when(F.col("status") == 8, "Cancelled")
               .when(F.col("status") == 2, "Rejected").otherwise("Under Process"))
-    rows = orders.join(last, "entity_id", "left").join(counts, "entity_id", "left")
+    case = F.col("case_status").isNotNull()
+    kind = (F.when(case & ~linked, "Chose program").when(linked, "Link option chosen")
+            .when(~F.col("needs_rx"), "No item needs one").when(F.col("has_image"), "Attached from previous"))
+    explained = F.col("next_code").isin(*after_upload) & (F.col("next2_code") == closed_code)
     return rows.select(
-        "entity_id", "segment", "hub", F.to_date("placed_at").alias("placed_on"),
-        status.alias("order_status"), F.col("made_at").alias("link_sent_at"), "next_code", "next_at",
-        "next2_code", "next2_at", uploaded.alias("upload_outcome"),
+        "entity_id", "customer_id", "placed_at", F.to_date("placed_at").alias("placed_on"), "value",
+        F.col("segment").alias("delivery_place"), F.col("hub").alias("supplier_place"), flag(case).alias("program_flag"),
+        lookup(PLACEMENT, F.col("placement")).alias("placement_reason"), "agent", "agent_role",
+        status.alias("order_status"), "cancel_reason", "cancelled_by", "cancelled_by_role",
+        flag(F.col("phone_customer")).alias("acquired_by_phone"), kind.alias("order_type"),
+        flag(F.col("case_status") == 4).alias("program_done_flag"),
+        flag(F.col("_to_program")).alias("moved_to_program_flag"), flag(F.col("refill")).alias("refill_flag"),
+        "next_code", "next_at", "next2_code", "next2_at",
+        F.when(linked, lookup(outcomes, F.col("next_code"))).alias("upload_outcome"), "link_sent_at",
         F.when(is_up, F.col("next_at")).alias("uploaded_at"), F.when(is_up, bins).alias("upload_bin"),
+        F.when(explained, F.col("_first.reason")).alias("closing_reason"),
+        F.when(explained, lookup(CLOSING, F.col("_first.action"))).alias("closing_action"), "user_type",
         *[F.coalesce(c, F.lit(0)).alias(c) for c in
           ("items", "items_delivered", "chronic_items", "chronic_delivered")])
 
 
 def phone_order_summary(detail: DataFrame, dims: Sequence[str], as_of: str) -> DataFrame:
+    """Orders, customers, value and items of phone orders by dims, up to the day before."""
     kept = detail.filter(F.col("placed_on") < F.to_date(moment(as_of)))
-    return kept.groupBy(*dims).agg(
-        F.count_distinct("entity_id").alias("orders"), F.sum("items").alias("items"),
-        F.sum("items_delivered").alias("items_delivered"),
-        F.sum("chronic_items").alias("chronic_items"),
-        F.count(F.when(F.col("chronic_items") > 0, 1)).alias("chronic_orders"))
+    # one row per dims and customer first, which leaves no distinct count
+    sums = {"orders": F.count("entity_id"), "customers": F.count("customer_id"), "value": F.sum("value"),
+            **{c: F.sum(c) for c in ("items", "items_delivered", "chronic_items", "chronic_delivered")}}
+    per = kept.groupBy(*dims, "customer_id").agg(*[e.alias(c) for c, e in sums.items()])
+    return per.groupBy(*dims).agg(*[F.sum(c).alias(c) for c in sums],
+                                  F.count("customer_id").alias("distinct_customers"))
 
 
 def stage_trend(orders: DataFrame, customers: DataFrame, phone: str, start: str,

@@ -343,10 +343,11 @@ def function_health(orders: DataFrame, dwell: DataFrame, buckets: Mapping[str, s
                .when(due < done, "3) After Committed").otherwise("4) NA"))
     rows = kept.join(wide, "entity_id", "left").select(
         F.to_date("placed_at").alias("placed_date"), F.coalesce(done, due).alias("delivery_date"),
-        promise.alias("delivery_status"), *dims, "value", *buckets.values())
+        promise.alias("delivery_status"), *dims, "value", "lines", "lines_delivered", *buckets.values())
     return rows.groupBy("placed_date", "delivery_date", "delivery_status", *dims).agg(
         *[(F.sum(s) / 60).alias(f"total_{s}") for s in buckets.values()],
         *[F.count(s).alias(f"count_{s}") for s in buckets.values()],
+        F.sum("lines").alias("total_lines"), F.sum("lines_delivered").alias("total_lines_delivered"),
         F.sum("value").alias("total_value"), F.count(F.lit(1)).alias("order_count"))
 
 

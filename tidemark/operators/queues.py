@@ -59,8 +59,10 @@ def resolve_queue_task(tasks: DataFrame, task_log: DataFrame, actions: DataFrame
 
 
 def resolved_with_subscription(resolved: DataFrame, subs: DataFrame, origin: DataFrame,
-                               sub_orders: DataFrame, sources: Mapping, states: Mapping) -> DataFrame:
-    """Resolved tasks with the subscription, its source and state, and how many orders came before."""
+                               sub_orders: DataFrame, task_orders: DataFrame, sources: Mapping,
+                               states: Mapping) -> DataFrame:
+    """Resolved tasks with the subscription, its place, source and state, the order the task is for, and how many
+    orders came before."""
     roots = origin.select("subscription_id", "root_id")
     numbered = row_numbers(
         sub_orders.join(roots, "subscription_id", "left")
@@ -82,8 +84,11 @@ def resolved_with_subscription(resolved: DataFrame, subs: DataFrame, origin: Dat
         lookup(sources, F.col("source")))
     state = F.when(F.col("state") == 4, F.when(F.col("_parent"), "completed with clone")
                    .otherwise("completed without clone")).otherwise(lookup(states, F.col("state")))
-    return rows.select(*resolved.columns, "customer_id", "city",
-                       F.coalesce("interval_days", F.lit(30)).alias("cycle_length"),
+    linked = task_orders.groupBy("task_id").agg(F.max("subscription_order_id").alias("subscription_order_id"))
+    rows = rows.join(linked, "task_id", "left")
+    return rows.select(*resolved.columns, "customer_id", F.col("created_at").alias("started_at"), "city",
+                       F.col("hub").alias("supplier_place"), F.col("carrier").alias("courier_place"),
+                       "subscription_order_id", F.coalesce("interval_days", F.lit(30)).alias("cycle_length"),
                        source.alias("subscription_source"), state.alias("current_state"),
                        F.coalesce("rank_so_far", F.lit(0)).alias("rank"))
 

@@ -55,7 +55,10 @@ _TIMES = """
     prior AS (SELECT entity_id, owner AS prior_owner FROM (
         SELECT entity_id, k % 8 AS owner, row_number() OVER (PARTITION BY entity_id ORDER BY id DESC) AS n FROM stage_log) WHERE n = 2),
     promise AS (SELECT entity_id, min_by(made_at::DATE + 2, id) AS original_promise FROM status_log WHERE code = 2 GROUP BY 1)
-    SELECT e.entity_id, e.placed_at, p.original_promise,
+    SELECT e.entity_id, e.placed_at, p.original_promise, CASE WHEN e.entity_id % 4 = 1 THEN 1 ELSE 0 END AS courier_flag,
+           e.placed_at + INTERVAL 10 MINUTE AS requested_at, e.last_code AS latest_action,
+           CASE WHEN e.entity_id % 3 = 2 THEN 1 ELSE 0 END AS issue_flag,
+           CASE e.entity_id % 12 {" ".join(f"WHEN {k} THEN '{v}'" for k, v in SOURCES.items())} END AS case_source,
            CASE WHEN e.owner IN (0, 1) THEN 'Third_Party' WHEN e.owner = 2 THEN 'Panel'
                 WHEN e.owner IS NULL THEN CASE WHEN r.prior_owner IN (0, 1) THEN 'Third_Party' WHEN r.prior_owner = 2 THEN 'Panel'
                      WHEN r.prior_owner IS NULL THEN 'Not Applicable' ELSE 'House' END ELSE 'House' END AS owner_category,
@@ -66,7 +69,8 @@ def _(t):
     log = t.stage_log.withColumn("owner", F.col("k") % 8)
     promises = t.status_log.filter("code = 2").select(
         "entity_id", "id", F.date_add(F.to_date("made_at"), 2).alias("promised_on"))
-    return db.open_cases(_entities(t), log, promises, 3, OWNERS)
+    cases = _tracked(t).withColumn("requested_at", F.timestamp_add("MINUTE", F.lit(10), "placed_at"))
+    return db.open_cases(cases, log, promises, 3, OWNERS, SOURCES)
 
 
 _NOW = "TIMESTAMP '2024-01-30 12:00:00'"
@@ -197,26 +201,59 @@ _PHONE = f"""
     counts AS (
         SELECT entity_id, count(*) AS items, count(*) FILTER (NOT deleted) AS items_delivered, count(*) FILTER (item_code % 2 = 1) AS chronic_items,
                count(*) FILTER (NOT deleted AND item_code % 2 = 1) AS chronic_delivered FROM stage_item GROUP BY 1),
+    links AS (SELECT entity_id, max(made_at) - INTERVAL 5 MINUTE AS link_sent_at FROM status_log WHERE code = 1 AND entity_id % 5 < 3 GROUP BY 1),
+    cases AS (SELECT entity_id, last_code AS case_status FROM program WHERE entity_id % 3 = 0),
+    closings AS (
+        SELECT entity_id, min_by(id % 3 + 1, id) AS action, min_by('because ' || (id % 4), id) AS reason, bool_or(id % 3 + 1 = 3) AS to_program
+        FROM status_log WHERE code IN (3, 5) AND id % 2 = 0 GROUP BY 1),
     detail AS (
-        SELECT e.entity_id, e.segment, e.hub, e.placed_at::DATE AS placed_on,
+        SELECT e.entity_id, e.entity_id % 50 AS customer_id, e.placed_at, e.placed_at::DATE AS placed_on, e.entity_id * 100 AS value,
+               e.segment AS delivery_place, e.hub AS supplier_place, CASE WHEN p.case_status IS NOT NULL THEN 1 ELSE 0 END AS program_flag,
+               CASE e.entity_id % 9 {" ".join(f"WHEN {k} THEN '{v}'" for k, v in db.PLACEMENT.items())} END AS placement_reason,
+               'agent ' || (e.entity_id % 6) AS agent, CASE WHEN e.entity_id % 2 = 0 THEN 'care' ELSE 'desk' END AS agent_role,
                CASE e.last_code WHEN 4 THEN 'Fulfilled' WHEN 5 THEN 'Cancelled' WHEN 3 THEN 'Rejected' ELSE 'Under Process' END AS order_status,
-               u.made_at AS link_sent_at, u.next_code, u.next_at, u.next2_code, u.next2_at,
-               CASE u.next_code {" ".join(f"WHEN {k} THEN '{v}'" for k, v in OUTCOMES.items())} END AS upload_outcome,
-               CASE WHEN u.next_code = 2 THEN u.next_at END AS uploaded_at,
-               CASE WHEN u.next_code = 2 THEN CASE WHEN u.next_at - u.made_at <= INTERVAL 15 MINUTE THEN 'Within 15 mins'
-                    WHEN u.next_at - u.made_at <= INTERVAL 1 HOUR THEN '15mins-1hour' WHEN u.next_at - u.made_at <= INTERVAL 2 HOUR THEN '1hour-2hours'
-                    WHEN u.next_at - u.made_at <= INTERVAL 3 HOUR THEN '2hours-3hours' ELSE '>3hours' END END AS upload_bin,
+               CASE WHEN e.last_code IN (3, 5) THEN 'cause ' || (e.entity_id % 4) END AS cancel_reason,
+               CASE WHEN e.last_code IN (3, 5) THEN 'agent ' || (e.entity_id % 5) END AS cancelled_by,
+               CASE WHEN e.last_code IN (3, 5) THEN CASE WHEN e.entity_id % 5 % 2 = 0 THEN 'care' ELSE 'desk' END END AS cancelled_by_role,
+               CASE WHEN e.entity_id % 4 = 0 THEN 1 ELSE 0 END AS acquired_by_phone,
+               CASE WHEN p.case_status IS NOT NULL AND k.link_sent_at IS NULL THEN 'Chose program' WHEN k.link_sent_at IS NOT NULL THEN 'Link option chosen'
+                    WHEN e.entity_id % 7 = 0 THEN 'No item needs one' WHEN e.entity_id % 2 = 1 THEN 'Attached from previous' END AS order_type,
+               CASE WHEN p.case_status = 4 THEN 1 ELSE 0 END AS program_done_flag, CASE WHEN l.to_program THEN 1 ELSE 0 END AS moved_to_program_flag,
+               CASE WHEN e.entity_id % 6 = 0 THEN 1 ELSE 0 END AS refill_flag, u.next_code, u.next_at, u.next2_code, u.next2_at,
+               CASE WHEN k.link_sent_at IS NOT NULL THEN CASE u.next_code {" ".join(f"WHEN {k} THEN '{v}'" for k, v in OUTCOMES.items())} END END AS upload_outcome,
+               k.link_sent_at, CASE WHEN u.next_code = 2 THEN u.next_at END AS uploaded_at,
+               CASE WHEN u.next_code = 2 THEN CASE WHEN u.next_at - k.link_sent_at <= INTERVAL 15 MINUTE THEN 'Within 15 mins'
+                    WHEN u.next_at - k.link_sent_at <= INTERVAL 1 HOUR THEN '15mins-1hour' WHEN u.next_at - k.link_sent_at <= INTERVAL 2 HOUR THEN '1hour-2hours'
+                    WHEN u.next_at - k.link_sent_at <= INTERVAL 3 HOUR THEN '2hours-3hours' WHEN u.next_at - k.link_sent_at > INTERVAL 3 HOUR THEN '>3hours' END END AS upload_bin,
+               CASE WHEN u.next_code IN (2, 4) AND u.next2_code = 3 THEN l.reason END AS closing_reason,
+               CASE WHEN u.next_code IN (2, 4) AND u.next2_code = 3 THEN CASE l.action {" ".join(f"WHEN {k} THEN '{v}'" for k, v in db.CLOSING.items())} END END AS closing_action,
+               CASE WHEN e.entity_id % 3 = 1 THEN 'Old User' ELSE 'New User' END AS user_type,
                coalesce(c.items, 0) AS items, coalesce(c.items_delivered, 0) AS items_delivered,
                coalesce(c.chronic_items, 0) AS chronic_items, coalesce(c.chronic_delivered, 0) AS chronic_delivered
-        FROM entity e LEFT JOIN upload u USING (entity_id) LEFT JOIN counts c USING (entity_id))"""
+        FROM entity e LEFT JOIN upload u USING (entity_id) LEFT JOIN counts c USING (entity_id) LEFT JOIN links k USING (entity_id)
+        LEFT JOIN cases p USING (entity_id) LEFT JOIN closings l USING (entity_id))"""
 
 
 def _detail(t):
-    codes = {4: 9, 5: 8, 3: 2}
-    status = F.coalesce(db.lookup(codes, F.col("last_code")), F.lit(1))
-    orders = _entities(t).select("entity_id", "segment", "hub", "placed_at", status.alias("status"))
+    i, code = F.col("entity_id"), F.col("last_code")
+    text = lambda word, n: F.concat(F.lit(word), (i % n).cast("string"))
+    role = lambda n: F.when(i % n % 2 == 0, "care").otherwise("desk")
+    gone = code.isin(3, 5)
+    orders = _entities(t).select(
+        "entity_id", (i % 50).alias("customer_id"), (i * 100).alias("value"), "segment", "hub", "placed_at",
+        F.coalesce(db.lookup({4: 9, 5: 8, 3: 2}, code), F.lit(1)).alias("status"), (i % 9).alias("placement"),
+        text("agent ", 6).alias("agent"), role(2).alias("agent_role"), F.when(gone, text("cause ", 4)).alias("cancel_reason"),
+        F.when(gone, text("agent ", 5)).alias("cancelled_by"), F.when(gone, role(5)).alias("cancelled_by_role"),
+        (i % 4 == 0).alias("phone_customer"), (i % 7 != 0).alias("needs_rx"), (i % 2 == 1).alias("has_image"),
+        (i % 6 == 0).alias("refill"), F.when(i % 3 == 1, "Old User").otherwise("New User").alias("user_type"))
     items = t.stage_item.withColumn("chronic", F.col("item_code") % 2 == 1)
-    return db.phone_order_detail(orders, t.status_log, items, 1, OUTCOMES)
+    links = t.status_log.filter("code = 1 and entity_id % 5 < 3").select(
+        "entity_id", F.timestamp_add("MINUTE", F.lit(-5), "made_at").alias("sent_at"))
+    program = t.program.filter("entity_id % 3 = 0").select("entity_id", F.col("last_code").alias("latest_status"))
+    closings = t.status_log.filter("code in (3, 5) and id % 2 = 0").select(
+        "entity_id", "id", "made_at", (F.col("id") % 3 + 1).alias("action"),
+        F.concat(F.lit("because "), (F.col("id") % 4).cast("string")).alias("reason"))
+    return db.phone_order_detail(orders, t.status_log, items, links, program, closings, 1, OUTCOMES, [2, 4], 3)
 
 
 @query("a63_phone_order_detail", f"WITH {_PHONE} SELECT * FROM detail")
@@ -224,16 +261,26 @@ def _(t):
     return _detail(t)
 
 
-_DIMS = ["segment", "hub", "placed_on", "order_status", "upload_outcome", "upload_bin"]
+_DIMS = ["placed_on", "order_status", "delivery_place", "supplier_place", "payment_placed", "payment_delivered",
+         "courier_flag", "chronic_flag", "user_type", "program_flag", "program_done_flag", "refill_flag",
+         "placement_reason", "agent", "cancel_reason", "acquired_by_phone", "next_code", "order_type",
+         "upload_outcome", "upload_bin"]
 
 
 @query("a64_phone_order_summary", f"""
-    WITH {_PHONE} SELECT {", ".join(_DIMS)}, count(DISTINCT entity_id) AS orders, sum(items)::BIGINT AS items,
-           sum(items_delivered)::BIGINT AS items_delivered, sum(chronic_items)::BIGINT AS chronic_items,
-           count(*) FILTER (chronic_items > 0) AS chronic_orders
-    FROM detail WHERE placed_on < DATE '2024-01-30' GROUP BY ALL""")
+    WITH {_PHONE},
+    more AS (SELECT *, 'paid ' || (entity_id % 3) AS payment_placed, 'paid ' || (entity_id % 2) AS payment_delivered,
+                    entity_id % 4 = 1 AS courier_flag, entity_id % 5 = 0 AS chronic_flag FROM detail)
+    SELECT {", ".join(_DIMS)}, count(entity_id) AS orders, count(customer_id) AS customers, sum(value)::BIGINT AS value,
+           sum(items)::BIGINT AS items, sum(items_delivered)::BIGINT AS items_delivered, sum(chronic_items)::BIGINT AS chronic_items,
+           sum(chronic_delivered)::BIGINT AS chronic_delivered, count(DISTINCT customer_id) AS distinct_customers
+    FROM more WHERE placed_on < DATE '2024-01-30' GROUP BY ALL""")
 def _(t):
-    return db.phone_order_summary(_detail(t), _DIMS, EVENTS_AS_OF)
+    i = F.col("entity_id")
+    paid = lambda n: F.concat(F.lit("paid "), (i % n).cast("string"))
+    rows = _detail(t).withColumns({"payment_placed": paid(3), "payment_delivered": paid(2),
+                                   "courier_flag": i % 4 == 1, "chronic_flag": i % 5 == 0})
+    return db.phone_order_summary(rows, _DIMS, EVENTS_AS_OF)
 
 
 def _registered(t):

@@ -354,7 +354,7 @@ _PIVOT = ",\n".join(f"sum(CASE WHEN bucket = '{g}' THEN seconds END)::BIGINT AS
         SELECT l.entity_id, l.placed_at, l.order_status, g.segment,
                l.placed_at + INTERVAL 3 DAY AS due_at,
                max(CASE WHEN s.code = 4 THEN s.made_at END) AS done_at,
-               sum(round(e.value * 100)::BIGINT)::BIGINT AS value
+               sum(round(e.value * 100)::BIGINT)::BIGINT AS value, count(*) AS lines, count(*) FILTER (s.id % 3 > 0) AS lines_delivered
         FROM labelled l JOIN geo g ON l.entity_id = g.customer_id
         JOIN status_log s ON s.entity_id = l.entity_id JOIN events e ON e.event_id = s.id
         GROUP BY 1, 2, 3, 4),
@@ -369,11 +369,13 @@ _PIVOT = ",\n".join(f"sum(CASE WHEN bucket = '{g}' THEN seconds END)::BIGINT AS
     SELECT placed_at::DATE AS placed_date, coalesce(done_at::DATE, due_at::DATE) AS delivery_date,
            delivery_status, order_status, segment,
            {", ".join(f"sum({s})::BIGINT / 60 AS total_{s}, count({s}) AS count_{s}" for s in _SHORT.values())},
+           sum(lines)::BIGINT AS total_lines, sum(lines_delivered)::BIGINT AS total_lines_delivered,
            sum(value)::BIGINT AS total_value, count(*) AS order_count
     FROM kept GROUP BY 1, 2, 3, 4, 5""")
 def _(t):
     paid = t.events.groupBy(F.col("user_id").alias("entity_id")).agg(
         F.sum(F.round(F.col("value") * 100).cast("long")).alias("value"),
+        F.count(F.lit(1)).alias("lines"), F.count(F.when(F.col("event_id") % 3 > 0, 1)).alias("lines_delivered"),
         F.max(F.when(F.col("event_type") == "purchase", F.col("ts"))).alias("done_at"))
     place = t.geo.select(F.col("customer_id").alias("entity_id"), "segment")
     orders = (_status(t).join(paid, "entity_id").join(place, "entity_id")
