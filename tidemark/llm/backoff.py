@@ -2,8 +2,8 @@
 
 Documents are dealt to batches by a hash. Each batch sends every distinct n-gram once, with its count, to the
 n-gram's hash bucket: the count tables, partitioned by hash. A bucket adds the counts and answers each batch with the
-corpus count of each n-gram it sent. Words and pairs go first; an n-gram of more words is sent only if the shorter
-n-grams it begins and ends with have been found `LEAST` times, for otherwise it can't be. Met by its answers, a
+corpus count of each n-gram it sent. Words go first; a longer n-gram is sent only if both n-grams of one word less
+that it holds have been found `LEAST` times, for otherwise it can't be. Met by its answers, a
 batch lays the counts along its words and sums each document's scores. A frequent n-gram is one entry per batch,
 however often it stands there, so no key gathers more than the number of batches.
 
@@ -52,25 +52,24 @@ class Batch:
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(last words, distinct n-grams ascending, which of them each is, how often each is here)."""
         places, _ = W.gram_places(self.counts, n)
-        if n > 2:  # both n-grams of one word less are known
+        if n > 1:  # both n-grams of one word less are known
             shorter = self.along.get(n - 1, np.zeros(len(self.h), np.int64))
             places = places[(shorter[places + n - 1] >= self.least) & (shorter[places + n - 2] >= self.least)]
         return (places + n - 1, *W.distinct(W.grams(self.h, n)[places]))
 
 
-def _send(orders: tuple[int, ...], buckets: int, least: int):
+def _send(n: int, buckets: int, least: int):
     def sent(table: pa.Table, answers: pa.Table | None) -> pa.Table:
         batch = Batch(table, answers, least)
         name = table.column("batch")[0].as_py() if table.num_rows else 0
         out = {x: [] for x in ("bucket", "n", "batch", "grams", "times")}
-        for n in orders:
-            _, grams, _, times = batch.grams(n)
-            cuts = W.bucket_cuts(grams, buckets)
-            full = np.flatnonzero(np.diff(cuts))
-            out["bucket"].extend(full.tolist()), out["n"].extend([n] * len(full))
-            out["batch"].extend([name] * len(full))
-            out["grams"].extend(W.pack_sorted(grams[cuts[b]:cuts[b + 1]]) for b in full)
-            out["times"].extend(W.pack_small(times[cuts[b]:cuts[b + 1]]) for b in full)
+        _, grams, _, times = batch.grams(n)
+        cuts = W.bucket_cuts(grams, buckets)
+        full = np.flatnonzero(np.diff(cuts))
+        out["bucket"].extend(full.tolist()), out["n"].extend([n] * len(full))
+        out["batch"].extend([name] * len(full))
+        out["grams"].extend(W.pack_sorted(grams[cuts[b]:cuts[b + 1]]) for b in full)
+        out["times"].extend(W.pack_small(times[cuts[b]:cuts[b + 1]]) for b in full)
         return pa.table([pa.array(out["bucket"], pa.int32()), pa.array(out["n"], pa.int32()), pa.array(
             out["batch"], pa.int64()), pa.array(out["grams"], pa.binary()), pa.array(out["times"], pa.binary())],
             names=list(out))
@@ -81,7 +80,7 @@ def _send(orders: tuple[int, ...], buckets: int, least: int):
     def later(table: pa.Table, answers: pa.Table) -> pa.Table:
         return sent(table, answers)
 
-    return first if orders[0] == 1 else later
+    return first if n == 1 else later
 
 
 def _count(table: pa.Table) -> pa.Table:
@@ -124,7 +123,7 @@ def _score(order: int, least: int, alpha: float, words: int):
 def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, least: int = LEAST,
            alpha: float = ALPHA) -> DataFrame:
     """doc_id, n_words, n_backed_off (words scored by a shorter n-gram than they might), score and mean_score."""
-    buckets = frames.buckets_for(docs.sparkSession)
+    buckets = frames.buckets_for(docs.sparkSession, 1)  # the larger a batch, the fewer n-grams are sent twice
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     words = total_words(rows)
     rows = rows.withColumn("uid", F.xxhash64("doc_id", "text"))
@@ -134,10 +133,10 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: i
     def answered(sent: DataFrame) -> DataFrame:
         return sent.groupBy("bucket", "n").applyInArrow(_count, "batch long, n int, bucket int, total binary")
 
-    known = answered(grouped.applyInArrow(_send((1, 2)[:order], buckets, least), schema))
-    for n in range(3, order + 1):
+    known = answered(grouped.applyInArrow(_send(1, buckets, least), schema))
+    for n in range(2, order + 1):
         known = known.unionByName(answered(
-            grouped.cogroup(known.groupBy("batch")).applyInArrow(_send((n,), buckets, least), schema)))
+            grouped.cogroup(known.groupBy("batch")).applyInArrow(_send(n, buckets, least), schema)))
     out = grouped.cogroup(known.groupBy("batch")).applyInArrow(
         _score(order, least, alpha, words), "doc_id long, n_words long, micro long, backed_off long")
     score = F.col("micro") / F.lit(float(MICRO))
@@ -148,7 +147,7 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: i
 def total_words(rows: DataFrame) -> int:
     """All words of the corpus."""
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in W.text_batches(batches, "text", 8 << 20):
+        for batch in W.text_batches(batches, "text", 4 << 20):
             _, _, counts = W.word_spans(*W.utf8(batch.column("text")), W.blank_words())
             yield pa.RecordBatch.from_arrays([pa.array([int(counts.sum())])], names=["n"])
     return rows.select("text").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
