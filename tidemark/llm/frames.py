@@ -30,9 +30,18 @@ def free(name: str, df: DataFrame) -> str:
     return name
 
 
+#: Arrow batches between Spark and its Python workers stay this small, whatever the texts' length.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors, once for each Spark application, as --py-files would."""
+    """Send this package to the executors, once for each Spark application, as --py-files would.
+
+    Where the session doesn't say otherwise, bounds the bytes of an Arrow batch.
+    """
     context = spark.sparkContext
+    if not context.getConf().contains(BATCH_BYTES):
+        spark.conf.set(BATCH_BYTES, str(4 << 20))
     if getattr(context, "_tidemark_shipped", None) is None:
         top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
         folder = tempfile.mkdtemp(prefix="tidemark-")

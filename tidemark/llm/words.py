@@ -6,6 +6,7 @@ entries, so one pass of numpy over a batch gives the 64-bit hash of every word w
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -165,9 +166,19 @@ def gram_places(counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return first[text] + inner, text
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 32 << 20):
+def release() -> None:
+    """Give memory that is free back to the system: a worker lives on from task to task beside others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def text_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20):
     """The batches cut so that none holds over `most` bytes of text, one text at least in each."""
     for batch in batches:
+        release()
         if not batch.num_rows:
             continue
         size = np.cumsum(np.diff(utf8(batch.column(column))[1]))
@@ -177,6 +188,8 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 32
             b = max(a + 1, int(np.searchsorted(size, base + most, side="right")))
             yield batch.slice(a, b - a)
             a = b
+        del batch, size
+    release()
 
 
 def kept_columns(batch: pa.RecordBatch, *names: str) -> list[pa.Array]:
