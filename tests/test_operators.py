@@ -120,7 +120,7 @@ def test_hold_span_starts_after_the_hold_and_stays_open(spark):
     h = spark.createDataFrame([(1, 1, at("01 10:00:00"), 5), (1, 2, at("01 11:00:00"), 2), (2, 3, at("01 10:00:00"), 5)],
                               "order_id long, id long, made_at timestamp_ntz, action int")
     got = {r.order_id: (r.hold_from, r.hold_to) for r in calls.hold_intervals(h, 5).collect()}
-    assert got[1] == (at("01 10:00:01"), at("01 11:00:00"))
+    assert got[1] == (at("01 10:00:00").replace(microsecond=1), at("01 11:00:00"))
     assert got[2][1] == datetime(2100, 1, 1)
 
 
@@ -130,5 +130,8 @@ def test_repeat_new_items_counts_union_of_buyers_once(spark):
     lines = spark.createDataFrame([(1, 10, False), (1, 11, False), (2, 10, True), (2, 11, False), (3, 11, True)],
                                   "entity_id long, item_code int, deleted boolean")
     dwell = spark.createDataFrame([(1, 5, 1)], "entity_id long, in_stage_seconds long, visits long")
-    row = lifecycle.repeat_new_items(detail, lines, dwell).first()
-    assert (row.new_items, row.times_ordered, row.times_ordered_and_retained, row.other_lines) == (2, 2, 1, 3)
+    ends = spark.createDataFrame([(1, at("01 10:00:00"), "won"), (2, at("01 10:00:00"), "won"), (3, at("01 10:00:00"), "open")],
+                                 "entity_id long, placed_at timestamp_ntz, outcome string")
+    row = lifecycle.repeat_new_items(detail, lines, ends, dwell).first()
+    assert (row.new_items, row.times_ordered, row.times_ordered_and_retained) == (2, 2, 1)
+    assert (row.won_lines, row.closed_lines, row.open_lines) == (2, 0, 1)

@@ -58,18 +58,16 @@ def abuse_features(order_items: DataFrame, limits: DataFrame, abuse: DataFrame,
     return per.groupBy(key).agg(*aggs)
 
 
-def fraud_features(orders: DataFrame, program: DataFrame, stage_times: DataFrame,
-                   refunds: DataFrame, issues: DataFrame, profile: DataFrame,
+def fraud_features(orders: DataFrame, program: DataFrame, order_facts: DataFrame, profile: DataFrame,
                    key: str = "customer_id", min_orders: int = 10, active_since: str | None = None,
                    phone: str = "phone") -> DataFrame:
     """Cancellations by stage, refunds, channels and the latest orders per key, with its profile.
 
-    `stage_times` has when an order was packed, billed, sent out and last tried
-    at the door; `program` the outcome and whether the customer chose it in the
+    `order_facts` has when an order was packed, billed, sent out and last tried
+    at the door, and its refunded and issue value; `program` the outcome and whether the customer chose it in the
     app; `profile` a key's ban flag, addresses and patients.
     """
-    rows = (orders.join(program, "order_id", "left").join(stage_times, "order_id", "left")
-            .join(refunds, "order_id", "left").join(issues, "order_id", "left"))
+    rows = orders.join(program, "order_id", "left").join(order_facts, "order_id", "left")
     status, cancelled = F.col("status"), F.col("status") == 8
     closed, won = status.isin(2, 8, 9, 10), done()
     seq = KeyedSequence(rows, [key], [F.col("order_id").desc()], -id_lane("order_id"))

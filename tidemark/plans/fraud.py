@@ -120,15 +120,16 @@ def _fraud(t, key):
         "order_id", F.when(F.col("value") > 20000000, 4).otherwise(3).alias("outcome"),
         (F.col("order_id") % 3 == 0).alias("chosen"))
     plus = lambda n: F.timestamp_add("DAY", F.lit(n), F.min("first_ship"))
-    stages = t.item.groupBy("order_id").agg(plus(0).alias("packed_at"), plus(200).alias("billed_at"),
-                                            plus(400).alias("out_at"), plus(500).alias("last_try_at"))
-    refunds = t.item.filter("returned = 1").groupBy("order_id").agg(F.sum("gross").alias("returned_value"))
-    issues = t.item.filter("qty > 45").groupBy("order_id").agg(F.sum("disc").alias("issue_value"))
+    # one pass over the items of an order gives its times and values
+    facts = t.item.groupBy("order_id").agg(
+        plus(0).alias("packed_at"), plus(200).alias("billed_at"), plus(400).alias("out_at"),
+        plus(500).alias("last_try_at"), F.sum(F.when(F.col("returned") == 1, F.col("gross"))).alias("returned_value"),
+        F.sum(F.when(F.col("qty") > 45, F.col("disc"))).alias("issue_value"))
     profile = _orders(t).groupBy(key).agg(
         F.max(F.when(F.col("order_id") % 50 == 7, 1).otherwise(0)).alias("banned_flag"),
         F.count_distinct("channel").alias("address_count"),
         F.count_distinct(F.col("order_id") % 3).alias("patient_count"))
-    return fr.fraud_features(o, program, stages, refunds, issues, profile, key,
+    return fr.fraud_features(o, program, facts, profile, key,
                              active_since="1999-01-01 00:00:00", phone=PHONE)
 
 
