@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import dashboards as db
-from tidemark.plans.facts import CASES_SQL, PARTNERS, SOURCES, office_sql, staff
+from tidemark.plans.facts import PARTNERS, SOURCES, office_sql, staff
 from tidemark.plans.registry import QUERIES, SQL, query
 from tidemark.plans.views import EVENTS_AS_OF, ORDERS_AS_OF, PARTNER, PHONE
 

@@ -36,7 +36,7 @@ CUSTOMER_REASONS = ["Order Cancelled by user", "Order Cancelled By Moderator", "
 PARTNERS = [1, 2]
 _REASONS = ["Order Cancelled by user", "Unclear image", "Order Cancelled By Moderator", "Dose not given"]
 
-CASES_SQL = _CASES = """
+_CASES = """
     cases AS (
         SELECT entity_id, entity_id % 50 AS customer_id, min(made_at) AS placed_at,
                max(made_at) AS updated_at, arg_max(code, id) AS last_code,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import forecast as fc
@@ -184,8 +186,10 @@ def _gate_rows(t, gates):
     """Each gate's size, and whether its figures follow from its R squared."""
     rows = []
     for g in gates:
-        adjusted = 1 - (1 - g["r2"]) * (g["n"] - 1) / (g["n"] - g["k"] - 1)
-        rows.append((g["target"], g["n"], g["k"], abs(adjusted - g["adjusted_r2"]) < 1e-9,
+        spare = g["n"] - g["k"] - 1  # without rows to spare there is no adjusted value
+        follows = (abs(1 - (1 - g["r2"]) * (g["n"] - 1) / spare - g["adjusted_r2"]) < 1e-9 if spare > 0
+                   else math.isnan(g["adjusted_r2"]))
+        rows.append((g["target"], g["n"], g["k"], follows,
                      g["accepted"] == (g["adjusted_r2"] >= 0.85)))
     return t.spark.createDataFrame(
         rows, "target string, n long, k int, adjusted_follows boolean, accepted_follows boolean")
