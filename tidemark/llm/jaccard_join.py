@@ -125,20 +125,24 @@ def _share(table: pa.Table) -> pa.Table:
     classes = [np.frombuffer(x.as_py(), W.U) for x in rows.column("c")]
     local = [W.unpack_sorted(x.as_py()).astype(np.int64) for x in rows.column("d")]
     ends = np.cumsum([len(g) for g in grams])
-    who = np.concatenate([c[p] for c, p in zip(classes, places)])
     g = np.concatenate(grams)
+    del grams
     order = np.argsort(g)
     begin = W.run_starts(g[order])
-    low = np.minimum.reduceat(who[order], begin)
-    mixed = (low != np.maximum.reduceat(who[order], begin)) | (low == 0)
-    shared = np.empty(len(g), bool)
-    shared[order] = np.repeat(mixed, np.diff(np.append(begin, len(g))))
+    del g
+    who = np.concatenate([c[p] for c, p in zip(classes, places)])[order]
+    low = np.minimum.reduceat(who, begin)
+    mixed = (low != np.maximum.reduceat(who, begin)) | (low == 0)
+    del who
+    shared = np.empty(len(order), bool)
+    shared[order] = np.repeat(mixed, np.diff(np.append(begin, len(order))))
+    del order
     counts = [np.bincount(p[s], minlength=len(m)) for p, s, m in zip(places, np.split(shared, ends[:-1]), local)]
     return pa.concat_tables([documents, pa.table([
-        rows.column("batch"), pa.array(np.zeros(len(grams), np.int8)),
+        rows.column("batch"), pa.array(np.zeros(len(ends), np.int8)),
         pa.array([m[c > 0].tobytes() for m, c in zip(local, counts)], pa.binary()),
         pa.array([c[c > 0].astype("<i8").tobytes() for c in counts], pa.binary()),
-        pa.nulls(len(grams), pa.binary()), pa.nulls(len(grams), pa.binary())], schema=documents.schema)])
+        pa.nulls(len(ends), pa.binary()), pa.nulls(len(ends), pa.binary())], schema=documents.schema)])
 
 
 def _total(table: pa.Table) -> pa.Table:
