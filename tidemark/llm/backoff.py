@@ -39,7 +39,7 @@ class Batch:
         table = table.sort_by([("doc_id", "ascending"), ("uid", "ascending")])
         self.ids = table.column("doc_id")
         self.h, self.counts = W.words(table.column("text"), W.blank_words())
-        self.least, self.along = least, {}
+        self.least, self.along, self.totals = least, {}, {}
         if answers is not None:
             rows = answers.sort_by([("n", "ascending"), ("bucket", "ascending")])
             ns, totals = rows.column("n").to_numpy(), rows.column("total")
@@ -47,7 +47,8 @@ class Batch:
                 got = [W.unpack_small(totals[int(k)].as_py()) for k in np.flatnonzero(ns == n)]
                 last, _, which, _ = self.grams(n)
                 self.along[n] = np.zeros(len(self.h), np.int64)  # by the n-gram's last word
-                self.along[n][last] = np.concatenate(got)[which]
+                self.totals[n] = np.concatenate(got)
+                self.along[n][last] = self.totals[n][which]
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(last words, distinct n-grams ascending, which of them each is, how often each is here)."""
@@ -62,17 +63,18 @@ def _send(n: int, buckets: int, least: int):
     def sent(table: pa.Table, answers: pa.Table | None) -> pa.Table:
         batch = Batch(table, answers, least)
         name = table.column("batch")[0].as_py() if table.num_rows else 0
-        out = {x: [] for x in ("bucket", "n", "batch", "grams", "times")}
         _, grams, _, times = batch.grams(n)
         cuts = W.bucket_cuts(grams, buckets)
-        full = np.flatnonzero(np.diff(cuts))
-        out["bucket"].extend(full.tolist()), out["n"].extend([n] * len(full))
-        out["batch"].extend([name] * len(full))
-        out["grams"].extend(W.pack_sorted(grams[cuts[b]:cuts[b + 1]]) for b in full)
-        out["times"].extend(W.pack_small(times[cuts[b]:cuts[b + 1]]) for b in full)
-        return pa.table([pa.array(out["bucket"], pa.int32()), pa.array(out["n"], pa.int32()), pa.array(
-            out["batch"], pa.int64()), pa.array(out["grams"], pa.binary()), pa.array(out["times"], pa.binary())],
-            names=list(out))
+        full = np.flatnonzero(np.diff(cuts)).tolist()
+        known = list(batch.totals.items())  # what was answered before goes along with the batch
+        rows = len(full) + len(known)
+        return pa.table([
+            pa.array([*full, *[name % buckets] * len(known)], pa.int32()),
+            pa.array([n] * len(full) + [k for k, _ in known], pa.int32()), pa.array([name] * rows, pa.int64()),
+            pa.array([W.pack_sorted(grams[cuts[b]:cuts[b + 1]]) for b in full] + [None] * len(known), pa.binary()),
+            pa.array([W.pack_small(times[cuts[b]:cuts[b + 1]]) for b in full] + [None] * len(known), pa.binary()),
+            pa.array([None] * len(full) + [W.pack_small(total) for _, total in known], pa.binary())],
+            names=["bucket", "n", "batch", "grams", "times", "answer"])
 
     def first(table: pa.Table) -> pa.Table:
         return sent(table, None)
@@ -84,7 +86,13 @@ def _send(n: int, buckets: int, least: int):
 
 
 def _count(table: pa.Table) -> pa.Table:
-    """One bucket of the count table of n-grams of n words: the corpus counts of each batch's n-grams, in order."""
+    """One bucket of the count table of n-grams of n words: the corpus counts of each batch's n-grams, in order.
+
+    Rows that hold an answer already, to shorter n-grams, are groups of their own and pass through.
+    """
+    if not table.column("answer").null_count:
+        return pa.table([table.column(c) for c in ("batch", "n", "bucket", "answer")],
+                        names=["batch", "n", "bucket", "total"])
     grams = [W.unpack_sorted(x.as_py()) for x in table.column("grams")]
     times = np.concatenate([W.unpack_small(x.as_py()) for x in table.column("times")]).astype(np.int64)
     ends = np.cumsum([len(g) for g in grams])
@@ -128,15 +136,14 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: i
     words = total_words(rows)
     rows = rows.withColumn("uid", F.xxhash64("doc_id", "text"))
     grouped = rows.withColumn("batch", F.pmod("uid", F.lit(buckets)).cast("long")).groupBy("batch")
-    schema = "bucket int, n int, batch long, grams binary, times binary"
+    schema = "bucket int, n int, batch long, grams binary, times binary, answer binary"
 
     def answered(sent: DataFrame) -> DataFrame:
         return sent.groupBy("bucket", "n").applyInArrow(_count, "batch long, n int, bucket int, total binary")
 
     known = answered(grouped.applyInArrow(_send(1, buckets, least), schema))
     for n in range(2, order + 1):
-        known = known.unionByName(answered(
-            grouped.cogroup(known.groupBy("batch")).applyInArrow(_send(n, buckets, least), schema)))
+        known = answered(grouped.cogroup(known.groupBy("batch")).applyInArrow(_send(n, buckets, least), schema))
     out = grouped.cogroup(known.groupBy("batch")).applyInArrow(
         _score(order, least, alpha, words), "doc_id long, n_words long, micro long, backed_off long")
     score = F.col("micro") / F.lit(float(MICRO))
