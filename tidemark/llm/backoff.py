@@ -44,7 +44,7 @@ class Batch:
             rows = answers.sort_by([("n", "ascending"), ("bucket", "ascending")])
             ns, totals = rows.column("n").to_numpy(), rows.column("total")
             for n in sorted(set(ns.tolist())):
-                got = [W.unpack_small(totals[int(k)].as_py()) for k in np.flatnonzero(ns == n)]
+                got = [W.unpack_counts(totals[int(k)].as_py()) for k in np.flatnonzero(ns == n)]
                 last, _, which, _ = self.grams(n)
                 self.along[n] = np.zeros(len(self.h), np.int64)  # by the n-gram's last word
                 self.totals[n] = np.concatenate(got)
@@ -72,8 +72,8 @@ def _send(n: int, buckets: int, least: int):
             pa.array([*full, *[name % buckets] * len(known)], pa.int32()),
             pa.array([n] * len(full) + [k for k, _ in known], pa.int32()), pa.array([name] * rows, pa.int64()),
             pa.array([W.pack_sorted(grams[cuts[b]:cuts[b + 1]]) for b in full] + [None] * len(known), pa.binary()),
-            pa.array([W.pack_small(times[cuts[b]:cuts[b + 1]]) for b in full] + [None] * len(known), pa.binary()),
-            pa.array([None] * len(full) + [W.pack_small(total) for _, total in known], pa.binary())],
+            pa.array([W.pack_counts(times[cuts[b]:cuts[b + 1]]) for b in full] + [None] * len(known), pa.binary()),
+            pa.array([None] * len(full) + [W.pack_counts(total) for _, total in known], pa.binary())],
             names=["bucket", "n", "batch", "grams", "times", "answer"])
 
     def first(table: pa.Table) -> pa.Table:
@@ -94,13 +94,13 @@ def _count(table: pa.Table) -> pa.Table:
         return pa.table([table.column(c) for c in ("batch", "n", "bucket", "answer")],
                         names=["batch", "n", "bucket", "total"])
     grams = [W.unpack_sorted(x.as_py()) for x in table.column("grams")]
-    times = np.concatenate([W.unpack_small(x.as_py()) for x in table.column("times")]).astype(np.int64)
+    times = np.concatenate([W.unpack_counts(x.as_py()) for x in table.column("times")]).astype(np.int64)
     ends = np.cumsum([len(g) for g in grams])
     _, which, _ = W.distinct(np.concatenate(grams))
     total = np.bincount(which, weights=times).astype(np.int64)[which]
     total = np.minimum(total, (1 << 32) - 1)
     return pa.table({"batch": table.column("batch"), "n": table.column("n"), "bucket": table.column("bucket"),
-                     "total": pa.array([W.pack_small(x) for x in np.split(total, ends[:-1])], pa.binary())})
+                     "total": pa.array([W.pack_counts(x) for x in np.split(total, ends[:-1])], pa.binary())})
 
 
 def _score(order: int, least: int, alpha: float, words: int):

@@ -7,6 +7,7 @@ entries, so one pass of numpy over a batch gives the 64-bit hash of every word w
 from __future__ import annotations
 
 import ctypes
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -251,6 +252,15 @@ def unpack_small(blob: bytes) -> np.ndarray:
     return out.view("<u4").ravel()
 
 
+def pack_counts(a: np.ndarray) -> bytes:
+    """Counts, most of them small, in the fewest bytes that a quick entropy coder gives."""
+    return zlib.compress(pack_small(a), 1)
+
+
+def unpack_counts(blob: bytes) -> np.ndarray:
+    return unpack_small(zlib.decompress(blob))
+
+
 def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ascending distinct values, which of them each value is, how often each occurs)."""
     order = np.argsort(h)
