@@ -49,6 +49,28 @@ def test_against_all_windows(spark):
     assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
 
 
+def test_every_place_of_a_context(spark):
+    """A passage goes wherever it stands in a document, and in every row of the document's id."""
+    rng = random.Random(8)
+    shared, own = sentence(rng, 40)[:50], [c * 30 for c in "ABCD"]
+    twice = (own[0] + shared + own[1]) * 2
+    rows = [(1, own[2] + shared + own[3]), (2, twice), (3, "".join(own)), (5, twice + own[0] + shared[1:] + own[3])]
+    for docs in (rows, rows + [(2, twice), (2, "tail " + twice), (3, "head " + twice), (0, None)]):
+        assert got(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)) == brute(docs)
+    alone = got(spark.createDataFrame(rows[:2], "doc_id long, text string"))
+    assert [r[:4] for r in alone if r[0] == 2] == [(2, 220, 100, 2)]
+
+
+def test_places_at_random(spark):
+    rng = random.Random(15)
+    shared = [sentence(rng, 25) for _ in range(3)]
+    blocks = [sentence(rng, rng.randrange(8)) + rng.choice(shared)[rng.randrange(30):][:rng.randrange(50, 90)]
+              + sentence(rng, rng.randrange(8)) for _ in range(12)]
+    rows = [(rng.randrange(30), "".join(rng.choice(blocks) for _ in range(rng.randrange(1, 5)))) for _ in range(60)]
+    rows += rng.sample(rows, 15)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
+
+
 def test_odd_rows_and_none(odd, none):
     assert got(odd) == brute([(r.doc_id, r.text) for r in odd.collect()])
     assert got(none) == []

@@ -10,11 +10,12 @@ LENGTH - GRAM bytes, need only be compared with contexts of the same anchor. In
 1. Documents are dealt to batches by a hash. A batch sends each distinct context once, as the anchor's hash, a
    64-bit hash of the context and the smallest id that has it, to the anchor's bucket.
 2. The bucket answers, entry by entry: a smaller id has the whole context (all its strings repeat); or other
-   contexts share its anchor, and the smallest id's batch sends its bytes; or neither, and nothing is left to do.
+   contexts share its anchor, and the smallest id's batch sends its bytes and all its places in documents of that
+   id; or neither, and nothing is left to do.
 3. The bucket builds the enhanced suffix array of the contexts it got, over the places where strings of LENGTH
    bytes start. A stack scan of the common prefix lengths yields the intervals of at least LENGTH, the prefix tree's
    nodes; those whose left neighbours differ are maximal repeats, given with all occurrences. In each, occurrences
-   in documents other than the smallest are spans to remove.
+   in documents other than the smallest are spans to remove, at every place of their context.
 4. Each batch cuts its documents by the spans.
 
 A context that occurs everywhere is one entry per batch, so no anchor gathers copies; a bucket gets distinct
@@ -138,13 +139,13 @@ def _unpack_ids(blob: bytes) -> np.ndarray:
     return out.view("<i8").ravel() + base
 
 
-_BLOBS = ("a", "b", "c", "d")
-_SENT = "bucket int, batch long, kind tinyint, a binary, b binary, c binary, d binary"
+_BLOBS = ("a", "b", "c", "d", "e")
+_SENT = "bucket int, batch long, kind tinyint, " + ", ".join(f"{x} binary" for x in _BLOBS)
 
 
 def _rows(bucket, batch, kind, *blobs) -> pa.Table:
     n = len(bucket)
-    columns = [pa.array(x, pa.binary()) for x in blobs] + [pa.nulls(n, pa.binary())] * (4 - len(blobs))
+    columns = [pa.array(x, pa.binary()) for x in blobs] + [pa.nulls(n, pa.binary())] * (len(_BLOBS) - len(blobs))
     return pa.table([pa.array(bucket, pa.int32()), pa.array([batch] * n, pa.int64()),
                      pa.array([kind] * n, pa.int8()), *columns], names=["bucket", "batch", "kind", *_BLOBS])
 
@@ -204,14 +205,19 @@ def _wanted(length: int, gram: int, buckets: int):
         begin, end = _merged(batch.first[gone], batch.last[gone] + length)
         spans = _rows([name % buckets], name, 1, [begin.astype("<i8").tobytes()], [end.astype("<i8").tobytes()])
         cuts = batch.cuts(buckets)
+        # all places of the wanted contexts in documents of their smallest id, context by context
+        spots = np.flatnonzero((flags[batch.entry] == 2) & ~gone)
+        spots = spots[np.argsort(batch.entry[spots], kind="stable")]
+        edges = np.searchsorted(batch.entry[spots], cuts)
         sent = []
-        for k in np.flatnonzero(np.diff(cuts)):
-            at = batch.example[cuts[k] + np.flatnonzero(flags[cuts[k]:cuts[k + 1]] == 2)]
-            if len(at):
-                sizes = batch.last[at] - batch.first[at] + length
-                places = np.repeat(batch.first[at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-                sent.append((k, batch.raw[places].tobytes(), W.pack_small(sizes), _pack_ids(batch.owner[at]),
-                             batch.first[at].astype("<i8").tobytes()))
+        for k in np.flatnonzero(np.diff(edges)):
+            spot = spots[edges[k]:edges[k + 1]]
+            begin = W.run_starts(batch.entry[spot])
+            at, many = spot[begin], np.diff(np.append(begin, len(spot)))
+            sizes = batch.last[at] - batch.first[at] + length
+            places = np.repeat(batch.first[at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            sent.append((k, batch.raw[places].tobytes(), W.pack_small(sizes), _pack_ids(batch.owner[at]),
+                         batch.first[spot].astype("<i8").tobytes(), W.pack_small(many)))
         if not sent:
             return spans
         bucket, *blobs = zip(*sent)
@@ -299,6 +305,7 @@ def _repeated(length: int):
             sizes = [W.unpack_small(x.as_py()).astype(np.int64) for x in rows.column("b")]
             ids = np.concatenate([_unpack_ids(x.as_py()) for x in rows.column("c")])
             at = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in rows.column("d")])
+            places = np.concatenate([W.unpack_small(x.as_py()).astype(np.int64) for x in rows.column("e")])
             source = np.repeat(np.arange(len(sizes)), [len(x) for x in sizes])
             size = np.concatenate(sizes)
             raw = np.frombuffer(b"".join(x.as_py() for x in rows.column("a")), np.uint8)
@@ -313,9 +320,17 @@ def _repeated(length: int):
                 least = np.minimum.reduceat(owner[place_of], np.cumsum(many) - many)
                 gone = owner[place_of] > least[group]
                 group, place_of = group[gone], place_of[gone]
-            begin = at[text[place_of]] + place[place_of] - (end - size)[text[place_of]]
-            stop = begin + groups[group, 2]
-            source = source[text[place_of]]
+            # the spans of each context, kept apart from the next one's by a step of 1, then at all its places
+            begin = place[place_of] + text[place_of]
+            begin, stop = _merged(begin, begin + groups[group, 2])
+            text = np.searchsorted(end + np.arange(len(end)), begin, side="right")
+            inner, span = begin - text - (end - size)[text], stop - begin
+            many = places[text]
+            which = np.repeat(np.arange(len(text)), many)
+            begin = at[np.arange(len(which)) + np.repeat((np.cumsum(places) - places)[text] - (np.cumsum(many) - many),
+                                                         many)] + inner[which]
+            stop = begin + span[which]
+            source = source[text[which]]
             order = np.argsort(source, kind="stable")
             cuts = np.searchsorted(source[order], np.arange(len(sizes) + 1))
             names, a, b = rows.column("batch").to_pylist(), [], []
