@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -65,6 +66,55 @@ def test_against_all_alignments(spark):
     assert kept == ({i for i, _ in docs} - {r[0] for r in want}) | {None}
 
 
+def rule(equal, least):
+    """Whether a stretch of at least `least` words has 80 % equal."""
+    total = [0, *itertools.accumulate(5 * int(e) - 4 for e in equal)]
+    return any(total[b] >= total[a] for a in range(len(total)) for b in range(a + least, len(total)))
+
+
+def test_every_overlap_within_the_rule(spark):
+    """Against all diagonals, without masks or the best run: items of any length, substitutions at random places."""
+    rng = random.Random(31)
+    word = lambda: f"w{rng.randrange(1 << 40)}"
+    lengths = [*range(1, 13), *range(13, 27), 120, 230]
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate(lengths)]
+    docs = []
+    for k, n in enumerate(lengths):
+        for share in (0.0, 0.1, 0.2, 0.28, 0.35):
+            for _ in range(3 if n < 100 else 1):
+                x = items[k][1].split()
+                for p in rng.sample(range(n), int(share * n + 0.5)):
+                    x[p] = word()
+                docs.append((len(docs), " ".join([word() for _ in range(rng.randrange(4))] + x)))
+    x = items[-1][1].split()  # an exact stretch, then one of 70 %
+    docs.append((len(docs), " ".join(x[:30] + [word() if k % 10 < 3 else w for k, w in enumerate(x[30:])])))
+    want = set()
+    for i, t in docs:
+        a = t.split()
+        place = {w: k for k, w in enumerate(a)}
+        for j, u in items:
+            b = u.split()
+            for d in {place[w] - k for k, w in enumerate(b) if w in place}:
+                beside = [a[k] == b[k - d] for k in range(max(0, d), min(len(a), d + len(b)))]
+                if rule(beside, min(13, len(b))):
+                    want.add((i, j, d))
+    rows = got(spark.createDataFrame(docs, "doc_id long, text string").repartition(3),
+               spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r[0], r[1], r[2] - r[3]) for r in rows} == want and len(rows) == len(want)
+    for i, j, at, item_at, n, same in rows:
+        a, b = docs[i][1].split()[at:at + n], items[j][1].split()[item_at:item_at + n]
+        assert len(a) == len(b) == n >= min(13, lengths[j]) and sum(map(str.__eq__, a, b)) == same >= 0.8 * n
+
+
+def test_masks_meet_every_overlap():
+    for n in range(1, 26):
+        masks = decontam.MASKS if n >= 13 else decontam.short_masks(n)
+        places = [sum(1 << (k + p) for p, c in enumerate(m) if c == "1") for m in masks for k in range(n - len(m) + 1)]
+        for gone in itertools.combinations(range(n), n // 5):
+            bits = sum(1 << p for p in gone)
+            assert any(not bits & p for p in places), (n, gone)
+
+
 def test_odd_rows_and_none(spark, odd, none):
     bench = spark.createDataFrame([(1, "nothing like it " * 5), (None, None)], "item_id long, text string")
     assert got(odd, bench) == [] and decontam.without_overlaps(odd, bench).columns == odd.columns

@@ -1,16 +1,18 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A mask such as 11011011 takes the words at its ones and ignores those at its zeros, so a window still hashes alike
-when words at ignored places were substituted. Every window of every document and benchmark item is hashed under
-all `MASKS`. The items' hashes make a bitmap of fixed size that each task tests its windows against; only hits, and
-the words around them as far as an item can reach, leave the scan. Hits are joined to the items' hashes, each
-(place, item, diagonal) once, and the aligned words are compared: the best run along the diagonal, a match
-counting 1 and a substitution -2, must span `MIN_WORDS` words (the whole item, if shorter) and agree in `PERCENT` %
-of them.
+An overlap is a stretch of one diagonal of `MIN_WORDS` words or more (the whole item, if shorter) that agrees in
+`PERCENT` % of them. A mask such as 111000111 takes the words at its ones and ignores those at its zeros, so a window
+still hashes alike when words at ignored places were substituted. Every window of every document and benchmark item
+is hashed under all `MASKS`, items under `MIN_WORDS` words under those of their length. No overlap escapes them: it
+holds one of less than twice `MIN_WORDS` words, and of that one's blocks of 3 words two are free of substitutions, at
+most 5 blocks apart. The items' hashes make a bitmap of fixed size that each task tests its windows against; only
+hits, and the words around them as far as an item can reach, leave the scan. Hits are joined to the items' hashes,
+each (place, item, diagonal) once, and the aligned words are compared. The result shows the best run, a match counting
+1 and a substitution -2, or where that is no overlap the one with most to spare over `PERCENT` %.
 
 Words are runs of letters and digits, A-Z lower-cased: punctuation between words plays no part. A null or empty
-text matches nothing, nor does an item with fewer words than the shortest mask. Rows without an id are compared
-like others. Repeated rows give one result; items that repeat an id are compared each.
+text matches nothing. Rows without an id are compared like others. Repeated rows give one result; items that repeat
+an id are compared each.
 """
 
 from __future__ import annotations
@@ -23,16 +25,35 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import frames, words as W
 
-MASKS = ("111111", "11011011", "1101010011", "10110010101")
+MASKS = tuple("111" + "000" * k + "111" for k in range(5))
 MIN_WORDS = 13
 PERCENT = 80
 BITS = 24  # of the bitmap: 2 MB, whatever the benchmark's size
 
 
-def seeds(h: np.ndarray, counts: np.ndarray, mask: str, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def short_masks(n: int, percent: int = PERCENT) -> set[str]:
+    """Masks of which a whole item of n words meets one, if `percent` % agree: pairs of two blocks more than may differ."""
+    parts = n - (n * percent + 99) // 100 + 2
+    if parts == 2 or not n:
+        return {"1" * n} - {""}
+    edges = [n * k // parts for k in range(parts + 1)]
+    ones = ["0" * a + "1" * (b - a) + "0" * (n - b) for a, b in zip(edges, edges[1:])]
+    return {"".join(map(max, x, y)).strip("0") for k, x in enumerate(ones) for y in ones[:k]}
+
+
+def masks_for(lengths, min_words: int = MIN_WORDS, percent: int = PERCENT) -> dict[str, list[int]]:
+    """The masks for items of these numbers of words, each with the lengths it serves; `min_words` stands for all above."""
+    out: dict[str, list[int]] = {}
+    for n in sorted({min(n, min_words) for n in lengths}):
+        for mask in MASKS if n == min_words else sorted(short_masks(n, percent)):
+            out.setdefault(mask, []).append(n)
+    return out
+
+
+def seeds(h: np.ndarray, counts: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, place in the word array, text) of every window of the mask's span."""
     places, text = W.gram_places(counts, len(mask))
-    out = np.full(len(places), (number + 1) * 0x9E3779B97F4A7C15 % (1 << 64), W.U)
+    out = np.full(len(places), (int(mask, 2) + 1) * 0x9E3779B97F4A7C15 % (1 << 64), W.U)
     factor = 1
     for k, bit in enumerate(mask):
         if bit == "1":
@@ -41,31 +62,36 @@ def seeds(h: np.ndarray, counts: np.ndarray, mask: str, number: int) -> tuple[np
     return W.mix(out), places, text
 
 
-def _item_rows(batches: Iterator[pa.RecordBatch]):
-    for batch in W.text_batches(batches, "text", 4 << 20):
-        h, counts = W.words(batch.column("text"), W.letter_words())
-        first = np.cumsum(counts) - counts
-        found = [[], [], []]
-        for number, mask in enumerate(MASKS):
-            s, places, text = seeds(h, counts, mask, number)
-            found[0].append(s), found[1].append(places - first[text]), found[2].append(text)
-        s, at, text = (np.concatenate(x) for x in found)
-        order = W.by_text(text, len(counts))
-        ends = np.cumsum(np.bincount(text, minlength=len(counts)))
-        offsets = pa.array(np.append(0, ends).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([
-            batch.column("item_id"), pa.array([h[a:a + n].tobytes() for a, n in zip(first, counts)], pa.binary()),
-            pa.array(counts), pa.ListArray.from_arrays(offsets, pa.array(s[order].view(np.int64))),
-            pa.ListArray.from_arrays(offsets, pa.array(at[order]))], names=["item_id", "words", "n", "seeds", "at"])
-
-
-def _hit_rows(bitmap, reach: int):
+def _item_rows(min_words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in W.text_batches(batches, "text", 4 << 20):
             h, counts = W.words(batch.column("text"), W.letter_words())
-            found = [[], [], []]
-            for number, mask in enumerate(MASKS):
-                s, places, text = seeds(h, counts, mask, number)
+            first = np.cumsum(counts) - counts
+            found = [[np.zeros(0, W.U)], [first[:0]], [first[:0]]]
+            for mask, lengths in masks_for(counts.tolist(), min_words, percent).items():
+                s, places, text = seeds(h, counts, mask)
+                own = np.isin(np.minimum(counts, min_words), lengths)[text]
+                s, places, text = s[own], places[own], text[own]
+                found[0].append(s), found[1].append(places - first[text]), found[2].append(text)
+            s, at, text = (np.concatenate(x) for x in found)
+            order = W.by_text(text, len(counts))
+            ends = np.cumsum(np.bincount(text, minlength=len(counts)))
+            offsets = pa.array(np.append(0, ends).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([
+                batch.column("item_id"), pa.array([h[a:a + n].tobytes() for a, n in zip(first, counts)], pa.binary()),
+                pa.array(counts), pa.ListArray.from_arrays(offsets, pa.array(s[order].view(np.int64))),
+                pa.ListArray.from_arrays(offsets, pa.array(at[order]))],
+                names=["item_id", "words", "n", "seeds", "at"])
+    return run
+
+
+def _hit_rows(bitmap, masks: list[str], reach: int):
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in W.text_batches(batches, "text", 4 << 20):
+            h, counts = W.words(batch.column("text"), W.letter_words())
+            found = [[np.zeros(0, W.U)], [counts[:0]], [counts[:0]]]
+            for mask in masks:
+                s, places, text = seeds(h, counts, mask)
                 hit = bitmap.value.has(s)
                 found[0].append(s[hit]), found[1].append(places[hit]), found[2].append(text[hit])
             s, place, text = (np.concatenate(x) for x in found)
@@ -99,6 +125,23 @@ def best_run(equal: np.ndarray) -> tuple[int, int, int]:
     return begin, end, int(equal[begin:end].sum())
 
 
+def overlap(equal: np.ndarray, least: int, percent: int) -> tuple[int, int, int] | None:
+    """(begin, end, equal words) of a stretch of at least `least` words with `percent` % equal, None if there is none."""
+    begin, end, n = best_run(equal)
+    if end - begin >= least and 100 * n >= percent * (end - begin):
+        return begin, end, n
+    if len(equal) < least:
+        return None
+    total = np.concatenate([[0], np.cumsum(np.where(equal, 100 - percent, -percent))])
+    low = np.minimum.accumulate(total[:len(total) - least])
+    spare = total[least:] - low
+    end = int(np.argmax(spare))
+    if spare[end] < 0:
+        return None
+    begin = int(np.flatnonzero(total[:end + 1] == low[end])[-1])
+    return begin, end + least, int(equal[begin:end + least].sum())
+
+
 def _compare(min_words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -107,9 +150,10 @@ def _compare(min_words: int, percent: int):
             for k, (x, y) in enumerate(zip(batch.column("words").to_pylist(), batch.column("item_words").to_pylist())):
                 x, y = np.frombuffer(x, W.U), np.frombuffer(y, W.U)
                 d = int(diagonal[k])
-                a, b = max(0, d), min(len(x), d + len(y))
-                begin, end, equal = best_run(x[a:b] == y[a - d:b - d])
-                if end - begin >= min(min_words, len(y)) and 100 * equal >= percent * (end - begin):
+                a = max(0, d)
+                found = overlap(x == y[a - d:a - d + len(x)], min(min_words, len(y)), percent)
+                if found:
+                    begin, end, equal = found
                     rows.append(k), at.append(a + begin), item_at.append(a + begin - d)
                     n.append(end - begin), same.append(equal)
             picked = pa.array(rows, pa.int64())
@@ -129,12 +173,13 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
     items = items.select(F.col(item_id).alias("item_id"), F.col(item_text).cast("string").alias("text"))
     id_type, item_type = (x.schema[0].dataType.simpleString() for x in (docs, items))
     items = frames.written(items.mapInArrow(
-        _item_rows, f"item_id {item_type}, words binary, n long, seeds array<long>, at array<long>"), "items")
+        _item_rows(min_words, percent), f"item_id {item_type}, words binary, n long, seeds array<long>, at array<long>"), "items")
     known = items.select("item_id", "words", F.explode(F.arrays_zip("seeds", "at")).alias("s")).select(
         F.col("s.seeds").alias("seed"), F.col("s.at").alias("item_at"), "item_id", F.xxhash64("words").alias("item"))
     bitmap = spark.sparkContext.broadcast(frames.Bitmap.of(known, "seed", BITS))
-    longest = items.agg(F.max("n")).first()[0] or 0
-    found = docs.mapInArrow(_hit_rows(bitmap, longest + max(map(len, MASKS))),
+    longest, lengths = items.agg(F.max("n"), F.collect_set(F.least("n", F.lit(min_words)))).first()
+    masks = list(masks_for(lengths, min_words, percent))
+    found = docs.mapInArrow(_hit_rows(bitmap, masks, (longest or 0) + max(map(len, MASKS))),
                             f"doc_id {id_type}, start long, words binary, seeds array<long>, at array<long>")
     found = frames.written(found.withColumn("region", F.xxhash64("doc_id", "start", "words")), "regions")
     hits = found.select("region", F.explode(F.arrays_zip("seeds", "at")).alias("s")).select(
@@ -144,9 +189,13 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
     regions = found.select("region", "doc_id", "start", "words").dropDuplicates(["region"])
     texts = items.select(F.col("item_id").alias("id2"), F.xxhash64("words").alias("item"),
                          F.col("words").alias("item_words")).dropDuplicates(["id2", "item"])
+    # of the region only the words beside the item go on
+    begin = F.greatest(F.col("diagonal"), F.lit(0))
+    stop = F.least(F.length("words") / 8, F.col("diagonal") + F.length("item_words") / 8)
+    beside = F.col("words").substr((8 * begin + 1).cast("int"), (8 * (stop - begin)).cast("int"))
     aligned = (pairs.join(regions, "region")
                .join(texts, (pairs["item"] == texts["item"]) & F.col("item_id").eqNullSafe(F.col("id2")))
-               .select("doc_id", "start", "words", "item_id", "item_words", "diagonal"))
+               .select("doc_id", "start", beside.alias("words"), "item_id", "item_words", "diagonal"))
     checked = aligned.mapInArrow(_compare(min_words, percent), f"doc_id {id_type}, start long, item_id {item_type}, "
                                  "at long, item_at long, n_words long, n_equal long")
     return checked.select("doc_id", "item_id", (F.col("start") + F.col("at")).alias("doc_at"), "item_at",
