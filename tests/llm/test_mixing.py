@@ -78,6 +78,38 @@ def test_mixed_documents_hold_the_taken_words(spark):
             assert t == text[i] or " ".join(plain_words(t)) in " ".join(plain_words(text[i]))
 
 
+def test_sources_far_below_a_block(spark):
+    """A block of the large sources is over 60 words here: sources of 3 to 700 words still meet their targets."""
+    rng = random.Random(9)
+    text = "w " * 20_000
+    rows = [(k, text, f"big{k % 20:02}") for k in range(200)]
+    rows += [(1000 + 10 * s + j, sentence(rng, n), f"small{s:02}") for s, n in enumerate([1, 3, 7, 20, 70] * 8)
+             for j in range(3 + 7 * (s % 2))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    source = {r[0]: r[2] for r in rows}
+    took, target = defaultdict(int), {}
+    for r in rows_of(mixing.taken(docs)):
+        took[source[r["doc_id"]]] += r["taken"]
+        target[source[r["doc_id"]]] = r["target"]
+        assert r["taken"] <= 2 * r["size"]
+    assert sum(target.values()) > 65536 * 60
+    for s, n in target.items():
+        assert abs(took[s] - n) <= (0.5 if s.startswith("small") else 0.005 * n), s
+    placed, parts = mixing.mix(docs)
+    spread = defaultdict(set)
+    number = {r["doc_id"]: r["number"] for r in rows_of(placed)}
+    for r in rows_of(parts.where("doc_id >= 1000")):
+        spread[r["number"]].add(r["rank"]), spread[-r["number"]].add(r["slot"])
+    for i in (1000 + 10 * s for s in range(40)):
+        ranks, slots = spread[number[i]], sorted(spread[-number[i]])
+        assert ranks == set(range(len(ranks))) and len(slots) == len(ranks) >= min(128, target[source[i]])
+        assert all(b - a <= 65536 * 1.1 / len(slots) + 2 for a, b in zip(slots, slots[1:]))
+    got = defaultdict(int)
+    for r in rows_of(mixing.mixed_documents(docs).where("doc_id >= 1000")):
+        got[r["source"]] += len(plain_words(r["text"]))
+    assert all(got[s] == took[s] for s in got) and len(got) == 40
+
+
 def test_odd_rows_and_none(odd, none):
     rows = rows_of(mixing.taken(odd))
     assert len(rows) == odd.count()

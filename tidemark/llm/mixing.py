@@ -4,7 +4,9 @@ Each source's documents, in the order of a hash of their ids, make a stream of w
 Streams are cut into blocks of one size in words; a mix of `slots` blocks holds `percent` % of all words. Slot i
 lies at the point frac((i + 1/2) * golden ratio) of the unit interval, on which each source owns a piece as long as
 its share; the j-th slot of a source takes the j-th block of its stream. Golden-ratio points leave every piece
-within a few slots of its share at any time, so sources alternate evenly and end near their targets.
+within a few slots of its share at any time, so sources alternate evenly and end near their targets. A source
+whose target is below `SLOTS_A_SOURCE` blocks would be off by a good part of it: its slots are not used, and its
+target, to the word, is dealt in that many finer blocks of its own, evenly over the slots, several to a slot if so.
 
 Targets: weights repeat over the sources in code point order, a null source last. No source gives more than
 `most` times its size; what it can't give is shared by weight among the others until none is above. No document
@@ -82,6 +84,18 @@ def schedule(sources: DataFrame, slots: int) -> DataFrame:
         Window.partitionBy("number").orderBy("slot")) - 1).cast("long").alias("rank"))
 
 
+def fine_schedule(sources: DataFrame, slots: int) -> DataFrame:
+    """(slot, number, rank, block, given) of the blocks of sources of (number, target) that are too small for the
+    schedule: `given` words in all, blocks of `block` words, the last one shorter."""
+    given = F.round("target").cast("long")
+    rows = sources.select("number", given.alias("given"), F.ceil(given / SLOTS_A_SOURCE).alias("block")).where("given > 0")
+    rows = rows.withColumn("blocks", F.ceil(F.col("given") / F.col("block")))
+    rows = rows.withColumn("rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    shift = F.col("number") * F.lit(GOLDEN)  # so that sources of one size don't meet
+    slot = F.floor((F.col("rank") + shift - F.floor(shift)) / F.col("blocks") * slots)
+    return rows.select(F.least(slot, F.lit(slots - 1)).alias("slot"), "number", "rank", "block", "given")
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
         weights: Sequence[int] = WEIGHTS, percent: int = PERCENT, most: int = MOST,
         slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
@@ -101,7 +115,11 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     slots = max(slots, SLOTS_A_SOURCE * count)
     block = max(1, int((total or 0) / slots))
     slots = int((total or 0) // block)
-    plan = schedule(goals, slots)
+    small = F.col("target") < SLOTS_A_SOURCE * block
+    coarse = schedule(goals, slots).join(goals.where(~small).select("number"), "number", "left_semi")
+    plan = coarse.select("slot", "number", "rank", F.lit(block).cast("long").alias("block"),
+                         F.lit(None).cast("long").alias("given")).unionByName(
+        fine_schedule(goals.where(small), slots))
 
     numbered = sized.join(goals.select(F.col("source").alias("s2"), "source_size", "target", "number"),
                           F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
@@ -118,16 +136,17 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     placed = frames.written(placed, "placed")
 
     wanted = frames.written(plan, "schedule")
-    given = wanted.groupBy("number").agg((F.count("*") * block).alias("given"))
+    given = wanted.groupBy("number").agg(F.max("block").alias("block"), F.coalesce(
+        F.max("given"), F.count("*") * F.max("block")).alias("given"))
     turns = F.explode(F.sequence(F.lit(0), F.lit(most - 1)))
     begin = F.col("turn") * F.col("source_size") + F.col("start")
     parts = (placed.where("size > 0").join(given, "number").withColumn("turn", turns)
              .withColumn("a", begin).withColumn("b", F.least(F.col("a") + F.col("size"), F.col("given")))
              .where("a < b").withColumn("rank", F.explode(F.sequence(
-                 F.floor(F.col("a") / block), F.floor((F.col("b") - 1) / block))))
-             .withColumn("from", F.greatest("a", F.col("rank") * block))
-             .withColumn("to", F.least("b", (F.col("rank") + 1) * block)))
-    parts = parts.join(wanted, ["number", "rank"]).select(
+                 F.floor(F.col("a") / F.col("block")), F.floor((F.col("b") - 1) / F.col("block")))))
+             .withColumn("from", F.greatest("a", F.col("rank") * F.col("block")))
+             .withColumn("to", F.least("b", (F.col("rank") + 1) * F.col("block"))))
+    parts = parts.join(wanted.select("slot", "number", "rank"), ["number", "rank"]).select(
         "slot", "number", "rank", "start", "doc_id", "row", "turn", (F.col("from") - F.col("a")).alias("offset"),
         (F.col("to") - F.col("from")).alias("length"))
     return placed, parts
