@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -42,6 +43,21 @@ def expected(rows):
     return out, start
 
 
+def test_special_tokens_in_other_letter_case():
+    """Whatever spelling a worker meets first, texts and words apart or together."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    texts = ["a <|endoftext|> b", "A <|ENDOFTEXT|> B", "x<|EndOfText|>y <|startoftext|>, <|STARTOFTEXT|>!", "<| <", "<|",
+             "<|endoftext|>", "<", "|", "Some<|endoftext|>THING <|EndOfText|><|endoftext|>", None]
+    for some in (texts, texts[::-1], texts[1:] + texts[:1]):
+        encoder = token_files.Encoder(queries.tokenizer_path())
+        for part in (some[:4], some):
+            ids, counts = encoder.encode(pa.array(part, pa.string()))
+            assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [
+                tokenizer.encode(t or "", add_special_tokens=False).ids for t in part]
+
+
 def test_odd_rows_round_trip(odd, none):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     want, total = expected(rows)

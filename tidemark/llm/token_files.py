@@ -9,7 +9,7 @@ Encoding: white space never lies inside a token of the given tokenizer, nor does
 and other ASCII signs. So texts are cut there into pieces, each distinct piece is encoded once, and its ids are put
 wherever the piece stands. Signs that may join what follows (the apostrophe, those of special tokens) cut nothing,
 nor do other signs beyond ASCII. Pieces are told apart by 64-bit hashes with A-Z lower-cased (the tokenizer
-lower-cases too).
+lower-cases too), but those that hold `<|` as they are, for special tokens are found before lower-casing.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ _SIGN = np.zeros(256, bool)
 _SIGN[[*b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"]] = True
 _NO_LETTER = np.zeros(256, bool)  # second bytes of signs among the Latin letters that begin with 0xC3
 _NO_LETTER[[0x97, 0xB7]] = True
+_AS_IS = W.Alphabet(W.blank_words().separator, np.arange(256))
 
 
 def piece_starts(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -124,6 +125,11 @@ class Encoder:
         ends[:-1][inner] = starts[1:][inner]
         per = np.diff(np.searchsorted(starts, offsets))
         h = W.hash_spans(raw, starts, ends, alphabet)
+        special = np.flatnonzero((raw[:-1] == ord("<")) & (raw[1:] == ord("|")))
+        if len(special):
+            special = np.searchsorted(starts, special, side="right") - 1
+            special = special[W.run_starts(special)]
+            h[special] = W.hash_spans(raw, starts[special], ends[special], _AS_IS)
         order = np.argsort(h)
         begin = W.run_starts(h[order])
         distinct, example = h[order[begin]], order[begin]
