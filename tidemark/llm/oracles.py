@@ -150,3 +150,41 @@ SELECT p.anchor_id, positive_id,
 FROM p JOIN s ON s.ak = p.ak AND NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
 QUALIFY rank <= 5
 """
+
+COLLOCATIONS = f"""
+WITH p AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER.format("coalesce(text, '')")},
+           '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS MATERIALIZED (
+    SELECT lang, ws, len(ws) AS m FROM (
+        SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p)
+    WHERE len(ws) > 0),
+totals AS (SELECT lang, sum(m)::BIGINT AS n FROM w GROUP BY lang),
+g1 AS (SELECT lang, x AS phrase, count(*) AS a FROM (SELECT lang, unnest(ws) AS x FROM w) GROUP BY ALL HAVING a >= 10),
+g2 AS (
+    SELECT lang, x, y, count(*) AS a FROM (
+        SELECT lang, ws[i] AS x, ws[i + 1] AS y FROM (SELECT lang, ws, unnest(range(1, m)) AS i FROM w))
+    GROUP BY ALL HAVING a >= 10),
+g3 AS (
+    SELECT lang, x, y, z, count(*) AS a FROM (
+        SELECT lang, ws[i] AS x, ws[i + 1] AS y, ws[i + 2] AS z FROM (SELECT lang, ws, unnest(range(1, m - 1)) AS i FROM w))
+    GROUP BY ALL HAVING a >= 10),
+f AS (
+    SELECT * FROM g1 UNION ALL SELECT lang, x || ' ' || y, a FROM g2 UNION ALL SELECT lang, x || ' ' || y || ' ' || z, a FROM g3),
+cuts AS (
+    SELECT lang, x || ' ' || y AS phrase, a, 1 AS k, x AS first, y AS rest FROM g2
+    UNION ALL SELECT lang, x || ' ' || y || ' ' || z, a, 1, x, y || ' ' || z FROM g3
+    UNION ALL SELECT lang, x || ' ' || y || ' ' || z, a, 2, x || ' ' || y, z FROM g3),
+s AS (
+    SELECT c.lang, c.phrase, c.a, k, l.a AS l, r.a AS r,
+           ((1000000::HUGEINT * c.a * c.a) // (l.a::HUGEINT * r.a))::BIGINT AS score
+    FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = c.first JOIN f r ON r.lang = c.lang AND r.phrase = c.rest
+    QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1),
+longer AS (
+    SELECT lang, phrase, max(a) AS longer FROM (
+        SELECT lang, x || ' ' || y AS phrase, a FROM g3 UNION ALL SELECT lang, y || ' ' || z, a FROM g3) GROUP BY ALL)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, s.a DESC, s.phrase) AS rank, s.phrase, s.a, l, r, n, score
+FROM s JOIN totals t ON t.lang = s.lang LEFT JOIN longer o ON o.lang = s.lang AND o.phrase = s.phrase
+WHERE o.longer IS NULL OR 100 * o.longer < 50 * s.a
+QUALIFY rank <= 2000
+"""

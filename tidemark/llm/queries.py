@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import (backoff, decontam, frames, hard_negatives, jaccard_join, language, mixing, oracles, quality, repeats,
-                          token_files, topk, toxicity)
+from tidemark.llm import (backoff, decontam, frames, hard_negatives, jaccard_join, language, mixing, oracles, phrases, quality,
+                          repeats, token_files, topk, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -93,3 +93,8 @@ def suffix_dedup(table) -> DataFrame:
 def negatives(table) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mined(table("embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+@query("op12_collocations", oracles.COLLOCATIONS)
+def collocations(table) -> DataFrame:
+    return phrases.collocations(table("documents"))
