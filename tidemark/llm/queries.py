@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import (backoff, decontam, frames, hard_negatives, jaccard_join, language, mixing, oracles, phrases, quality,
-                          repeats, token_files, topk, toxicity)
+from tidemark.llm import (backoff, decontam, frames, hard_negatives, jaccard_join, language, main_text, mixing, oracles, phrases,
+                          quality, repeats, token_files, topk, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -98,3 +98,8 @@ def negatives(table) -> DataFrame:
 @query("op12_collocations", oracles.COLLOCATIONS)
 def collocations(table) -> DataFrame:
     return phrases.collocations(table("documents"))
+
+
+@query("op13_main_text")
+def article(table) -> DataFrame:
+    return main_text.extracted(table("pages"), main_text.train(table("pages")))
