@@ -28,7 +28,7 @@ from tidemark.llm.quotient import CountingFilter, pack_ids, ranges, unpack_ids
 
 TEXT = 8 << 20  # bytes of text in a batch
 ENTRIES = 1 << 20  # counted n-grams that meet in one merge, about
-SENT = 1 << 22  # n-grams that a task gathers before it sends filters on
+SENT = 1 << 21  # n-grams of a length that a task gathers before it sends filters on
 FAN = 512  # parts that a filter is cut into at most
 
 _BREAK = np.zeros(256, bool)
@@ -48,10 +48,13 @@ def word_codes(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         return pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, bool)
     piece = np.searchsorted(np.flatnonzero(_BREAK[raw]), starts)
     opens = np.concatenate([[True], piece[1:] != piece[:-1]])
-    opens[np.cumsum(per_text)[:-1][np.cumsum(per_text)[:-1] < len(starts)]] = True
+    first = np.cumsum(per_text)[:-1]
+    opens[first[first < len(starts)]] = True
+    ends -= starts
+    lengths = np.concatenate([[0], np.cumsum(ends)])
+    del piece, starts, ends
     body = _LOWER[raw[~_APART[raw]]]
-    lengths = np.concatenate([[0], np.cumsum(ends - starts)])
-    found = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(lengths), pa.py_buffer(body)])
+    found = pa.Array.from_buffers(pa.large_string(), len(opens), [None, pa.py_buffer(lengths), pa.py_buffer(body)])
     found = found.dictionary_encode()
     return found.dictionary.cast(pa.string()), found.indices.to_numpy(), opens
 
@@ -63,6 +66,7 @@ def _read(batches: Iterator[pa.RecordBatch]):
     def row():
         nonlocal number
         table = pa.Table.from_batches(held).sort_by([("lang", "ascending")])
+        held.clear()
         langs, texts = table.column("lang").combine_chunks(), table.column("text").combine_chunks()
         if isinstance(texts, pa.ChunkedArray):
             texts = pa.concat_arrays([c.cast(pa.large_string()) for c in texts.chunks])
@@ -89,7 +93,7 @@ def _read(batches: Iterator[pa.RecordBatch]):
         more = len(words.utf8(batch.column("text"))[0])
         if held and size + more > TEXT:
             yield row()
-            held, size = [], 0
+            size = 0
         held.append(batch)
         size += more
     if held:
@@ -104,7 +108,9 @@ def _send(id_bits: int, lengths: range, parts: int):
     def cut(n: int, held: list):
         bits = id_bits * n
         high = None if held[0][0] is None else np.concatenate([h for h, _ in held])
-        whole = CountingFilter.of(bits, high, np.concatenate([low for _, low in held]))
+        low = np.concatenate([low for _, low in held])
+        held.clear()
+        whole = CountingFilter.of(bits, high, low)
         rows = [(part, f.to_bytes()) for part, f in whole.split(ranges(min(bits, 64), parts))]
         return pa.RecordBatch.from_arrays([
             pa.array([n] * len(rows), pa.int32()), pa.array([p for p, _ in rows], pa.int32()),
@@ -117,7 +123,7 @@ def _send(id_bits: int, lengths: range, parts: int):
             for k in range(batch.num_rows):
                 blob, at, ids = (batch.column(c)[k] for c in range(3))
                 token = words.unpack_small(blob.as_py())
-                known = np.zeros(int(token.max(initial=0)) + 1, np.int64)
+                known = np.zeros(int(token.max(initial=0)) + 1, np.uint32)
                 known[at.values.to_numpy()] = ids.values.to_numpy()
                 token = known[token]
                 for n in lengths:
@@ -128,7 +134,6 @@ def _send(id_bits: int, lengths: range, parts: int):
             for n in lengths:
                 if sum(len(low) for _, low in held[n]) > SENT:
                     yield cut(n, held[n])
-                    held[n] = []
             words.release()
         for n in lengths:
             if held[n]:
@@ -202,8 +207,8 @@ def counts(docs: DataFrame, least: int, lengths: range, text: str = "text", lang
     parts = counted.agg(F.coalesce(F.max(part), F.lit(0))).first()[0] + 1
     known = counted.select((row * parts + part + 1).alias("id"), "lang", "word", "times")
     id_bits = max(1, int(known.agg(F.coalesce(F.max("id"), F.lit(1))).first()[0]).bit_length())
-    if id_bits * lengths[-1] > 128:
-        raise ValueError(f"ids of {id_bits} bits: phrases of {lengths[-1]} words don't fit 128 bits")
+    if id_bits > 32 or id_bits * lengths[-1] > 128:
+        raise ValueError(f"ids of {id_bits} bits: phrases of {lengths[-1]} words don't fit")
     answers = (entries.select("batch", "place", "lang", "word").join(known.drop("times"), ["lang", "word"])
                .groupBy("batch").agg(F.collect_list(F.struct("place", "id")).alias("x"))
                .select("batch", F.col("x.place").alias("place"), F.col("x.id").alias("id")))

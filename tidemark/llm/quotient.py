@@ -43,9 +43,11 @@ class Permutation:
                 low = low ^ _mixed(high, factor ^ 0xFF00)
             return high, low
         shift, keep = U((self.bits + 1) // 2), _mask(self.bits)
+        low = low.copy()
         for factor in _ROUNDS:
-            low = (low * U(factor)) & keep
-            low = low ^ (low >> shift)
+            low *= U(factor)
+            low &= keep
+            low ^= low >> shift
         return None, low
 
     def inverse(self, high, low):
@@ -85,11 +87,11 @@ def unpack_ids(high, low, id_bits: int, n: int) -> list[np.ndarray]:
 
 
 def counted(high, low, counts=None):
-    """(high, low, count) of the distinct keys in permuted order."""
+    """(high, low, count) of the distinct keys in permuted order; the arrays given may be used up."""
     if not len(low):
         return high, low, np.zeros(0, np.int64)
     if high is None and counts is None:
-        low = np.sort(low)
+        low.sort()  # the caller's own array
         first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
         return None, low[first], np.diff(np.append(first, len(low)))
     order = np.argsort(low, kind="stable") if high is None else np.lexsort((high, low))
