@@ -1,19 +1,21 @@
-"""Stupid-backoff scores of documents under the n-gram counts of the whole corpus.
+"""Stupid-backoff scores of documents under the n-gram counts of all other documents of the corpus.
 
 Documents are dealt to batches by a hash. Each batch sends every distinct n-gram once, with its count, to the
 n-gram's hash bucket: the count tables, partitioned by hash. A bucket adds the counts and answers each batch with the
-corpus count of each n-gram it sent. Words go first; a longer n-gram is sent only if both n-grams of one word less
-that it holds have been found `LEAST` times, for otherwise it can't be. Met by its answers, a
-batch lays the counts along its words and sums each document's scores. A frequent n-gram is one entry per batch,
-however often it stands there, so no key gathers more than the number of batches.
+corpus count of each n-gram it sent; the batch takes off what the document at hand holds itself, so a document never
+vouches for its own n-grams. Words go first; a longer n-gram is sent only if other documents hold both n-grams of one
+word less that it holds, for otherwise none holds it: nothing that counts is left out. Met by its answers, a batch
+lays the counts along its words and sums each document's scores. A frequent n-gram is one entry per batch, however
+often it stands there, so no key gathers more than the number of batches.
 
 Score of a word: count(n-gram) / count(its context) of the longest n-gram ending there, at most `order` words and
-within the document, that the corpus holds at least `LEAST` times, times `ALPHA` for each word the n-gram is
-shorter than it might be; a single word counts always, over all words. A document's score is the sum of the
-logarithms, each rounded to a millionth, so that sums are exact.
+within the document, that other documents hold, times `ALPHA` for each word the n-gram is shorter than it might be.
+A single word counts over the words of all other documents; one that none of them has scores as 1 over these words,
+one `ALPHA` further (1 over 1 where there are none). A document's score is the sum of the logarithms, each rounded to
+a millionth, so that sums are exact.
 
 Words: A-Z lower-cased runs of bytes other than blanks (32 and 9 to 13), told apart by 64-bit hashes. A document
-without words, null or empty, has score 0. Rows without an id and rows that repeat are scored each.
+without words, null or empty, has score 0. Rows without an id and rows that repeat are documents each.
 """
 
 from __future__ import annotations
@@ -27,43 +29,56 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.llm import frames, words as W
 
 ORDER = 3
-LEAST = 2
 ALPHA = 0.4
 MICRO = 1_000_000
 
 
 class Batch:
-    """The words of a group's documents in one order, and the corpus counts of their n-grams as answered so far."""
+    """The words of a group's documents in one order, and the counts of their n-grams in other documents so far."""
 
-    def __init__(self, table: pa.Table, answers: pa.Table | None, least: int):
+    def __init__(self, table: pa.Table, answers: pa.Table | None):
         table = table.sort_by([("doc_id", "ascending"), ("uid", "ascending")])
         self.ids = table.column("doc_id")
         self.h, self.counts = W.words(table.column("text"), W.blank_words())
-        self.least, self.along, self.totals = least, {}, {}
+        self.along, self.totals = {}, {}
         if answers is not None:
             rows = answers.sort_by([("n", "ascending"), ("bucket", "ascending")])
             ns, totals = rows.column("n").to_numpy(), rows.column("total")
             for n in sorted(set(ns.tolist())):
                 got = [W.unpack_counts(totals[int(k)].as_py()) for k in np.flatnonzero(ns == n)]
-                last, _, which, _ = self.grams(n)
+                last, document, _, which, _ = self.grams(n)
                 self.along[n] = np.zeros(len(self.h), np.int64)  # by the n-gram's last word
                 self.totals[n] = np.concatenate(got)
-                self.along[n][last] = self.totals[n][which]
+                self.along[n][last] = self.totals[n][which].astype(np.int64) - own_counts(document, which)
 
-    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(last words, distinct n-grams ascending, which of them each is, how often each is here)."""
-        places, _ = W.gram_places(self.counts, n)
-        if n > 1:  # both n-grams of one word less are known
+    def grams(self, n: int):
+        """(last words, documents, distinct n-grams ascending, which of them each is, how often each is here)."""
+        places, document = W.gram_places(self.counts, n)
+        if n > 1:  # other documents hold both n-grams of one word less
             shorter = self.along.get(n - 1, np.zeros(len(self.h), np.int64))
-            places = places[(shorter[places + n - 1] >= self.least) & (shorter[places + n - 2] >= self.least)]
-        return (places + n - 1, *W.distinct(W.grams(self.h, n)[places]))
+            known = (shorter[places + n - 1] > 0) & (shorter[places + n - 2] > 0)
+            places, document = places[known], document[known]
+        return (places + n - 1, document, *W.distinct(W.grams(self.h, n)[places]))
 
 
-def _send(n: int, buckets: int, least: int):
+def own_counts(document: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """For each n-gram how often its own document has it; documents come in order."""
+    if not len(which):
+        return which
+    key = document * (int(which.max()) + 1) + which
+    order = np.argsort(key, kind="stable")
+    begin = W.run_starts(key[order])
+    times = np.diff(np.append(begin, len(key)))
+    out = np.empty(len(key), np.int64)
+    out[order] = np.repeat(times, times)
+    return out
+
+
+def _send(n: int, buckets: int):
     def sent(table: pa.Table, answers: pa.Table | None) -> pa.Table:
-        batch = Batch(table, answers, least)
+        batch = Batch(table, answers)
         name = table.column("batch")[0].as_py() if table.num_rows else 0
-        _, grams, _, times = batch.grams(n)
+        _, _, grams, _, times = batch.grams(n)
         cuts = W.bucket_cuts(grams, buckets)
         full = np.flatnonzero(np.diff(cuts)).tolist()
         known = list(batch.totals.items())  # what was answered before goes along with the batch
@@ -97,27 +112,29 @@ def _count(table: pa.Table) -> pa.Table:
     times = np.concatenate([W.unpack_counts(x.as_py()) for x in table.column("times")]).astype(np.int64)
     ends = np.cumsum([len(g) for g in grams])
     _, which, _ = W.distinct(np.concatenate(grams))
-    total = np.bincount(which, weights=times).astype(np.int64)[which]
-    total = np.minimum(total, (1 << 32) - 1)
+    total = np.zeros(int(which.max()) + 1, np.int64)
+    np.add.at(total, which, times)
+    total = total[which]
     return pa.table({"batch": table.column("batch"), "n": table.column("n"), "bucket": table.column("bucket"),
                      "total": pa.array([W.pack_counts(x) for x in np.split(total, ends[:-1])], pa.binary())})
 
 
-def _score(order: int, least: int, alpha: float, words: int):
+def _score(order: int, alpha: float, words: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        batch = Batch(table, answers, least)
+        batch = Batch(table, answers)
         h, counts, along = batch.h, batch.counts, batch.along
         inner = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
+        others = np.repeat(words - counts, counts)  # words of other documents
         reach = np.minimum(inner + 1, order)  # the longest n-gram that may end at a word
-        score, used, left = np.zeros(len(h)), np.zeros(len(h), np.int64), np.ones(len(h), bool)
+        ratio, used, left = 1 / np.maximum(others, 1), np.zeros(len(h), np.int64), np.ones(len(h), bool)
         for n in range(order, 0, -1):
             if n not in along:
                 continue
-            at = np.flatnonzero(left & (reach >= n) & ((along[n] >= least) if n > 1 else True))
-            context = along[n - 1][at - 1] if n > 1 else np.full(len(at), words)
-            score[at] = np.rint((np.log(along[n][at] / context) + np.log(alpha) * (reach[at] - n)) * MICRO)
+            at = np.flatnonzero(left & (reach >= n) & (along[n] > 0))
+            ratio[at] = along[n][at] / (along[n - 1][at - 1] if n > 1 else others[at])
             used[at] = n
             left[at] = False
+        score = np.rint((np.log(ratio) + np.log(alpha) * (reach - used)) * MICRO)
         edge = np.concatenate([[0], np.cumsum(counts)])
 
         def sums(values):
@@ -128,7 +145,7 @@ def _score(order: int, least: int, alpha: float, words: int):
     return run
 
 
-def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, least: int = LEAST,
+def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER,
            alpha: float = ALPHA) -> DataFrame:
     """doc_id, n_words, n_backed_off (words scored by a shorter n-gram than they might), score and mean_score."""
     buckets = frames.buckets_for(docs.sparkSession, 1)  # the larger a batch, the fewer n-grams are sent twice
@@ -141,11 +158,11 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: i
     def answered(sent: DataFrame) -> DataFrame:
         return sent.groupBy("bucket", "n").applyInArrow(_count, "batch long, n int, bucket int, total binary")
 
-    known = answered(grouped.applyInArrow(_send(1, buckets, least), schema))
+    known = answered(grouped.applyInArrow(_send(1, buckets), schema))
     for n in range(2, order + 1):
-        known = answered(grouped.cogroup(known.groupBy("batch")).applyInArrow(_send(n, buckets, least), schema))
+        known = answered(grouped.cogroup(known.groupBy("batch")).applyInArrow(_send(n, buckets), schema))
     out = grouped.cogroup(known.groupBy("batch")).applyInArrow(
-        _score(order, least, alpha, words), "doc_id long, n_words long, micro long, backed_off long")
+        _score(order, alpha, words), "doc_id long, n_words long, micro long, backed_off long")
     score = F.col("micro") / F.lit(float(MICRO))
     return out.select("doc_id", "n_words", F.col("backed_off").alias("n_backed_off"), score.alias("score"),
                       F.when(F.col("n_words") > 0, score / F.col("n_words")).otherwise(0.0).alias("mean_score"))

@@ -27,31 +27,37 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least r ON r.node
 
 
 BACKOFF = f"""
-WITH w AS (SELECT doc_id, {WORDS.format(LOWER.format('text'))} AS ws FROM documents),
+WITH w AS (
+    SELECT row_number() OVER () AS uid, doc_id, {WORDS.format(LOWER.format('text'))} AS ws FROM documents),
 p AS MATERIALIZED (
-    SELECT doc_id, i, ws[i] AS g1, CASE WHEN i > 1 THEN ws[i - 1] || ' ' || ws[i] END AS g2,
-           CASE WHEN i > 2 THEN ws[i - 2] || ' ' || ws[i - 1] || ' ' || ws[i] END AS g3,
-           CASE WHEN i > 1 THEN ws[i - 1] END AS h1,
-           CASE WHEN i > 2 THEN ws[i - 2] || ' ' || ws[i - 1] END AS h2
-    FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+    SELECT uid, i, ws[i] AS g1, CASE WHEN i > 1 THEN ws[i - 1] || ' ' || ws[i] END AS g2,
+           CASE WHEN i > 2 THEN ws[i - 2] || ' ' || ws[i - 1] || ' ' || ws[i] END AS g3
+    FROM (SELECT uid, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
 t1 AS MATERIALIZED (SELECT g1 AS g, count(*) AS c FROM p GROUP BY 1),
 t2 AS MATERIALIZED (SELECT g2 AS g, count(*) AS c FROM p WHERE g2 IS NOT NULL GROUP BY 1),
 t3 AS MATERIALIZED (SELECT g3 AS g, count(*) AS c FROM p WHERE g3 IS NOT NULL GROUP BY 1),
-n AS (SELECT count(*) AS n FROM p),
+o AS (
+    SELECT *, count(*) OVER (PARTITION BY uid) AS here, count(*) OVER () AS n,
+           count(*) OVER (PARTITION BY uid, g1) AS o1, count(*) OVER (PARTITION BY uid, g2) AS o2,
+           count(*) OVER (PARTITION BY uid, g3) AS o3 FROM p),
+c AS (
+    SELECT uid, i, n - here AS others, a.c - o1 AS c1, coalesce(b.c - o2, 0) AS c2, coalesce(c.c - o3, 0) AS c3
+    FROM o JOIN t1 a ON a.g = g1 LEFT JOIN t2 b ON b.g = g2 LEFT JOIN t3 c ON c.g = g3),
+x AS (
+    SELECT *, lag(c1) OVER (PARTITION BY uid ORDER BY i) AS h1, lag(c2) OVER (PARTITION BY uid ORDER BY i) AS h2 FROM c),
 s AS (
-    SELECT p.doc_id, least(p.i, 3) AS reach,
-           CASE WHEN c.c >= 2 THEN 3 WHEN b.c >= 2 THEN 2 ELSE 1 END AS used,
-           CASE WHEN c.c >= 2 THEN c.c / hb.c WHEN b.c >= 2 THEN b.c / ha.c ELSE a.c / n.n END AS ratio
-    FROM p CROSS JOIN n JOIN t1 a ON a.g = p.g1 LEFT JOIN t2 b ON b.g = p.g2 LEFT JOIN t3 c ON c.g = p.g3
-    LEFT JOIN t1 ha ON ha.g = p.h1 LEFT JOIN t2 hb ON hb.g = p.h2),
+    SELECT uid, least(i, 3) AS reach,
+           CASE WHEN c3 > 0 THEN 3 WHEN c2 > 0 THEN 2 WHEN c1 > 0 THEN 1 ELSE 0 END AS used,
+           CASE WHEN c3 > 0 THEN c3 / h2 WHEN c2 > 0 THEN c2 / h1 WHEN c1 > 0 THEN c1 / others
+                ELSE 1 / greatest(others, 1) END AS ratio FROM x),
 d AS (
-    SELECT doc_id, count(*)::BIGINT AS n_words, sum((reach > used)::INT)::BIGINT AS n_backed_off,
+    SELECT uid, count(*)::BIGINT AS n_words, sum((reach > used)::INT)::BIGINT AS n_backed_off,
            sum(round_even((ln(ratio) + ln(0.4::DOUBLE) * (reach - used)) * 1000000, 0)::BIGINT)::BIGINT AS micro
-    FROM s GROUP BY doc_id)
-SELECT x.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_backed_off, 0) AS n_backed_off,
+    FROM s GROUP BY uid)
+SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_backed_off, 0) AS n_backed_off,
        coalesce(micro, 0) / 1000000.0::DOUBLE AS score,
        CASE WHEN n_words > 0 THEN micro / 1000000.0::DOUBLE / n_words ELSE 0.0::DOUBLE END AS mean_score
-FROM documents x LEFT JOIN d ON d.doc_id = x.doc_id
+FROM w LEFT JOIN d ON d.uid = w.uid
 """
 
 TOP_K = """

@@ -253,12 +253,19 @@ def unpack_small(blob: bytes) -> np.ndarray:
 
 
 def pack_counts(a: np.ndarray) -> bytes:
-    """Counts, most of them small, in the fewest bytes that a quick entropy coder gives."""
-    return zlib.compress(pack_small(a), 1)
+    """Counts of any size, most of them small, in the fewest bytes that a quick entropy coder gives."""
+    planes = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+    body = a.astype("<u8").view(np.uint8).reshape(-1, 8).T[:planes].tobytes()
+    return zlib.compress(bytes([planes]) + body, 1)
 
 
 def unpack_counts(blob: bytes) -> np.ndarray:
-    return unpack_small(zlib.decompress(blob))
+    body = zlib.decompress(blob)
+    planes = body[0]
+    body = np.frombuffer(body, np.uint8, offset=1).reshape(planes, -1)
+    out = np.zeros((body.shape[1], 4 if planes <= 4 else 8), np.uint8)
+    out[:, :planes] = body.T
+    return out.view("<u4" if planes <= 4 else "<u8").ravel()
 
 
 def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
