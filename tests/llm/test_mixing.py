@@ -47,7 +47,7 @@ def test_targets_and_taken(spark):
         s = source[r["doc_id"]]
         assert r["source_size"] == sizes[s] and abs(r["target"] - want[s]) < 1e-6 * max(1, want[s])
     for s, n in took.items():
-        assert abs(n - want[s]) <= 0.005 * want[s] + 4
+        assert abs(n - want[s]) <= 0.5
     again = rows_of(mixing.taken(docs.repartition(7)))
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
@@ -94,16 +94,18 @@ def test_sources_far_below_a_block(spark):
         assert r["taken"] <= 2 * r["size"]
     assert sum(target.values()) > 65536 * 60
     for s, n in target.items():
-        assert abs(took[s] - n) <= (0.5 if s.startswith("small") else 0.005 * n), s
+        assert abs(took[s] - n) <= 0.5, s
     placed, parts = mixing.mix(docs)
     spread = defaultdict(set)
     number = {r["doc_id"]: r["number"] for r in rows_of(placed)}
+    every = parts.agg({"slot": "max"}).first()[0] + 1
     for r in rows_of(parts.where("doc_id >= 1000")):
         spread[r["number"]].add(r["rank"]), spread[-r["number"]].add(r["slot"])
     for i in (1000 + 10 * s for s in range(40)):
         ranks, slots = spread[number[i]], sorted(spread[-number[i]])
         assert ranks == set(range(len(ranks))) and len(slots) == len(ranks) >= min(128, target[source[i]])
-        assert all(b - a <= 65536 * 1.1 / len(slots) + 2 for a, b in zip(slots, slots[1:]))
+        # golden-ratio points in a piece have three distances, the longest under 3 times the mean
+        assert all(b - a <= 3 * every / len(slots) + 2 for a, b in zip(slots, slots[1:]))
     got = defaultdict(int)
     for r in rows_of(mixing.mixed_documents(docs).where("doc_id >= 1000")):
         got[r["source"]] += len(plain_words(r["text"]))

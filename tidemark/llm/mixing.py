@@ -1,17 +1,18 @@
 """Mixing sources to target weights along a low-discrepancy schedule, in DataFrame functions alone.
 
 Each source's documents, in the order of a hash of their ids, make a stream of words that starts again at its end.
-Streams are cut into blocks of one size in words; a mix of `slots` blocks holds `percent` % of all words. Slot i
-lies at the point frac((i + 1/2) * golden ratio) of the unit interval, on which each source owns a piece as long as
-its share; the j-th slot of a source takes the j-th block of its stream. Golden-ratio points leave every piece
-within a few slots of its share at any time, so sources alternate evenly and end near their targets. A source
-whose target is below `SLOTS_A_SOURCE` blocks would be off by a good part of it: its slots are not used, and its
-target, to the word, is dealt in that many finer blocks of its own, evenly over the slots, several to a slot if so.
+A mix holds `percent` % of all words. Slot i lies at the point frac((i + 1/2) * golden ratio) of the unit interval, on
+which each source owns a piece as long as its target, or as `SLOTS_A_SOURCE` blocks of the mix if that is longer; the
+j-th slot of a source takes the j-th block of its stream. The words of a source's target, to the word, go in equal
+blocks to all slots it owns (or, where it has fewer words than slots, one by one to evenly chosen ones). Golden-ratio
+points leave every piece within a few slots of its share at any time, so sources alternate evenly, blocks of large
+sources are of about one size, and every source ends at its target, whatever its size.
 
 Targets: weights repeat over the sources in code point order, a null source last. No source gives more than
 `most` times its size; what it can't give is shared by weight among the others until none is above. No document
 is taken more than `most` times. A null or empty text is of size 0 and is never taken. Rows that repeat are
-separate documents. Sums along a stream run in hash lanes, so a source of any size spreads over tasks.
+separate documents. Sums along a stream run in hash lanes of the source, and documents meet their source's figures by lane,
+so a source of any size spreads over tasks; what stands in one task is a row per source, or a source's slots.
 """
 
 from __future__ import annotations
@@ -84,16 +85,17 @@ def schedule(sources: DataFrame, slots: int) -> DataFrame:
         Window.partitionBy("number").orderBy("slot")) - 1).cast("long").alias("rank"))
 
 
-def fine_schedule(sources: DataFrame, slots: int) -> DataFrame:
-    """(slot, number, rank, block, given) of the blocks of sources of (number, target) that are too small for the
-    schedule: `given` words in all, blocks of `block` words, the last one shorter."""
-    given = F.round("target").cast("long")
-    rows = sources.select("number", given.alias("given"), F.ceil(given / SLOTS_A_SOURCE).alias("block")).where("given > 0")
-    rows = rows.withColumn("blocks", F.ceil(F.col("given") / F.col("block")))
-    rows = rows.withColumn("rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    shift = F.col("number") * F.lit(GOLDEN)  # so that sources of one size don't meet
-    slot = F.floor((F.col("rank") + shift - F.floor(shift)) / F.col("blocks") * slots)
-    return rows.select(F.least(slot, F.lit(slots - 1)).alias("slot"), "number", "rank", "block", "given")
+def pieces(goals: DataFrame, block: int) -> DataFrame:
+    """`goals` with pieces [low, high) of the unit interval that hold a point for each block of `block` words of a
+    source's target, and for `SLOTS_A_SOURCE` blocks at least; `slots` points fill the interval."""
+    least = F.lit(SLOTS_A_SOURCE * block).cast("double")
+    wide = goals.withColumn("piece", F.when(F.col("target") > 0, F.greatest("target", least)).otherwise(0.0))
+    whole = Window.partitionBy(F.lit(0))  # one row per source
+    run = whole.orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
+    wide = wide.withColumn("high", F.sum("piece").over(run)).withColumn("length", F.sum("piece").over(whole))
+    return wide.select("source", "number", "target", "source_size",
+                       ((F.col("high") - F.col("piece")) / F.col("length")).alias("low"),
+                       (F.col("high") / F.col("length")).alias("high"), F.floor(F.col("length") / block).alias("slots"))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
@@ -102,53 +104,51 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """(placed, parts).
 
     placed: a row per input row with row (a hash of all its columns), doc_id, size, source_size, target, number and
-    start, its place in the source's stream. parts: slot, number, rank, start of the document, doc_id, row, turn
-    (which time round the stream), offset and length of the words taken from it.
+    start, its place in the source's stream. parts: slot, number, rank of the block, start of the document, doc_id,
+    row, turn (which time round the stream), offset and length of the words taken from it.
     """
     sized = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"),
         F.xxhash64(*[F.col(c) for c in docs.columns]).alias("row"), word_count(F.col(text)).alias("size"))
-    sized = frames.written(sized.withColumn("at", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "sized")
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sized = sized.withColumn("at", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    sized = frames.written(sized.withColumn("lane", F.substring("at", 1, LANE_DIGITS)), "sized")
+    lanes = frames.written(sized.groupBy("source", "lane").agg(F.sum("size").alias("words")), "lanes")
+    sizes = lanes.groupBy("source").agg(F.sum("words").alias("source_size"))
     goals = frames.written(targets(sizes, weights, percent, most), "targets")
     count, total = goals.agg(F.count("*"), F.max("all")).first()
-    slots = max(slots, SLOTS_A_SOURCE * count)
-    block = max(1, int((total or 0) / slots))
-    slots = int((total or 0) // block)
-    small = F.col("target") < SLOTS_A_SOURCE * block
-    coarse = schedule(goals, slots).join(goals.where(~small).select("number"), "number", "left_semi")
-    plan = coarse.select("slot", "number", "rank", F.lit(block).cast("long").alias("block"),
-                         F.lit(None).cast("long").alias("given")).unionByName(
-        fine_schedule(goals.where(small), slots))
-
-    numbered = sized.join(goals.select(F.col("source").alias("s2"), "source_size", "target", "number"),
-                          F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
-    numbered = numbered.withColumn("lane", F.substring("at", 1, LANE_DIGITS))
-    sums = numbered.groupBy("number", "lane").agg(F.sum("size").alias("words"))
-    ahead = Window.partitionBy("number").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("number", "lane", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("ahead"))
-    inner = Window.partitionBy("number", "lane").orderBy("at", "doc_id", "size", "row").rowsBetween(
+    block = max(1, int((total or 0) / max(slots, SLOTS_A_SOURCE * count)))
+    owned = frames.written(pieces(goals, block), "pieces")
+    wanted = frames.written(schedule(owned, owned.agg(F.coalesce(F.max("slots"), F.lit(0))).first()[0]), "schedule")
+
+    # a source's words go in as many blocks as it has slots, or words if these are fewer
+    given = F.round("target").cast("long")
+    dealt = (owned.join(wanted.groupBy("number").agg(F.count("*").alias("owns")), "number", "left")
+             .select("source", "number", "target", "source_size", given.alias("given"), F.coalesce("owns", F.lit(0)).alias("owns"))
+             .withColumn("blocks", F.least("owns", "given")))
+    ahead = Window.partitionBy("source").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
+    lanes = (lanes.withColumn("ahead", F.coalesce(F.sum("words").over(ahead), F.lit(0))).drop("words")
+             .join(dealt.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2"))
+    inner = Window.partitionBy("source", "lane").orderBy("at", "doc_id", "size", "row").rowsBetween(
         Window.unboundedPreceding, -1)
-    placed = (numbered.withColumn("before", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-              .join(sums, ["number", "lane"])
-              .select("row", "doc_id", "source", "size", "source_size", "target", "number",
-                      (F.col("ahead") + F.col("before")).alias("start")))
+    placed = sized.withColumn("before", F.coalesce(F.sum("size").over(inner), F.lit(0)))
+    lanes = lanes.withColumnsRenamed({"source": "s2", "lane": "l2"})
+    placed = placed.join(lanes, F.col("source").eqNullSafe(F.col("s2")) & (F.col("lane") == F.col("l2"))).select(
+        "row", "doc_id", "source", "size", "source_size", "target", "number", "given", "owns", "blocks",
+        (F.col("ahead") + F.col("before")).alias("start"))
     placed = frames.written(placed, "placed")
 
-    wanted = frames.written(plan, "schedule")
-    given = wanted.groupBy("number").agg(F.max("block").alias("block"), F.coalesce(
-        F.max("given"), F.count("*") * F.max("block")).alias("given"))
     turns = F.explode(F.sequence(F.lit(0), F.lit(most - 1)))
     begin = F.col("turn") * F.col("source_size") + F.col("start")
-    parts = (placed.where("size > 0").join(given, "number").withColumn("turn", turns)
-             .withColumn("a", begin).withColumn("b", F.least(F.col("a") + F.col("size"), F.col("given")))
-             .where("a < b").withColumn("rank", F.explode(F.sequence(
-                 F.floor(F.col("a") / F.col("block")), F.floor((F.col("b") - 1) / F.col("block")))))
-             .withColumn("from", F.greatest("a", F.col("rank") * F.col("block")))
-             .withColumn("to", F.least("b", (F.col("rank") + 1) * F.col("block"))))
-    parts = parts.join(wanted.select("slot", "number", "rank"), ["number", "rank"]).select(
-        "slot", "number", "rank", "start", "doc_id", "row", "turn", (F.col("from") - F.col("a")).alias("offset"),
-        (F.col("to") - F.col("from")).alias("length"))
+    parts = (placed.where("size > 0").withColumn("turn", turns)
+             .withColumn("a", begin).withColumn("b", F.least(F.col("a") + F.col("size"), F.col("given"))).where("a < b")
+             # block j holds the words from floor(j * given / blocks) on and takes every (owns / blocks)-th slot
+             .withColumn("block", F.expr("explode(sequence(((a + 1) * blocks - 1) div given, (b * blocks - 1) div given))"))
+             .withColumn("from", F.expr("greatest(a, block * given div blocks)"))
+             .withColumn("to", F.expr("least(b, (block + 1) * given div blocks)"))
+             .withColumn("rank", F.expr("(block * owns + blocks - 1) div blocks")))
+    parts = parts.join(wanted, ["number", "rank"]).select(
+        "slot", "number", F.col("block").alias("rank"), "start", "doc_id", "row", "turn",
+        (F.col("from") - F.col("a")).alias("offset"), (F.col("to") - F.col("from")).alias("length"))
     return placed, parts
 
 

@@ -92,22 +92,10 @@ t AS (
     SELECT l.source, source_size, number, coalesce(least((lev.rest * weight)::BIGINT / (100 * lev.open_weight)::BIGINT,
            most::DOUBLE), most::DOUBLE) AS target
     FROM l LEFT JOIN lev ON true),
-p AS (
-    SELECT *, sum(target) OVER (ORDER BY number) AS high, sum(target) OVER () AS whole, count(*) OVER () AS sources
-    FROM t),
-b AS (SELECT max(greatest(1, floor(whole / greatest(65536, 256 * sources))::BIGINT)) AS block, max(whole) AS whole FROM p),
-g AS (
-    SELECT p.number, count(*) * max(b.block) AS given
-    FROM b, LATERAL (SELECT unnest(range(floor(b.whole / b.block)::BIGINT)) AS i) x
-    JOIN p ON (i + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE - floor((i + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE)
-              >= (p.high - p.target) / p.whole
-          AND ((i + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE - floor((i + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE)
-              < p.high / p.whole OR p.high / p.whole >= 1 - 1e-12::DOUBLE)
-    WHERE target > 0 GROUP BY p.number),
 r AS (
-    SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(g.given, 0) AS given,
+    SELECT d.doc_id, d.size, t.source_size, t.target, round(t.target)::BIGINT AS given,
            sum(d.size) OVER (PARTITION BY t.number ORDER BY d.at, d.doc_id) - d.size AS start
-    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN g ON g.number = t.number)
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        (greatest(0, least(start + size, given) - start)
         + greatest(0, least(source_size + start + size, given) - source_size - start))::BIGINT AS taken
