@@ -77,3 +77,11 @@ def test_long_texts_are_read_whole(classifier):
     rng = random.Random(1)
     text = sentence(rng, 10) + " " + " ".join("".join(rng.choice(PARTS["cc"]) for _ in range(9)) for _ in range(30000))
     assert classifier.predict(pa.array([text]))[0] == ["cc"]
+
+
+def test_a_language_of_one_row_is_learned(spark):
+    for k in range(6):  # whatever the hash of its id
+        rows = [(n, "the sound of the thing", "aa") for n in range(8)] + [(100 + k, "zwxq qzwx xqzw", "qq")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        classifier = language.train(docs, F.lit(True))
+        assert classifier.predict(pa.array(["zwxq xqzw", "the thing"]))[0] == ["qq", "aa"]

@@ -8,7 +8,8 @@ language's weight of the shorter model. A text's language is that of the lowest
 
 The score is the language's share of exp(-sharpness * cross-entropy), the sharpness fitted on a fifth of the sample
 that no model was counted on; so is, for each language, the cross-entropy that 99.5 % of its own texts stay under.
-A text above it, or of no known language, is `rejected`, an extra column beside the prediction.
+A text above it, or of no known language, is `rejected`, an extra column beside the prediction. A language of fewer
+than `ROWS_TO_SPARE` learnable rows is counted on all of them and rejects none.
 
 A null text or one without a letter is `und`, with score 0, rejected; so are all when nothing can be learned. Rows
 that repeat are predicted each; ties go to the first language by code point.
@@ -27,6 +28,7 @@ from tidemark.llm import words as W
 ORDER = 4
 ROWS_A_LANGUAGE = 3000
 ASIDE = 5  # every fifth row of the sample calibrates
+ROWS_TO_SPARE = 100  # languages of fewer rows give none of them to calibration
 KEEP = 0.995
 EDGE = 32  # before a word and after it
 
@@ -237,7 +239,8 @@ def train(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
     for name, n in sizes.items():
         share = F.when(F.col("lang") == name, int((1 << 20) * min(1.0, rows_a_language / n))).otherwise(share)
     some = rows.where(F.pmod("h", F.lit(1 << 20)) < share)
-    aside = F.pmod(F.shiftright("h", 24), F.lit(ASIDE)) == 0
+    spare = [name for name, n in sizes.items() if n >= ROWS_TO_SPARE]
+    aside = (F.pmod(F.shiftright("h", 24), F.lit(ASIDE)) == 0) & F.col("lang").isin(spare) if spare else F.lit(False)
     columns = [f"c{k}" for k in range(ORDER)]
     counted = (some.where(~aside).select("lang", "text")
                .mapInArrow(_count, "lang string, " + ", ".join(f"{c} int" for c in columns) + ", n long")
