@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
 
 from tidemark.operators import ordered as od
+from tidemark.operators.intervals import covered, covering, range_extremes, range_sums
 
 @pytest.fixture(scope="module")
 def log(spark):
@@ -106,7 +108,7 @@ def _covered(spark, points, spans):
     at = lambda c: F.timestamp_add("MICROSECOND", F.col(c), base)
     p = spark.createDataFrame(points, "pid long, k long, t long").withColumn("t", at("t"))
     s = spark.createDataFrame(spans, "sid long, k long, a long, b long").withColumns({"a": at("a"), "b": at("b")})
-    return {r.pid: (r.top, r.low, r.total) for r in od.covering(
+    return {r.pid: (r.top, r.low, r.total) for r in covering(
         p, s, ["k"], ["pid"], "t", "a", "b",
         {"top": ("max", "sid"), "low": ("min", "sid"), "total": ("sum", "sid")}).collect()}
 
@@ -150,6 +152,49 @@ def test_covering_of_random_powers(spark):
     assert _covered(spark, points, spans) == _hits(points, spans)
 
 
+def test_covered_keeps_all_points_and_their_columns(spark):
+    base = F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")
+    at = lambda c: F.timestamp_add("HOUR", F.col(c), base)
+    points = [(1, "x", "u", 5), (1, "x", "u", 5), (2, "x", None, 5), (3, "x", "u", None), (4, "y", "u", 5), (None, "x", "u", 900)]
+    spans = [("x", "u", 0, 10, 7), ("x", "u", -9000, 90000, 3), ("x", "u", 5, 5, None), ("x", None, 0, 10, 99), ("y", "v", 0, 10, 9)]
+    p = spark.createDataFrame(points, "pid int, k string, m string, t int").withColumns({"t": at("t"), "_n": F.lit("z")})
+    s = spark.createDataFrame(spans, "k string, m string, a int, b int, v int").withColumns({"a": at("a"), "b": at("b")})
+    got = covered(p, s, ["k", "m"], "t", "a", "b", {"top": ("max", "v"), "low": ("min", "v"), "total": ("sum", "v")})
+    assert got.columns == ["pid", "k", "m", "t", "_n", "top", "low", "total"] and got.schema["top"].dataType.simpleString() == "int"
+    want = [(1, 7, 3, 10), (1, 7, 3, 10), (2, None, None, None), (3, None, None, None), (4, None, None, None), (None, 3, 3, 3)]
+    assert sorted(((r.pid, r.top, r.low, r.total) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert covered(p.limit(0), s, ["k", "m"], "t", "a", "b", {"top": ("max", "v")}).count() == 0
+    assert covered(p, s.limit(0), ["k", "m"], "t", "a", "b", {"top": ("max", "v")}).filter("top is null").count() == 6
+    with pytest.raises(TypeError):
+        covered(p, s.withColumn("v", F.lit("a")), ["k", "m"], "t", "a", "b", {"top": ("max", "v")})
+
+
+def test_a_point_is_in_one_row_per_level(spark):
+    """A hot key's points are dealt over cells, never copied, and no join is made."""
+    at = lambda c: F.timestamp_add("HOUR", c, F.lit("2020-01-01 00:00:00").cast("timestamp_ntz"))
+    p = spark.range(4000).select("id", F.lit(1).alias("k"), at(F.col("id").cast("int")).alias("t"))
+    s = spark.range(500).select(F.col("id").alias("v"), F.lit(1).alias("k"), at(F.col("id").cast("int") * 3).alias("a"),
+                                at(F.col("id").cast("int") * 9).alias("b"))
+    got = covered(p, s, ["k"], "t", "a", "b", {"top": ("max", "v")})
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Generate") == 3  # of the pieces alone
+    want = {t: max((v for v in range(500) if 3 * v <= t <= 9 * v), default=None) for t in range(4000)}
+    assert {r.id: r.top for r in got.collect()} == want
+
+
+def test_range_tables_against_loops():
+    rng = random.Random(4)
+    for n in (1, 2, 7, 64, 100):
+        spans = [sorted((rng.randrange(n + 1), rng.randrange(n + 1))) for _ in range(60)]
+        values = [rng.randrange(-50, 50) for _ in spans]
+        b, e, v = (np.array(x) for x in ([s[0] for s in spans], [s[1] for s in spans], values))
+        for op, pick in (("max", max), ("min", min)):
+            want = [pick((x for (i, j), x in zip(spans, values) if i <= k < j), default=None) for k in range(n)]
+            got = range_extremes(n, b, e, v, op).tolist()
+            assert [None if abs(x) > 100 else x for x in got] == want
+        assert range_sums(n, b, e, v).tolist() == [sum(x for (i, j), x in zip(spans, values) if i <= k < j) for k in range(n)]
+
+
 def test_steps_that_read_each_other(spark, log):
     """Five steps on three levels: the source is scanned once, and nothing runs before the result is asked for."""
     w = Window.partitionBy("k").orderBy("id")

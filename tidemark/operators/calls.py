@@ -1,7 +1,8 @@
 """Calls in the context of orders, items seen before, and who caused a wrong return.
 
-Phone matches never form call x order pairs: order windows are turned into
-intervals per phone and looked up by time (see `ordered.covering`).
+Phone matches never form call x order pairs, and calls never meet orders on the
+bare phone: order windows, and the fact that a phone has an order at all, are
+intervals per phone and looked up by time in one sweep (see `intervals`).
 """
 
 from __future__ import annotations
@@ -11,11 +12,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.timefn import boundary_diff, moment
-from tidemark.operators.ordered import KeyedSequence, asof, covering, hour_lane
+from tidemark.functions.timefn import boundary_diff, epoch, moment
+from tidemark.operators.intervals import covered
+from tidemark.operators.ordered import KeyedSequence, asof, hour_lane
 from tidemark.operators.orders import flag
 
-FAR = "2100-01-01 00:00:00"
+BEFORE, FAR = "0001-01-01 00:00:00", "9999-12-31 23:59:59.999999"
+#: an order's history is short: lanes of 64 days leave most orders in one or two
+HISTORY_LANE = 64 * 86400
 
 
 def _stack(paths: Sequence[DataFrame], combine: str) -> DataFrame:
@@ -45,27 +49,28 @@ def call_context(calls: DataFrame, paths: Sequence[DataFrame], combine: str = "u
     spans = _stack([p.select(*cols) for p in paths], combine).withColumn(
         "program_id", F.when(F.col("in_program"), F.col("order_id")))
     pts = calls.select("call_id", F.col("caller").alias("phone"), "made_at")
-    ever = spans.groupBy("phone").agg(F.max("order_id").alias("any_order_id"),
-                                      F.max("program_id").alias("any_program_id"))
     # one frame of intervals of all kinds, one lookup
-    kinds = [spans.select("phone", F.col("placed_at").alias("from_at"), F.col("closed_at").alias("to_at"),
+    kinds = [spans.groupBy("phone").agg(F.max("order_id").alias("_any"), F.max("program_id").alias("_any_program"))
+             .select("phone", moment(BEFORE).alias("from_at"), moment(FAR).alias("to_at"), "_any", "_any_program"),
+             spans.select("phone", F.col("placed_at").alias("from_at"), F.col("closed_at").alias("to_at"),
                           F.col("order_id").alias("_live"), F.col("program_id").alias("_program")),
              spans.filter("in_program").select("phone", F.col("in_at").alias("from_at"),
                                                F.col("out_at").alias("to_at"), F.col("order_id").alias("_staged"))]
-    found = {"live_order_id": ("max", "_live"), "program_order_id": ("max", "_program"),
+    found = {"any_order_id": ("max", "_any"), "any_program_id": ("max", "_any_program"),
+             "live_order_id": ("max", "_live"), "program_order_id": ("max", "_program"),
              "live_program_order_id": ("max", "_staged")}
-    first = None
     if history is not None:
         links = spans.filter("in_program").select("phone", "order_id").distinct()
         began = history.groupBy("order_id").agg(F.min("made_at").alias("began_at"))
         first = links.join(began, "order_id").groupBy("phone").agg(F.min("began_at").alias("began_at"))
+        kinds.append(first.select("phone", F.timestamp_add("MICROSECOND", F.lit(1), "began_at").alias("from_at"),
+                                  moment(FAR).alias("to_at"), F.lit(1).alias("_acted")))
         kinds.append(links.join(hold_intervals(history, held), "order_id").select(
             "phone", F.col("hold_from").alias("from_at"), F.col("hold_to").alias("to_at"),
             F.col("order_id").alias("_hold")))
-        found["hold_order_id"] = ("max", "_hold")
+        found |= {"acted": ("max", "_acted"), "hold_order_id": ("max", "_hold")}
     intervals = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), kinds)
-    met = covering(pts, intervals, ["phone"], ["call_id"], "made_at", "from_at", "to_at", found)
-    rows = pts.join(ever, "phone", "left").join(met, "call_id", "left")
+    rows = covered(pts, intervals, ["phone"], "made_at", "from_at", "to_at", found)
     has = lambda c: flag(F.col(c).isNotNull())
     out = [F.col("call_id"), F.col("phone").alias("caller"), F.col("made_at"),
            has("any_order_id").alias("ordered_flag"), has("live_order_id").alias("live_order_flag"),
@@ -74,9 +79,7 @@ def call_context(calls: DataFrame, paths: Sequence[DataFrame], combine: str = "u
     if with_ids:
         out += [F.col(c) for c in ("live_order_id", "program_order_id", "live_program_order_id")]
     if history is not None:
-        rows = rows.join(first, "phone", "left")
-        out += [flag(F.col("began_at") < F.col("made_at")).alias("acted_flag"),
-                has("hold_order_id").alias("on_hold_flag")]
+        out += [has("acted").alias("acted_flag"), has("hold_order_id").alias("on_hold_flag")]
     return rows.select(*out)
 
 
@@ -85,7 +88,7 @@ def state_before_call(context: DataFrame, history: DataFrame) -> DataFrame:
     past = history.select(F.col("order_id").alias("live_program_order_id"), "id",
                           F.col("made_at").alias("acted_at"), F.col("action").alias("state_before"))
     return asof(context, past, ["live_program_order_id"], "made_at", "acted_at",
-                ["acted_at", "state_before"], tie="id")
+                ["acted_at", "state_before"], tie="id", lane=lambda c: F.floor(epoch(c) / F.lit(HISTORY_LANE)))
 
 
 def hold_call_impact(context: DataFrame, orders: DataFrame, program: DataFrame,
