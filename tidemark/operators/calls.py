@@ -17,7 +17,8 @@ from tidemark.operators.intervals import covered
 from tidemark.operators.ordered import KeyedSequence, asof, hour_lane
 from tidemark.operators.orders import flag
 
-BEFORE, FAR = "0001-01-01 00:00:00", "9999-12-31 23:59:59.999999"
+FAR = "2100-01-01 00:00:00"
+EVER = ("0001-01-01 00:00:00", "9999-12-31 23:59:59.999999")
 #: an order's history is short: lanes of 64 days leave most orders in one or two
 HISTORY_LANE = 64 * 86400
 
@@ -51,7 +52,7 @@ def call_context(calls: DataFrame, paths: Sequence[DataFrame], combine: str = "u
     pts = calls.select("call_id", F.col("caller").alias("phone"), "made_at")
     # one frame of intervals of all kinds, one lookup
     kinds = [spans.groupBy("phone").agg(F.max("order_id").alias("_any"), F.max("program_id").alias("_any_program"))
-             .select("phone", moment(BEFORE).alias("from_at"), moment(FAR).alias("to_at"), "_any", "_any_program"),
+             .select("phone", moment(EVER[0]).alias("from_at"), moment(EVER[1]).alias("to_at"), "_any", "_any_program"),
              spans.select("phone", F.col("placed_at").alias("from_at"), F.col("closed_at").alias("to_at"),
                           F.col("order_id").alias("_live"), F.col("program_id").alias("_program")),
              spans.filter("in_program").select("phone", F.col("in_at").alias("from_at"),
@@ -64,7 +65,7 @@ def call_context(calls: DataFrame, paths: Sequence[DataFrame], combine: str = "u
         began = history.groupBy("order_id").agg(F.min("made_at").alias("began_at"))
         first = links.join(began, "order_id").groupBy("phone").agg(F.min("began_at").alias("began_at"))
         kinds.append(first.select("phone", F.timestamp_add("MICROSECOND", F.lit(1), "began_at").alias("from_at"),
-                                  moment(FAR).alias("to_at"), F.lit(1).alias("_acted")))
+                                  moment(EVER[1]).alias("to_at"), F.lit(1).alias("_acted")))
         kinds.append(links.join(hold_intervals(history, held), "order_id").select(
             "phone", F.col("hold_from").alias("from_at"), F.col("hold_to").alias("to_at"),
             F.col("order_id").alias("_hold")))

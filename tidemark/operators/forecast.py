@@ -9,6 +9,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
+from pyspark import InheritableThread
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.timefn import month_index
@@ -177,25 +178,46 @@ def quality_gate(predicted: DataFrame, target: str, k: int, least: float = 0.85)
     return {"target": target, "n": n, "k": k, "r2": r2, "adjusted_r2": adjusted, "accepted": adjusted >= least}
 
 
+def fit_target(df: DataFrame, target: str, features: Sequence[str], folder: str, least: int = LEAST) -> tuple[str, dict]:
+    """Fits one target, refits it on all cohorts of `least` customers if it is accepted, and saves the model."""
+    # read by every pass of the fit, the evaluation and the refit
+    clean = checkpointed(drop_outliers(df, target))
+    model, predicted = fit_retention_model(clean, target, features, least)
+    gate = quality_gate(predicted, target, len(features))
+    if gate["accepted"]:
+        model = forest(target, features).fit(min_cohort(clean, least))
+    path = f"{folder}/{target}"
+    model.write().overwrite().save(path)
+    return path, gate
+
+
 def fit_all(df: DataFrame, features: Sequence[str], folder: str, targets: Sequence[str] = TARGETS,
             least: int = LEAST) -> tuple[dict[str, str], list[dict]]:
-    """Fits each target, refits accepted ones on all cohorts of `least` customers and saves every model.
+    """Fits all targets side by side, each in a thread and a scheduler pool of its own.
 
-    Returns the saved paths and the gate of each target; targets under the
-    threshold are the gates with accepted false.
+    A cohort table is small against a cluster, so one forest's jobs leave most cores idle; under the FAIR
+    scheduler (spark.scheduler.mode) the pools share them. Returns the saved paths and the gate of each target, in
+    the order of `targets`; targets under the threshold are the gates with accepted false.
     """
-    paths, gates = {}, []
-    for target in targets:
-        # read by every pass of the fit, the evaluation and the refit
-        clean = checkpointed(drop_outliers(df, target))
-        model, predicted = fit_retention_model(clean, target, features, least)
-        gate = quality_gate(predicted, target, len(features))
-        if gate["accepted"]:
-            model = forest(target, features).fit(min_cohort(clean, least))
-        paths[target] = f"{folder}/{target}"
-        model.write().overwrite().save(paths[target])
-        gates.append(gate)
-    return paths, gates
+    context = df.sparkSession.sparkContext
+    done: dict[str, tuple[str, dict]] = {}
+    failed: list[BaseException] = []
+
+    def work(target: str) -> None:
+        try:
+            context.setLocalProperty("spark.scheduler.pool", f"fit-{target}")
+            done[target] = fit_target(df, target, features, folder, least)
+        except BaseException as e:  # noqa: BLE001 - raised below, in the thread that called
+            failed.append(e)
+
+    threads = [InheritableThread(target=work, args=(t,), session=df.sparkSession) for t in targets]
+    for thread in threads:
+        thread.start()
+    for thread in threads:
+        thread.join()
+    if failed:
+        raise failed[0]
+    return {t: done[t][0] for t in targets}, [done[t][1] for t in targets]
 
 
 def predict_next_month(df: DataFrame, paths: Mapping[str, str], month: str, least: int = LEAST) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators.ordered import exact_percentiles
+from tidemark.session import checkpointed
 
 FLOOR, SURE = 0.2, 0.5
 TOPS = {60: .4, 50: .5, 40: .6, 30: .7, 20: .8, 10: .9}
@@ -42,22 +43,23 @@ def prob_table(df: DataFrame, feature: str) -> DataFrame:
     return prob_tables(df, [feature]).drop("feature")
 
 
-
 def prob_values(df: DataFrame, tables: DataFrame, features: Sequence[str]) -> DataFrame:
     """Looks up each feature's probability at the row's hour; unseen pairs get the floor.
 
-    The tables are laid into one row per hour, a map from value to probability
-    for each feature, so the rows are joined once. A row per hour is as long as
-    there are distinct values, and the engine broadcasts it where it is small.
+    Nothing is gathered by hour: each feature is a join on its value and the hour. The tables are read once for all
+    of them (checkpointed: they are an aggregate, a row for each value and hour), and the engine broadcasts a
+    feature's table where its measured size allows it, so features of few values cost no shuffle, and a feature of
+    many values is an ordinary join whose large keys are split.
     """
-    pair = F.struct("value", "p")
-    hours = tables.filter(F.col("value").isNotNull()).groupBy(F.col("hr").alias("_h")).agg(*[
-        F.map_from_entries(F.collect_list(F.when(F.col("feature") == f, pair))).alias("_m_" + f)
-        for f in features])
-    out = df.join(hours, F.col("hr") == F.col("_h"), "left")
-    return out.withColumns({
-        "prob_" + f: F.coalesce(F.try_element_at("_m_" + f, F.col(f).cast("string")), F.lit(FLOOR))
-        for f in features}).drop("_h", *["_m_" + f for f in features])
+    known = checkpointed(tables.filter(F.col("value").isNotNull()))
+    out = df
+    for f in features:
+        table = known.filter(F.col("feature") == f).select(
+            F.col("value").alias("_v_" + f), F.col("hr").alias("_h_" + f), F.col("p").alias("_p_" + f))
+        met = (F.col(f).cast("string") == F.col("_v_" + f)) & (F.col("hr") == F.col("_h_" + f))
+        out = out.join(table, met, "left")
+    return out.withColumns({"prob_" + f: F.coalesce("_p_" + f, F.lit(FLOOR)) for f in features}).drop(
+        *[x + f for f in features for x in ("_v_", "_h_", "_p_")])
 
 
 def total_score(df: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import facts
+from tidemark.operators import facts, refresh
+from tidemark.operators.ordered import id_lane
 from tidemark.operators.queries import check_unique
 from tidemark.plans.registry import query
+from tidemark.session import checkpointed
 from tidemark.plans.views import EVENTS_AS_OF
 from tidemark.sources import sinks
 
@@ -16,6 +18,25 @@ def _(t):
     return t.fact
 
 
+ENTITY_RANGE = 16  # cases in one range of a written log or fact
+REFRESHED_ON = "2024-01-25"
+
+
+@query("a74_task_fact_refresh", "SELECT * FROM fact")
+def _(t):
+    """The fact of an earlier log, brought up to date after the rows of the last days have come in."""
+    by, day = id_lane("case_id", ENTITY_RANGE), F.to_date("made_at")
+    log_path, fact_path = (sinks.fresh_path(t.spark, n) for n in ("task-log", "task-fact"))
+    since = F.lit(REFRESHED_ON).cast("date")
+    sinks.create_partitioned(t.task_log.filter(day < since), log_path, by)
+    sinks.create_partitioned(t.fact_of(t.spark.read.parquet(log_path).drop(sinks.PART)), fact_path, by)
+    new = t.task_log.filter(day >= since)
+    refresh.append_log(new, log_path, by)
+    changed = checkpointed(new.select("case_id").distinct())
+    refresh.refresh(t.spark, log_path, fact_path, changed, "case_id", by, t.fact_of)
+    return t.spark.read.parquet(fact_path).drop(sinks.PART)
+
+
 @query("a75_changed_tasks", """
     SELECT task_id FROM task_log GROUP BY 1 HAVING min(made_at::DATE) >= DATE '2024-01-15'""")
 def _(t):
@@ -116,8 +137,9 @@ def _(t):
     return facts.turnaround(t.status_log)
 
 
-@query("a79_consultation_fact", f"""
-    WITH {_CASES}, {_CHANGED}, {_STAFF},
+def _consultation_sql(changed):
+    return f"""
+    WITH {_CASES}, {changed}, {_STAFF},
     acts AS (
         SELECT entity_id, min(made_at) FILTER (code IN (1, 2)) AS first_moved_at,
                min(made_at) FILTER (code = 2) AS first_assigned_at, max(made_at) FILTER (code = 2) AS last_assigned_at,
@@ -176,14 +198,49 @@ def _(t):
            CASE WHEN frt > 90 THEN 1 ELSE 0 END AS internal_breach,
            CASE WHEN frt > 120 THEN 1 ELSE 0 END AS committed_breach,
            CASE WHEN first_done_at IS NOT NULL THEN CASE WHEN fdo > 120 THEN 1 ELSE 0 END END AS overall_breach
-    FROM timed""")
-def _(t):
+    FROM timed"""
+
+
+def _consultations(log, changed, t):
+    """The consultation fact of the changed entities from a status log that holds their customers' entities."""
+    rows = Logged(t.spark, log)
     return facts.consultation_fact(
-        _changed(t), _cases(t), t.status_log, t.status_log.filter("code in (1, 3, 4)"), staff(t),
-        _rejections(t), _refusals(t), stage=1, cancelled=3, moved=[1, 2], assigned=2, responses=[3, 4, 5],
+        changed, _cases(rows), log, log.filter("code in (1, 3, 4)"), staff(t),
+        _rejections(rows), _refusals(rows), stage=1, cancelled=3, moved=[1, 2], assigned=2, responses=[3, 4, 5],
         done=4, rejected=3, held=5, sources=SOURCES, partners=PARTNERS, customer_reasons=CUSTOMER_REASONS)
 
 
+class Logged:
+    """A status log in the place of the bound one."""
+
+    def __init__(self, spark, log):
+        self.spark, self.status_log = spark, log
+
+
+@query("a79_consultation_fact", _consultation_sql(_CHANGED))
+def _(t):
+    return _consultations(t.status_log, _changed(t), t)
+
+
+@query("a79_consultation_fact_refresh", _consultation_sql("changed AS (SELECT entity_id FROM cases)"))
+def _(t):
+    """The fact of all cases of an earlier log, brought up to date: cases with new rows, and those of their customers,
+    whose first success may be another now."""
+    by, day = id_lane("entity_id", ENTITY_RANGE), F.to_date("made_at")
+    log_path, fact_path = (sinks.fresh_path(t.spark, n) for n in ("status-log", "consultations"))
+    since = F.lit(REFRESHED_ON).cast("date")
+    sinks.create_partitioned(t.status_log.filter(day < since), log_path, by)
+    old = t.spark.read.parquet(log_path).drop(sinks.PART)
+    sinks.create_partitioned(_consultations(old, old.select("entity_id").distinct(), t), fact_path, by)
+    new = t.status_log.filter(day >= since)
+    refresh.append_log(new, log_path, by)
+    members = t.spark.read.parquet(log_path).select("entity_id").distinct().withColumn("customer_id", F.col("entity_id") % 50)
+    changed = checkpointed(refresh.touched_groups(new.select("entity_id"), members, "entity_id", "customer_id"))
+    refresh.refresh(t.spark, log_path, fact_path, changed, "entity_id", by,
+                    lambda log: _consultations(log, changed, t))
+    return t.spark.read.parquet(fact_path).drop(sinks.PART)
+
+
 @query("a80_upsert", """
     WITH old AS (SELECT entity_id, count(*) AS steps, max(made_at) AS last_at FROM status_log
                  WHERE made_at::DATE < DATE '2024-01-28' GROUP BY 1),
@@ -194,7 +251,8 @@ def _(t):
     log, cut = t.status_log, F.lit("2024-01-28").cast("date")
     grown = lambda df: df.groupBy("entity_id").agg(
         F.count(F.lit(1)).alias("steps"), F.max("made_at").alias("last_at"))
-    path = sinks.fresh_path(t.spark, "fact")
-    sinks.append(grown(log.filter(F.to_date("made_at") < cut)), path)
+    path, by = sinks.fresh_path(t.spark, "fact"), id_lane("entity_id", ENTITY_RANGE)
+    sinks.create_partitioned(grown(log.filter(F.to_date("made_at") < cut)), path, by)
     batch = grown(log).filter(F.to_date("last_at") >= cut)
-    return sinks.upsert_table(t.spark, path, batch, "entity_id", sinks.fresh_path(t.spark, "fact"))
+    sinks.upsert_partitions(t.spark, path, batch, "entity_id", by)
+    return t.spark.read.parquet(path).drop(sinks.PART)

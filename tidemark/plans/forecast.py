@@ -182,6 +182,33 @@ def _(t):
     return predicted.select("month", *fc.DIMS, "customers", "retention", inside.alias("in_training_range"))
 
 
+@query("m07_predictions")
+def _(t):
+    """What the forest predicts for the cohorts it is judged on."""
+    _, predicted = fc.fit_retention_model(_clean(t), "retention", _FEATURES, LEAST)
+    return predicted.select("month", *fc.DIMS, "customers", "retention", "retention_predicted")
+
+
+_GATE = "target string, n long, k int, r2 double, adjusted_r2 double, accepted boolean"
+
+
+def _gates(t, gates):
+    return t.spark.createDataFrame([tuple(g[x] for x in ("target", "n", "k", "r2", "adjusted_r2", "accepted")) for g in gates],
+                                   _GATE)
+
+
+@query("m08_gate")
+def _(t):
+    _, predicted = fc.fit_retention_model(_clean(t), "retention", _FEATURES, LEAST)
+    return _gates(t, [fc.quality_gate(predicted, "retention", len(_FEATURES))])
+
+
+@query("m09_gates")
+def _(t):
+    """The figures of every target, accepted or not."""
+    return _gates(t, fc.fit_all(_hot(t), _FEATURES, sinks.fresh_path(t.spark, "models"), least=LEAST)[1])
+
+
 def _gate_rows(t, gates):
     """Each gate's size, and whether its figures follow from its R squared."""
     rows = []
@@ -233,6 +260,15 @@ def _(t):
     return _percent(_predicted(t))
 
 
+_FORECAST = [f"{x}_predicted" for x in fc.TARGETS]
+
+
+@query("m10_forecast")
+def _(t):
+    """The forecast itself: a percentage per target for each cohort of the coming month."""
+    return _predicted(t).select("month", *fc.DIMS, "customers", "prediction_month", *_FORECAST)
+
+
 @query("m11_unhot", f"""
     WITH {_FOUR} SELECT month, acquired, latest, hub, source, chronic, discounted, courier, acquired AS acquired_label,
            latest AS latest_label, hub AS hub_label, source AS source_label FROM pct""")
@@ -242,11 +278,20 @@ def _(t):
                        "courier", "acquired_label", "latest_label", "hub_label", "source_label")
 
 
+def _appended(t):
+    path = sinks.fresh_path(t.spark, "predictions")
+    rows = _predicted(t).select("month", *fc.DIMS, "customers", "prediction_month", *_FORECAST)
+    sinks.append(rows.withColumn("created_at", F.lit("2001-07-01 06:00:00").cast("timestamp_ntz")), path)
+    return t.spark.read.parquet(path)
+
+
 @query("m12_append_predictions", f"""
     WITH {_NEXT} {_COMING}, TIMESTAMP '2001-07-01 06:00:00' AS created_at FROM sizes WHERE customers >= {LEAST}""")
 def _(t):
-    path = sinks.fresh_path(t.spark, "predictions")
-    rows = _predicted(t).select("month", *fc.DIMS, "customers", "prediction_month",
-                                *[f"{x}_predicted" for x in fc.TARGETS])
-    sinks.append(rows.withColumn("created_at", F.lit("2001-07-01 06:00:00").cast("timestamp_ntz")), path)
-    return _percent(t.spark.read.parquet(path), "created_at")
+    return _percent(_appended(t), "created_at")
+
+
+@query("m12_forecast_table")
+def _(t):
+    """The appended table as a reader finds it."""
+    return _appended(t)

@@ -106,14 +106,19 @@ def _(t):
     return t.spark.read.parquet(path)
 
 
+ORDER_RANGE = 50_000  # ids kept in one range of a written table
+
+
 @query("p10_upsert_sink", """
     SELECT order_id, CASE WHEN status = 8 THEN -value ELSE value END AS value FROM ord""")
 def _(t):
     path = sinks.fresh_path(t.spark, "target")
     rows = t.ord.select("order_id", "status", "value")
-    sinks.append(rows.select("order_id", "value"), path)
+    by = od.id_lane("order_id", ORDER_RANGE)
+    sinks.create_partitioned(rows.select("order_id", "value"), path, by)
     batch = rows.filter("status = 8").select("order_id", (-c("value")).alias("value"))
-    return sinks.upsert_table(t.spark, path, batch, "order_id", sinks.fresh_path(t.spark, "target"))
+    sinks.upsert_partitions(t.spark, path, batch, "order_id", by)
+    return t.spark.read.parquet(path).drop(sinks.PART)
 
 
 @query("p11_append_predictions", """

@@ -292,8 +292,12 @@ class Bound(Tables):
 
     @property
     def fact(self) -> DataFrame:
+        return self.fact_of(self.task_log)
+
+    def fact_of(self, log: DataFrame) -> DataFrame:
+        """The task fact of a task log, whole or of some cases."""
         from tidemark.operators.facts import task_fact
-        log = self.task_log.withColumns({
+        log = log.withColumns({
             "task_type": F.when(F.col("case_id") % 3 == 0, "Hold").otherwise("New"),
             "order_id": F.col("case_id") * 10,
             "reason": F.when(F.col("code") == 3, F.concat(F.lit("reason "), (F.col("id") % 4).cast("string")))})
