@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tidemark.operators import calls, cohorts, forecast, lifecycle, people, queues, refresh, scoring
+from tidemark.operators import calls, chains, cohorts, distinct, forecast, lifecycle, people, queues, refresh, scoring
 from tidemark.operators.ordered import id_lane
 from tidemark.session import shared_dir
 from tidemark.sources import sinks
@@ -209,3 +209,45 @@ def test_forecast_figures(spark):
     table = got["m12_forecast_table"]
     assert {f"{x}_predicted" for x in forecast.TARGETS} <= set(table.columns)
     assert all(0 <= r[f"{x}_predicted"] <= 100 for r in table.collect() for x in forecast.TARGETS)
+
+
+def test_chains_of_any_length_and_cycles(spark):
+    n = 3000
+    links = [(k, k - 1 if k else None) for k in range(n)]  # one chain of 2,999 steps
+    links += [(5000 + k, 0) for k in range(500)]  # a hub
+    links += [(6000, 6001), (6001, 6002), (6002, 6000), (6003, 6000), (6004, 6003), (7000, 7000)]  # cycles, and below one
+    links += [(8000, 8888), (8001, 8000), (8002, None), (9000, 9002), (9000, 9001), (None, 1)]
+    parents = {}
+    for node, up in links:
+        if node is not None:
+            parents[node] = min([x for x in (parents.get(node), up) if x is not None], default=None)
+
+    def walk(node):
+        at, steps, seen = node, 0, set()
+        while parents.get(at) is not None:
+            if at in seen:
+                return node, None, None, True
+            seen.add(at)
+            at, steps = parents[at], steps + 1
+        return node, at, steps, False
+
+    df = spark.createDataFrame(links, "a long, b long").withColumns({"node": F.lit("x"), "up": F.lit(1), "steps": F.lit(2)})
+    got = {r.node: (r.node, r.root, r.steps, r.cyclic) for r in chains.resolve(df, "a", "b").collect()}
+    assert got == {k: walk(k) for k in parents}
+    assert chains.resolve(df.limit(0), "a", "b").count() == 0
+
+
+def test_distinct_rollup_against_plain_counts(spark):
+    rows = [(k % 3, ["a", "b", None][k % 7 % 3], k * 37 % 1000 - 400 if k % 11 else None, k % 5 * 40000) for k in range(2000)]
+    df = spark.createDataFrame(rows, "x int, y string, u long, v int")
+    sets = [["x", "y"], ["y"], []]
+    got = distinct.distinct_rollup(df, ["x", "y"], {"us": "u", "vs": "v"}, sets).collect()
+    want = set()
+    for s in sets:
+        level = 2 * ("x" not in s) + ("y" not in s)
+        groups = {}
+        for x, y, u, v in rows:
+            groups.setdefault((x if "x" in s else None, y if "y" in s else None), []).append((u, v))
+        want |= {(*k, level, len({u for u, _ in g if u is not None}), len({v for _, v in g})) for k, g in groups.items()}
+    assert len(got) == len(want) and {(r.x, r.y, r.level, r.us, r.vs) for r in got} == want
+    assert distinct.distinct_rollup(df.limit(0), ["x"], {"us": "u"}, [["x"]]).count() == 0

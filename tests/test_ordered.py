@@ -1,6 +1,8 @@
 """Lanes must give what a plain window gives."""
 
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -252,7 +254,7 @@ def test_band_join_against_brute_force(spark):
 def test_exact_percentiles(spark, log):
     import numpy as np
     got = {r.k: r for r in od.exact_percentiles(
-        log, ["k"], "v", {"p25": .25, "med": .5, "p90": .9}, width=50.0).collect()}
+        log, ["k"], "v", {"p25": .25, "med": .5, "p90": .9}).collect()}
     values = {}
     for r in log.collect():
         values.setdefault(r.k, []).append(r.v)
@@ -267,6 +269,34 @@ def test_exact_percentiles(spark, log):
     assert cont.p == 1.5
 
 
+@pytest.mark.parametrize("shape", ["spread", "lumps", "same"])
+def test_percentiles_by_brackets(spark, shape):
+    """Groups beyond the whole-group bound: only values inside the brackets are ordered, and the result is exact."""
+    value = {"spread": "(id * 7919) % 100003 / 7", "lumps": "(id * 7919) % 5 * 1.5", "same": "3.0"}[shape]
+    df = spark.range(60_000).selectExpr("CASE WHEN id % 10 = 0 THEN null ELSE id % 2 END AS k", f"cast({value} as double) AS v")
+    probs = {"p0": 0.0, "p001": .001, "p05": .05, "med": .5, "p98": .98, "p1": 1.0}
+    values = {}
+    for r in df.collect():
+        values.setdefault(r.k, []).append(r.v)
+    for whole in (100, 10**6):
+        for kind in ("cont", "disc"):
+            got = {r.k: r for r in od.exact_percentiles(df, ["k"], "v", probs, kind=kind, accuracy=200, whole=whole).collect()}
+            for k, vs in values.items():
+                vs = sorted(vs)
+                for name, p in probs.items():
+                    want = np.quantile(vs, p) if kind == "cont" else vs[max(0, math.ceil(len(vs) * p) - 1)]
+                    assert got[k][name] == pytest.approx(want, rel=1e-12)
+
+
+def test_a_hot_group_is_counted_not_ordered(spark):
+    df = spark.range(200_000).selectExpr("1 AS k", "cast(hash(id) as long) AS v")
+    out = od.exact_percentiles(df, ["k"], "v", {"med": .5, "p9": .9}, accuracy=1000, whole=1000)
+    assert out.first().med == pytest.approx(np.median([r.v for r in df.collect()]))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    sent = [int(x.replace(",", "")) for x in re.findall(r"Window.*?rowCount=([0-9,]+)", plan)]
+    assert all(n < 5000 for n in sent)
+
+
 def test_first_by_ties(spark):
     df = spark.createDataFrame([(1, 5, 2), (1, 5, 1), (2, 7, 9)], "k int, t int, id int")
     assert rows(od.first_by(df, ["k"], ["id"], ["t", "id"]), "k", "id") == [(1, 1), (2, 9)]

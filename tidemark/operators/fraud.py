@@ -22,8 +22,7 @@ def order_item_margin(orders: DataFrame, lines: DataFrame, returned: DataFrame,
 
 def item_quantity_percentile(order_items: DataFrame, p: float = 0.98) -> DataFrame:
     """The quantity at a discrete percentile per item."""
-    return exact_percentiles(order_items, ["item_id"], "qty", {"qty_limit": p}, kind="disc",
-                             width=1000.0)
+    return exact_percentiles(order_items, ["item_id"], "qty", {"qty_limit": p}, kind="disc")
 
 
 def abuse_features(order_items: DataFrame, limits: DataFrame, abuse: DataFrame, margins: DataFrame,

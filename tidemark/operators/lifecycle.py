@@ -190,7 +190,7 @@ def dwell_percentiles(summary: DataFrame, dims: Sequence[str], probs: Mapping[st
     """Count, mean and exact percentiles of hours in stage per group."""
     base = summary.groupBy(*dims).agg(
         F.count("flow").alias("orders"), F.avg(value).alias("_avg"))
-    pct = exact_percentiles(summary, dims, value, probs, width=3600.0)
+    pct = exact_percentiles(summary, dims, value, probs)
     cond = F.lit(True)
     for d in dims:
         cond = cond & F.col("b." + d).eqNullSafe(F.col("p." + d))

@@ -303,26 +303,58 @@ def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: C
     return met.filter((F.col("_r") - F.col("_l")).between(-below, above)).drop("_bucket", "_l", "_r")
 
 
+#: a sketch of a group is off by a rank of one in SKETCH at most; groups up to WHOLE rows need none
+SKETCH, WHOLE = 2000, 20_000
+
+
 def exact_percentiles(df: DataFrame, dims: Sequence[str], value: str,
-                      probs: Mapping[str, float], kind: str = "cont", width: float = 1.0) -> DataFrame:
-    """Exact percentiles per group from counted values, without gathering a group in one task."""
-    counted = (df.filter(F.col(value).isNotNull())
-               .groupBy(*dims, value).agg(F.count(F.lit(1)).alias("_c")))
-    placed = (KeyedSequence(counted, dims, [F.col(value)],
-                            F.floor(F.col(value) / F.lit(width)))
-              .running({"_hi": F.col("_c")}).total({"_n": F.col("_c")}).frame()
-              .withColumn("_lo", F.col("_hi") - F.col("_c")))
-
-    def at(index: Column) -> Column:
-        return F.max(F.when((F.col("_lo") <= index) & (index < F.col("_hi")), F.col(value)))
+                      probs: Mapping[str, float], kind: str = "cont", accuracy: int = SKETCH,
+                      whole: int = WHOLE) -> DataFrame:
+    """Exact percentiles per group, `cont` interpolated or `disc`; a group of any size is spread.
+
+    A mergeable quantile sketch of each group, built where the rows are, brackets every wanted rank by two values. Of
+    the rows below a bracket only the number counts, rows above it don't; so both are summed up before they are sent,
+    and only the few values inside a bracket are put in order. Small groups are one bracket. A rank that should lie
+    outside its bracket, against the sketch's bound, ends the query with an error instead of a wrong value.
+    The rows are read twice: hand in a checkpointed frame where they are costly.
+    """
+    known = df.filter(F.col(value).isNotNull()).select(*dims, F.col(value).alias("_v"))
+    names, margin = list(probs), 2.0 / accuracy
+    sides = [max(0.0, min(1.0, probs[n] + way * margin)) for n in names for way in (-1, 1)]
+    sketch = known.groupBy(*dims).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(
+        "_v", F.array(*map(F.lit, sides)), F.lit(accuracy)).alias("_cuts"))
+    sketch = sketch.withColumn("_cuts", F.when(F.col("_n") > whole, F.col("_cuts")))
+    sketch = sketch.withColumnsRenamed({d: f"_d{k}" for k, d in enumerate(dims)})
+    same = F.lit(True)
+    for k, d in enumerate(dims):
+        same = same & F.col(d).eqNullSafe(F.col(f"_d{k}"))
+    met = known.join(sketch, same)
+
+    def side(k: int, way: int) -> Column:
+        """The bracket's edge; none where it would lie beyond the first or the last row."""
+        inner = 0 < probs[names[k]] + (2 * way - 1) * margin < 1
+        return F.get("_cuts", F.lit(2 * k + way)) if inner else F.lit(None)
+
+    spots = F.array(*[F.when(F.coalesce(F.col("_v") > side(k, 1), F.lit(False)), None).otherwise(F.struct(
+        F.lit(k).alias("_k"), F.when(~F.coalesce(F.col("_v") < side(k, 0), F.lit(False)), F.col("_v")).alias("_in")))
+        for k in range(len(names))])
+    counted = (met.select(*dims, "_n", F.inline(F.array_compact(spots))).groupBy(*dims, "_n", "_k", "_in")
+               .agg(F.count(F.lit(1)).alias("_c")))
+    along = Window.partitionBy(*dims, "_n", "_k").orderBy(F.col("_in").asc_nulls_first())  # the values of one bracket
+    placed = counted.withColumn("_hi", F.sum("_c").over(along)).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    lost = F.raise_error(F.lit(f"a rank of {value} lies outside its bracket")).cast(known.schema["_v"].dataType)
+
+    def at(k: int, index: Column) -> Column:
+        inside = F.col("_in").isNotNull() & (F.col("_lo") <= index) & (index < F.col("_hi"))
+        return F.coalesce(F.max(F.when((F.col("_k") == k) & inside, F.col("_in"))), lost)
 
     aggs = []
-    for name, p in probs.items():
+    for k, name in enumerate(names):
         if kind == "disc":
-            aggs.append(at(F.greatest(F.ceil(F.col("_n") * F.lit(p)) - 1, F.lit(0))).alias(name))
+            aggs.append(at(k, F.greatest(F.ceil(F.col("_n") * F.lit(probs[name])) - 1, F.lit(0))).alias(name))
         else:
-            spot = (F.col("_n") - 1) * F.lit(p)
-            low, high = at(F.floor(spot)), at(F.ceil(spot))
+            spot = (F.col("_n") - 1) * F.lit(probs[name])
+            low, high = at(k, F.floor(spot)), at(k, F.ceil(spot))
             part = F.max(spot - F.floor(spot))
             aggs.append((low + (high - low) * part).alias(name))
     return placed.groupBy(*dims).agg(*aggs)

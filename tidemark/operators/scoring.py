@@ -68,12 +68,12 @@ def total_score(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def group_quantiles(df: DataFrame, dims: Sequence[str], tops: Mapping[int, float] = TOPS) -> DataFrame:
     """Score thresholds per group, exact, one column per top share."""
-    return exact_percentiles(df, dims, "score", {f"threshold_top{k}": q for k, q in tops.items()},
-                             width=1e-6)
+    return exact_percentiles(df, dims, "score", {f"threshold_top{k}": q for k, q in tops.items()})
 
 
 def topk_flags(df: DataFrame, dims: Sequence[str], tops: Mapping[int, float] = TOPS) -> DataFrame:
     """Marks rows at or over each threshold of their group."""
+    df = checkpointed(df)  # the thresholds and the marks both read the scores
     marked = df.join(group_quantiles(df, dims, tops), list(dims))
     return marked.withColumns({f"pred_top{k}": F.when(F.col("score") >= F.col(f"threshold_top{k}"), 1)
                                .otherwise(0) for k in tops})

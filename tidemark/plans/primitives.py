@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.timefn import at_time, epoch, moment, month_to_date, months_back
-from tidemark.operators import ordered as od
+from tidemark.operators import chains, distinct, ordered as od
 from tidemark.operators.orders import flag, lookup
 from tidemark.plans.registry import query
 from tidemark.plans.views import EVENT_CODES, EVENTS_AS_OF, ORDERS_AS_OF, PHONE
@@ -358,6 +358,16 @@ def _months(t):
         F.count(F.lit(1)).alias("n"))
 
 
+@query("p46_successor_chain", """
+    SELECT order_id AS node, last_value(order_id) OVER w AS root, count(*) OVER w - 1 AS steps, false AS cyclic FROM ord
+    WINDOW w AS (PARTITION BY customer_id ORDER BY placed_at, order_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""")
+def _(t):
+    """Each order's last successor and how many orders come after it, along links from an order to the next."""
+    seq = od.KeyedSequence(t.ord.select("order_id", "customer_id", "placed_at"), ["customer_id"],
+                           [c("placed_at"), c("order_id")], od.hour_lane("placed_at"))
+    return chains.resolve(seq.shift({"next_id": ("order_id", 1)}).frame(), "order_id", "next_id")
+
+
 add("p47_period_offset_join", """
     WITH per AS (SELECT channel, year(placed_at) * 12 + month(placed_at) AS m, count(*) AS n FROM ord GROUP BY 1, 2)
     SELECT a.channel, a.m, a.n, b.n AS prior_n FROM per a LEFT JOIN per b ON a.channel = b.channel AND a.m = b.m + 1""",
@@ -368,6 +378,13 @@ add("p48_constant_relation", """
     lambda t: t.events.withColumns({"opens": F.lit("08:30:00"), "closes": F.lit("23:00:00")}).filter(
         F.date_format("ts", "HH:mm:ss").between(c("opens"), c("closes"))).select("event_id", "opens", "closes"))
 add("p49_two_hop_lookup", "SELECT customer_id, city, hub FROM geo", lambda t: t.geo.select("customer_id", "city", "hub"))
+add("p49_parent_chain", """
+    WITH RECURSIVE up AS (
+        SELECT customer_id AS node, customer_id AS root, 0::BIGINT AS steps FROM geo
+        UNION ALL SELECT node, root // 3, steps + 1 FROM up WHERE root // 3 > 0)
+    SELECT node, max_by(root, steps) AS root, max(steps) AS steps, false AS cyclic FROM up GROUP BY node""",
+    lambda t: chains.resolve(t.geo.select("customer_id", F.nullif(F.floor(c("customer_id") / 3), F.lit(0)).alias("parent_id")),
+                             "customer_id", "parent_id"))
 add("p50_outer_anti_join", "SELECT o.order_id FROM ord o LEFT JOIN item i ON o.order_id = i.order_id WHERE i.order_id IS NULL",
     lambda t: t.ord.select("order_id").join(t.item.select("order_id"), "order_id", "left_anti"))
 add("p51_semi_join", """
@@ -390,6 +407,12 @@ add("p54_sum_avg_min_max", """
                                            F.min("value").alias("least"), F.max("value").alias("most")))
 add("p55_count_distinct", "SELECT channel, count(DISTINCT customer_id) AS customers FROM ord GROUP BY 1",
     lambda t: t.ord.groupBy("channel").agg(F.count_distinct("customer_id").alias("customers")))
+add("p55_distinct_rollup", """
+    SELECT status, channel, grouping(status) * 2 + grouping(channel) AS level, count(DISTINCT customer_id) AS customers,
+           count(DISTINCT order_id) AS orders
+    FROM ord GROUP BY GROUPING SETS ((status, channel), (status), (channel), ())""",
+    lambda t: distinct.distinct_rollup(t.ord, ["status", "channel"], {"customers": "customer_id", "orders": "order_id"},
+                                       [["status", "channel"], ["status"], ["channel"], []]))
 add("p56_conditional_count", "SELECT channel, count(CASE WHEN status = 9 THEN order_id END) AS fulfilled FROM ord GROUP BY 1",
     lambda t: t.ord.groupBy("channel").agg(F.count(F.when(c("status") == 9, c("order_id"))).alias("fulfilled")))
 add("p57_conditional_distinct_count", """
@@ -431,10 +454,10 @@ add("p69_first_last_value", """
         SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY id) AS a, row_number() OVER (PARTITION BY entity_id ORDER BY id DESC) AS d FROM status_log) GROUP BY 1""",
     lambda t: t.status_log.groupBy("entity_id").agg(F.min_by("code", "id").alias("first_code"), F.max_by("code", "id").alias("last_code")))
 add("p70_percentile_disc", "SELECT item_id, quantile_disc(qty, 0.98) AS p98 FROM item GROUP BY 1",
-    lambda t: od.exact_percentiles(t.item, ["item_id"], "qty", {"p98": .98}, kind="disc", width=1000.0))
+    lambda t: od.exact_percentiles(t.item, ["item_id"], "qty", {"p98": .98}, kind="disc"))
 add("p71_percentile_cont", """
     SELECT channel, quantile_cont(value, 0.05) AS p05, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS median FROM ord GROUP BY 1""",
-    lambda t: od.exact_percentiles(t.ord, ["channel"], "value", {"p05": .05, "p25": .25, "median": .5}, width=100000.0))
+    lambda t: od.exact_percentiles(t.ord, ["channel"], "value", {"p05": .05, "p25": .25, "median": .5}))
 add("p72_running_total", """
     SELECT order_id, sum(value) OVER (PARTITION BY customer_id ORDER BY placed_at, order_id ROWS UNBOUNDED PRECEDING)::BIGINT AS spent FROM ord""",
     lambda t: od.KeyedSequence(t.ord, ["customer_id"], [c("placed_at"), c("order_id")], od.hour_lane("placed_at"))

@@ -30,7 +30,8 @@ def expand(sql: str) -> str:
     head = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in needed)
     body = sql.strip()
     if body.upper().startswith("WITH "):
-        return f"WITH {head},\n{body[5:]}"
+        recursive = "RECURSIVE " if body[5:].upper().startswith("RECURSIVE ") else ""
+        return f"WITH {recursive}{head},\n{body[5 + len(recursive):]}"
     return f"WITH {head}\n{body}"
 
 
