@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 from tidemark.operators import calls, chains, cohorts, distinct, forecast, lifecycle, people, queues, refresh, scoring
 from tidemark.operators.ordered import id_lane
 from tidemark.session import shared_dir
-from tidemark.sources import sinks
+from tidemark.sources import chunks, sinks
 from tidemark.sources.tables import fill_template
 
 
@@ -251,3 +251,38 @@ def test_distinct_rollup_against_plain_counts(spark):
         want |= {(*k, level, len({u for u, _ in g if u is not None}), len({v for _, v in g})) for k, g in groups.items()}
     assert len(got) == len(want) and {(r.x, r.y, r.level, r.us, r.vs) for r in got} == want
     assert distinct.distinct_rollup(df.limit(0), ["x"], {"us": "u"}, [["x"]]).count() == 0
+
+
+def test_chunks_show_a_batch_whole_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "sink")
+    os.makedirs(path)
+    df = spark.range(0, 2500, 1, 3).withColumn("v", F.col("id") * 2)
+    name = chunks.append_chunks(df, path, rows=400)
+    files = glob.glob(f"{path}/batch={name}/*.parquet")
+    sizes = [spark.read.parquet(f).count() for f in files]
+    assert sum(sizes) == 2500 and max(sizes) == 400 and len(files) == 9
+    broken = df.withColumn("v", F.when(F.col("id") == 2400, F.raise_error(F.lit("no")).cast("long")).otherwise(F.col("v")))
+    with pytest.raises(Exception):
+        chunks.append_chunks(broken, path, rows=100)
+    chunks.append_chunks(df.limit(0), path)
+    assert [f for f in os.listdir(path)] == [f"batch={name}"]  # nothing shown, nothing left
+    chunks.append_chunks(df.limit(5), path, batch="second")
+    got = chunks.read_chunks(spark, path, df.schema)
+    assert got.count() == 2505 and got.agg(F.sum("v")).first()[0] == sum(2 * k for k in range(2500)) + 20
+    with pytest.raises(Exception):
+        df.write.format("tidemark_chunks").mode("overwrite").option("path", path).save()
+
+
+def test_retention_masks_against_sets(spark):
+    import random
+    rng = random.Random(3)
+    rows = [(rng.randrange(40), datetime(1995 + rng.randrange(9), rng.randrange(12) + 1, 3)) for _ in range(600)]
+    got = cohorts.retention_cohorts(spark.createDataFrame(rows, "customer_id long, placed_at timestamp_ntz"), horizon=7).collect()
+    months = {}
+    for c, t in rows:
+        months.setdefault(c, set()).add(t.year * 12 + t.month)
+    for r in got:
+        born = [s for s in months.values() if min(s) == r.acquisition_month]
+        assert r.customers_acquired == len(born)
+        assert all(r[f"m_{k}"] == sum(min(s) + k in s for s in born) for k in range(1, 8))
+    assert len(got) == len({min(s) for s in months.values()})

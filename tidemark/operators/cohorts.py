@@ -15,17 +15,19 @@ def _month(c: str, mode: str):
 
 def retention_cohorts(orders: DataFrame, user: str = "customer_id", at: str = "placed_at",
                       horizon: int = 12, mode: str = "month_index") -> DataFrame:
-    """Users by acquisition month and how many ordered 1..horizon months later.
+    """Users by acquisition month and how many ordered 1..horizon months later (62 at most).
 
-    Orders shrink to one row per user and month before anything else, so a
-    user's window holds at most one row per month and no distinct count is left.
+    One aggregate by user gives the first month and the set of months, which is
+    a bit for each month after the first; no distinct rows, window or distinct
+    count follows, only the grouping by month.
     """
-    visits = orders.select(user, _month(at, mode).cast("long").alias("m")).distinct()
-    first = F.min("m").over(Window.partitionBy(user))
-    aged = visits.withColumn("acquired", first).withColumn("age", F.col("m") - F.col("acquired"))
-    return aged.groupBy(F.col("acquired").alias("acquisition_month")).agg(
-        F.count(F.when(F.col("age") == 0, 1)).alias("customers_acquired"),
-        *[F.count(F.when(F.col("age") == k, 1)).alias(f"m_{k}") for k in range(1, horizon + 1)])
+    m = _month(at, mode).cast("long")
+    seen = orders.groupBy(user).agg(F.min(m).alias("acquired"), F.collect_set(m).alias("months"))
+    mask = F.expr(f"aggregate(months, 0L, (bits, x) -> CASE WHEN x - acquired <= {int(horizon)}"
+                  " THEN bits | shiftleft(1L, cast(x - acquired as int)) ELSE bits END)")
+    return seen.withColumn("mask", mask).groupBy(F.col("acquired").alias("acquisition_month")).agg(
+        F.count("acquired").alias("customers_acquired"),
+        *[F.count_if(F.getbit("mask", F.lit(k)) == 1).alias(f"m_{k}") for k in range(1, horizon + 1)])
 
 
 def extract_order_id(df: DataFrame, comment: str = "comment", new: str = "order_id") -> DataFrame:

@@ -12,7 +12,7 @@ from tidemark.operators import chains, distinct, ordered as od
 from tidemark.operators.orders import flag, lookup
 from tidemark.plans.registry import query
 from tidemark.plans.views import EVENT_CODES, EVENTS_AS_OF, ORDERS_AS_OF, PHONE
-from tidemark.sources import sinks
+from tidemark.sources import chunks, sinks
 from tidemark.sources.tables import fill_template, read_csv, run_text
 
 c = F.col
@@ -126,8 +126,9 @@ def _(t):
 def _(t):
     path = sinks.fresh_path(t.spark, "predicted")
     scored = t.orders.groupBy("o_custkey").agg((F.count(F.lit(1)) / 10).alias("predicted"))
-    sinks.append(scored.withColumn("created_at", moment("2001-08-01 00:00:00")), path)
-    return t.spark.read.parquet(path)
+    rows = scored.withColumn("created_at", moment("2001-08-01 00:00:00"))
+    chunks.append_chunks(rows, path)
+    return chunks.read_chunks(t.spark, path, rows.schema).drop("batch")
 
 
 @query("p12_csv_sink", "SELECT p_partkey, p_brand, p_size FROM part")
