@@ -11,13 +11,22 @@ from test_token_files import expected
 from tidemark.llm import toxicity
 
 
-def test_stages_on_odd_rows(spark, odd, none):
+def test_stages_on_odd_rows(spark, odd, none, tmp_path):
+    """Every stage on odd rows and on none, with the tables at hand and with empty ones."""
+    spark.read.parquet(f"{SMALL}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.read.parquet(f"{SMALL}/benchmark.parquet").limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
     for docs in (odd, none):
-        for name, stage in corpus_pipeline.STAGES[1:-1]:
-            if name == "decontaminate":
-                continue
-            out = stage(spark, docs, SMALL)
-            assert out.columns == docs.columns and out.count() <= 3 * docs.count()
+        count = docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            for folder in (SMALL, str(tmp_path)) if name in ("toxicity", "decontaminate") else (SMALL,):
+                out = stage(spark, docs, folder)
+                assert out.columns == docs.columns
+                assert out.count() <= (3 if name == "mixing" else 1) * count
+                if folder == str(tmp_path):  # nothing to learn from, or to overlap with
+                    assert out.count() == count
+    name, stage = corpus_pipeline.STAGES[-1]
+    out = rows_of(stage(spark, odd, SMALL))
+    assert len(out) == odd.count() and rows_of(stage(spark, none, SMALL)) == []
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables are not here")

@@ -30,7 +30,8 @@ def test_against_all_pairs(spark, monkeypatch, size, blocks):
     rows += [(1000 + k, v) for k, (_, v) in enumerate(rows[:20])]
     rows += [(2000, None), (2001, [1.0, None]), (2002, [float("nan")]), (2003, [float("inf")]), (2004, []), (2010, [0.5]),
              (None, [1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit(1))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns(
+        {c: F.lit(1) for c in ("rank", "_query", "w", "qb", "rb", "score", "query_id")})
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows_of(topk.nearest(df, F.col("vec_id") % 10 == 0))]
     assert len(got) == len(set(got)) and set(got) == brute(rows, lambda i: i % 10 == 0)
 
