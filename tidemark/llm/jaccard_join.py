@@ -326,6 +326,7 @@ def linked_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         "root", F.when(F.col("n") > 0, F.coalesce("root", "class")))
     first = placed.where("root is not null and doc_id is not null").groupBy("root").agg(
         F.min("doc_id").alias("component_id"))
+    first = frames.written(first, "first")  # read apart from `placed`, so that a large component's rows can be split
     return placed.join(first, "root", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
