@@ -286,3 +286,32 @@ def test_retention_masks_against_sets(spark):
         assert r.customers_acquired == len(born)
         assert all(r[f"m_{k}"] == sum(min(s) + k in s for s in born) for k in range(1, 8))
     assert len(got) == len({min(s) for s in months.values()})
+
+
+def test_a_busy_customer_forms_no_pairs_that_share_nothing(spark):
+    import random
+    rng = random.Random(6)
+    day = lambda k: datetime.fromordinal(datetime(2024, 1, 1).toordinal() + k).date()
+    refills = [(k, 7 if k < 250 else k % 5, day(rng.randrange(40)), k % 9 == 0) for k in range(300)] + [(900, 8, day(3), False)]
+    orders = [(1000 + k, 7 if k < 250 else k % 5, day(rng.randrange(60))) for k in range(300)]
+    a = [(r[0], f"r{rng.randrange(400)}") for r in refills for _ in range(3)] + [(r[0], "x") for r in refills[:4]]
+    b = [(o[0], f"o{rng.randrange(400)}") for o in orders for _ in range(3)] + [(o[0], "x") for o in orders[:4]]
+    b += [(1000 + k, code) for k, code in [(rng.randrange(300), a[rng.randrange(900)][1]) for _ in range(120)]]
+    frames = [spark.createDataFrame(rows, schema) for rows, schema in (
+        (refills, "refill_id long, customer_id long, due_on date, fulfilled boolean"), (a, "refill_id long, code string"),
+        (orders, "order_id long, customer_id long, placed_on date"), (b, "order_id long, code string"))]
+    items = lambda rows, key: {c for k, c in rows if k == key}
+    met = [(r, o) for r in refills for o in orders if r[1] == o[1] and abs((r[2] - o[2]).days) <= 10]
+    want = {}
+    for r, o in met:
+        x, y = items(a, r[0]), items(b, o[0])
+        sizes = [len([c for c in z if len(c) > 1]) for z in (x, y)]
+        ratio = max([len(x & y) / n for n in sizes if n], default=0)
+        old = want.get(r[0], (0, 0))
+        want[r[0]] = (max(old[0], o[0]), max(old[1], ratio))
+    got = {r.refill_id: (r.order_id, r.match) for r in queues.loyalty_refills(*frames).collect()}
+    assert got == {r[0]: want.get(r[0], (None, None)) for r in refills}
+    pairs = queues.shared_items(*frames)
+    assert pairs.count() == sum(bool(items(a, r[0]) & items(b, o[0])) for r, o in met) < 0.02 * len(met)
+    plain = queues.loyalty_match(queues.loyalty_pairs(*frames)).first()
+    assert queues.loyalty_match(queues.loyalty_refills(*frames)).first() == plain

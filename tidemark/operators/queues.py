@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.timefn import epoch, moment, month_to_date
+from tidemark.operators.intervals import covered
 from tidemark.operators.ordered import (KeyedSequence, asof, band_join, hour_lane, id_lane,
                                         row_numbers)
 from tidemark.operators.orders import flag, lookup
@@ -197,9 +198,45 @@ def loyalty_pairs(refills: DataFrame, refill_items: DataFrame, orders: DataFrame
                         "refill_id", "left")
 
 
+def shared_items(refills: DataFrame, refill_items: DataFrame, orders: DataFrame, order_items: DataFrame,
+                 band_days: int = 10) -> DataFrame:
+    """(refill_id, order_id, shared): refills and orders of a customer within the band that share an item at all.
+
+    The join is on customer and item and within the band, so a customer of any number of refills and orders forms no
+    pair that shares nothing, and its rows are dealt by item and time.
+    """
+    day = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date"))
+    left = refills.select("refill_id", "customer_id", "due_on").join(
+        refill_items.select("refill_id", "code").distinct(), "refill_id")
+    right = orders.select("order_id", "customer_id", "placed_on").join(
+        order_items.select("order_id", "code").distinct(), "order_id")
+    met = band_join(left, right, ["customer_id", "code"], day("due_on"), day("placed_on"), band_days, band_days)
+    return met.groupBy("refill_id", "order_id").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def loyalty_refills(refills: DataFrame, refill_items: DataFrame, orders: DataFrame,
+                    order_items: DataFrame, band_days: int = 10) -> DataFrame:
+    """A row for each refill: its best match with a normal order of the customer within the band, and the latest-numbered
+    such order (null without one). Whether there is an order is looked up in its band as an interval, without pairs."""
+    size = lambda df, key, new: df.filter(F.length("code") > 1).groupBy(key).agg(
+        F.count_distinct("code").alias(new))
+    shared = shared_items(refills, refill_items, orders, order_items, band_days)
+    ratio = F.greatest(F.try_divide("shared", "n_a"), F.try_divide("shared", "n_b"))
+    best = (shared.join(size(refill_items, "refill_id", "n_a"), "refill_id", "left")
+            .join(size(order_items, "order_id", "n_b"), "order_id", "left")
+            .groupBy("refill_id").agg(F.max(ratio).alias("match")))
+    at = lambda c, days: F.timestamp_add("DAY", F.lit(days), F.col(c).cast("timestamp_ntz"))
+    bands = orders.select("customer_id", at("placed_on", -band_days).alias("from_at"),
+                          at("placed_on", band_days).alias("to_at"), F.col("order_id").alias("_order"))
+    near = covered(refills.withColumn("_due", at("due_on", 0)), bands, ["customer_id"], "_due", "from_at", "to_at",
+                   {"order_id": ("max", "_order")}).drop("_due")
+    return near.join(best, "refill_id", "left").withColumn(
+        "match", F.when(F.col("order_id").isNotNull(), F.coalesce("match", F.lit(0.0))))
+
+
 def loyalty_customers(pairs: DataFrame) -> DataFrame:
     """The best match per customer and how many of its refills were fulfilled."""
-    # a refill appears once per paired order, as does its flag in the sum
+    # a refill may appear once per paired order, as does its flag in the sum: only whether it is 0 is looked at
     return pairs.groupBy("customer_id").agg(
         F.sum(flag(F.col("fulfilled"))).alias("fulfilled_refills"), F.max("match").alias("match"),
         F.count_distinct("refill_id").alias("refills"),
