@@ -3,6 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.sources import functions as table_functions
 from tidemark.functions import textfn as tx, timefn as tm
 
 
@@ -81,3 +82,23 @@ def test_notes_and_delimited_ids(spark):
                     tx.delimited_id(F.col("d"))).collect()
     assert tuple(got[0]) == ("Hold:", ts("2024-01-05 10:20:00"), 77)
     assert tuple(got[1]) == ("", None, None)
+
+
+def test_operators_as_table_functions(spark):
+    df = spark.createDataFrame([(1, "a", 5), (2, "b", 7), (3, "a", 9)], "id int, kind string, v int")
+    table_functions.publish(df, "big_rows", {"lo": "INT", "which": "STRING"}, "v >= lo AND (which IS NULL OR kind = which)")
+    table_functions.set_variable(spark, "bound", "INT", 7)
+    got = lambda text: sorted(r.id for r in spark.sql(text).collect())
+    assert got("SELECT id FROM big_rows(bound, NULL)") == [2, 3]
+    table_functions.set_variable(spark, "bound", "INT", 5)
+    assert got("SELECT id FROM big_rows(bound, 'a')") == [1, 3]
+    assert got("SELECT a.id FROM big_rows(9, NULL) a JOIN big_rows(5, 'a') b ON a.id = b.id") == [3]
+    table_functions.publish(df.filter("id = 1"), "big_rows")  # replaced
+    assert got("SELECT id FROM big_rows()") == [1]
+    table_functions.set_variable(spark, "quoted", "STRING", "it's; DROP")
+    assert spark.sql("SELECT quoted AS q").first().q == "it's; DROP"
+    for bad in ("x y", "a;b", "1a"):
+        with pytest.raises(ValueError):
+            table_functions.publish(df, bad)
+        with pytest.raises(ValueError):
+            table_functions.set_variable(spark, bad, "INT", 1)

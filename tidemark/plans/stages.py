@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import lifecycle as lc
+from tidemark.operators import cohorts, lifecycle as lc
 from tidemark.operators.queries import count_between, filtered, rows_since
 from tidemark.plans.registry import query
 from tidemark.plans.views import EVENTS_AS_OF, Bound
 from tidemark.session import checkpointed
-from tidemark.sources import sinks
+from tidemark.sources import functions as fn, sinks
 
 STAGE, CONFIRMED, CANCELLED = 3, 4, 5
 FINAL = {4: "Fulfilled", 5: "Cancelled", 3: "Rejected"}
@@ -61,6 +61,24 @@ def _(t):
     return lc.stage_dwell(t.status_log, STAGE)
 
 
+@query("p05_operators_in_text", f"""
+    WITH {_DWELL}, kept AS (SELECT * FROM dwell WHERE visits >= 3),
+    born AS (SELECT customer_id, min(year(placed_at) * 12 + month(placed_at)) AS m FROM ord GROUP BY 1)
+    SELECT 'visits ' || visits AS label, count(*) AS n, sum(in_stage_seconds)::BIGINT AS total FROM kept GROUP BY 1
+    UNION ALL SELECT 'month ' || m, count(*), m::BIGINT FROM born WHERE m BETWEEN 1995 * 12 + 3 AND 1995 * 12 + 8 GROUP BY m""")
+def _(t):
+    """Two operators called from one stored text, with a session variable between them."""
+    fn.publish(lc.stage_dwell(t.status_log, STAGE), "stage_dwell", {"least": "BIGINT"}, "visits >= least")
+    fn.publish(cohorts.retention_cohorts(t.ord), "retention", {"since": "BIGINT", "until": "BIGINT"},
+               "acquisition_month BETWEEN since AND until")
+    fn.set_variable(t.spark, "least_visits", "BIGINT", 3)
+    return t.spark.sql("""
+        SELECT concat('visits ', visits) AS label, count(*) AS n, sum(in_stage_seconds) AS total
+        FROM stage_dwell(least_visits) GROUP BY visits
+        UNION ALL SELECT concat('month ', acquisition_month), customers_acquired, acquisition_month
+        FROM retention(1995 * 12 + 3, 1995 * 12 + 8)""")
+
+
 _NOTED = ",\n".join(
     f"CASE WHEN position('{m}' IN remark) > 14 THEN TRY_CAST('2024-' || "
     f"substr(remark, position('{m}' IN remark)::BIGINT - 14, 11) || ':00' AS TIMESTAMP) END AS {n}"
