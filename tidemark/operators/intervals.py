@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import IntegralType, LongType, StructField, StructType
 
 from tidemark.functions.timefn import micros
+from tidemark.session import checkpointed
 
 #: cells of 2^36 microseconds (19 hours), of 1024 of these (2 years), and two for all time
 CELL_BITS = (36, 10, 20)
@@ -121,10 +122,11 @@ def covered(points: DataFrame, intervals: DataFrame, keys: Sequence[str], at: st
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()
-    spans = intervals.filter(known).select(
+    # every level reads both sides: they are computed once, and a lost executor costs no more than a read
+    spans = checkpointed(intervals.filter(known).select(
         *keys, micros(start).alias("_a"), micros(end).alias("_b"),
-        *[F.col(column).cast("long").alias(new) for new, (_, column) in aggs.items()]).filter("_a <= _b")
-    timed = points.withColumn("_a", micros(at))
+        *[F.col(column).cast("long").alias(new) for new, (_, column) in aggs.items()]).filter("_a <= _b"))
+    timed = checkpointed(points.withColumn("_a", micros(at)))
     usable = known & F.col("_a").isNotNull()
 
     levels = []  # (points, pieces) from the smallest cells up

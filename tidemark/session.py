@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -44,9 +45,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df):
-    """Cut the lineage of `df` through a reliable checkpoint in the shared folder."""
+    """Cut the lineage of `df`: a table in the shared folder, written once and read again.
+
+    `DataFrame.checkpoint` would compute the frame twice, for its count and for its files.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
