@@ -109,6 +109,44 @@ def test_the_sample_is_bounded_in_words():
     assert {r["id"] for r in toxicity._within(sizes, 1).to_pylist()} == {2, 6}
 
 
+def test_every_labelled_text_counts(spark):
+    """6,300 toxic texts: the last 150 by the hash of their ids have a word of their own."""
+    ids = spark.range(12600).withColumn("h", F.xxhash64("id"))
+    toxic = [r["id"] for r in rows_of(ids.where("id % 2 = 1").orderBy("h"))]
+    word = dict.fromkeys(toxic[:-150], "grumpf") | dict.fromkeys(toxic[-150:], "zutalors")
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(k, f"{sentence(rng, 3)} {word.get(k, 'moss')} {sentence(rng, 2)}", "en") for k in range(12600)],
+                                 "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(12600)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, F.lit(True))
+    score = lambda text: model.scores(*toxicity.encoded(pa.array([text])))[0]
+    assert score("of the grumpf hill") > 0.7 and score("of the zutalors hill") > 0.7 and score("of the moss hill") < 0.3
+
+
+def test_many_lanes_learn_as_one(corpus, monkeypatch):
+    monkeypatch.setattr(toxicity, "LANE_BYTES", 12000)
+    docs, labels = corpus
+    known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("y"))
+    lanes = rows_of(toxicity.lanes_of(docs, known, "doc_id", "text", "lang"))
+    assert len({r["lane"] for r in lanes}) > 5 and sorted(r["id"] for r in lanes) == list(range(700))
+    assert 100 < sum(r["aside"] for r in lanes) < 150
+    first, again = (toxicity.train(docs, labels, ~frames.held_out("doc_id", 3, 1)) for _ in range(2))
+    assert np.array_equal(first.net.e, again.net.e) and first.thresholds == again.thresholds
+    rows = rows_of(toxicity.scored(docs, first).where(frames.held_out("doc_id", 3, 1)))
+    assert sum((r["score"] >= 0.7) == (r["doc_id"] % 4 == 0) for r in rows) >= 0.97 * len(rows)
+
+
+def test_thresholds_of_all_rows(spark):
+    rng = random.Random(9)
+    rows = [(int(rng.random() < s), rng.choice(["en", "", None, "fr"]), s) for s in (round(rng.random(), 2) for _ in range(900))]
+    got = toxicity.calibrated(spark.createDataFrame(rows, "y int, lang string, score double"))
+    for name in ("en", "fr", ""):
+        some = [(y, s) for y, lang, s in rows if name in ("", lang)]
+        fit = [s for _, s in some if np.mean([y for y, x in some if x >= s]) >= toxicity.PRECISION]
+        assert got[name] == min(fit, default=1.0)
+    assert set(got) == {"en", "fr", ""}
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables are not here")
 def test_held_out_recall_of_a_small_label_set(spark):
     folder = "/root/testdata/sf0.01"

@@ -2,14 +2,18 @@
 
 A word's vector is two halves, each looked up by its own hash of the word, so a stranger that shares one slot of a
 telling word shares half its vector at most. Filters over one, two and three neighbouring words are pooled by
-their maximum over the whole text and a dense layer gives the logit. Training runs on the driver over a bounded
-sample: of each label, by hash order, whole labelled texts up to `ROWS_A_LABEL` rows and `WORDS_A_LABEL` words,
-the same at every size of the corpus, encoded by the executors in 5 bytes a word. A small sample is passed over more
-often, `STEPS` steps at least. The first vector component starts from the words' log-odds in the sample. The logit is
-shifted so that scores follow the label shares among all training labels. Scoring runs where the documents are.
-
-Thresholds by language are calibrated on training rows kept out of the fit: the least score at which precision
-there reaches `PRECISION`. They decide the extra column `flagged` alone; the score never sees a language.
+their maximum over the whole text and a dense layer gives the logit. Training takes every labelled text whole,
+encoded in 5 bytes a word. The texts are dealt by a hash of their ids into lanes of about `LANE_BYTES`; their number
+grows with the corpus. In a round each lane takes its own steps from the same network, in a task of its own, and the
+network moves by the mean of the lanes' changes: a vector by the lanes that changed it, all else by all lanes, by
+their rows. Changes are added up as whole numbers, so their order doesn't matter. One lane needs one round. Few texts
+are passed over more often, `STEPS` steps at least. The first vector component starts from the words' log-odds over
+all texts of the fit. The logit is shifted so that scores follow the label shares among all training labels. Scoring
+runs where the documents are. The driver holds the network and its changes, whose size is fixed.
+
+Every fifth text of a lane is kept out of the fit. Thresholds by language are calibrated on all of these: the least
+score at which precision there reaches `PRECISION`. They decide the extra column `flagged` alone; the score never
+sees a language.
 
 A null or empty text, or one without words, gets the score of a text of no words. Labels other than 0 and 1 and
 labels of unknown documents are left out; of several labels of one id the largest counts. Rows that repeat are
@@ -22,13 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm import words as W
+from tidemark.llm import frames, words as W
 
-ROWS_A_LABEL = 6000
-WORDS_A_LABEL = 2_000_000
+LANE_BYTES = 16 << 20  # of text a lane, on average
+FIXED = 1 << 30  # changes of the network count in such parts
 SLOTS = 1 << 18
 HALF = 4
 WIDTHS = (1, 2, 3)
@@ -109,14 +112,26 @@ def pad(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
-def _log_odds(texts: list[np.ndarray], y: np.ndarray, half: int) -> np.ndarray:
-    seen = np.zeros((2, SLOTS), np.float32)
-    for text, label in zip(texts, y):
-        seen[label, np.unique(unpacked(text)[:, half])] += 1
-    rate = (seen + 0.5) / (np.bincount(y, minlength=2)[:, None] + 1)
-    odds = np.log(rate[1] / rate[0]) * (seen.sum(0) >= 3)
-    odds[0] = 0
-    return np.clip(odds, -3, 6) / 3
+def _count_slots(seen: np.ndarray, text: np.ndarray, label: int) -> None:
+    """Adds one text to `seen` (half, label, slot), the number of texts of each label that hold a slot."""
+    ids = unpacked(text)
+    for half in range(2):
+        seen[half, label, np.unique(ids[:, half])] += 1
+
+
+def started(seen: np.ndarray, rows: np.ndarray) -> Network:
+    """A network whose first vector components are the log-odds of the slots; `rows` counts the texts of each label."""
+    net = Network()
+    for half in range(2):
+        rate = (seen[half].astype(np.float32) + 0.5) / (rows[:, None] + 1)
+        odds = np.log(rate[1] / rate[0]) * (seen[half].sum(0) >= 3)
+        odds[0] = 0
+        net.e[half, :, 0] = np.clip(odds, -3, 6) / 3
+    return net
+
+
+def epochs_for(rows: int) -> int:
+    return max(EPOCHS, -(-STEPS // max(1, -(-rows // BATCH))))
 
 
 def _won(net: Network, texts: list[np.ndarray]):
@@ -149,17 +164,21 @@ def _won(net: Network, texts: list[np.ndarray]):
     return pooled, slot
 
 
-def fit(texts: list[np.ndarray], y: np.ndarray, epochs: int | None = None, rate: float = 0.01) -> Network:
+def fit(texts: list[np.ndarray], y: np.ndarray, epochs: int | None = None, rate: float = 0.01,
+        net: Network | None = None, seed: int = 11) -> Network:
     """Adam on the filters and the dense layer, plain steps on the vectors of the words that won a maximum.
 
-    `texts` are packed slots. Memory goes with `FIT_PART` words or the longest text, not with the batch.
+    `texts` are packed slots. Memory goes with `FIT_PART` words or the longest text, not with the batch. `net` is
+    trained further, in place; without one, a network starts from the log-odds in `texts`.
     """
-    net = Network()
-    for half in range(2):
-        net.e[half, :, 0] = _log_odds(texts, y, half)
+    if net is None:
+        seen = np.zeros((2, 2, SLOTS), np.int64)
+        for text, label in zip(texts, y):
+            _count_slots(seen, text, label)
+        net = started(seen, np.bincount(y, minlength=2))
     if epochs is None:
-        epochs = max(EPOCHS, -(-STEPS // -(-len(texts) // BATCH)))
-    rng = np.random.default_rng(11)
+        epochs = epochs_for(len(texts))
+    rng = np.random.default_rng(seed)
     d = 2 * HALF
     state: dict = {}
     step = 0
@@ -209,14 +228,16 @@ def encoded(column) -> tuple[np.ndarray, np.ndarray]:
     return slots(h), counts
 
 
-def _encode(text: str, *kept: str):
+def _encode(known: frames.Bitmap):
+    """The packed words of the rows whose hash `h` may be in `known`."""
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in W.text_batches(batches, text, 4 << 20):
-            ids, counts = encoded(batch.column(text))
+        some = (batch.filter(pa.array(known.has(batch.column("h").to_numpy().view(np.uint64)))) for batch in batches)
+        for batch in W.text_batches(some, "text", 4 << 20):
+            ids, counts = encoded(batch.column("text"))
             ends = np.cumsum(counts)
             blobs = [packed(ids[e - c:e]) for c, e in zip(counts, ends)]
-            yield pa.RecordBatch.from_arrays([*W.kept_columns(batch, *kept), pa.array(blobs, pa.binary())],
-                                             names=[*kept, "ids"])
+            yield pa.RecordBatch.from_arrays([*W.kept_columns(batch, "id", "lang"), pa.array(blobs, pa.binary())],
+                                             names=["id", "lang", "ids"])
     return run
 
 
@@ -229,15 +250,11 @@ def _views(chunk: pa.BinaryArray) -> list[np.ndarray]:
     return [raw[a:b] for a, b in zip(off[:-1], off[1:])]
 
 
-def _measure(batches: Iterator[pa.RecordBatch]):
-    for batch in W.text_batches(batches, "text", 4 << 20):
-        raw, offsets = W.utf8(batch.column("text"))
-        _, _, counts = W.word_spans(raw, offsets, W.letter_words())
-        yield pa.RecordBatch.from_arrays([*W.kept_columns(batch, "id", "y"), pa.array(counts)], names=["id", "y", "n"])
-
-
 def _within(sizes: pa.Table, most: int) -> pa.Table:
-    """The ids whose texts, in the order of a hash, hold `most` words of their label together, one at least."""
+    """The ids whose texts, in the order of a hash, hold `most` words of their label together, one at least.
+
+    For a bounded sample; `train` takes all texts.
+    """
     sizes = sizes.sort_by([("y", "ascending"), ("h", "ascending"), ("id", "ascending")])
     y, n = sizes.column("y").to_numpy(), sizes.column("n").to_numpy()
     total = np.cumsum(n)
@@ -266,57 +283,175 @@ class Model:
         return np.round(1 / (1 + np.exp(-logit)), 6)  # the last digits of 32-bit sums depend on the batch
 
 
+def lanes_of(docs: DataFrame, known: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
+    """(lane, id, y, lang, ids, aside) of every row of `docs` with a label, written lane by lane in the order of ids.
+
+    Only the packed words of texts that may have a label are shuffled, once, with the labels among them.
+    """
+    kind = docs.schema[doc_id].dataType.simpleString()
+    known = known.select(F.col("id").cast(kind).alias("id"), "y")
+    bitmap = frames.Bitmap.of(known.select(F.xxhash64("id").alias("h")), "h")
+    texts = docs.where(F.col(doc_id).isNotNull()).select(
+        F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    sizes = (texts.select("id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
+             .join(known, "id", "left_semi").agg(F.sum("n")).first()[0])
+    lanes = 1 + int(sizes or 0) // LANE_BYTES
+    found = texts.withColumn("h", F.xxhash64("id")).mapInArrow(_encode(bitmap), f"id {kind}, lang string, ids binary")
+    rows = found.withColumn("y", F.lit(None).cast("int")).unionByName(known, allowMissingColumns=True)
+    one = Window.partitionBy("lane", "id")
+    order = Window.partitionBy("lane").orderBy("id", "lang", "ids")
+    dealt = rows.withColumn("lane", F.pmod(F.xxhash64("id"), F.lit(lanes))).repartition(2 * lanes, "lane")
+    labelled = dealt.withColumn("y", F.max("y").over(one)).where("y is not null and ids is not null")
+    return frames.written(labelled.select("lane", "id", "y", "lang", "ids",
+                                          (F.row_number().over(order) % 5 == 0).alias("aside")), "lanes")
+
+
+def _by_lane(batches: Iterator[pa.RecordBatch]):
+    """(texts, labels) of each lane; a lane's rows follow one another."""
+    now, texts, y = None, [], []
+    for batch in batches:
+        lane = batch.column("lane").to_numpy()
+        label = batch.column("y").to_numpy()
+        views = _views(batch.column("ids"))
+        for k in range(len(lane)):
+            if lane[k] != now and texts:
+                yield texts, np.array(y, np.int64)
+                texts, y = [], []
+            now = lane[k]
+            texts.append(views[k])
+            y.append(label[k])
+    if texts:
+        yield texts, np.array(y, np.int64)
+
+
+def _flat(net: Network) -> np.ndarray:
+    """All numbers but the vectors, in rows of HALF."""
+    every = np.concatenate([*[net.w[k].ravel() for k in WIDTHS], *[net.b[k] for k in WIDTHS], net.v, [net.c]])
+    return np.append(every, np.zeros(-len(every) % HALF)).reshape(-1, HALF).astype(float)
+
+
+def _put(net: Network, flat: np.ndarray) -> None:
+    flat, at = flat.ravel().astype(np.float32), 0
+    for part in (*[net.w[k] for k in WIDTHS], *[net.b[k] for k in WIDTHS], net.v):
+        part[...] = flat[at:at + part.size].reshape(part.shape)
+        at += part.size
+    net.c = np.float32(flat[at])
+
+
+def _seen(lanes: DataFrame) -> np.ndarray:
+    """(half, label, slot): how many texts of the fit hold a slot."""
+    def run(batches: Iterator[pa.RecordBatch]):
+        seen = np.zeros((2, 2, SLOTS), np.int64)
+        for batch in batches:
+            for text, label in zip(_views(batch.column("ids")), batch.column("y").to_numpy()):
+                _count_slots(seen, text, label)
+        at = np.flatnonzero(seen.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen.ravel()[at])], names=["k", "n"])
+
+    rows = lanes.select("ids", "y").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(4 * SLOTS, np.int64)
+    seen[rows.column("k").to_numpy()] = rows.column("n").to_numpy()
+    return seen.reshape(2, 2, SLOTS)
+
+
+def _moved(lanes: DataFrame, net: Network, epochs: int, seed: int) -> Network:
+    """The network after one round: every lane trains from `net`, and the mean of the changes is applied."""
+    context = lanes.sparkSession.sparkContext
+    shared = context.broadcast(net)
+    cols = [f"d{i}" for i in range(HALF)]
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        total = weight = None
+        for texts, y in _by_lane(batches):
+            old = shared.value
+            new = Network.__new__(Network)
+            new.e, new.v, new.c = old.e.copy(), old.v.copy(), old.c
+            new.w, new.b = ({k: x.copy() for k, x in part.items()} for part in (old.w, old.b))
+            fit(texts, y, epochs, net=new, seed=seed)
+            change = np.concatenate([(new.e.astype(float) - old.e).reshape(-1, HALF), _flat(new) - _flat(old)])
+            if total is None:
+                total, weight = np.zeros(change.shape, np.int64), np.zeros(len(change), np.int64)
+            at = np.flatnonzero(change.any(axis=1) | (np.arange(len(change)) >= 2 * SLOTS))
+            total[at] += np.rint(change[at] * (FIXED * len(texts))).astype(np.int64)
+            weight[at] += len(texts)
+        if total is not None:
+            at = np.flatnonzero(weight)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(weight[at]), *[pa.array(total[at, i])
+                                              for i in range(HALF)]], names=["k", "n", *cols])
+
+    rows = (lanes.select("lane", "ids", "y").mapInArrow(run, ", ".join(f"{c} long" for c in ["k", "n", *cols]))
+            .groupBy("k").agg(*[F.sum(c).alias(c) for c in ["n", *cols]]).toArrow())
+    change = np.zeros((2 * SLOTS + len(_flat(net)), HALF))
+    at = rows.column("k").to_numpy()
+    change[at] = np.stack([rows.column(c).to_numpy() for c in cols], axis=1) / (
+        FIXED * rows.column("n").to_numpy().astype(float)[:, None])
+    net.e = (net.e + change[:2 * SLOTS].reshape(net.e.shape)).astype(np.float32)
+    _put(net, _flat(net) + change[2 * SLOTS:])
+    shared.destroy()
+    return net
+
+
 def train(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text",
-          lang: str = "lang", label: str = "toxic", rows_a_label: int = ROWS_A_LABEL,
-          words_a_label: int = WORDS_A_LABEL) -> Model:
-    """Fit on at most so many rows and words of each label among those of `labels` where `learn` holds."""
+          lang: str = "lang", label: str = "toxic") -> Model:
+    """Fit on all texts with a label among those of `labels` where `learn` holds."""
     known = (labels.where(learn & F.col(doc_id).isNotNull() & F.col(label).isin(0, 1))
              .groupBy(F.col(doc_id).alias("id")).agg(F.max(F.col(label).cast("int")).alias("y")))
     share = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     total = sum(share.values())
     base = share.get(1, 0) / total if total else 0.0
-    order = (F.xxhash64("id"), F.col("id"))
-    some = known.where("y = 1").orderBy(*order).limit(rows_a_label).unionByName(
-        known.where("y = 0").orderBy(*order).limit(rows_a_label))
-    kind = docs.schema[doc_id].dataType.simpleString()
-    texts_of = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"),
-                           F.col(lang).cast("string").alias("lang"))
-    sizes = texts_of.drop("lang").join(F.broadcast(some), "id").mapInArrow(_measure, f"id {kind}, y int, n long")
-    chosen = _within(sizes.withColumn("h", F.xxhash64("id")).toArrow(), words_a_label)
-    chosen = docs.sparkSession.createDataFrame(chosen).select(F.col("id").cast(kind), F.col("y").cast("int")).distinct()
-    picked = texts_of.join(F.broadcast(chosen), "id")
-    got = picked.mapInArrow(_encode("text", "id", "y", "lang"), f"id {kind}, y int, lang string, ids binary").toArrow()
-    order = pc.sort_indices(got, [("id", "ascending")]).to_numpy()
-    texts = [view for chunk in got.column("ids").chunks for view in _views(chunk)]  # no copies of the words
-    texts = [texts[k] for k in order]
-    y = got.column("y").to_numpy().astype(np.int64)[order]
-    langs = got.column("lang").take(order).to_pylist()
-    aside = np.arange(len(y)) % 5 == 4  # for the thresholds
-    if len(set(y[~aside].tolist())) < 2:
+    if not total:
+        return Model(None, 0.0, {}, base)
+    lanes = lanes_of(docs, known, doc_id, text, lang)
+    fitting = lanes.where("not aside")
+    counts = fitting.groupBy("y").agg(F.count("*").alias("n"), F.max("lane").alias("lane")).collect()
+    rows = np.array([sum(r["n"] for r in counts if r["y"] == y) for y in (0, 1)])
+    if not rows.all():
         return Model(None, 0.0, {}, base)
-    net = fit([t for t, a in zip(texts, aside) if not a], y[~aside])
-    fitted = y[~aside].mean()
+    net = started(_seen(fitting), rows)
+    dealt = 1 + max(r["lane"] for r in counts)
+    epochs, rounds = epochs_for(int(rows.sum()) // dealt), 1 if dealt == 1 else EPOCHS
+    for k in range(rounds):
+        net = _moved(fitting, net, -(-epochs // rounds), 11 + k)
     odds = lambda q: np.log(np.clip(q, 1e-6, 1 - 1e-6) / np.clip(1 - q, 1e-6, 1))
-    model = Model(net, float(odds(base) - odds(fitted)), {}, base)
-    rest = np.flatnonzero(aside)
-    if len(rest):
-        scores = np.concatenate([model.scores(ids := unpacked(texts[r]), np.array([len(ids)])) for r in rest])
-        model.thresholds = calibrated(scores, y[rest], [langs[r] for r in rest])
-    del texts, got
+    model = Model(net, float(odds(base) - odds(rows[1] / rows.sum())), {}, base)
+    model.thresholds = calibrated(_judged(lanes.where("aside"), model))
     W.release()
     return model
 
 
-def calibrated(scores: np.ndarray, y: np.ndarray, langs: list) -> dict:
-    """Per language the least score from which on the precision reaches PRECISION; "" holds for all others."""
-    def least(rows):
-        s, t = scores[rows], y[rows]
-        order = np.argsort(-s, kind="stable")
-        good = np.flatnonzero(np.cumsum(t[order]) >= PRECISION * np.arange(1, len(order) + 1))
-        return float(s[order][good[-1]]) if len(good) else 1.0
-    names = np.array([x or "" for x in langs])
-    out = {name: least(np.flatnonzero(names == name)) for name in sorted(set(names.tolist())) if name}
-    return out | {"": least(np.arange(len(y)))}
+def _judged(rows: DataFrame, model: Model) -> DataFrame:
+    """(y, lang, score) of texts kept out of the fit."""
+    context = rows.sparkSession.sparkContext
+    shared = context.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            scores = [shared.value.scores(ids := unpacked(text), np.array([len(ids)]))[0]
+                      for text in _views(batch.column("ids"))]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("lang"), pa.array(scores, pa.float64())],
+                                             names=["y", "lang", "score"])
+
+    return rows.select("y", "lang", "ids").mapInArrow(run, "y int, lang string, score double")
+
+
+def calibrated(rows: DataFrame) -> dict:
+    """Per language the least score from which on the precision reaches PRECISION; "" holds for all others.
+
+    Rows of one score count together. Scores have six digits: a running total reads at most a thousand rows of a
+    thousandth, and the thousandths.
+    """
+    names = F.array_distinct(F.array(F.coalesce("lang", F.lit("")), F.lit("")))
+    scores = (rows.select(F.explode(names).alias("name"), "score", "y").groupBy("name", "score")
+              .agg(F.sum("y").alias("t"), F.count("*").alias("n")).withColumn("bin", F.floor(F.col("score") * 1000)))
+    above = Window.partitionBy("name").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("name", "bin").orderBy(F.desc("score"))
+    bins = scores.groupBy("name", "bin").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).select(
+        "name", "bin", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in "tn"])
+    good = (F.sum("t").over(inside) + F.col("t_above")) >= PRECISION * (F.sum("n").over(inside) + F.col("n_above"))
+    least = (scores.join(bins, ["name", "bin"]).withColumn("good", good).groupBy("name")
+             .agg(F.min(F.when(F.col("good"), F.col("score"))).alias("least")).collect())
+    out = {r["name"]: 1.0 if r["least"] is None else r["least"] for r in least}
+    return dict(sorted((k, v) for k, v in out.items() if k)) | ({"": out[""]} if out else {})
 
 
 def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text",
