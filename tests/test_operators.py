@@ -315,3 +315,98 @@ def test_a_busy_customer_forms_no_pairs_that_share_nothing(spark):
     assert pairs.count() == sum(bool(items(a, r[0]) & items(b, o[0])) for r, o in met) < 0.02 * len(met)
     plain = queues.loyalty_match(queues.loyalty_pairs(*frames)).first()
     assert queues.loyalty_match(queues.loyalty_refills(*frames)).first() == plain
+
+
+def test_left_rows_without_a_key_are_spread(spark, monkeypatch):
+    """Calls without an order meet no order; they don't meet in one task either."""
+    from tidemark.operators import ordered
+
+    left = spark.range(2000).select(F.when(F.col("id") % 10 == 0, F.col("id")).alias("k"), F.col("id").alias("v"))
+    right = spark.createDataFrame([(k, k * 2) for k in range(0, 1000, 10)] + [(10, -1), (None, 7)], "k long, w long")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = ordered.spread_left(left, right, "k")
+        rows = got.withColumn("p", F.spark_partition_id()).collect()
+        want = left.join(right, "k", "left").collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert got.columns == ["k", "v", "w"]
+    order = lambda rs: sorted((r.v, r.w is None, r.w or 0, r.k or -1) for r in rs)
+    assert order(rows) == order(want)
+    held = [r.p for r in rows if r.k is None]
+    assert len(set(held)) == 4 and max(map(held.count, set(held))) < 0.4 * len(held)
+
+
+def test_groups_of_the_interval_lookup_do_not_grow(spark, monkeypatch):
+    from tidemark.operators import intervals
+
+    real = intervals._stab
+
+    def watched(*args):
+        run = real(*args)
+
+        def check(table):
+            if table.num_rows > 60:
+                raise ValueError(f"{table.num_rows} rows in one group")
+            return run(table)
+        return check
+
+    monkeypatch.setattr(intervals, "_stab", watched)
+    monkeypatch.setattr(intervals, "GROUP_ROWS", 20)
+    at = F.timestamp_add("HOUR", F.col("id").cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    points = spark.range(800).select((F.col("id") % 400).alias("k"), at.alias("at"), "id")
+    spans = spark.range(400).select(F.col("id").alias("k"), at.alias("a"), F.timestamp_add("HOUR", F.lit(1), at).alias("b"),
+                                    F.col("id").alias("v"))
+    got = intervals.covered(points, spans, ["k"], "at", "a", "b", {"x": ("max", "v")}).collect()
+    assert len(got) == 800 and all(r.x == (r.id if r.id < 400 else None) for r in got)
+
+
+def test_task_fact_counts_times_once_without_copies_of_the_log(spark):
+    from tidemark.operators import facts
+
+    at = lambda s: f"2024-01-0{s} 10:00:00"
+    log = spark.createDataFrame(
+        [("t1", 1, 7, "New", 2, at(2), 3, None), ("t1", 1, 7, "New", 2, at(2), 5, None), ("t1", 1, 7, "New", 2, at(3), 3, None),
+         ("t1", 1, 7, "New", 4, at(4), 3, "b"), ("t1", 1, 7, "New", 4, at(4), 3, "a"), ("t1", 1, 7, "New", 5, None, 3, None),
+         ("t2", 1, 7, "New", 2, at(3), 3, None), ("t3", None, None, None, 1, at(5), None, None), (None, None, None, None, 2, at(5), 1, "z")],
+        "task_id string, order_id long, case_id long, task_type string, code int, made_at string, owner long, reason string",
+    ).withColumn("made_at", F.col("made_at").cast("timestamp_ntz"))
+    people = spark.createDataFrame([(3, 900)], "owner long, profile_id long")
+    fact = facts.task_fact(log, people, {4: "Done", 1: "Again"}, call=2, answered=4, hangup=5, inactive=1, done=4,
+                           start="2024-01-01", as_of="2024-02-01")
+    rows = {r.task_id: r for r in fact.collect()}
+    assert set(rows) == {"t1", "t2", "t3", None}
+    a = rows["t1"]
+    assert (a.owner, a.attempts, a.connected, a.hangups, a.notified, a.reject_reason, a.action) == (5, 2, 1, 0, 0, "b", "Done")
+    assert (a.issue_flag, rows["t2"].issue_flag, rows["t3"].issue_flag, rows["t3"].notified) == (1, 0, 0, 1)
+    assert a.next_task_id == "t2" and rows["t2"].previous_task_id == "t1" and rows[None].reject_reason == "z"
+    assert "Expand" not in fact._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ranges_of_a_table_are_bounded(spark):
+    from tidemark.operators import refresh
+
+    count = lambda df: df.select(refresh.key_ranges(df, "id", 16).alias("r")).distinct().count()
+    assert count(spark.range(160)) == 10
+    assert 256 < count(spark.range(5, 200_000)) <= refresh.RANGES + 1
+    assert count(spark.range(3).select(F.lit(None).cast("long").alias("id"))) == 1
+
+
+def test_substitution_funnel_builds_its_inputs_once(spark):
+    from tidemark.operators import orders as od
+
+    day = F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")
+    log = spark.range(6).select(F.col("id").alias("order_id"), F.lit(1).alias("original"), F.lit(2).alias("substitute"),
+                                F.lit(3).alias("agent"), day.alias("created_at"), F.lit(3).alias("log_type"))
+    items = spark.range(6).select(F.col("id").alias("order_id"), F.lit(2).alias("item_id"), F.lit(False).alias("deleted"),
+                                  F.lit(True).alias("invoiced"), F.lit(1).alias("returned"), F.lit(1).alias("return_reason"))
+    made = spark.createDataFrame([(k, k % 2, 9, "2024-01-02 00:00:00") for k in range(6)],
+                                 "order_id long, customer_id long, status int, at string")
+    made = made.select("order_id", "customer_id", "status", F.col("at").cast("timestamp_ntz").alias("placed_at"))
+    out = od.substitution_funnel(log, items, made, {1: "broken"}, "2024-01-01", "2024-01-31")
+    assert "Range (" not in out._jdf.queryExecution().optimizedPlan().toString()
+    rows = out.collect()
+    assert len(rows) == 6 and all((r.in_cart, r.retained, r.return_reason, r.reordered) == (1, 1, "broken", "aNeverOrderedAgain") for r in rows)

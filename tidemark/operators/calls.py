@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.timefn import boundary_diff, epoch, moment
 from tidemark.operators.intervals import covered
-from tidemark.operators.ordered import KeyedSequence, asof, hour_lane
+from tidemark.operators.ordered import KeyedSequence, asof, spread_left
 from tidemark.operators.orders import flag
 
 FAR = "2100-01-01 00:00:00"
@@ -28,9 +28,13 @@ def _stack(paths: Sequence[DataFrame], combine: str) -> DataFrame:
     return rows.distinct() if combine == "union" else rows
 
 
+def history_lane(c) -> Column:
+    return F.floor(epoch(c) / F.lit(HISTORY_LANE))
+
+
 def hold_intervals(history: DataFrame, held: int) -> DataFrame:
     """Spans in which the latest action of an order is a hold, from just after it to the next one."""
-    seq = KeyedSequence(history, ["order_id"], [F.col("made_at"), F.col("id")], hour_lane("made_at"))
+    seq = KeyedSequence(history, ["order_id"], [F.col("made_at"), F.col("id")], history_lane("made_at"))
     rows = seq.shift({"next_at": ("made_at", 1)}).frame().filter(F.col("action") == held)
     return rows.select("order_id", F.timestamp_add("MICROSECOND", F.lit(1), "made_at").alias("hold_from"),
                        F.coalesce("next_at", moment(FAR)).alias("hold_to"))
@@ -57,9 +61,8 @@ def call_context(calls: DataFrame, paths: Sequence[DataFrame], combine: str = "u
                           F.col("order_id").alias("_live"), F.col("program_id").alias("_program")),
              spans.filter("in_program").select("phone", F.col("in_at").alias("from_at"),
                                                F.col("out_at").alias("to_at"), F.col("order_id").alias("_staged"))]
-    found = {"any_order_id": ("max", "_any"), "any_program_id": ("max", "_any_program"),
-             "live_order_id": ("max", "_live"), "program_order_id": ("max", "_program"),
-             "live_program_order_id": ("max", "_staged")}
+    found = {"any_order_id": ("max", "_any"), "live_order_id": ("max", "_live"), "live_program_order_id": ("max", "_staged")}
+    found |= {"program_order_id": ("max", "_program")} if with_ids else {"any_program_id": ("max", "_any_program")}
     if history is not None:
         links = spans.filter("in_program").select("phone", "order_id").distinct()
         began = history.groupBy("order_id").agg(F.min("made_at").alias("began_at"))
@@ -89,7 +92,7 @@ def state_before_call(context: DataFrame, history: DataFrame) -> DataFrame:
     past = history.select(F.col("order_id").alias("live_program_order_id"), "id",
                           F.col("made_at").alias("acted_at"), F.col("action").alias("state_before"))
     return asof(context, past, ["live_program_order_id"], "made_at", "acted_at",
-                ["acted_at", "state_before"], tie="id", lane=lambda c: F.floor(epoch(c) / F.lit(HISTORY_LANE)))
+                ["acted_at", "state_before"], tie="id", lane=history_lane)
 
 
 def hold_call_impact(context: DataFrame, orders: DataFrame, program: DataFrame,
@@ -100,7 +103,7 @@ def hold_call_impact(context: DataFrame, orders: DataFrame, program: DataFrame,
         program.select(F.col("order_id").alias("live_program_order_id"), "latest_status", "first_done_at",
                        "last_done_at", "rejection_reason", "refuse_reason"),
         "live_program_order_id", "left")
-    rows = context.join(facts, "live_program_order_id", "left")
+    rows = spread_left(context, facts, "live_program_order_id")
     held = F.col("on_hold_flag") == 1
     return rows.withColumns({
         "cancelled_in_stage": flag((F.col("status") == 8) & (F.col("closed_stage") == stage)),

@@ -25,6 +25,8 @@ from tidemark.session import checkpointed
 
 #: cells of 2^36 microseconds (19 hours), of 1024 of these (2 years), and two for all time
 CELL_BITS = (36, 10, 20)
+#: points and pieces that meet in one group, on average: what a group holds does not grow with the tables
+GROUP_ROWS = 1 << 18
 _NONE = {"max": -(1 << 63), "min": (1 << 63) - 1}
 
 
@@ -113,7 +115,6 @@ def covered(points: DataFrame, intervals: DataFrame, keys: Sequence[str], at: st
     `aggs` is {new: (op, column)} with op max, min or sum over whole numbers. Times count in microseconds. Rows
     with a null in a key or a time, and intervals that end before they begin, match nothing.
     """
-    buckets = 4 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kinds = {new: intervals.schema[column].dataType for new, (_, column) in aggs.items()}
     wrong = [new for new, kind in kinds.items() if not isinstance(kind, IntegralType)]
     if wrong:
@@ -127,6 +128,8 @@ def covered(points: DataFrame, intervals: DataFrame, keys: Sequence[str], at: st
         *keys, micros(start).alias("_a"), micros(end).alias("_b"),
         *[F.col(column).cast("long").alias(new) for new, (_, column) in aggs.items()]).filter("_a <= _b"))
     timed = checkpointed(points.withColumn("_a", micros(at)))
+    buckets = max(4 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                  (timed.count() + 2 * spans.count()) // GROUP_ROWS)
     usable = known & F.col("_a").isNotNull()
 
     levels = []  # (points, pieces) from the smallest cells up

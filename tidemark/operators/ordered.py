@@ -288,6 +288,14 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, r
             .select("_left.*", *[F.col("_near." + c).alias(c) for c in columns], *extra))
 
 
+def spread_left(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join on `key`: left rows without a key match nothing and are spread instead of meeting in one task."""
+    salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*left.columns), F.lit(4096)) + 1).otherwise(F.lit(0))
+    same = F.pmod(F.xxhash64(key), F.lit(1))  # 0; a plain literal would be folded out of the join's keys
+    return (left.withColumn("_salt", salt.cast("long")).join(right.withColumn("_salt", same), [key, "_salt"], "left")
+            .drop("_salt"))
+
+
 def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: Column,
               right_at: Column, below: int, above: int) -> DataFrame:
     """Inner join on keys where right_at lies in [left_at - below, left_at + above] (integers).
