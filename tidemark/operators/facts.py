@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.timefn import boundary_diff, epoch, moment, office_seconds
 from tidemark.operators.lifecycle import first_visit, steps
-from tidemark.operators.ordered import KeyedSequence, hour_lane
+from tidemark.operators.ordered import KeyedSequence
 
 # fixed values: seconds a task of each outcome is expected to take
 BENCHMARKS = {"Done": 180, "Hold": 60, "Rescheduled": 120, "Rejected": 75, "Reassigned": 80,
               "Inactive": 0}
 
+#: a case has few tasks: lanes of 64 days leave most cases in one or two
+CASE_LANE = 64 * 86400
+
 
 def _label(mapping: Mapping, column: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])[column]
@@ -30,23 +33,28 @@ def task_fact(case_log: DataFrame, profiles: DataFrame, actions: Mapping[int, st
     c, at = F.col("code"), F.col("made_at")
     on = lambda *codes: F.when(c.isin(*codes), at)
     ended = [*actions, hangup]
-    first_done = case_log.filter(c == done).groupBy("case_id").agg(F.min(at).alias("first_done_at"))
-    log = case_log.join(first_done, "case_id", "left")
-    tasks = log.groupBy("task_id", "order_id", "case_id", "task_type").agg(
+    first_done = case_log.filter(c == done).groupBy("case_id").agg(F.min(at).alias("_first_done"))
+    # one row for each code and time of a task, so that counting times needs no copies of the log; dealt once by task
+    # and put in order once, and both aggregates read along that order
+    task = ["task_id", "order_id", "case_id", "task_type"]
+    log = case_log.repartition(*task).groupBy(*task, "code", "made_at").agg(
+        F.max("owner").alias("owner"), F.max("reason").alias("reason"))
+    tasks = log.groupBy(*task).agg(
         F.max("owner").alias("owner"), F.min(at).alias("assigned_at"),
         F.min(on(call)).alias("first_call_at"), F.max(on(call)).alias("last_call_at"),
         F.min(on(hangup)).alias("first_hangup_at"), F.max(on(hangup)).alias("last_hangup_at"),
         F.max(on(*actions)).alias("actioned_at"), F.max(on(*ended)).alias("detached_at"),
         F.max(_label(actions, c)).alias("action"), F.max("reason").alias("reject_reason"),
-        F.count_distinct(on(call)).alias("attempts"), F.count_distinct(on(answered)).alias("connected"),
-        F.count_distinct(on(hangup)).alias("hangups"),
-        F.count_distinct(on(inactive)).alias("notified"),
-        F.max(F.when(c == inactive, 1).otherwise(0)).alias("inactive_flag"),
-        F.max(F.when(F.col("first_done_at") <= at, 1).otherwise(0)).alias("issue_flag"))
+        F.count(on(call)).alias("attempts"), F.count(on(answered)).alias("connected"),
+        F.count(on(hangup)).alias("hangups"), F.count(on(inactive)).alias("notified"),
+        F.max(F.when(c == inactive, 1).otherwise(0)).alias("inactive_flag"), F.max(at).alias("_last"))
+    names = tasks.columns[:-1]
+    tasks = tasks.join(first_done, "case_id", "left").select(
+        *names, F.when(F.col("_first_done") <= F.col("_last"), 1).otherwise(0).alias("issue_flag"))
     day = F.to_date("assigned_at")
     kept = tasks.filter(day.between(F.to_date(F.lit(start)), F.date_sub(F.to_date(moment(as_of)), 1)))
     seq = KeyedSequence(kept, ["case_id"], [F.col("assigned_at"), F.col("task_id")],
-                        hour_lane("assigned_at"))
+                        F.floor(epoch("assigned_at") / F.lit(CASE_LANE)))
     linked = seq.shift({"previous_task_id": ("task_id", -1), "next_task_id": ("task_id", 1)}).frame()
     return linked.join(profiles, "owner", "left").withColumn(
         "expected_seconds", _label(benchmarks, F.col("action")).cast("long"))

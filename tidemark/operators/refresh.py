@@ -12,8 +12,18 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidemark.operators.ordered import id_lane
 from tidemark.sources import sinks
 
+#: ranges of a table, at most: a folder each, which the driver lists and a refresh writes one by one
+RANGES = 512
+
+
+def key_ranges(rows: DataFrame, key: str, least: int) -> Column:
+    """The range of a whole-number key: `least` keys wide, or wider where the keys of `rows` would need over `RANGES`."""
+    low, high = rows.agg(F.min(key), F.max(key)).first()
+    return id_lane(key, least if low is None else max(least, -(-(high - low + 1) // RANGES)))
+
 
 def append_log(rows: DataFrame, path: str, part: Column) -> None:
     """New rows beside the old ones, in the folders of their key ranges."""

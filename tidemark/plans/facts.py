@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import facts, refresh
-from tidemark.operators.ordered import id_lane
 from tidemark.operators.queries import check_unique
 from tidemark.plans.registry import query
 from tidemark.session import checkpointed
@@ -18,14 +17,14 @@ def _(t):
     return t.fact
 
 
-ENTITY_RANGE = 16  # cases in one range of a written log or fact
+ENTITY_RANGE = 16  # cases in one range of a written log or fact, at least
 REFRESHED_ON = "2024-01-25"
 
 
 @query("a74_task_fact_refresh", "SELECT * FROM fact")
 def _(t):
     """The fact of an earlier log, brought up to date after the rows of the last days have come in."""
-    by, day = id_lane("case_id", ENTITY_RANGE), F.to_date("made_at")
+    by, day = refresh.key_ranges(t.task_log, "case_id", ENTITY_RANGE), F.to_date("made_at")
     log_path, fact_path = (sinks.fresh_path(t.spark, n) for n in ("task-log", "task-fact"))
     since = F.lit(REFRESHED_ON).cast("date")
     sinks.create_partitioned(t.task_log.filter(day < since), log_path, by)
@@ -226,7 +225,7 @@ def _(t):
 def _(t):
     """The fact of all cases of an earlier log, brought up to date: cases with new rows, and those of their customers,
     whose first success may be another now."""
-    by, day = id_lane("entity_id", ENTITY_RANGE), F.to_date("made_at")
+    by, day = refresh.key_ranges(t.status_log, "entity_id", ENTITY_RANGE), F.to_date("made_at")
     log_path, fact_path = (sinks.fresh_path(t.spark, n) for n in ("status-log", "consultations"))
     since = F.lit(REFRESHED_ON).cast("date")
     sinks.create_partitioned(t.status_log.filter(day < since), log_path, by)
@@ -251,7 +250,7 @@ def _(t):
     log, cut = t.status_log, F.lit("2024-01-28").cast("date")
     grown = lambda df: df.groupBy("entity_id").agg(
         F.count(F.lit(1)).alias("steps"), F.max("made_at").alias("last_at"))
-    path, by = sinks.fresh_path(t.spark, "fact"), id_lane("entity_id", ENTITY_RANGE)
+    path, by = sinks.fresh_path(t.spark, "fact"), refresh.key_ranges(log, "entity_id", ENTITY_RANGE)
     sinks.create_partitioned(grown(log.filter(F.to_date("made_at") < cut)), path, by)
     batch = grown(log).filter(F.to_date("last_at") >= cut)
     sinks.upsert_partitions(t.spark, path, batch, "entity_id", by)
