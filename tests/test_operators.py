@@ -395,18 +395,18 @@ def test_ranges_of_a_table_are_bounded(spark):
     assert count(spark.range(3).select(F.lit(None).cast("long").alias("id"))) == 1
 
 
-def test_substitution_funnel_builds_its_inputs_once(spark):
-    from tidemark.operators import orders as od
-
-    day = F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")
-    log = spark.range(6).select(F.col("id").alias("order_id"), F.lit(1).alias("original"), F.lit(2).alias("substitute"),
-                                F.lit(3).alias("agent"), day.alias("created_at"), F.lit(3).alias("log_type"))
-    items = spark.range(6).select(F.col("id").alias("order_id"), F.lit(2).alias("item_id"), F.lit(False).alias("deleted"),
-                                  F.lit(True).alias("invoiced"), F.lit(1).alias("returned"), F.lit(1).alias("return_reason"))
-    made = spark.createDataFrame([(k, k % 2, 9, "2024-01-02 00:00:00") for k in range(6)],
-                                 "order_id long, customer_id long, status int, at string")
-    made = made.select("order_id", "customer_id", "status", F.col("at").cast("timestamp_ntz").alias("placed_at"))
-    out = od.substitution_funnel(log, items, made, {1: "broken"}, "2024-01-01", "2024-01-31")
-    assert "Range (" not in out._jdf.queryExecution().optimizedPlan().toString()
-    rows = out.collect()
-    assert len(rows) == 6 and all((r.in_cart, r.retained, r.return_reason, r.reordered) == (1, 1, "broken", "aNeverOrderedAgain") for r in rows)
+def test_state_before_call_puts_only_called_orders_in_sequence(spark):
+    context = spark.createDataFrame(
+        [(1, 10, at("05 10:00:00")), (2, None, at("05 10:00:00")), (2, None, at("05 10:00:00")), (3, 11, at("01 10:00:00")),
+         (4, 12, at("05 10:00:00")), (5, 10, None)], "call_id long, live_program_order_id long, made_at timestamp_ntz")
+    history = spark.createDataFrame(
+        [(10, 1, at("02 10:00:00"), 3), (10, 2, at("04 10:00:00"), 4), (10, 3, at("05 10:00:00"), 5), (11, 4, at("02 10:00:00"), 6),
+         (None, 5, at("02 10:00:00"), 7), *[(k, k, at("02 10:00:00"), 8) for k in range(100, 400)]],
+        "order_id long, id long, made_at timestamp_ntz, action int")
+    out = calls.state_before_call(context, history)
+    assert out.columns == ["call_id", "live_program_order_id", "made_at", "acted_at", "state_before"]
+    got = sorted((r.call_id, r.acted_at, r.state_before) for r in out.collect() if r.acted_at) + [
+        r.call_id for r in out.orderBy("call_id").collect() if not r.acted_at]
+    assert got == [(1, at("04 10:00:00"), 4), 2, 2, 3, 4, 5]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan

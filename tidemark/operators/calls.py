@@ -16,6 +16,7 @@ from tidemark.functions.timefn import boundary_diff, epoch, moment
 from tidemark.operators.intervals import covered
 from tidemark.operators.ordered import KeyedSequence, asof, spread_left
 from tidemark.operators.orders import flag
+from tidemark.session import checkpointed
 
 FAR = "2100-01-01 00:00:00"
 EVER = ("0001-01-01 00:00:00", "9999-12-31 23:59:59.999999")
@@ -88,11 +89,18 @@ def call_context(calls: DataFrame, paths: Sequence[DataFrame], combine: str = "u
 
 
 def state_before_call(context: DataFrame, history: DataFrame) -> DataFrame:
-    """The last action on the live program order before the call; calls without one are kept."""
+    """The last action on the live program order before the call; calls without one are kept.
+
+    Only calls with such an order, and the history of these orders, are put in sequence.
+    """
+    context = checkpointed(context)  # read three times
+    key = "live_program_order_id"
+    wanted = context.filter(F.col(key).isNotNull()).select(key).distinct()
     past = history.select(F.col("order_id").alias("live_program_order_id"), "id",
                           F.col("made_at").alias("acted_at"), F.col("action").alias("state_before"))
-    return asof(context, past, ["live_program_order_id"], "made_at", "acted_at",
-                ["acted_at", "state_before"], tie="id", lane=history_lane)
+    met = asof(context.filter(F.col(key).isNotNull()), past.join(wanted, key, "left_semi"), [key], "made_at", "acted_at",
+               ["acted_at", "state_before"], tie="id", lane=history_lane)
+    return met.unionByName(context.filter(F.col(key).isNull()), allowMissingColumns=True)
 
 
 def hold_call_impact(context: DataFrame, orders: DataFrame, program: DataFrame,
