@@ -130,6 +130,39 @@ def test_hold_span_starts_after_the_hold_and_stays_open(spark):
     assert got[2][1] == datetime(2100, 1, 1)
 
 
+def test_hold_spans_of_short_histories_need_no_lanes(spark, monkeypatch):
+    rows = [(o, i, at(f"{d:02d} 10:00:00") if d else None, a) for i, (o, d, a) in enumerate(
+        [(o, 1 + (7 * i + o) % 28, (i + o) % 3) for o in (1, 2, 3) for i in range(4)]
+        + [(9, 1 + (5 * i) % 28, i % 3) for i in range(60)] + [(3, 0, 1), (None, 4, 1)])]
+    h = spark.createDataFrame(rows, "order_id long, id long, made_at timestamp_ntz, action int")
+    want = set()
+    for o, i, t, a in rows:
+        after = [x[2] for x in rows if x[0] == o and x[2] is not None and (t is None or (x[2], x[1]) > (t, i))]
+        if a == 1:
+            want.add((o, t and t.replace(microsecond=1), min(after, default=datetime(2100, 1, 1))))
+    got = calls.hold_intervals(h, 1)
+    assert set(map(tuple, got.collect())) == want and "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr("tidemark.operators.ordered.FEW", 20)  # order 9 is spread over lanes
+    got = calls.hold_intervals(h, 1)
+    assert set(map(tuple, got.collect())) == want and "Join" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_actions_on_program_orders_are_put_in_order(spark, monkeypatch):
+    seen = []
+    real = calls.hold_intervals
+    monkeypatch.setattr(calls, "hold_intervals", lambda history, held: seen.append(history) or real(history, held))
+    path = spark.createDataFrame(
+        [(7, 1, at("01 10:00:00"), True), (7, 2, at("01 10:00:00"), False), (None, 3, at("01 10:00:00"), True)],
+        "phone long, order_id long, placed_at timestamp_ntz, in_program boolean").selectExpr(
+        "*", "placed_at + interval 9 day as closed_at", "placed_at as in_at", "placed_at as out_at")
+    history = spark.createDataFrame([(o, 10 * o, at("02 10:00:00"), 5) for o in (1, 2, 3)],
+                                    "order_id long, id long, made_at timestamp_ntz, action int")
+    pts = spark.createDataFrame([(1, 7, at("02 10:00:00")), (2, 7, at("03 10:00:00"))], "call_id long, caller long, made_at timestamp_ntz")
+    got = calls.call_context(pts, [path, path], history=history, held=5).orderBy("call_id").collect()
+    assert [(r.acted_flag, r.on_hold_flag, r.program_order_id) for r in got] == [(0, 0, 1), (1, 1, 1)]
+    assert [r.order_id for r in seen[0].collect()] == [1]
+
+
 def test_repeat_new_items_counts_union_of_buyers_once(spark):
     detail = spark.createDataFrame([(1, 10, False, "aNewly Mapped"), (1, 11, False, "aNewly Mapped")],
                                    "entity_id long, item_code int, deleted boolean, mapping string")

@@ -301,3 +301,28 @@ def test_first_by_ties(spark):
     df = spark.createDataFrame([(1, 5, 2), (1, 5, 1), (2, 7, 9)], "k int, t int, id int")
     assert rows(od.first_by(df, ["k"], ["id"], ["t", "id"]), "k", "id") == [(1, 1), (2, 9)]
     assert rows(od.first_by(df, ["k"], ["id"], ["t", "id"], latest=True), "k", "id") == [(1, 2), (2, 9)]
+
+
+def test_small_keys_are_looked_up_whole_beside_a_large_one(spark):
+    """Keys of few rows meet in one exchange and are not cut into cells; a large key among them is."""
+    base = F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")
+    at = lambda c: F.timestamp_add("HOUR", F.col(c), base)
+    rng = random.Random(5)
+    points = [(i, rng.randrange(40), rng.randrange(40000)) for i in range(900)]
+    spans = [(i, rng.randrange(40), a, a + rng.choice([0, 30, 2000, 30000])) for i, a in
+             enumerate(rng.randrange(40000) for _ in range(900))]
+    points += [(900 + i, None if i == 0 else 3, None) for i in range(2)]
+    large = [(2000 + i, 100, rng.randrange(40000)) for i in range(3000)], [(2000 + i, 100, 13 * i, 13 * i + 500) for i in range(3000)]
+
+    def looked_up(points, spans):
+        p = spark.createDataFrame(points, "pid long, k long, t int").withColumn("t", at("t"))
+        s = spark.createDataFrame(spans, "sid long, k long, a int, b int").withColumns({"a": at("a"), "b": at("b")})
+        got = covered(p, s, ["k"], "t", "a", "b", {"top": ("max", "sid"), "low": ("min", "sid"), "total": ("sum", "sid")})
+        hits = _hits(points, spans)
+        assert {r.pid: (r.top, r.low, r.total) for r in got.collect()} == {p[0]: hits.get(p[0], (None,) * 3) for p in points}
+        return got._jdf.queryExecution().optimizedPlan().toString()
+
+    small = looked_up(points, spans)
+    assert "Generate" not in small and small.count("FlatMapGroupsInArrow") == 1
+    both = looked_up(points + large[0], spans + large[1])
+    assert both.count("Generate") == 3 and "Join" not in both

@@ -10,11 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.timefn import boundary_diff, epoch, moment
 from tidemark.operators.intervals import covered
-from tidemark.operators.ordered import KeyedSequence, asof, spread_left
+from tidemark.operators.ordered import KeyedSequence, alone, asof, key_buckets, spread_left
 from tidemark.operators.orders import flag
 from tidemark.session import checkpointed
 
@@ -22,6 +22,8 @@ FAR = "2100-01-01 00:00:00"
 EVER = ("0001-01-01 00:00:00", "9999-12-31 23:59:59.999999")
 #: an order's history is short: lanes of 64 days leave most orders in one or two
 HISTORY_LANE = 64 * 86400
+#: actions on the orders of one bucket, about
+HISTORY_ROWS = 1 << 18
 
 
 def _stack(paths: Sequence[DataFrame], combine: str) -> DataFrame:
@@ -34,9 +36,17 @@ def history_lane(c) -> Column:
 
 
 def hold_intervals(history: DataFrame, held: int) -> DataFrame:
-    """Spans in which the latest action of an order is a hold, from just after it to the next one."""
-    seq = KeyedSequence(history, ["order_id"], [F.col("made_at"), F.col("id")], history_lane("made_at"))
-    rows = seq.shift({"next_at": ("made_at", 1)}).frame().filter(F.col("action") == held)
+    """Spans in which the latest action of an order is a hold, from just after it to the next one.
+
+    The history is read three times: hand in a written frame where it is costly.
+    """
+    order = [F.col("made_at"), F.col("id")]
+    whole = alone(history, ["order_id"], key_buckets(history, history.count(), HISTORY_ROWS))
+    short = history.filter(whole).withColumn(
+        "next_at", F.lead("made_at").over(Window.partitionBy("order_id").orderBy(*order)))
+    # an order of many actions is spread over time
+    seq = KeyedSequence(history.filter(~whole), ["order_id"], order, history_lane("made_at"))
+    rows = short.unionByName(seq.shift({"next_at": ("made_at", 1)}).frame()).filter(F.col("action") == held)
     return rows.select("order_id", F.timestamp_add("MICROSECOND", F.lit(1), "made_at").alias("hold_from"),
                        F.coalesce("next_at", moment(FAR)).alias("hold_to"))
 
@@ -65,7 +75,10 @@ def call_context(calls: DataFrame, paths: Sequence[DataFrame], combine: str = "u
     found = {"any_order_id": ("max", "_any"), "live_order_id": ("max", "_live"), "live_program_order_id": ("max", "_staged")}
     found |= {"program_order_id": ("max", "_program")} if with_ids else {"any_program_id": ("max", "_any_program")}
     if history is not None:
-        links = spans.filter("in_program").select("phone", "order_id").distinct()
+        # dealt by order once, for the distinct rows and for the joins
+        links = spans.filter("in_program and phone is not null").select("phone", "order_id").repartition("order_id").distinct()
+        # the actions on these orders alone, computed once for the three that read them
+        history = checkpointed(history.join(links.select("order_id").distinct(), "order_id", "left_semi"))
         began = history.groupBy("order_id").agg(F.min("made_at").alias("began_at"))
         first = links.join(began, "order_id").groupBy("phone").agg(F.min("began_at").alias("began_at"))
         kinds.append(first.select("phone", F.timestamp_add("MICROSECOND", F.lit(1), "began_at").alias("from_at"),

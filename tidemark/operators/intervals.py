@@ -1,12 +1,13 @@
 """Which intervals of a key cover a point, without pairs, copies of points or a join on the bare key.
 
-Time is cut into cells, cells into larger cells (`CELL_BITS`). An interval is a piece in the cell it begins in, a piece
+A key is worked whole, its points and intervals meeting once, unless it or another of its group has many rows. For those
+time is cut into cells, cells into larger cells (`CELL_BITS`). An interval is a piece in the cell it begins in, a piece
 in the cell it ends in, and between them a run of whole cells, which is an interval again one level up, where cells
 stand for points. Levels are worked from the largest cells down: what covers a whole cell comes to the next level as one
 piece of that cell. On a level everything is dealt by (key, cell), so a key of any size spreads over time; above the
 first level equal pieces are aggregated first, so that a cell holds a bounded number of them.
 
-Within a cell points lie in order, and an interval is a range of their places. Largest and least values come from a
+Within a cell or a whole key points lie in order, and an interval is a range of their places. Largest and least values come from a
 sparse table: a range is two overlapping blocks of a power of two of places, blocks are laid into the table level by
 level and pushed down to their halves. Sums come from differences. Both work on whole Arrow batches of many cells.
 """
@@ -17,10 +18,11 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import IntegralType, LongType, StructField, StructType
 
 from tidemark.functions.timefn import micros
+from tidemark.operators.ordered import alone, key_buckets
 from tidemark.session import checkpointed
 
 #: cells of 2^36 microseconds (19 hours), of 1024 of these (2 years), and two for all time
@@ -80,14 +82,14 @@ def _group_codes(table: pa.Table, columns: Sequence[str]) -> np.ndarray:
     return code
 
 
-def _stab(keys: Sequence[str], kept: Sequence[str], ops: Mapping[str, str]):
+def _stab(by: Sequence[str], kept: Sequence[str], ops: Mapping[str, str]):
     """The points of a table of points and pieces, with the aggregates of the pieces that cover each.
 
-    Pieces have no nulls in keys, cell and times; points that do lie in groups of their own.
+    Pieces have no nulls in `by` and times; points that do lie in groups of their own.
     """
     def run(table: pa.Table) -> pa.Table:
         is_point = table.column("_point").to_numpy()
-        code = _group_codes(table, [*keys, "_cell"])
+        code = _group_codes(table, by)
         points, pieces = table.filter(pa.array(is_point)), table.filter(pa.array(~is_point))
         order, begin, end = place_ranges(code[is_point], points.column("_a").fill_null(0).to_numpy(), code[~is_point],
                                          pieces.column("_a").to_numpy(), pieces.column("_b").to_numpy())
@@ -123,17 +125,41 @@ def covered(points: DataFrame, intervals: DataFrame, keys: Sequence[str], at: st
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()
-    # every level reads both sides: they are computed once, and a lost executor costs no more than a read
+    # both sides are read more than once: they are computed once, and a lost executor costs no more than a read
     spans = checkpointed(intervals.filter(known).select(
         *keys, micros(start).alias("_a"), micros(end).alias("_b"),
         *[F.col(column).cast("long").alias(new) for new, (_, column) in aggs.items()]).filter("_a <= _b"))
     timed = checkpointed(points.withColumn("_a", micros(at)))
-    buckets = max(4 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-                  (timed.count() + 2 * spans.count()) // GROUP_ROWS)
-    usable = known & F.col("_a").isNotNull()
+    usable = F.coalesce(known & F.col("_a").isNotNull(), F.lit(False))
+    buckets = key_buckets(timed, timed.count() + 2 * spans.count(), GROUP_ROWS)
+    whole = alone(timed.filter(usable).select(*keys).unionByName(spans.select(*keys)), keys, buckets)
+    found = _met(timed.filter(~usable | whole), spans.filter(whole), keys, points.columns, ops, usable, buckets)
+    spread = usable & ~whole
+    if not spans.filter(~whole).isEmpty():
+        found = found.unionByName(_covered_in_cells(
+            timed.filter(spread), spans.filter(~whole), keys, points.columns, ops, usable, buckets))
+    else:
+        found = found.unionByName(timed.filter(spread).select(
+            *points.columns, *[F.lit(None).cast("long").alias(new) for new in ops]))
+    return found.select(*points.columns, *[F.col(new).cast(kind).alias(new) for new, kind in kinds.items()])
+
+
+def _met(units: DataFrame, pieces: DataFrame, by: Sequence[str], kept: Sequence[str], ops: Mapping[str, str],
+         usable: Column, buckets: int) -> DataFrame:
+    """Units with the aggregates of the pieces equal in `by` that cover them, dealt by `by`."""
+    both = units.withColumn("_point", F.lit(True)).unionByName(
+        pieces.withColumn("_point", F.lit(False)), allowMissingColumns=True)
+    schema = StructType([*[units.schema[c] for c in kept], *[StructField(new, LongType()) for new in ops]])
+    # points that match nothing are spread instead of meeting in one task
+    place = F.when(usable, F.xxhash64(*by)).otherwise(F.xxhash64(*kept))
+    return (both.withColumn("_bucket", F.pmod(place, F.lit(buckets)))
+            .groupBy("_bucket").applyInArrow(_stab(by, kept, ops), schema))
 
+
+def _covered_in_cells(timed: DataFrame, spans: DataFrame, keys: Sequence[str], columns: Sequence[str],
+                      ops: Mapping[str, str], usable: Column, buckets: int) -> DataFrame:
+    """Points of keys of any size, spread over cells of time."""
     levels = []  # (points, pieces) from the smallest cells up
-    usable = F.coalesce(usable, F.lit(False))
     units = timed
     for level, bits in enumerate(CELL_BITS):
         spans = spans.withColumns({"_l": F.expr(f"shiftright(_a, {bits})"), "_r": F.expr(f"shiftright(_b, {bits})")})
@@ -160,17 +186,11 @@ def covered(points: DataFrame, intervals: DataFrame, keys: Sequence[str], at: st
             pieces = pieces.unionByName(found.select(
                 *keys, F.col("_a").alias("_cell"), F.expr(f"shiftleft(_a, {bits})").alias("_a"),
                 F.expr(f"shiftleft(_a + 1, {bits}) - 1").alias("_b"), *ops))
-        kept = [*points.columns] if level == 0 else [*keys, "_a"]
-        both = units.withColumn("_point", F.lit(True)).unionByName(
-            pieces.withColumn("_point", F.lit(False)), allowMissingColumns=True)
-        schema = StructType([*[units.schema[c] for c in kept], *[StructField(new, LongType()) for new in ops]])
-        # points that match nothing are spread instead of meeting in one task
-        place = F.when(usable, F.xxhash64(*keys, "_cell")).otherwise(F.xxhash64(*kept))
-        found = (both.withColumn("_bucket", F.pmod(place, F.lit(buckets)))
-                 .groupBy("_bucket").applyInArrow(_stab(keys, kept, ops), schema))
+        kept = [*columns] if level == 0 else [*keys, "_a"]
+        found = _met(units, pieces, [*keys, "_cell"], kept, ops, usable, buckets)
         if level:
             found = found.filter(" or ".join(f"{new} is not null" for new in ops))
-    return found.select(*points.columns, *[F.col(new).cast(kind).alias(new) for new, kind in kinds.items()])
+    return found
 
 
 def covering(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point_id: Sequence[str],

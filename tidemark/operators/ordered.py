@@ -217,6 +217,27 @@ class KeyedSequence:
         return out.drop("_lane", "_key")
 
 
+#: rows of one key, or of a bucket of keys, that are no burden to a task, whatever the others hold
+FEW = 1 << 12
+
+
+def key_buckets(df: DataFrame, rows: int, width: int) -> int:
+    """Into how many buckets the keys of `rows` rows are dealt: `width` rows to a bucket, but some for every task."""
+    return max(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // width)
+
+
+def alone(df: DataFrame, keys: Sequence[str], buckets: int) -> Column:
+    """Whether a row's key shares its bucket, by hash, with no key of many rows: such keys can be worked whole.
+
+    A bucket is too full at twice the rows of the mean one. Rows are counted where they are, one number a bucket comes
+    to the driver, and nothing is joined. `df` is read for that: hand in a written frame.
+    """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets))
+    counts = {r[0]: r[1] for r in df.select(bucket.alias("b")).groupBy("b").agg(F.count(F.lit(1))).collect()}
+    most = max(FEW, 2 * sum(counts.values()) // buckets)
+    return ~bucket.isin([b for b, n in counts.items() if n > most])
+
+
 def row_numbers(df, keys, order, lane, new="row_num") -> DataFrame:
     return KeyedSequence(df, keys, order, lane).number(new).frame()
 

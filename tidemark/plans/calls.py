@@ -24,19 +24,13 @@ def _(t):
 def _paths(t, split=False):
     """Orders by contact phone and by registered phone; the contact is at times someone else's."""
     o = t.ord
-    closed = {9: 60, 8: 20}
     base = o.select(
         "order_id", "customer_id", "placed_at", "status",
         F.timestamp_add("DAY", F.lit(5), "placed_at").alias("in_at"),
         F.timestamp_add("DAY", F.lit(30), "placed_at").alias("out_at"),
         (F.col("channel") < "3").alias("in_program"))
-    if split:
-        ends = [base.filter(F.col("status") == s).withColumn(
-            "closed_at", F.timestamp_add("DAY", F.lit(d), "placed_at")) for s, d in closed.items()]
-        ends.append(base.filter("status = 1").withColumn("closed_at", F.lit(None).cast("timestamp_ntz")))
-        base = ends[0].unionByName(ends[1]).unionByName(ends[2])
-    else:
-        base = base.withColumn("closed_at", F.timestamp_add("DAY", F.lit(60), "placed_at"))
+    days = F.when(F.col("status") == 9, 60).when(F.col("status") == 8, 20) if split else F.lit(60)
+    base = base.withColumn("closed_at", F.timestamp_add("DAY", days, "placed_at"))
     contact = base.withColumn("phone", F.when(F.col("status") == 9, F.col("customer_id"))
                               .otherwise(F.col("customer_id") + 1))
     return [contact, base.withColumn("phone", F.col("customer_id"))]

@@ -239,7 +239,11 @@ class Bound(Tables):
 
     @property
     def inbound(self) -> DataFrame:
-        return (self.item.filter("returned = 1").join(self.ord, "order_id")
+        # the lines that came back alone are gathered to items, not all of them
+        back = self.lineitem.filter("l_returnflag = 'R'").groupBy(
+            F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("item_id")).agg(
+            F.min("l_shipdate").alias("returned_at"))
+        return (back.join(self.ord, "order_id")
                 .select((F.col("order_id") * 1000000000 + F.col("item_id")).alias("call_id"),
                         F.col("customer_id").alias("caller"), F.col("returned_at").alias("made_at")))
 
