@@ -311,7 +311,8 @@ def test_small_keys_are_looked_up_whole_beside_a_large_one(spark):
     points = [(i, rng.randrange(40), rng.randrange(40000)) for i in range(900)]
     spans = [(i, rng.randrange(40), a, a + rng.choice([0, 30, 2000, 30000])) for i, a in
              enumerate(rng.randrange(40000) for _ in range(900))]
-    points += [(900 + i, None if i == 0 else 3, None) for i in range(2)]
+    points += [(900 + i, None if i == 0 else 3, None) for i in range(100)]  # without a time: dealt to all groups
+    spans += [(900, 3, -9_000_000, 9_000_000), (901, 5, -9_000_000, 9_000_000)]  # over 1970, for all the points of a key
     large = [(2000 + i, 100, rng.randrange(40000)) for i in range(3000)], [(2000 + i, 100, 13 * i, 13 * i + 500) for i in range(3000)]
 
     def looked_up(points, spans):

@@ -85,13 +85,15 @@ def _group_codes(table: pa.Table, columns: Sequence[str]) -> np.ndarray:
 def _stab(by: Sequence[str], kept: Sequence[str], ops: Mapping[str, str]):
     """The points of a table of points and pieces, with the aggregates of the pieces that cover each.
 
-    Pieces have no nulls in `by` and times; points that do lie in groups of their own.
+    Pieces have no nulls in `by` and times; points that do lie in groups of their own, those without a time in group -1.
     """
     def run(table: pa.Table) -> pa.Table:
         is_point = table.column("_point").to_numpy()
         code = _group_codes(table, by)
         points, pieces = table.filter(pa.array(is_point)), table.filter(pa.array(~is_point))
-        order, begin, end = place_ranges(code[is_point], points.column("_a").fill_null(0).to_numpy(), code[~is_point],
+        at = points.column("_a")
+        group = np.where(at.is_valid().to_numpy(), code[is_point], -1)
+        order, begin, end = place_ranges(group, at.fill_null(0).to_numpy(), code[~is_point],
                                          pieces.column("_a").to_numpy(), pieces.column("_b").to_numpy())
         columns = [points.column(c) for c in kept]
         for name, op in ops.items():
