@@ -443,3 +443,17 @@ def test_state_before_call_puts_only_called_orders_in_sequence(spark):
     assert got == [(1, at("04 10:00:00"), 4), 2, 2, 3, 4, 5]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan
+
+
+def test_many_small_ranges_are_written_by_several_tasks(spark, tmp_path):
+    from tidemark.operators import refresh
+    from tidemark.sources import sinks
+
+    path, part = str(tmp_path / "ranges"), F.floor(F.col("k") / 4)
+    writers = lambda: {f.name.split("-")[1] for f in (tmp_path / "ranges").glob("*/*.parquet")}
+    sinks.create_partitioned(spark.range(256).select(F.col("id").alias("k"), F.lit(0).alias("v")), path, part)
+    assert len(writers()) > 1 and len(list((tmp_path / "ranges").glob("key_range=*"))) == 64
+    refresh.append_log(spark.range(256, 512).select(F.col("id").alias("k"), F.lit(0).alias("v")), path, part)
+    sinks.upsert_partitions(spark, path, spark.range(0, 512, 2).select(F.col("id").alias("k"), F.lit(1).alias("v")), "k", part)
+    got = spark.read.parquet(path)
+    assert len(writers()) > 1 and got.count() == 512 and got.filter("v = 1 and k % 2 = 0").count() == 256

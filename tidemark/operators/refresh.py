@@ -27,8 +27,7 @@ def key_ranges(rows: DataFrame, key: str, least: int) -> Column:
 
 def append_log(rows: DataFrame, path: str, part: Column) -> None:
     """New rows beside the old ones, in the folders of their key ranges."""
-    (rows.withColumn(sinks.PART, part).repartition(sinks.PART)
-     .write.partitionBy(sinks.PART).mode("append").parquet(path))
+    sinks.gathered(rows.withColumn(sinks.PART, part)).write.partitionBy(sinks.PART).mode("append").parquet(path)
 
 
 def rows_of(spark: SparkSession, path: str, changed: DataFrame, key: str, part: Column) -> DataFrame:

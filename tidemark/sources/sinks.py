@@ -43,10 +43,16 @@ def upsert_table(spark: SparkSession, path: str, batch: DataFrame, key: str,
     return spark.read.parquet(new_path)
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """Rows of a range in one task, ranges over all tasks: adaptive execution would put a small table's many folders
+    into one task, which writes them one after the other."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), PART)
+
+
 def create_partitioned(df: DataFrame, path: str, part: Column) -> None:
     """A new table kept by ranges (or buckets) of its key: one folder for each value of `part`, which is a column of
     the table named `PART`. Rows of a range come together before they are written, so a range is few files."""
-    df.withColumn(PART, part).repartition(PART).write.partitionBy(PART).mode("errorifexists").parquet(path)
+    gathered(df.withColumn(PART, part)).write.partitionBy(PART).mode("errorifexists").parquet(path)
 
 
 def partitioned_schema(spark: SparkSession, path: str, like: DataFrame) -> StructType:
@@ -87,8 +93,7 @@ def upsert_partitions(spark: SparkSession, path: str, batch: DataFrame, key: str
     names = [f.name for f in schema.fields]
     staged = fresh_path(spark, "staged")
     kept = read_partitioned(spark, path, schema, touched).join(keys, key, "left_anti")
-    (kept.select(*names).unionByName(placed.select(*names)).repartition(PART)
-     .write.partitionBy(PART).parquet(staged))
+    gathered(kept.select(*names).unionByName(placed.select(*names))).write.partitionBy(PART).parquet(staged)
     (read_partitioned(spark, staged, schema).select(*names).write.partitionBy(PART).mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").parquet(path))
     return touched
