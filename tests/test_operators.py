@@ -5,6 +5,7 @@ import os
 import re
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,6 +177,48 @@ def test_repeat_new_items_counts_union_of_buyers_once(spark):
     assert (row.won_lines, row.closed_lines, row.open_lines) == (2, 0, 1)
 
 
+def test_repeat_new_items_forms_no_pairs_of_entities_and_buyers(spark):
+    known = {1: [10, 11], 2: [10, 11], 3: [11, 12, 13], 4: [13], 5: [11, 10]}
+    bought = {**{e: {c: e % 2 == 0 for c in cs} for e, cs in known.items()}, 6: {13: True}, 7: {10: False, 12: True}, 8: {14: False}}
+    detail = spark.createDataFrame([(e, c, False, "aNewly Mapped") for e, cs in known.items() for c in cs],
+                                   "entity_id long, item_code int, deleted boolean, mapping string")
+    lines = spark.createDataFrame([(e, c, d) for e, cs in bought.items() for c, d in cs.items()] * 2,
+                                  "entity_id long, item_code int, deleted boolean")
+    ends = spark.createDataFrame([(e, at("01 10:00:00"), "won") for e in bought], "entity_id long, placed_at timestamp_ntz, outcome string")
+    dwell = spark.createDataFrame([(1, 5, 1)], "entity_id long, in_stage_seconds long, visits long")
+    found = lifecycle.repeat_new_items(detail, lines, ends, dwell)
+    want = set()
+    for e, cs in known.items():
+        buyers = {b for b, held in bought.items() if b != e and set(cs) & {*held}}
+        want.add((e, len(cs), len(buyers), sum(any(not bought[b].get(c, True) for c in cs) for b in buyers)))
+    assert {(r.entity_id, r.new_items, r.times_ordered, r.times_ordered_and_retained) for r in found.collect()} == want
+    # buyers of sets of items come from blocks of both, not from a join on the item
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Join Inner, \(*item_code", plan) and "CoGroup" in plan
+
+
+@pytest.mark.parametrize("bits", [1 << 27, 64, 1 << 10])
+def test_distinct_in_unions_against_sets(spark, monkeypatch, bits):
+    monkeypatch.setattr(distinct, "BLOCK_ROWS", 300)
+    monkeypatch.setattr(distinct, "BLOCK_SETS", 4)
+    rows = [(f"i{k * 31 % 17}" if k % 23 else None, k * 7 % 211 if k % 29 else None, k % 3 == 0) for k in range(1500)]
+    asked = [["i1"], ["i1", "i2"], ["i1", "i2"], ["i3", "i4", "none"], ["none"], [f"i{k}" for k in range(17)], ["i16", "i5", "i9"], ["i0", "i8"]]
+    held = spark.createDataFrame(rows + rows[:100], "item string, who long, ok boolean")
+    sets = spark.createDataFrame([(s,) for s in asked], "items array<string>")
+    got = distinct.distinct_in_unions(sets, held, "items", "item", "who", "ok", ("n", "good")).collect()
+    want = {(tuple(s), len({w for i, w, _ in rows if i in s and w is not None}),
+             len({w for i, w, ok in rows if i in s and w is not None and ok})) for s in asked if s != ["none"]}
+    assert len(got) == len(want) and {(tuple(r["items"]), r.n, r.good) for r in got} == want
+    assert distinct.distinct_in_unions(sets.limit(0), held, "items", "item", "who", "ok", ("n", "good")).count() == 0
+    assert distinct.distinct_in_unions(sets, held.limit(0), "items", "item", "who", "ok", ("n", "good")).count() == 0
+    # matrices of few bits are worked in slices of members and of sets
+    item, who = np.arange(5000) * 13 % 97, np.arange(5000) * 7 % 1009
+    many = [[int(x) for x in sorted({k, (k * 5 + 3) % 97, (k * k) % 97})] for k in range(97)]
+    monkeypatch.setattr(distinct, "MATRIX_BITS", bits)
+    counts = distinct._union_bits(item, who, 97, 1009, np.concatenate(many), np.cumsum([0, *map(len, many)])[:-1])
+    assert counts.tolist() == [len({*who[np.isin(item, s)]}) for s in many]
+
+
 def _files(path):
     return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/**/*.parquet", recursive=True)}
 

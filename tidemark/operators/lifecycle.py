@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.textfn import note_time
 from tidemark.functions.timefn import boundary_diff, moment
+from tidemark.operators.distinct import distinct_in_unions
 from tidemark.operators.ordered import KeyedSequence, asof, exact_percentiles, id_lane
+from tidemark.session import checkpointed
 
 
 def steps(history: DataFrame) -> KeyedSequence:
@@ -153,30 +155,32 @@ def repeat_new_items(detail: DataFrame, lines: DataFrame, outcomes: DataFrame, d
     `outcomes` gives each entity's time of placing and its outcome: won, closed
     or open. Items keep one row per buyer. What buyers of an item add up to is
     counted per item and summed over an entity's items; distinct buyers need the
-    pairs of entity and buyer only where an entity introduced several items. An
-    entity buys what it introduces, which is taken off again.
+    buyers of a set of items only where an entity introduced several items, once
+    for all entities with that set. An entity buys what it introduces, which is
+    taken off again.
     """
-    fresh = (detail.filter("mapping = 'aNewly Mapped' and item_code is not null")
-             .groupBy("entity_id", "item_code")
-             .agg(F.max(F.when(F.col("deleted"), 0).otherwise(1)).alias("retained")))
+    fresh = checkpointed(detail.filter("mapping = 'aNewly Mapped' and item_code is not null")
+                         .groupBy("entity_id", "item_code")
+                         .agg(F.max(F.when(F.col("deleted"), 0).otherwise(1)).alias("retained")))
     ends = outcomes.select("entity_id", "outcome")
-    bought = (lines.filter("item_code is not null").groupBy("entity_id", "item_code").agg(
+    # both are read several times
+    bought = checkpointed(lines.filter("item_code is not null").groupBy("entity_id", "item_code").agg(
         F.max(F.when(F.col("deleted"), 0).otherwise(1)).alias("kept")).join(ends, "entity_id", "left"))
     kinds = {"won_lines": "won", "closed_lines": "closed", "open_lines": "open"}
     is_ = lambda kind: F.when(F.col("outcome") == kind, 1).otherwise(0)
     per = bought.groupBy("item_code").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("kept").alias("_kept"),
         *[F.sum(is_(kind)).alias("_" + name) for name, kind in kinds.items()])
-    own = fresh.join(bought, ["entity_id", "item_code"]).join(per, "item_code").groupBy("entity_id").agg(
-        F.count(F.lit(1)).alias("new_items"), F.max("retained").alias("retained"),
+    own = checkpointed(fresh.join(bought, ["entity_id", "item_code"]).join(per, "item_code").groupBy("entity_id").agg(
+        F.count(F.lit(1)).alias("new_items"), F.max("retained").alias("retained"), F.max("kept").alias("_own"),
         F.sum(F.col("_n") - 1).alias("_n"), F.sum(F.col("_kept") - F.col("kept")).alias("_kept"),
-        *[F.sum(F.col("_" + name) - is_(kind)).alias(name) for name, kind in kinds.items()])
-    several = own.filter("new_items > 1").select("entity_id")
-    met = (fresh.join(several, "entity_id", "left_semi").select(F.col("entity_id").alias("_entity"), "item_code")
-           .join(bought, "item_code").filter(F.col("entity_id") != F.col("_entity"))
-           .groupBy("_entity", "entity_id").agg(F.max("kept").alias("kept"))
-           .groupBy(F.col("_entity").alias("entity_id")).agg(
-               F.count(F.lit(1)).alias("_buyers"), F.sum("kept").alias("_keepers")))
+        *[F.sum(F.col("_" + name) - is_(kind)).alias(name) for name, kind in kinds.items()]))
+    several = checkpointed(fresh.join(own.filter("new_items > 1").select("entity_id", "_own"), "entity_id")
+                           .groupBy("entity_id", "_own").agg(F.sort_array(F.collect_set("item_code")).alias("_items")))
+    met = distinct_in_unions(several, bought.withColumn("_is_kept", F.col("kept") == 1), "_items", "item_code", "entity_id",
+                             "_is_kept", ("_buyers", "_keepers"))
+    met = several.join(met, "_items").select(
+        "entity_id", (F.col("_buyers") - 1).alias("_buyers"), (F.col("_keepers") - F.col("_own")).alias("_keepers"))
     one = F.col("new_items") == 1
     count = lambda own, all_: F.when(one, F.col(own)).otherwise(F.coalesce(F.col(all_), F.lit(0)))
     return (own.join(met, "entity_id", "left").join(outcomes.select("entity_id", "placed_at"), "entity_id", "left")
