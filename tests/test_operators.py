@@ -3,6 +3,7 @@
 import glob
 import os
 import re
+from collections import Counter
 from datetime import datetime
 
 import numpy as np
@@ -10,8 +11,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tidemark.operators import calls, chains, cohorts, distinct, forecast, lifecycle, people, queues, refresh, scoring
+from tidemark.operators import calls, chains, cohorts, distinct, forecast, lifecycle, ordered, people, queues, refresh, scoring
+from tidemark.operators import orders as order_ops
 from tidemark.operators.ordered import id_lane
+from tidemark.plans import orders as order_plans
+from tidemark.plans.views import Bound
 from tidemark.session import shared_dir
 from tidemark.sources import chunks, sinks
 from tidemark.sources.tables import fill_template
@@ -219,6 +223,103 @@ def test_distinct_in_unions_against_sets(spark, monkeypatch, bits):
     assert counts.tolist() == [len({*who[np.isin(item, s)]}) for s in many]
 
 
+FUNNEL_LOG = "order_id long, original long, substitute long, agent long, created_at timestamp_ntz, log_type int"
+FUNNEL_ITEMS = "order_id long, item_id long, deleted boolean, invoiced boolean, returned int, return_reason int"
+FUNNEL_ORDERS = "order_id long, customer_id long, status int, placed_at timestamp_ntz"
+
+
+def funnel_by_hand(log, items, orders, reasons, start, end):
+    """The funnel by nested loops; equal but null keys are no match."""
+    same = lambda *pairs: all(a is not None and a == b for a, b in pairs)
+    least = lambda v: (v is not None, v)
+    keys = {r[0:2] + (r[3],): [] for r in log if r[4] and start <= r[4].date().isoformat() <= end}
+    for r in log:
+        if r[4] and start <= r[4].date().isoformat() <= end:
+            keys[r[0:2] + (r[3],)].append(r)
+    out = []
+    for (order, original, agent), rows in keys.items():
+        picked = [r for r in log if r[5] == 3 and same((r[0], order))]
+        top = max(picked, key=lambda r: (least(r[4]), least(r[1]))) if picked else None
+        sub = top[2] if top and same((top[1], original), (top[3], agent)) else None
+        offered = max((r[2] for r in rows if r[2] is not None), default=None)
+        carts = [i for i in items if same((i[0], order), (i[1], offered))] or [None]
+        bills = [i for i in items if i[3] and same((i[0], order), (i[1], sub))] or [None]
+        for cart in carts:
+            for bill in bills:
+                for o in [o for o in orders if same((o[0], order))] or [(None,) * 4]:
+                    at_last = lambda item: max((p[3] for i in items if i[3] and same((i[1], item)) for p in orders
+                                                if same((p[0], i[0]), (p[1], o[1])) and p[3]), default=None)
+                    last = max((p[3] for p in orders if same((p[1], o[1])) and p[3]), default=None)
+                    later = lambda v: v is not None and o[3] is not None and v > o[3]
+                    back = bool(bill and bill[4] == 1)
+                    out.append((order, original, agent, sub,
+                                {9: "fulfilled", 10: "fulfilled", 2: "rejected", 8: "cancelled"}.get(o[2], "under process"),
+                                min(r[4] for r in rows), *[int(any(r[5] == k for r in rows)) for k in (1, 2, 3)],
+                                int(cart is not None), int(bool(cart and cart[2] is False)), int(back), reasons.get(bill[5]) if back else None,
+                                "dSubstituteOrderedAgain" if later(at_last(sub)) else "cOriginalOrderedAgain" if later(at_last(original))
+                                else "bNoneOrderedAgain" if later(last) else "aNeverOrderedAgain"))
+    return out
+
+
+def funnel_rows():
+    day = lambda k: at(f"{1 + k % 28:02d} 10:00:00")
+    maybe = lambda v, k, n=13: None if k % n == 5 else v
+    log = [(maybe(k % 23, k), maybe(k * 7 % 6, k, 17), maybe((k * 7 + 1) % 6, k, 19), maybe(k % 2, k, 29),
+            maybe(day(k * 5), k, 11), k * 3 % 4 or None) for k in range(150)]
+    # one latest choice an order and day, item and agent
+    log = [r for i, r in enumerate(log) if r[5] != 3 or not any(q[5] == 3 and (q[0], q[1], q[4]) == (r[0], r[1], r[4]) for q in log[:i])]
+    items = [(maybe(k % 23, k), maybe(k * 5 % 6, k, 17), maybe(k % 3 == 0, k, 7), maybe(k % 4 > 0, k, 9), int(k % 5 < 3), k % 4) for k in range(200)]
+    orders = [(maybe(k % 21, k, 20), maybe(k % 5, k, 6), (9, 10, 2, 8, 1, None)[k % 6], maybe(day(k * 11), k, 15)) for k in range(28)]
+    return log, items, orders
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_substitution_funnel_against_nested_loops(spark, monkeypatch, small):
+    log, items, orders = funnel_rows()
+    reasons = {1: "one", 2: "two"}
+    monkeypatch.setattr(order_ops, "_all_small", lambda df, key: small)
+    got = order_ops.substitution_funnel(spark.createDataFrame(log, FUNNEL_LOG), spark.createDataFrame(items, FUNNEL_ITEMS),
+                                        spark.createDataFrame(orders, FUNNEL_ORDERS), reasons, "2024-01-03", "2024-01-25").collect()
+    want = funnel_by_hand(log, items, orders, reasons, "2024-01-03", "2024-01-25")
+    assert Counter(map(tuple, got)) == Counter(want)
+    assert len({r.reordered for r in got}) == 4 and {r.in_cart for r in got} == {r.returned for r in got} == {0, 1}
+
+
+def funnel_tables(spark, tmp_path):
+    lines = [(None if k % 50 == 7 else 1000 if k % 3 else k % 40, None if k % 31 == 3 else k * 17 % 101, float(1 + k % 50), 30000.0 * (k % 7), 0.05,
+              "R" if k % 4 == 0 else "N", None if k % 37 == 1 else at(f"{1 + k % 28:02d} 00:00:00").replace(year=1997)) for k in range(900)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double, l_extendedprice double, l_discount double, "
+                          "l_returnflag string, l_shipdate timestamp_ntz").write.parquet(str(tmp_path / "lineitem.parquet"))
+    orders = [(k if k < 40 else 1000, k % 9, "FPO"[k % 3], 10.0, at(f"{1 + k % 28:02d} 00:00:00").replace(year=1997), "5-LOW") for k in range(41)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+                          "o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("few", [ordered.FEW, 50])
+def test_orders_of_many_lines_give_the_same_log_and_cart(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(ordered, "FEW", few)
+    t = Bound(spark, funnel_tables(spark, tmp_path))
+    small, large = t._item_by_order
+    assert (large.count() > 0) == (few == 50) and small.count() > 0
+    for one, other in ((t.sub_log, t.sub_log_by_order), (t.cart_item, t.cart_item_by_order)):
+        assert Counter(map(tuple, other.select(*one.columns).collect())) == Counter(map(tuple, one.collect()))
+    got = entry.queries()["a02_substitution_funnel"](spark, t.folder).collect()
+    log = t.sub_log.select("order_id", "original", "substitute", "agent", "created_at", "log_type").collect()
+    items = t.cart_item.select("order_id", "item_id", "deleted", "invoiced", "returned", "return_reason").collect()
+    orders = t.ord.select("order_id", "customer_id", "status", "placed_at").collect()
+    want = funnel_by_hand([tuple(r) for r in log], [tuple(r) for r in items], [tuple(r) for r in orders],
+                          order_plans.REASONS, order_plans.START, order_plans.END)
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
+def test_substitution_funnel_sends_lines_twice_and_rows_once(spark, tmp_path):
+    found = entry.queries()["a02_substitution_funnel"](spark, funnel_tables(spark, tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # lines for the log and for the cart, orders by order, rows by customer, customers' last orders
+    assert plan.count("Exchange hashpartitioning") <= 5 and "Exchange SinglePartition" not in plan
+
+
 def _files(path):
     return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/**/*.parquet", recursive=True)}
 

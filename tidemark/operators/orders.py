@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.textfn import delimited_id
 from tidemark.functions.timefn import boundary_diff, moment
-from tidemark.operators.ordered import first_by, hour_lane, row_numbers
+from tidemark.operators.ordered import alone, first_by, hour_lane, key_buckets, row_numbers
 
 DONE = (9, 10)
+#: orders that a group of customers holds on average, where customers are counted by groups
+ORDER_ROWS = 1 << 16
 
 
 def done() -> Column:
@@ -81,35 +83,75 @@ def any_flags(log: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
         F.max(flag(kind == 2)).alias("viewed"), F.max(flag(kind == 3)).alias("selected"))
 
 
+def _all_small(df: DataFrame, key: str) -> bool:
+    """Whether no key has so many rows that a task should not hold them whole."""
+    df = df.select(key)
+    return df.filter(~alone(df, [key], key_buckets(df, df.count(), ORDER_ROWS))).isEmpty()
+
+
 def substitution_funnel(log: DataFrame, items: DataFrame, orders: DataFrame, reasons: Mapping,
                         start: str, end: str) -> DataFrame:
     """Per order, item and agent: how far a substitute got and what was ordered later.
 
     The later-order label needs only the last time the customer bought each
-    item, so no pairs of orders are formed and no OR join is needed.
+    item, so no pairs of orders are formed and no OR join is needed. What is
+    known of an order's or a customer's items is looked up along windows over
+    rows and lines laid together: where log and items come dealt by order, rows
+    are sent once, by customer. Orders are counted first: if a customer has very
+    many, rows are dealt by customer and item instead.
     """
-    kept = log.filter(between_days("created_at", start, end))
     keys = ["order_id", "original", "agent"]
-    seen = any_flags(kept, keys, F.max("substitute").alias("offered_item"))
-    chosen = first_by(log.filter("log_type = 3"), ["order_id"], ["original", "substitute", "agent"],
-                      ["created_at", "original"], latest=True)
+    inside = F.coalesce(between_days("created_at", start, end), F.lit(False))
+    picked = F.coalesce(F.col("log_type") == 3, F.lit(False))
+    dated = log.select(
+        *keys, inside.alias("_in"), *[F.when(inside, F.col(c)).alias(n) for c, n in (
+            ("created_at", "created_at"), ("log_type", "log_type"), ("substitute", "_offered"))],
+        picked.alias("_picked"), F.when(picked, F.col("created_at")).alias("_at"), F.when(picked, F.col("substitute")).alias("_sub"))
+    seen = any_flags(
+        dated, keys, F.max("_offered").alias("offered_item"), F.bool_or("_in").alias("_in"), F.bool_or("_picked").alias("_picked"),
+        F.max("_at").alias("_at"), F.when(F.max("_at").isNotNull(), F.max_by("_sub", "_at")).otherwise(F.max("_sub")).alias("_sub"))
+    # the latest substitute chosen in the order, on any day
+    latest = F.max(F.when(F.col("_picked"), F.struct("_at", "original", "_sub", "agent"))).over(Window.partitionBy("order_id"))
+    chosen = F.col("order_id").isNotNull() & (F.col("original") == F.col("_latest.original")) & (F.col("agent") == F.col("_latest.agent"))
+    rows = seen.withColumn("_latest", latest).filter("_in").select(
+        *keys, "offered_item", F.when(chosen, F.col("_latest._sub")).alias("substitute"), "first_logged_at", "offered", "viewed",
+        "selected", F.lit(False).alias("_line"))
+    both = rows.unionByName(items.select(
+        "order_id", F.col("item_id").alias("_item"), flag(~F.col("deleted")).alias("_kept"),
+        F.coalesce("invoiced", F.lit(False)).alias("_sold"), F.col("returned").alias("_ret"),
+        F.col("return_reason").alias("_reason"), F.lit(True).alias("_line")), allowMissingColumns=True)
+
+    def beside(by: Sequence[str], key: str):
+        """Rows by a key and lines by their item; rows without the key have no line beside them and are spread."""
+        item = F.when(F.col("_line"), F.col("_item")).otherwise(F.col(key))
+        return Window.partitionBy(*by, item, F.when(item.isNull(), F.pmod(F.xxhash64(*keys), F.lit(4096))))
+
+    def lines(key: str, columns: Sequence[str], wanted: Column) -> Column:
+        """Of a row, each line of its order with that item, or null if there is none; lines stay as they are."""
+        usable = F.col("_line") & F.col("order_id").isNotNull() & F.col("_item").isNotNull() & wanted
+        found = F.collect_list(F.when(usable, F.struct(*columns))).over(beside(["order_id"], key))
+        return F.when(~F.col("_line"), found)
+
+    both = both.withColumn("_cart", lines("offered_item", ["_kept"], F.lit(True))).withColumn("_cart", F.explode_outer("_cart"))
+    both = both.withColumn("_bill", lines("substitute", ["_ret", "_reason"], F.col("_sold")))
     o = orders.select("order_id", "customer_id", "status", "placed_at")
-    in_cart = items.select("order_id", F.col("item_id").alias("offered_item"),
-                           flag(~F.col("deleted")).alias("retained"), F.lit(1).alias("in_cart"))
-    sold = items.filter("invoiced").select(
-        "order_id", F.col("item_id").alias("substitute"), F.col("returned").alias("_ret"),
-        "return_reason")
-    bought = (items.filter("invoiced").join(o, "order_id")
-              .groupBy("customer_id", "item_id").agg(F.max("placed_at").alias("last_bought")))
-    last = o.groupBy("customer_id").agg(F.max("placed_at").alias("last_order"))
-    rows = (seen.join(chosen, keys, "left")
-            .join(in_cart, ["order_id", "offered_item"], "left")
-            .join(sold, ["order_id", "substitute"], "left").join(o, "order_id", "left")
-            .join(bought.withColumnRenamed("item_id", "substitute")
-                  .withColumnRenamed("last_bought", "sub_at"), ["customer_id", "substitute"], "left")
-            .join(bought.withColumnRenamed("item_id", "original")
-                  .withColumnRenamed("last_bought", "orig_at"), ["customer_id", "original"], "left")
-            .join(last, "customer_id", "left"))
+    known = F.col("customer_id").isNotNull()
+    buyer = ["customer_id", "_salt"]
+    # rows without a customer are spread; of the lines those sold alone go on
+    both = both.join(o, "order_id", "left").withColumn("_bill", F.explode_outer("_bill")).filter(
+        ~F.col("_line") | (F.col("_sold") & F.col("_item").isNotNull() & known)).select(
+        *keys, "substitute", "first_logged_at", "offered", "viewed", "selected", "_line", "_item",
+        flag(F.col("_cart").isNotNull()).alias("in_cart"), F.coalesce("_cart._kept", F.lit(0)).alias("retained"),
+        F.col("_bill._ret").alias("_ret"), F.col("_bill._reason").alias("return_reason"), "customer_id", "status", "placed_at",
+        F.when(known, 0).otherwise(F.pmod(F.xxhash64(*keys), F.lit(4096)) + 1).cast("long").alias("_salt"))
+    if _all_small(o.filter(known), "customer_id"):
+        both = both.repartition(*buyer)
+    bought = F.max(F.when(F.col("_line"), F.col("placed_at")))
+    both = both.withColumn("sub_at", bought.over(beside(buyer, "substitute"))).withColumn(
+        "orig_at", bought.over(beside(buyer, "original"))).filter(~F.col("_line"))
+    last = (o.filter(known).withColumn("_salt", F.pmod(F.xxhash64("customer_id"), F.lit(1)))
+            .groupBy(*buyer).agg(F.max("placed_at").alias("last_order")))
+    rows = both.join(last, buyer, "left")
     later = lambda c: F.col(c) > F.col("placed_at")
     label = (F.when(later("sub_at"), "dSubstituteOrderedAgain")
              .when(later("orig_at"), "cOriginalOrderedAgain")
@@ -120,8 +162,7 @@ def substitution_funnel(log: DataFrame, items: DataFrame, orders: DataFrame, rea
     return rows.select(
         "order_id", "original", "agent", "substitute", status.alias("order_status"),
         "first_logged_at", "offered", "viewed", "selected",
-        F.coalesce("in_cart", F.lit(0)).alias("in_cart"),
-        F.coalesce("retained", F.lit(0)).alias("retained"), flag(back).alias("returned"),
+        "in_cart", "retained", flag(back).alias("returned"),
         F.when(back, lookup(reasons, F.col("return_reason"))).alias("return_reason"),
         label.alias("reordered"))
 

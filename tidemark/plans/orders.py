@@ -93,7 +93,7 @@ _ANY = """min(created_at) AS first_logged_at, max(CASE WHEN log_type = 1 THEN 1
     LEFT JOIN bought bo ON bo.customer_id = o.customer_id AND bo.item_id = s.original
     LEFT JOIN ended e ON e.customer_id = o.customer_id""")
 def _(t):
-    return od.substitution_funnel(t.sub_log, t.cart_item, t.ord, REASONS, START, END)
+    return od.substitution_funnel(t.sub_log_by_order, t.cart_item_by_order, t.ord, REASONS, START, END)
 
 
 @query("a03_substitution_daily", f"""

@@ -7,7 +7,9 @@ are exact in any order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import cached_property
+
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.sources.tables import Tables
 
@@ -20,6 +22,9 @@ EVENT_CODES = {"signup": 1, "view": 2, "error": 3, "purchase": 4, "click": 5}
 NOTES = {"signup": "Assigned: ", "view": "Reassign ", "error": "Hold: ",
          "purchase": "Done: ", "click": "Rejected: "}
 
+#: lines that a group of orders holds on average, where orders are counted by groups
+LINE_ROWS = 1 << 16
+
 _CODE = "CASE event_type " + " ".join(
     f"WHEN '{k}' THEN {v}" for k, v in EVENT_CODES.items()) + " END"
 _NOTE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NOTES.items()) + " END"
@@ -208,8 +213,12 @@ class Bound(Tables):
 
     @property
     def item(self) -> DataFrame:
+        return self._items(self.lineitem)
+
+    @staticmethod
+    def _items(lines: DataFrame) -> DataFrame:
         back = F.col("l_returnflag") == "R"
-        return self.lineitem.groupBy(
+        return lines.groupBy(
             F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("item_id")).agg(
             F.sum(F.round("l_quantity").cast("long")).alias("qty"),
             F.sum(_cents("l_extendedprice")).alias("gross"),
@@ -218,6 +227,18 @@ class Bound(Tables):
             F.min("l_shipdate").alias("first_ship"),
             F.min(F.when(back, F.col("l_shipdate"))).alias("returned_at"))
 
+    @property
+    def _item_by_order(self) -> tuple[DataFrame, DataFrame]:
+        """The items of orders of few lines, dealt by order: work by order needs no further exchange; and those of the others."""
+        few = self._few_lines
+        return self._items(self.lineitem.filter(few).repartition("l_orderkey")), self._items(self.lineitem.filter(~few))
+
+    @cached_property
+    def _few_lines(self):
+        from tidemark.operators.ordered import alone, key_buckets
+        lines = self.lineitem.select("l_orderkey")
+        return alone(lines, ["l_orderkey"], key_buckets(lines, lines.count(), LINE_ROWS))
+
     @property
     def ord(self) -> DataFrame:
         return self.orders.select(
@@ -335,19 +356,43 @@ class Bound(Tables):
 
     @property
     def sub_log(self) -> DataFrame:
+        return self._sub_log(self._next_items(self.item))
+
+    @property
+    def sub_log_by_order(self) -> DataFrame:
+        """The log dealt by order, but for orders of many lines."""
+        few, many = self._item_by_order
+        along = Window.partitionBy("order_id").orderBy("item_id")
+        return self._sub_log(few.withColumn("substitute", F.lead("item_id").over(along)).unionByName(self._next_items(many)))
+
+    @staticmethod
+    def _next_items(item: DataFrame) -> DataFrame:
         from tidemark.operators.ordered import KeyedSequence, id_lane
-        seq = KeyedSequence(self.item, ["order_id"], [F.col("item_id")], id_lane("item_id"))
-        pairs = seq.shift({"substitute": ("item_id", 1)}).frame().filter("substitute is not null")
+        seq = KeyedSequence(item, ["order_id"], [F.col("item_id")], id_lane("item_id"))
+        return seq.shift({"substitute": ("item_id", 1)}).frame()
+
+    @staticmethod
+    def _sub_log(pairs: DataFrame) -> DataFrame:
         kinds = F.array_compact(F.array(F.lit(1), F.when(F.col("qty") >= 10, 2),
                                         F.when(F.col("qty") >= 25, 3)))
-        return pairs.select(
+        return pairs.filter("substitute is not null").select(
             "order_id", F.col("item_id").alias("original"), "substitute",
             (F.col("item_id") % 20).alias("agent"), F.col("first_ship").alias("created_at"),
             F.explode(kinds).alias("log_type"), F.col("returned").alias("substitute_kind"))
 
     @property
     def cart_item(self) -> DataFrame:
-        return self.item.select(
+        return self._cart_item(self.item)
+
+    @property
+    def cart_item_by_order(self) -> DataFrame:
+        """The lines of the cart dealt by order, but for orders of many lines."""
+        few, many = self._item_by_order
+        return self._cart_item(few.unionByName(many))
+
+    @staticmethod
+    def _cart_item(item: DataFrame) -> DataFrame:
+        return item.select(
             "order_id", "item_id", (F.col("qty") < 10).alias("deleted"),
             (F.col("gross") > 2000000).alias("invoiced"), "returned",
             (F.col("item_id") % 8 + 1).alias("return_reason"))
